@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, licenses, lines, mixing, near_dup, quality, urls
+from tidemark.llm import ann, bpe, chat, licenses, lines, mixing, near_dup, quality, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -48,6 +48,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.judge(_table(spark, sf_dir, "documents"))
 
 
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.preference_pairs(chat.neighbours(_table(spark, sf_dir, "conversations")))
 
@@ -57,5 +61,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    named = [op1_license_scan, op3_source_mix, op4_near_dup, op5_url_filter, op6_bpe_round_trip, op7_line_dedup, op9_chat_format, op10_quality_rules]
+    named = [op1_license_scan, op3_source_mix, op4_near_dup, op5_url_filter, op6_bpe_round_trip, op7_line_dedup, op8_nearest, op9_chat_format, op10_quality_rules]
     return {f.__name__: f for f in named}
