@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, bpe, chat, licenses, lines, mixing, near_dup, quality, urls
+from tidemark.llm import ann, bpe, chat, licenses, lines, mixing, near_dup, quality, token_files, urls
+from tidemark.llm.scratch import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +22,14 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "token_files")
+    folder = scratch.path("ids")
+    token_files.write(_table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    docs = token_files.read(spark, folder, scratch)
+    return docs.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.mix(_table(spark, sf_dir, "documents"))
     return mix.select("doc_id", "size", "source_size", "target", "taken")
@@ -61,5 +70,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    named = [op1_license_scan, op3_source_mix, op4_near_dup, op5_url_filter, op6_bpe_round_trip, op7_line_dedup, op8_nearest, op9_chat_format, op10_quality_rules]
+    named = [op1_license_scan, op2_token_files, op3_source_mix, op4_near_dup, op5_url_filter, op6_bpe_round_trip, op7_line_dedup, op8_nearest, op9_chat_format, op10_quality_rules]
     return {f.__name__: f for f in named}
