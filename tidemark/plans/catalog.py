@@ -1,11 +1,309 @@
-"""Queries of the reference operators and their SQL, by name."""
+"""Queries of the selection and accounting operators over the driver's tables, by name."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from tidemark.functions import columns as C
+from tidemark.operators import cost, lineage, metrics, registry, scope, selection
+from tidemark.plans import sql
+from tidemark.sources.tables import arrivals, matrix, samples, table
 
-def oracle_sql() -> dict:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+
+SEED, REPLAY, BATCH, EPOCHS, DEVICES = 42, 500, 16, 100, 2
+EVENT_TYPES = ("click", "purchase", "refund", "signup", "view")
+
+
+def query(function: Query) -> Query:
+    _QUERIES[function.__name__] = function
+    return function
+
+
+def _train(spark: SparkSession, d: str) -> DataFrame:
+    return samples(spark, d).where("split = 'train'")
+
+
+def _scope(spark: SparkSession, d: str, task: int, rule: str = "all_seen") -> DataFrame:
+    """The scope of one task, its groups named by arrival number."""
+    everyone = samples(spark, d)
+    names = [f"src{i}" for i in range(task + 1)]
+    now = names[-1:]
+    return scope.resolve(everyone, now, names if rule == "all_seen" else now, names, names)
+
+
+@query
+def registry_counts(spark, d):
+    return registry.group_index(samples(spark, d)).withColumnRenamed("group", "grp")
+
+
+@query
+def group_members(spark, d):
+    return registry.group_members(samples(spark, d)).select(F.col("group").alias("grp"), "split", F.array_join("ids", ",").alias("ids"))
+
+
+@query
+def relative_path(spark, d):
+    return samples(spark, d).select("sample_id", C.relative_path(F.col("image_path"), F.concat(F.lit("/data/"), "group")).alias("p"))
+
+
+@query
+def label_path(spark, d):
+    return samples(spark, d).select("sample_id", C.label_path(F.col("image_path")).alias("p"))
+
+
+@query
+def duplicate_ids(spark, d):
+    return registry.duplicate_ids(samples(spark, d)).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def dup_owner_check(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.sha2(C.owner_key(F.col("text")), 256).alias("path"))
+    return registry.shared_owners(docs, "path", "doc_id").select(F.col("owner_key").alias("k"), "n", "first_id")
+
+
+@query
+def label_schema_check(spark, d):
+    names = samples(spark, d).groupBy("group").agg(F.sort_array(F.collect_set("lang")).alias("names"))
+    return registry.schema_matches(names.join(arrivals(spark, d), "group").select("group", F.col("idx").alias("place"), "names")).withColumnRenamed("group", "grp")
+
+
+@query
+def names_normalize(spark, d):
+    ranked = samples(spark, d).select("group", "lang").distinct()
+    number = F.row_number().over(Window.partitionBy("group").orderBy("lang")) - 1
+    maps = ranked.withColumn("i", number).groupBy("group").agg(F.map_from_entries(F.collect_list(F.struct("i", "lang"))).alias("m"))
+    return maps.select(F.col("group").alias("grp"), F.array_join(C.names_in_order(F.col("m")), ",").alias("names"))
+
+
+@query
+def scope_counts(spark, d):
+    return scope.counts(samples(spark, d), arrivals(spark, d))
+
+
+@query
+def scope_counts_current(spark, d):
+    return scope.counts(samples(spark, d), arrivals(spark, d), "current")
+
+
+@query
+def scope_roles(spark, d):
+    return _scope(spark, d, 10).groupBy("role").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def scope_history_except(spark, d):
+    return _scope(spark, d, 10).where("role = 'history'").select("sample_id")
+
+
+@query
+def scope_test_by_group(spark, d):
+    return _scope(spark, d, 5).where("role = 'test'").select(F.col("group").alias("grp"), "sample_id")
+
+
+@query
+def split_disjoint(spark, d):
+    return scope.overlaps(_scope(spark, d, 19)).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def current_in_candidate(spark, d):
+    found = _scope(spark, d, 10)
+    role = lambda r: found.where(F.col("role") == r).select("sample_id")
+    return role("current").join(role("candidate"), "sample_id", "left_semi")
+
+
+@query
+def missing_ids_anti(spark, d):
+    return registry.unknown_ids(table(spark, d, "documents").select("doc_id"), table(spark, d, "labels"), "doc_id")
+
+
+@query
+def labeled_semi(spark, d):
+    return table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels"), "doc_id", "left_semi")
+
+
+@query
+def select_full(spark, d):
+    seen = scope.sees(arrivals(spark, d), "all_seen")
+    return _train(spark, d).join(seen, "group").select("task", "sample_id")
+
+
+@query
+def select_random_replay(spark, d):
+    picked = selection.policy("random_replay", {"replay_size": REPLAY}).select(_scope(spark, d, 19), SEED + 19)
+    return picked.select("sample_id", "role")
+
+
+@query
+def select_current_only(spark, d):
+    picked = selection.policy("full").select(_scope(spark, d, 10, "current"), SEED + 10)
+    return selection.epoch_policy("static").plan(picked, 0, SEED + 10).select("sample_id")
+
+
+@query
+def replay_per_task(spark, d):
+    seen = scope.sees(arrivals(spark, d), "all_seen").where("not is_current")
+    history = _train(spark, d).join(seen, "group").select("task", "sample_id")
+    return selection.sample_per_task(history, 50, SEED)
+
+
+@query
+def selection_summary(spark, d):
+    counts = scope.counts(samples(spark, d), arrivals(spark, d))
+    full = counts.select("task", F.lit("full").alias("policy"), F.col("candidate_count").alias("candidate"))
+    replay = counts.select("task", F.lit("random_replay").alias("policy"), F.col("candidate_count").alias("candidate"), F.col("current_count").alias("cur"), F.least(F.lit(50), "history_count").cast("long").alias("replay"))
+    return full.unionByName(replay, allowMissingColumns=True).select("task", "policy", "cur", "replay", "candidate")
+
+
+@query
+def manifest_bind(spark, d):
+    chosen = samples(spark, d).where("split = 'val'").select("sample_id", "group")
+    place = F.row_number().over(Window.partitionBy("group").orderBy(F.desc("sample_id")))
+    ids = chosen.select("sample_id", place.cast("long").alias("pos"))
+    return registry.bind(ids, samples(spark, d), "image_path", "n_chars")
+
+
+@query
+def predict_zip(spark, d):
+    """Positional join: ids and predictions of a request, by place."""
+    both = samples(spark, d).where("split = 'test'").groupBy("group").agg(F.sort_array(F.collect_list(F.struct("sample_id", "n_chars"))).alias("x"))
+    zipped = both.select(F.posexplode(F.arrays_zip(F.col("x.sample_id").alias("sample_id"), F.transform("x.n_chars", lambda c: c * 2).alias("p"))))
+    return zipped.select(F.col("pos").cast("long").alias("pos"), "col.sample_id", F.col("col.p").alias("prediction"))
+
+
+@query
+def override_left_join(spark, d):
+    overrides = spark.createDataFrame([("src1", 50), ("src3", 10), ("elsewhere", 1)], "group string, replay_size int")
+    return lineage.overridden(arrivals(spark, d).select("group"), overrides, "group", "replay_size", REPLAY).withColumnRenamed("group", "grp")
+
+
+@query
+def eval_cross(spark, d):
+    tests = samples(spark, d).where("split = 'test'").groupBy("group").agg(F.count(F.lit(1)).alias("n"))
+    checkpoints = spark.createDataFrame([("last",), ("best",)], "checkpoint string")
+    return metrics.evaluation_grid(checkpoints, tests).withColumnRenamed("group", "grp")
+
+
+@query
+def eval_seconds(spark, d):
+    events = table(spark, d, "events")
+    task = F.floor((F.dayofmonth("ts") - 1) / 6).cast("int").alias("task")
+    rows = events.select(task, F.when(F.col("event_type") != "click", F.col("event_id") % 7 * 0.5).alias("evaluation_seconds"))
+    return metrics.evaluation_seconds(rows)
+
+
+@query
+def metric_matrix(spark, d):
+    return matrix(spark, d).withColumnRenamed("group", "grp")
+
+
+@query
+def metric_pivot(spark, d):
+    return metrics.pivoted(matrix(spark, d), list(EVENT_TYPES), "{}__map50_95")
+
+
+@query
+def seen_mean(spark, d):
+    return metrics.seen_mean(matrix(spark, d)).select("task", F.round("seen_mean", 5).alias("seen_mean"), "n")
+
+
+@query
+def final_forgetting(spark, d):
+    return metrics.forgetting(matrix(spark, d)).select(F.col("group").alias("grp"), F.round("forgetting", 6).alias("forgetting"))
+
+
+@query
+def mean_forgetting(spark, d):
+    return metrics.mean_forgetting(matrix(spark, d)).select(F.round("final_mean_forgetting", 5).alias("final_mean_forgetting"))
+
+
+@query
+def running_forgetting(spark, d):
+    return metrics.running_forgetting(matrix(spark, d)).select("task", F.col("group").alias("grp"), F.round("forgetting", 6).alias("forgetting"))
+
+
+@query
+def cost_by_task(spark, d):
+    counts = scope.counts(samples(spark, d), arrivals(spark, d)).select(F.col("task").alias("idx"), F.col("candidate_count").alias("n"))
+    timed = cost.estimate(counts, BATCH, EPOCHS).withColumn("selection_seconds", F.col("idx") * 0.5).withColumn("training_seconds", F.col("n") * 0.25).withColumn("devices", F.lit(DEVICES))
+    return cost.account(timed).select("idx", "optimizer_steps", "images_read", F.round("method_seconds", 6).alias("method_seconds"), F.round("gpu_hours", 6).alias("gpu_hours"))
+
+
+@query
+def device_counts(spark, d):
+    rows = spark.createDataFrame([("cpu", None), ("CPU", None), ("0", None), (None, ["0", "1"]), (None, [])], "device string, listed array<string>")
+    return rows.select(F.coalesce("device", F.array_join("listed", "+")).alias("device"), C.device_count(F.col("device"), F.col("listed")).cast("long").alias("n"))
+
+
+@query
+def lineage_parent(spark, d):
+    return lineage.with_parent(table(spark, d, "conversations").select("conv_id", "turn"), "turn", "turn", "conv_id")
+
+
+@query
+def stop_after_failure(spark, d):
+    events = table(spark, d, "events").select(F.col("event_type").alias("grp"), "ts", "event_id", (F.col("event_id") % 97 == 96).alias("failed"))
+    tried = lineage.before_failure(events, ["ts", "event_id"], "failed", "grp")
+    return tried.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def status_latest(spark, d):
+    return lineage.latest(table(spark, d, "events").withColumn("at", F.struct("ts", "event_id")), "user_id", "at", "event_type").withColumnRenamed("event_type", "status")
+
+
+@query
+def suffix_filter(spark, d):
+    path = F.regexp_extract("url", r"^[a-z]+://[^?#]*", 0)
+    pages = table(spark, d, "pages").select(C.suffix(path).alias("suffix")).where(F.col("suffix").isin("html", "com", *C.IMAGE_SUFFIXES) | (F.col("suffix") == ""))
+    return pages.groupBy("suffix").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def sanitize_names(spark, d):
+    return table(spark, d, "pages").select("url", C.sanitize(F.col("url"), 24).alias("s"))
+
+
+@query
+def number_parse(spark, d):
+    return table(spark, d, "events").select("event_id", C.number(F.get_json_object("props", "$.k")).alias("k"))
+
+
+@query
+def number_cells(spark, d):
+    cells = [("1.5",), (" 2 ",), ("x",), ("1_000",), ("1d",), ("-.5e3",), ("",), ("1e",)]
+    return spark.createDataFrame(cells, "cell string").select("cell", C.number(F.col("cell")).alias("v"))
+
+
+@query
+def arrival_index(spark, d):
+    rows = scope.numbered(arrivals(spark, d).select("group", F.col("idx").alias("ord")), "ord")
+    return rows.select(F.col("group").alias("grp"), "idx", (F.col("idx") + SEED).alias("seed"), F.concat_ws("__", C.task_name(F.col("idx")), C.sanitize(F.col("group"))).alias("task_name"))
+
+
+@query
+def ragged_union(spark, d):
+    counts = scope.counts(samples(spark, d), arrivals(spark, d))
+    a = counts.where("task < 10").select("task", F.col("current_count").alias("current"))
+    b = counts.where("task >= 10").select("task", F.col("current_count").alias("current"), F.col("history_count").alias("replay"))
+    return a.unionByName(b, allowMissingColumns=True)
+
+
+@query
+def config_layers(spark, d):
+    rows = [(0, "budget.value", "100"), (0, "backend.device", "cpu"), (1, "budget.value", "20"), (2, "backend.device", None), (1, "task.label", "x")]
+    return lineage.layered(spark.createDataFrame(rows, "layer int, k string, v string"))
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: text for name, text in sql.ORACLES.items() if name in _QUERIES}
