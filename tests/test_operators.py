@@ -1,0 +1,175 @@
+import math
+
+import numpy as np
+import pytest
+from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
+
+from tidemark.functions import columns as C
+from tidemark.operators import lineage, metrics, registry, scope, selection
+
+SAMPLES = [(f"{g}::{s}{i}", g, s) for g in ("a", "b", "c") for s, n in (("train", 2), ("val", 1), ("test", 1)) for i in range(n)]
+
+
+@pytest.fixture
+def samples(spark):
+    return spark.createDataFrame(SAMPLES, "sample_id string, group string, split string")
+
+
+def values(spark, column, rows, kind="string"):
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], f"i int, x {kind}")
+    return [r[0] for r in df.select("i", column(F.col("x")).alias("y")).orderBy("i").select("y").collect()]
+
+
+def test_label_path(spark):
+    got = values(spark, C.label_path, ["/d/images/x/images/a.b.jpg", "/d/Images/a.JPG"])
+    assert got == ["/d/images/x/labels/a.b.txt", "/d/labels/a.txt"]
+    with pytest.raises(PySparkException, match="no images directory"):
+        values(spark, C.label_path, ["/d/noimages/a.jpg"])
+
+
+def test_relative_path(spark):
+    assert values(spark, lambda c: C.relative_path(c, "/r"), ["/r/a/b"]) == ["a/b"]
+    with pytest.raises(PySparkException, match="not below"):
+        values(spark, lambda c: C.relative_path(c, "/r"), ["/rr/a"])
+
+
+def test_sanitize(spark):
+    got = values(spark, C.sanitize, ["a/b  c", "--.", "", "x" * 100, "a b", "-a.b-"])
+    assert got == ["a-b-c", "run", "run", "x" * 80, "a-b", "a.b"]
+
+
+def test_number(spark):
+    got = values(spark, C.number, ["1.5", " 2 ", "nan", "x", "1_000", "1d", None, "-inf", "1e3", "._1"])
+    assert got[:2] == [1.5, 2.0] and math.isnan(got[2]) and got[3:] == [None, 1000.0, None, None, -math.inf, 1000.0, None]
+
+
+def test_suffix_and_stem(spark):
+    assert values(spark, C.suffix, ["a/b.JPG", "a.b/c", ".hidden", "a/.x"]) == ["jpg", "", "", ""]
+    assert values(spark, C.stem, ["a/b.c.yaml", "net"]) == ["b.c", "net"]
+
+
+def test_names_in_order(spark):
+    df = spark.sql("select map(1, 'b', 0, 'a') as m")
+    assert df.select(C.names_in_order(F.col("m"))).first()[0] == ["a", "b"]
+    with pytest.raises(PySparkException, match="from 0"):
+        spark.sql("select map(1, 'b') as m").select(C.names_in_order(F.col("m"))).collect()
+
+
+def test_steps_and_hours(spark):
+    df = spark.createDataFrame([(5, 2), (5, 0), (0, 2)], "n int, b int")
+    assert [r[0] for r in df.select(C.optimizer_steps(F.col("n"), F.col("b"), 3)).collect()] == [9, 15, 0]
+    assert spark.range(1).select(C.gpu_hours(F.lit(3600.0), -1)).first()[0] == 0.0
+
+
+def test_registry_checks(spark, samples):
+    registry.check(samples.withColumn("image_path", F.col("sample_id")))
+    twice = samples.union(samples.limit(1))
+    with pytest.raises(registry.IntegrityError, match="occur twice"):
+        registry.check(twice.withColumn("image_path", F.expr("uuid()")))
+    clash = spark.createDataFrame([("x", "/d/images/A.jpg"), ("y", "/d/images/a.jpg")], "sample_id string, image_path string")
+    with pytest.raises(registry.IntegrityError, match="more than one split"):
+        registry.check(clash)
+
+
+def test_error_shows_five(spark):
+    with pytest.raises(registry.IntegrityError) as error:
+        registry.require_none(spark.range(9), "bad")
+    assert str(error.value) == "bad: 0, 1, 2, 3, 4"
+
+
+def test_bind_keeps_order_and_duplicates(spark, samples):
+    ids = spark.createDataFrame([(0, "b::val0"), (1, "a::val0"), (2, "b::val0")], "pos int, sample_id string")
+    assert [r["sample_id"] for r in registry.bind(ids, samples, "group").collect()] == ["b::val0", "a::val0", "b::val0"]
+    assert [r[0] for r in registry.unknown_ids(spark.createDataFrame([("zz",)], "sample_id string"), samples).collect()] == ["zz"]
+
+
+def test_schema_matches(spark):
+    names = spark.createDataFrame([("a", 0, ["x"]), ("b", 1, ["x"]), ("c", 2, ["y", "z"])], "group string, place int, names array<string>")
+    assert {tuple(r) for r in registry.schema_matches(names).collect()} == {("a", 1, True), ("b", 1, True), ("c", 2, False)}
+
+
+def test_scope_of_second_task(samples):
+    found = scope.resolve(samples, ["b"], ["a", "b"], ["a", "b"], ["a", "b"])
+    counts = {r["role"]: r["count"] for r in found.groupBy("role").count().collect()}
+    assert counts == {"current": 2, "candidate": 4, "history": 2, "validation": 2, "test": 2}
+    scope.check(found)
+
+
+def test_scope_faults(spark, samples):
+    with pytest.raises(registry.IntegrityError, match="no candidates"):
+        scope.check(scope.resolve(samples, ["c"], ["a"], ["a"], ["a"]))
+    mixed = samples.union(spark.createDataFrame([("a::train0", "a", "val")], samples.schema))
+    with pytest.raises(registry.IntegrityError, match="more than one of"):
+        scope.check(scope.resolve(mixed, ["a"], ["a"], ["a"], ["a"]))
+    with pytest.raises(registry.IntegrityError, match="zz.train"):
+        scope.known_groups(samples, [("zz", "train"), ("a", "val")])
+
+
+def test_counts_and_rules(spark, samples):
+    arrivals = scope.numbered(spark.createDataFrame([("a",), ("b",), ("c",)], "group string"), "group")
+    rows = {r["task"]: tuple(r)[1:] for r in scope.counts(samples, arrivals).collect()}
+    assert rows == {0: (2, 2, 0), 1: (4, 2, 2), 2: (6, 2, 4)}
+    rows = {r["task"]: tuple(r)[1:] for r in scope.counts(samples, arrivals, "current").collect()}
+    assert rows == {i: (2, 2, 0) for i in range(3)}
+    with pytest.raises(ValueError, match="unknown rule"):
+        scope.sees(arrivals, "none")
+
+
+def test_full_and_static(samples):
+    found = selection.policy("full").select(scope.resolve(samples, ["b"], ["a", "b"], ["a"], ["a"]), 1)
+    planned = selection.epoch_policy("static").plan(found, 0, 1)
+    assert sorted(r["sample_id"] for r in planned.collect()) == ["a::train0", "a::train1", "b::train0", "b::train1"]
+
+
+@pytest.mark.parametrize("numpy_order", [False, True])
+def test_replay(samples, numpy_order):
+    found = scope.resolve(samples, ["c"], ["a", "b", "c"], ["a"], ["a"])
+    policy = selection.RandomReplay({"replay_size": 2}, numpy_order)
+    rows = [sorted(map(tuple, policy.select(df, 42).collect())) for df in (found, found.repartition(7))]
+    assert rows[0] == rows[1]
+    replay = [i for role, i in rows[0] if role == "replay"]
+    assert len(replay) == 2 and all(i[0] in "ab" for i in replay)
+    if numpy_order:
+        history = sorted(i for i, g, s in SAMPLES if s == "train" and g != "c")
+        assert replay == sorted(np.random.default_rng(42).choice(history, size=2, replace=False).tolist())
+    short = selection.RandomReplay({"replay_size": 50}, numpy_order).select(found, 1)
+    assert short.where("role = 'replay'").count() == 4
+
+
+@pytest.mark.parametrize("params", [{}, {"replay_size": 0}, {"replay_size": 1, "more": 2}])
+def test_replay_params(params):
+    with pytest.raises(ValueError):
+        selection.policy("random_replay", params)
+
+
+def test_other_params_and_names():
+    for call in (lambda: selection.policy("full", {"a": 1}), lambda: selection.epoch_policy("static", {"a": 1}), lambda: selection.policy("x"), lambda: selection.epoch_policy("x")):
+        with pytest.raises(ValueError):
+            call()
+
+
+def test_declining_matrix(spark):
+    rows = [(0, "a", 0.6), (1, "a", 0.5), (1, "b", 0.7), (2, "a", 0.4), (2, "b", 0.65), (2, "c", 0.3)]
+    matrix = spark.createDataFrame(rows, "task int, group string, score double")
+    lost = {r["group"]: round(r["forgetting"], 9) for r in metrics.forgetting(matrix).collect()}
+    assert lost == {"a": 0.2, "b": 0.05, "c": 0.0}
+    assert round(metrics.mean_forgetting(matrix).first()[0], 6) == 0.083333
+    tasks = spark.createDataFrame([(i,) for i in range(4)], "task int")
+    means = {r["task"]: (round(r["seen_mean"], 9), r["n"]) for r in metrics.seen_mean(matrix, tasks).collect()}
+    assert means == {0: (0.6, 1), 1: (0.6, 2), 2: (0.45, 3), 3: (0.0, 0)}
+    wide = {r["task"]: r["b.map50_95"] for r in metrics.pivoted(matrix, ["a", "b", "c"]).collect()}
+    assert wide == {0: None, 1: 0.7, 2: 0.65}
+    assert metrics.mean_forgetting(matrix.limit(0)).first()[0] == 0.0
+
+
+def test_group_without_last_score_is_left_out(spark):
+    matrix = spark.createDataFrame([(0, "a", 0.6), (1, "b", 0.5)], "task int, group string, score double")
+    assert [r["group"] for r in metrics.forgetting(matrix).collect()] == ["b"]
+
+
+def test_lineage(spark):
+    tasks = spark.createDataFrame([("s", i, i == 2) for i in range(4)] + [("t", 0, False)], "seq string, i int, failed boolean")
+    assert {(r["seq"], r["i"]) for r in lineage.before_failure(tasks, ["i"], "failed", "seq").collect()} == {("s", 0), ("s", 1), ("t", 0)}
+    assert {(r["seq"], r["i"], r["parent"]) for r in lineage.with_parent(tasks, "i", "i", "seq").collect()} == {("s", 0, None), ("s", 1, 0), ("s", 2, 1), ("s", 3, 2), ("t", 0, None)}
+    assert {tuple(r) for r in lineage.latest(tasks, "seq", "i", "failed").collect()} == {("s", False), ("t", False)}
