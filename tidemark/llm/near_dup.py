@@ -5,11 +5,10 @@
 2.  Rows with equal sets are one class and go on as its smallest id, so a group
     of exact copies, however large, is one member from here on.
 3.  Classes that share a band key are candidates.  Within a bucket no list of all
-    pairs is made: each member is tried against one centre, the tried pairs that
-    hold join components, and only buckets that still hold several components
-    get further centres.  What is left then (members that no centre reached) is
-    tried against every member of another component in its buckets, so no link
-    between members of one bucket is lost.
+    pairs is made: each member is tried against the bucket's centre, the member that
+    meets most others, and the tried pairs that hold join components.  Where a
+    centre's members still form several components, only those pairs are tried
+    that can hold: see :func:`_beside_centre`.  No link in a bucket is lost.
 4.  A link counts if the full sets pass ``100 * both >= percent * either``.
 5.  Components come from distributed hooking, after a union-find in each
     partition has thinned the links to a forest.
@@ -30,8 +29,6 @@ from tidemark.llm.scratch import Scratch
 
 #: 20 bands of 4: two sets of similarity 0.8 share none with probability 3e-5.
 BANDS, ROWS = 20, 4
-#: Rounds with one centre a bucket before the rest is tried pair by pair.
-CENTRE_ROUNDS = 4
 
 _SKETCH = "doc_id bigint, n_shingles bigint, digest_a bigint, digest_b bigint, bands array<bigint>"
 
@@ -109,8 +106,8 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, r
     heads = scratch.keep(heads, "heads")
     first = full.join(heads.select(F.col("head").alias("doc_id"), "digest_a", "digest_b"), ["doc_id", "digest_a", "digest_b"], "left_semi")
     posts = first.dropDuplicates(["doc_id", "digest_a", "digest_b"]).select(F.explode("bands").alias("key"), "doc_id", F.col("n_shingles").alias("n"))
-    shared = posts.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("key")
-    posts = scratch.keep(posts.join(shared, "key", "left_semi"), "posts")
+    shared = posts.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    posts = scratch.keep(posts.join(shared, "key"), "posts")
 
     near = _components_of(posts, texts, k, percent, scratch)
     same = full.join(heads.where("n > 1").drop("n"), ["digest_a", "digest_b"]).where("doc_id <> head").select(F.col("doc_id").alias("_row"), "head")
@@ -126,46 +123,77 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, r
 
 
 def _components_of(posts: DataFrame, texts: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
-    """(node, component) of the classes that links join, from their posts (key, doc_id, n)."""
-    members = posts.select("doc_id").distinct()
-    sets = texts.join(members, "doc_id", "left_semi").mapInArrow(_sets(k), "doc_id bigint, shingles array<bigint>")
+    """(node, component) of the classes that links join, from their posts (key, doc_id, n, size)."""
+    met_by = posts.groupBy("doc_id").agg(F.sum("size").alias("meets"))
+    met_by = scratch.keep(met_by, "members")
+    sets = texts.join(met_by.select("doc_id"), "doc_id", "left_semi").mapInArrow(_sets(k), "doc_id bigint, shingles array<bigint>")
     sets = scratch.keep(sets, "sets")
 
+    def with_sets(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
+        return both.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
+
     def linked(pairs: DataFrame) -> DataFrame:
-        """Those of the pairs (a, b, na, nb) whose full sets are similar enough."""
-        near = pairs.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b").distinct()
-        near = near.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
-        near = near.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
+        """Those of the pairs (a, b) whose full sets are similar enough."""
         both = F.size(F.array_intersect("sa", "sb"))
-        return near.where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
-
-    links, classes, open_ = None, None, posts.withColumn("component", F.col("doc_id"))
-    for turn in range(CENTRE_ROUNDS + 1):
-        if turn < CENTRE_ROUNDS:
-            order = F.col("doc_id") if turn == 0 else F.xxhash64("doc_id", F.lit(turn))
-            centres = open_.groupBy("key").agg(F.min_by(F.struct("doc_id", "n", "component"), F.struct(order, "doc_id")).alias("c"))
-            met = open_.join(centres, "key").where("component <> c.component")
-            pairs = met.select(F.least("doc_id", "c.doc_id").alias("a"), F.greatest("doc_id", "c.doc_id").alias("b"), F.col("n").alias("na"), F.col("c.n").alias("nb"))
-        else:
-            left, right = (open_.select("key", F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("component").alias(f"c{x}")) for x in "ab")
-            pairs = left.join(right, "key").where("a < b and ca <> cb").select("a", "b", "na", "nb")
-        found = linked(pairs).mapInArrow(_forest, "a bigint, b bigint")
-        links = scratch.keep(found if links is None else links.union(found), "links")
-        if links.isEmpty() and turn == 0:
-            classes = links.select(F.col("a").alias("node"), F.col("a").alias("component"))
-        else:
-            classes = components(links, scratch)
-        if turn == CENTRE_ROUNDS:
-            return classes
-        named = classes.select(F.col("node").alias("doc_id"), F.col("component").alias("_c"))
-        again = posts.join(named, "doc_id", "left").select("key", "doc_id", "n", F.coalesce("_c", "doc_id").alias("component"))
-        mixed = again.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("_n"))
-        # A bucket of two is settled by its one pair; a larger one stays open while it holds two components.
-        mixed = mixed.where("lo <> hi and _n > 2").select("key")
-        open_ = scratch.keep(again.join(mixed, "key", "left_semi"), "open")
-        if open_.isEmpty():
-            return classes
-    return classes
+        held = with_sets(pairs.distinct()).where(100 * both >= percent * (F.size("sa") + F.size("sb") - both))
+        return held.select("a", "b").mapInArrow(_forest, "a bigint, b bigint")
+
+    first = F.struct(F.negative("meets"), "doc_id")
+    centres = posts.join(met_by, "doc_id").groupBy("key").agg(F.min_by(F.struct("doc_id", "n"), first).alias("c"))
+    met = posts.join(centres, "key").select(F.col("c.doc_id").alias("a"), F.col("c.n").alias("na"), F.col("doc_id").alias("b"), F.col("n").alias("nb"), "size")
+    met = scratch.keep(met.groupBy("a", "b", "na", "nb").agg(F.max("size").alias("size")), "met")
+    links = scratch.keep(linked(met.where(f"a <> b and 100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b")), "links")
+    classes = components(links, scratch)
+
+    # Buckets of two are settled by their one pair.
+    named = classes.select(F.col("node").alias("b"), F.col("component").alias("_c"))
+    groups = met.where("size > 2").join(named, "b", "left").select("a", "b", F.coalesce("_c", "b").alias("component"))
+    open_ = groups.groupBy("a").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("a")
+    groups = scratch.keep(groups.join(open_, "a", "left_semi").where("a <> b"), "open")
+    if groups.isEmpty():
+        return classes
+    more = linked(_beside_centre(with_sets(groups), percent, scratch))
+    links = scratch.keep(links.union(more), "links")
+    return components(links, scratch)
+
+
+def _beside_centre(members: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) of members of one centre, of different components, that can be similar enough.
+
+    Let a member x differ from its centre c by the shingles it lacks and those it
+    has besides.  The common part of x and y is then |x and c| + |y and c| - |c|
+    plus the number of differences they share, so they are similar enough only if
+    they share at least T = -(g(x) + g(y)) / 2(100 + p) differences, where
+    g(x) = 2(100 + p)|x and c| - (100 + p)|c| - 2p|x| and p is the percentage.
+    Of the differences of x in order of rarity, one of the first |diff(x)| - T + 1
+    must then be among the first |diff(y)| - T + 1 of y.  At least one of the two
+    is not linked with c (else they are in one component), which makes T larger
+    than h = ((100 - p)|c| - g) / 2(100 + p) of the other: so at least the first
+    |diff| - h of one side meet the differences of members apart from c.  The
+    differences that make near copies of c are mostly rare, so a group with many
+    members that are not similar to each other gives few pairs.
+    """
+    p = percent
+    rows = members.select("a", "b", "component", F.size("sa").alias("na"), F.array_except("sa", "sb").alias("lacks"), F.array_except("sb", "sa").alias("has"), F.size("sb").alias("nb"))
+    rows = rows.withColumn("both", F.col("nb") - F.size("has"))
+    rows = rows.selectExpr(
+        "a", "b", "component", "concat(transform(lacks, x -> ~x), has) as diff",
+        f"2L * {100 + p} * both - {100 + p}L * na - {2 * p}L * nb as g", f"{100 + p}L * both < {p}L * (na + nb) as apart", f"{100 - p}L * na as top",
+    )
+    rows = rows.selectExpr("a", "b", "component", "size(diff) as d", "g", "apart", f"floor((top - g) / {2 * (100 + p)}.0D) as h", "explode(diff) as x")
+    rows = scratch.keep(rows, "differences")
+    common = rows.groupBy("a", "x").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    rows = rows.join(common, ["a", "x"])
+    # Differences of one member only come first and meet nobody.
+    rows = rows.selectExpr("*", "d - count(*) over (partition by a, b) + row_number() over (partition by a, b order by f, x) as place")
+    rows = scratch.keep(rows, "places")
+    names = ("b", "component", "d", "g", "place")
+    left = rows.where("place <= d - h").select("a", "x", *[F.col(n).alias(f"l_{n}") for n in names])
+    right = rows.where("apart").select("a", "x", *[F.col(n).alias(f"r_{n}") for n in names])
+    need = f"(-floor((l_g + r_g) / {2 * (100 + p)}.0D))"
+    pairs = left.join(right, ["a", "x"]).where(f"l_component <> r_component and l_place <= l_d - {need} + 1 and r_place <= r_d - {need} + 1")
+    return pairs.select(F.least("l_b", "r_b").alias("a"), F.greatest("l_b", "r_b").alias("b")).distinct()
 
 
 def keep_first(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
