@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import kernels
 from tidemark.llm.kernels import mix
-from tidemark.llm.scratch import Scratch
+from tidemark.llm.scratch import Scratch, free_name
 
 MIN_CHARS = 20
 
@@ -235,9 +235,10 @@ def judge(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
 
 
 def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts without the lines whose numbers the last column lists; the other columns as they are."""
     for batch in batches:
         texts = []
-        for text, gone in zip(batch.column("text").to_pylist(), batch.column("_gone").to_pylist(), strict=True):
+        for text, gone in zip(batch.column("text").to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
             if gone and text is not None:
                 lines = text.split("\n")
                 for i in gone:
@@ -246,7 +247,7 @@ def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             texts.append(text)
         at = batch.schema.get_field_index("text")
         batch = batch.set_column(at, "text", pa.array(texts, pa.string()))
-        yield batch.drop_columns(["_gone"])
+        yield batch.select(batch.schema.names[:-1])
 
 
 def drop_repeats(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
@@ -255,7 +256,8 @@ def drop_repeats(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     A text that loses all its lines becomes empty; ``n_chars``, where it is a
     column, follows the text.
     """
-    gone = judge(docs, scratch=scratch).where("not kept").groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("line_no").alias("_gone"))
-    both = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_doc")), "left").drop("_doc")
+    doc, lost = (free_name(docs, x) for x in ("_doc", "_gone"))
+    gone = judge(docs, scratch=scratch).where("not kept").groupBy(F.col("doc_id").alias(doc)).agg(F.collect_set("line_no").alias(lost))
+    both = docs.join(gone, F.col("doc_id").eqNullSafe(F.col(doc)), "left").drop(doc)
     out = both.mapInArrow(_rebuild, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

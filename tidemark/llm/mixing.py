@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.scratch import Scratch
+from tidemark.llm.scratch import Scratch, free_name
 
 SEED = 17
 WEIGHTS = (3, 1, 2)
@@ -151,7 +151,8 @@ def repeat_rows(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     Rows that share an id are taken as often as the first of them by count; rows
     with a null id are taken once.
     """
-    times = mix(docs, scratch=scratch).where("doc_id is not null").groupBy(F.col("doc_id").alias("_doc")).agg(F.max("times").alias("_times"))
-    out = docs.join(times, F.col("doc_id") == F.col("_doc"), "left")
-    out = out.withColumn("_copy", F.explode(F.expr("if(coalesce(_times, 1) < 1, array(), sequence(1, coalesce(_times, 1)))")))
+    doc, n, copy = (free_name(docs, x) for x in ("_doc", "_times", "_copy"))
+    times = mix(docs, scratch=scratch).where("doc_id is not null").groupBy(F.col("doc_id").alias(doc)).agg(F.max("times").alias(n))
+    out = docs.join(times, F.col("doc_id") == F.col(doc), "left")
+    out = out.withColumn(copy, F.explode(F.expr(f"if(coalesce({n}, 1) < 1, array(), sequence(1, coalesce({n}, 1)))")))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])

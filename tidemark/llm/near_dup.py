@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import kernels
 from tidemark.llm.graph import components
-from tidemark.llm.scratch import Scratch
+from tidemark.llm.scratch import Scratch, free_name
 
 #: 20 bands of 4: two sets of similarity 0.8 share none with probability 3e-5.
 BANDS, ROWS = 20, 4
@@ -201,5 +201,6 @@ def keep_first(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
 
     Five-word shingles and a similarity of 0.8.
     """
-    gone = groups(docs, k=5, percent=80, scratch=scratch).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    name = free_name(docs, "_gone")
+    gone = groups(docs, k=5, percent=80, scratch=scratch).where("not kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.scratch import Scratch
+from tidemark.llm.scratch import Scratch, free_name
 
 WORD = r"[^\x20\x09-\x0D]+"
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
@@ -149,5 +149,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, scratch: Scratch | None = None
 
     A row goes if its id has a rejected row; rows with a null id stay.
     """
-    gone = judge(docs, labels, scratch=scratch).where("not kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    name = free_name(docs, "_gone")
+    gone = judge(docs, labels, scratch=scratch).where("not kept").select(F.col("doc_id").alias(name))
+    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")

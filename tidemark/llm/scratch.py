@@ -54,3 +54,11 @@ class Scratch:
                 if "/" + self.folder.rsplit("/", 1)[1] + "/" in folder + "/":
                     path = jvm.org.apache.hadoop.fs.Path(folder)
                     path.getFileSystem(conf).delete(path, True)
+
+
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name that ``df`` doesn't have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
