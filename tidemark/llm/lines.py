@@ -192,8 +192,10 @@ def judge(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     for a line that goes and null for one that stays; the keeper is the earliest
     line one edit away if that is earlier than all equal lines, or else the
     earliest equal line.  A null text has no lines; a null id counts as the smallest.
-    Rows that share an id share its line numbers: equal lines with one number stay
-    or go together.  An empty table gives an empty result.
+    Repeated rows share an id and its line numbers: their lines stay or go
+    together.  An id stands for one text: of rows that share an id but not the text,
+    lines with one number may be judged as one.  An empty table gives an empty
+    result.
     """
     scratch = scratch or Scratch(docs.sparkSession, "lines")
     texts = docs.selectExpr("cast(doc_id as bigint) as doc_id", "cast(text as string) as text").where("text is not null")
@@ -228,8 +230,8 @@ def judge(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
         "doc_id",
         "line_no",
         keeper.isNull().alias("kept"),
-        F.coalesce(keeper["doc_id"], F.col("doc_id")).alias("keeper_doc_id"),
-        F.coalesce(keeper["line_no"], F.col("line_no")).alias("keeper_line_no"),
+        F.coalesce(keeper, order)["doc_id"].alias("keeper_doc_id"),
+        F.coalesce(keeper, order)["line_no"].alias("keeper_line_no"),
         F.when(F.col("near").isNotNull() & equal.isNull(), 1).when(equal.isNotNull(), 0).alias("distance"),
     )
 
