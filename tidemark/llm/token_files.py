@@ -117,7 +117,10 @@ def unpack(payloads: list[bytes]) -> list[Segment]:
         segment.doc_ids = [None if z else d for d, z in zip(ids.tolist(), null.tolist(), strict=True)]
         tables.append((sizes, blocks))
         out.append(segment)
-    decoded = rangecoder.decode(words, np.array(lengths, np.int64))
+    try:
+        decoded = rangecoder.decode(words, np.array(lengths, np.int64))
+    except (IndexError, ValueError) as error:
+        raise CorruptFile("a block can't be decoded") from error
     for block, crc in zip(decoded, sums, strict=True):
         if zlib.crc32(block.astype("<u4").tobytes()) != crc:
             raise CorruptFile("a block's checksum does not fit")
