@@ -26,7 +26,7 @@ from tidemark.llm.tokens import Decoder, Encoder, decoder, encoder
 #: A cut where these bits of the rolling hash are set: chunks of 512 bytes on average.
 CUT = np.uint32(0x1FF << 23)
 #: Chunks a worker remembers before it starts over; about 600 bytes each.
-REMEMBERED = 120_000
+REMEMBERED = 60_000
 
 _GEAR = np.random.Generator(np.random.PCG64(32)).integers(0, 1 << 32, 256, dtype=np.uint32)
 #: Bytes after a blank before which a text may be cut: neither white space nor the lead of a white-space character.

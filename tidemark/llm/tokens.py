@@ -13,20 +13,19 @@ other kinds of tokenizers are encoded as they are.
 from __future__ import annotations
 
 import json
+import os
 
 import numpy as np
-import regex
 from tokenizers import Tokenizer
 
-#: Words and pieces a worker remembers before it starts over; about 400 bytes each.
-REMEMBERED = 700_000
+#: A task has one core; the library would take all of the machine's.
+os.environ["TOKENIZERS_PARALLELISM"] = "false"
 
-#: Fixed value: the published pattern of byte-level pre-tokens.
-PRE_TOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Words a worker remembers before it starts over; about 220 bytes each.
+REMEMBERED = 600_000
 
-#: Letters below this are letters in every Unicode version that the libraries may follow.
-_SETTLED = "ɐ"
-_PUNCTUATION = ".,;:!?"
+#: New words that are encoded as one text.
+TOGETHER = 60
 
 
 def byte_letters() -> list[str]:
@@ -72,13 +71,14 @@ class Encoder:
             and not pre.get("add_prefix_space", True)
             and not any(" " in s for s in self.special)
         )
-        self._model = self.tokenizer.model
-        self._map = {b: c for b, c in enumerate(byte_letters())}
-        self._pattern = regex.compile(PRE_TOKEN)
+        names = self.tokenizer.get_vocab(with_added_tokens=True)
+        self._blank = np.zeros(max(names.values()) + 1, bool)
+        self._blank[[i for name, i in names.items() if name.startswith(byte_letters()[0x20])]] = True
         self._forget()
 
     def _forget(self) -> None:
-        self._words, self._heads, self._pieces = _Memo(), {}, {}
+        self._words, self._heads = _Memo(), {}
+        self._count = 0
         self._flat = np.zeros(1 << 16, np.uint32)
         self._start, self._length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
         self._used = 0
@@ -86,36 +86,27 @@ class Encoder:
     def plain(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _piece(self, piece: str) -> tuple[int, ...]:
-        ids = self._pieces.get(piece)
-        if ids is None:
-            letters = piece.encode().decode("latin-1").translate(self._map)
-            ids = self._pieces[piece] = tuple(t.id for t in self._model.tokenize(letters))
-        return ids
-
-    def _ids(self, word: str, blank: str) -> tuple[int, ...] | None:
-        """Ids of a blank and a word; None where words may not be cut so."""
-        if not word or word[0].isspace() or (("<" in word or len(self.special) > 1) and any(s in word for s in self.special)):
-            return None if blank or word else ()
-        if word.isalpha() and max(word) < _SETTLED:
-            return self._piece(blank + word)
-        core = word.rstrip(_PUNCTUATION)
-        if core != word and core.isalpha() and max(core) < _SETTLED:
-            return self._piece(blank + core) + self._piece(word[len(core) :])
-        if max(word) < _SETTLED:
-            ids: tuple[int, ...] = ()
-            for piece in self._pattern.findall(blank + word):
-                ids += self._piece(piece)
-            return ids
-        return tuple(self.plain([blank + word])[0])
-
-    def _learn(self, words: list[tuple[str, str]]) -> None:
-        """Store the ids of (blank, word) pairs; a length of -1 marks a word that can't be cut."""
+    def _whole(self, word: str) -> bool:
+        """Whether a text may be cut before a blank and this word, and behind it."""
+        return bool(word) and not word[0].isspace() and not any(s in word for s in self.special)
+
+    def _learn(self, words: list[str]) -> None:
+        """Store the ids of words with a blank before them; a length of -1 marks one that can't be cut.
+
+        Many words are encoded as one text, each of them being a part that may be
+        cut, and told apart by the ids that begin with a blank.
+        """
         if not words:
             return
-        found = [self._ids(w, b) for b, w in words]
-        lengths = np.array([-1 if f is None else len(f) for f in found], np.int64)
-        ids = np.array([i for f in found if f for i in f], np.uint32)
+        sound = np.fromiter(map(self._whole, words), bool, len(words))
+        good = [w for w, ok in zip(words, sound.tolist(), strict=True) if ok]
+        texts = [" " + " ".join(good[i : i + TOGETHER]) for i in range(0, len(good), TOGETHER)]
+        ids = np.array([i for own in self.plain(texts) for i in own], np.uint32)
+        begins = np.flatnonzero(self._blank[ids]) if len(ids) else np.zeros(0, np.int64)
+        if len(begins) != len(good):
+            raise AssertionError("a word gave none or several ids that begin with a blank")
+        lengths = np.full(len(words), -1, np.int64)
+        lengths[sound] = np.diff(np.append(begins, len(ids)))
         n, first = len(words), self._count
         while first + n > len(self._start):
             self._start, self._length = (np.concatenate((x, np.zeros_like(x))) for x in (self._start, self._length))
@@ -144,8 +135,7 @@ class Encoder:
         words = self._words
         codes = np.fromiter(map(words.__getitem__, flat), np.int64, len(flat))
         new, words.pending = words.pending, []
-        self._count = len(words) - len(new)
-        self._learn([(" ", w) for w in new])
+        self._learn(new)
         lengths, starts = self._length[codes], self._start[codes]
         first = [self._head(h) for h in heads]
         lengths[at[:-1]] = [-1 if f is None else 0 for f in first]
@@ -167,11 +157,12 @@ class Encoder:
         return _join(parts)
 
     def _head(self, word: str) -> np.ndarray | None:
+        """Ids of a text's first word, which has no blank before it; None where the text can't be cut behind it."""
         if word not in self._heads:
             if len(self._heads) > REMEMBERED // 10:
                 self._heads.clear()
-            ids = self._ids(word, "")
-            self._heads[word] = None if ids is None else np.array(ids, np.uint32)
+            ids = np.array(self.plain([word])[0], np.uint32) if self._whole(word) else None
+            self._heads[word] = np.zeros(0, np.uint32) if not word else ids
         return self._heads[word]
 
 
@@ -186,7 +177,7 @@ class Decoder:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer: Tokenizer | None = Tokenizer.from_file(path)
         self.byte_level = (spec.get("decoder") or {}).get("type") == "ByteLevel"
         if not self.byte_level:
             return
@@ -199,6 +190,7 @@ class Decoder:
         self._length = np.array([len(r) for r in raw], np.int64)
         self._start = np.cumsum(self._length) - self._length
         self._flat = np.frombuffer(b"".join(raw), np.uint8)
+        self.tokenizer = None  # tables are enough, and the library's take much more memory
 
     def bytes_of(self, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bytes of all texts, one after another, and where each text's begin."""
