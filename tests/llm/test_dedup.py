@@ -180,6 +180,29 @@ def test_lines_of_odd_tables(spark, odd, empty, wide):
     assert lines.judge(empty).count() == 0 and lines.drop_repeats(empty).count() == 0
 
 
+def test_lines_of_texts_that_share_an_id(spark):
+    """Texts without an id, and of one id, of different lengths: a repeat in one takes no line out of another."""
+    line = "The quick brown fox jumps over the lazy dog again and again"
+    longer = "\n".join(["a line of the longer text", "another one of its own", line, "its fourth line", line + "s", "its last line"])
+    rows = []
+    for i in (None, 5):
+        x = f" of {i}"
+        rows += [(i, line), (i, "short and unique" + x), (i, longer.replace(" its", f" its{x}")), (i, f"first{x}\nsecond{x}\n{x} third, alone")]
+    docs = spark.createDataFrame(rows, DOCS)
+    shuffled = docs.repartition(1).sortWithinPartitions(F.length("text"))
+    got = sorted((r["doc_id"] or 0, r["text"]) for r in lines.drop_repeats(shuffled).collect())
+    want = []
+    for i in (None, 5):
+        x = f" of {i}"
+        kept = longer.replace(" its", f" its{x}").split("\n")
+        kept = [y for n, y in enumerate(kept) if n not in (2, 4) and not (i and n in (0, 3, 5))]
+        want += [(i or 0, "" if i else line), (i or 0, "short and unique" + x), (i or 0, "\n".join(kept)), (i or 0, f"first{x}\nsecond{x}\n{x} third, alone")]
+    assert got == sorted(want)
+    judged = lines.judge(docs)
+    assert judged.columns == ["doc_id", "line_no", "kept", "keeper_doc_id", "keeper_line_no", "distance"]
+    assert judged.count() == sum(len(t.split("\n")) for _, t in rows)
+
+
 # neighbours
 
 VECTORS = "vec_id bigint, embedding array<float>, label int"

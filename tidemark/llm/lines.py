@@ -2,6 +2,8 @@
 
 A line goes if an earlier line of the corpus, by (doc_id, line number), is equal
 or at most one edit (insertion, deletion or substitution of a character) away.
+Texts that share an id, or have none, are told apart by a 64-bit digest, which
+also orders their lines of one number.
 
 1.  One pass gives each line a 128-bit digest; equal lines become one, held by
     the earliest.
@@ -97,11 +99,11 @@ def _halves(t: _Text, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.stack(keys, axis=1).view(np.int64)
 
 
-_LINES = "doc_id bigint, line_no bigint, a bigint, b bigint, halves array<bigint>"
+_LINES = "doc_id bigint, row bigint, line_no bigint, a bigint, b bigint, halves array<bigint>"
 
 
 def _list_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("doc_id", pa.int64()), ("line_no", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("halves", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("line_no", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("halves", pa.list_(pa.int64()))])
     for batch in batches:
         for first, end, data, offsets in kernels.text_slices(batch.column("text")):
             t = _Text(data, offsets)
@@ -112,16 +114,16 @@ def _list_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cuts = np.concatenate((np.zeros(1, np.int64), np.cumsum(np.where(long, 4, 0))))
             halves = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(_halves(t, begin[long], stop[long]).reshape(-1)))
             digests = [pa.array(mix(t.span(begin, stop, i) ^ _tag(0, n)).view(np.int64)) for i in (0, 1)]
-            ids = batch.column("doc_id").slice(first, end - first).cast(pa.int64()).take(pa.array(t.doc[judged]))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(t.number[judged]), *digests, halves], schema=schema)
+            ids, keys = (batch.column(c).slice(first, end - first).take(pa.array(t.doc[judged])) for c in ("doc_id", "row"))
+            yield pa.RecordBatch.from_arrays([ids, keys, pa.array(t.number[judged]), *digests, halves], schema=schema)
 
 
-_VARIANTS = "doc_id bigint, line_no bigint, kind int, key bigint, proof int, line string"
+_VARIANTS = "doc_id bigint, row bigint, line_no bigint, kind int, key bigint, proof int, line string"
 
 
 def _list_variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (kind, key, proof) of the lines named in ``want`` (line number * 16 + bits of the shared sides)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("line_no", pa.int64()), ("kind", pa.int32()), ("key", pa.int64()), ("proof", pa.int32()), ("line", pa.string())])
+    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("line_no", pa.int64()), ("kind", pa.int32()), ("key", pa.int64()), ("proof", pa.int32()), ("line", pa.string())])
     for batch in batches:
         for first, end, data, offsets in kernels.text_slices(batch.column("text")):
             t = _Text(data, offsets)
@@ -132,16 +134,16 @@ def _list_variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 rows.append(firsts[i] + want // 16)
                 sides.append(want % 16)
             rows, sides = np.concatenate(rows), np.concatenate(sides)
-            ids = batch.column("doc_id").slice(first, end - first).cast(pa.int64())
+            names = [batch.column(c).slice(first, end - first) for c in ("doc_id", "row")]
             step = 0
             while step < len(rows):  # about a million variants at a time
                 size = np.cumsum(t.end[rows[step:]] - t.begin[rows[step:]])
                 upto = step + max(1, int(np.searchsorted(size, 1 << 19)))
-                yield _variants(t, rows[step:upto], sides[step:upto], ids, schema)
+                yield _variants(t, rows[step:upto], sides[step:upto], names, schema)
                 step = upto
 
 
-def _variants(t: _Text, rows: np.ndarray, sides: np.ndarray, ids: pa.Array, schema: pa.Schema) -> pa.RecordBatch:
+def _variants(t: _Text, rows: np.ndarray, sides: np.ndarray, names: list[pa.Array], schema: pa.Schema) -> pa.RecordBatch:
     begin, end = t.begin[rows], t.end[rows]
     n = end - begin
     half = n // 2
@@ -182,7 +184,12 @@ def _variants(t: _Text, rows: np.ndarray, sides: np.ndarray, ids: pa.Array, sche
     proof = pa.array((np.concatenate([*proofs, np.zeros(len(rows), np.uint64)]) >> _U(33)).astype(np.int32))
     text = pa.concat_arrays([pa.nulls(named, pa.string()), pa.array(texts, pa.string())])
     source = pa.array(t.doc[rows][row])
-    return pa.RecordBatch.from_arrays([ids.take(source), pa.array(t.number[rows][row]), pa.array(np.concatenate(kinds), pa.int32()), key, proof, text], schema=schema)
+    return pa.RecordBatch.from_arrays([*[x.take(source) for x in names], pa.array(t.number[rows][row]), pa.array(np.concatenate(kinds), pa.int32()), key, proof, text], schema=schema)
+
+
+def _row(text: str = "text"):
+    """The key of a row beside its id."""
+    return F.xxhash64(F.col(text).cast("string"))
 
 
 def judge(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
@@ -192,26 +199,30 @@ def judge(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     for a line that goes and null for one that stays; the keeper is the earliest
     line one edit away if that is earlier than all equal lines, or else the
     earliest equal line.  A null text has no lines; a null id counts as the smallest.
-    Repeated rows share an id and its line numbers: their lines stay or go
-    together.  An id stands for one text: of rows that share an id but not the text,
-    lines with one number may be judged as one.  An empty table gives an empty
-    result.
+    Rows that share both id and text have the same lines, which stay or go
+    together; rows that share an id but not the text are judged each by its own lines.
+    An empty table gives an empty result.
     """
+    return _judge_rows(docs, scratch).drop("row")
+
+
+def _judge_rows(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """What :func:`judge` gives, and ``row``, which tells texts of one id apart."""
     scratch = scratch or Scratch(docs.sparkSession, "lines")
-    texts = docs.selectExpr("cast(doc_id as bigint) as doc_id", "cast(text as string) as text").where("text is not null")
+    texts = docs.selectExpr("cast(doc_id as bigint) as doc_id", "cast(text as string) as text").where("text is not null").select("doc_id", _row().alias("row"), "text")
     lines = scratch.keep(texts.mapInArrow(_list_lines, _LINES), "lines")
-    order = F.struct("doc_id", "line_no")
+    order = F.struct("doc_id", "line_no", "row")
     distinct = lines.groupBy("a", "b").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n"), F.first("halves").alias("halves"))
     distinct = scratch.keep(distinct, "distinct")
 
-    posts = distinct.select(F.col("first.doc_id"), F.col("first.line_no"), F.posexplode("halves").alias("side", "half"))
+    posts = distinct.select("first.doc_id", "first.row", "first.line_no", F.posexplode("halves").alias("side", "half"))
     shared = posts.groupBy("half").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("half")
-    open_ = posts.join(shared, "half", "left_semi").groupBy("doc_id", "line_no").agg(F.bit_or(F.expr("1L << side")).alias("sides"))
-    want = open_.groupBy(F.col("doc_id").alias("_doc")).agg(F.sort_array(F.collect_list(F.expr("line_no * 16 + sides"))).alias("want"))
-    asked = texts.join(want, F.col("doc_id").eqNullSafe(F.col("_doc"))).select("doc_id", "text", "want")
+    open_ = posts.join(shared, "half", "left_semi").groupBy("doc_id", "row", "line_no").agg(F.bit_or(F.expr("1L << side")).alias("sides"))
+    want = open_.groupBy(F.col("doc_id").alias("_doc"), F.col("row").alias("_row")).agg(F.sort_array(F.collect_list(F.expr("line_no * 16 + sides"))).alias("want"))
+    asked = texts.join(want, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("row") == F.col("_row"))).select("doc_id", "row", "text", "want")
     emitted = scratch.keep(asked.mapInArrow(_list_variants, _VARIANTS), "variants")
 
-    variants = emitted.where(f"kind <> {TEXT}").select("key", "proof", "kind", "doc_id", "line_no")
+    variants = emitted.where(f"kind <> {TEXT}").select("key", "proof", "kind", "doc_id", "row", "line_no")
     met = variants.groupBy("key", "proof").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("key", "proof")
     variants = scratch.keep(variants.join(met, ["key", "proof"], "left_semi"), "met")
     least = lambda kind: F.min(F.when(F.col("kind") == kind, order))
@@ -223,11 +234,12 @@ def judge(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     near = pairs.where(F.levenshtein("la", "lb", 1) == 1).groupBy(F.col("own").alias("first")).agg(F.min("with_").alias("near"))
 
     named = distinct.join(near, "first", "left").where("n > 1 or near is not null").select("a", "b", "first", "near")
-    out = lines.select("doc_id", "line_no", "a", "b").join(named, ["a", "b"], "left")
+    out = lines.select("doc_id", "row", "line_no", "a", "b").join(named, ["a", "b"], "left")
     equal = F.when(order != F.col("first"), F.col("first"))
     keeper = F.coalesce("near", equal)
     return out.select(
         "doc_id",
+        "row",
         "line_no",
         keeper.isNull().alias("kept"),
         F.coalesce(keeper, order)["doc_id"].alias("keeper_doc_id"),
@@ -258,8 +270,8 @@ def drop_repeats(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     A text that loses all its lines becomes empty; ``n_chars``, where it is a
     column, follows the text.
     """
-    doc, lost = (free_name(docs, x) for x in ("_doc", "_gone"))
-    gone = judge(docs, scratch=scratch).where("not kept").groupBy(F.col("doc_id").alias(doc)).agg(F.collect_set("line_no").alias(lost))
-    both = docs.join(gone, F.col("doc_id").eqNullSafe(F.col(doc)), "left").drop(doc)
+    doc, row, lost = (free_name(docs, x) for x in ("_doc", "_row", "_gone"))
+    gone = _judge_rows(docs, scratch=scratch).where("not kept").groupBy(F.col("doc_id").alias(doc), F.col("row").alias(row)).agg(F.collect_set("line_no").alias(lost))
+    both = docs.join(gone, F.col("doc_id").eqNullSafe(F.col(doc)) & (_row() == F.col(row)), "left").drop(doc, row)
     out = both.mapInArrow(_rebuild, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
