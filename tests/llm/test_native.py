@@ -178,3 +178,11 @@ def test_quality_of_odd_tables(spark, odd, empty, wide):
     stays = quality.keep_good(wide, labels)
     assert stays.columns == wide.columns and {r["doc_id"] for r in stays.collect()} == {i for i, k in kept if k} | {None}
     assert quality.judge(empty, labels).count() == 0 and quality.judge(odd, labels.limit(0)).count() == odd.count()
+
+
+def test_rejected_row_takes_no_other_of_its_id(spark):
+    good = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, good, "en"), (1, "too short", "en"), (1, None, "en"), (2, good, None), (2, "", None), (3, "one", "de"), (3, "one", "de")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([], "doc_id bigint, quality int")
+    assert sorted(tuple(r)[:2] for r in quality.keep_good(docs, labels).collect()) == [(1, good), (2, good)]

@@ -217,6 +217,15 @@ def test_mix_of_odd_tables(odd, empty, wide):
     assert out.where("doc_id is null").count() == 1 and mixing.repeat_rows(empty).count() == 0
 
 
+def test_rows_of_one_id_are_taken_as_the_mix_says(spark):
+    """One id for rows of several sources and lengths, some of them equal: words by source are those of the mix."""
+    rows = [(i % 3, " ".join(["w"] * (1 + i % 7)), "ab"[i % 2]) for i in range(90)] + [(5, "x y z", s) for s in "aaabbb"]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    want = [r["t"] for r in mixing.mix(docs).groupBy("target").agg(F.sum("taken").alias("t")).collect()]
+    got = [r["t"] for r in mixing.sizes(mixing.repeat_rows(docs)).groupBy("source").agg(F.sum("size").alias("t")).collect()]
+    assert len(want) == 2 and sorted(got) == sorted(want)
+
+
 # the pipeline
 
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.scratch import Scratch, free_name
@@ -30,10 +30,10 @@ DEALS = 1024
 BROADCAST_SOURCES = 10_000
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source and size (words) of every row; a null text has size 0."""
+def sizes(docs: DataFrame, *more: Column) -> DataFrame:
+    """doc_id, source, size (words) and ``more`` of every row; a null text has size 0."""
     words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    return docs.select("doc_id", "source", words.alias("size"))
+    return docs.select("doc_id", "source", words.alias("size"), *more)
 
 
 def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
@@ -111,7 +111,7 @@ def _fit_group(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"place": rows["place"], "size": rows["size"], "take": take})
 
 
-def mix(docs: DataFrame, seed: int = SEED, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP, scratch: Scratch | None = None) -> DataFrame:
+def mix(docs: DataFrame, seed: int = SEED, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP, scratch: Scratch | None = None, more: tuple[Column, ...] = ()) -> DataFrame:
     """doc_id, size, source_size, target, times, taken of every row of ``docs``.
 
     ``times`` says how often the mix takes the row.  Null texts have no words and
@@ -119,16 +119,17 @@ def mix(docs: DataFrame, seed: int = SEED, weights: tuple[int, ...] = WEIGHTS, s
     its own.  Rows with one id and equal rows are told apart by nothing: as many
     of them are taken as the budget wants.  The same rows and seed give the same
     mix.  A source's lengths are fitted in one task, from one row per distinct
-    length; its documents never meet in one task.
+    length; its documents never meet in one task.  ``more`` columns of ``docs`` come last.
     """
+    names = docs.select(*more).columns if more else []
     scratch = scratch or Scratch(docs.sparkSession, "mixing")
-    sized = scratch.keep(sizes(docs), "sizes")
+    sized = scratch.keep(sizes(docs, *more), "sizes")
     goals = scratch.keep(targets(sized, weights, share, cap).selectExpr("*", "coalesce(cast(floor(try_divide(target, source_size)) as int), 0) as passes"), "goals")
     goals = goals.withColumn("rest", F.floor(F.expr("target - passes * source_size")).cast("long"))
     near = F.broadcast(goals) if goals.count() <= BROADCAST_SOURCES else goals
     near = near.withColumnRenamed("source", "_source")
     dealt = F.xxhash64(F.lit(seed), "doc_id")
-    rows = sized.join(near, F.col("source").eqNullSafe(F.col("_source"))).select("doc_id", "size", "place", "source_size", "target", "passes", "rest", dealt.alias("h"), F.pmod(dealt, F.lit(DEALS)).cast("int").alias("deal"))
+    rows = sized.join(near, F.col("source").eqNullSafe(F.col("_source"))).select("doc_id", "size", "place", "source_size", "target", "passes", "rest", dealt.alias("h"), F.pmod(dealt, F.lit(DEALS)).cast("int").alias("deal"), *names)
 
     bylength = rows.where("rest > 0 and size > 0").groupBy("place", "size", "rest").agg(F.count(F.lit(1)).alias("n"))
     takes = bylength.groupBy("place").applyInPandas(_fit_group, "place int, size bigint, take bigint")
@@ -137,22 +138,38 @@ def mix(docs: DataFrame, seed: int = SEED, weights: tuple[int, ...] = WEIGHTS, s
     quota = deals.join(takes, ["place", "size"]).selectExpr("place", "size", "deal", "n", f"greatest(0, least(n, take - {before})) as quota")
     quota = scratch.keep(quota.where("quota > 0"), "quota")
     out = rows.join(quota, ["place", "size", "deal"], "left")
-    out = scratch.keep(out.select("doc_id", "size", "place", "source_size", "target", "passes", "deal", "h", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("quota", F.lit(0)).alias("quota")), "rows")
+    out = scratch.keep(out.select("doc_id", "size", "place", "source_size", "target", "passes", "deal", "h", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("quota", F.lit(0)).alias("quota"), *names), "rows")
     # Only the deal in which a length's quota ends is ranked.
     ranked = out.where("quota > 0 and quota < n").withColumn("more", F.expr("int(row_number() over (partition by place, size, deal order by h, doc_id) <= quota)"))
     whole = out.where("quota = 0 or quota = n").withColumn("more", F.expr("int(quota > 0)"))
     both = whole.unionByName(ranked).withColumn("times", F.col("passes") + F.col("more"))
-    return both.select("doc_id", "size", "source_size", "target", "times", (F.col("size") * F.col("times")).cast("long").alias("taken"))
+    return both.select("doc_id", "size", "source_size", "target", "times", (F.col("size") * F.col("times")).cast("long").alias("taken"), *names)
 
 
 def repeat_rows(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is taken, with all columns.
 
-    Rows that share an id are taken as often as the first of them by count; rows
-    with a null id are taken once.
+    Rows that share an id are told apart by a digest of their columns; of equal rows
+    as many are taken as the mix takes of them together.  Rows with a null id are
+    taken once.
     """
-    doc, n, copy = (free_name(docs, x) for x in ("_doc", "_times", "_copy"))
-    times = mix(docs, scratch=scratch).where("doc_id is not null").groupBy(F.col("doc_id").alias(doc)).agg(F.max("times").alias(n))
-    out = docs.join(times, F.col("doc_id") == F.col(doc), "left")
-    out = out.withColumn(copy, F.explode(F.expr(f"if(coalesce({n}, 1) < 1, array(), sequence(1, coalesce({n}, 1)))")))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    scratch = scratch or Scratch(docs.sparkSession, "mixing")
+    doc, row, n, copy = (free_name(docs, x) for x in ("_doc", "_row", "_times", "_copy"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    hashed = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    digest = F.xxhash64(*hashed, *[x.isNull() for x in hashed])
+    taken = mix(docs, scratch=scratch, more=(digest.alias("_digest"),)).where("doc_id is not null")
+    taken = taken.groupBy(F.col("doc_id").alias(doc), F.col("_digest").alias(row)).agg(F.sum("times").alias("t"), F.count(F.lit(1)).alias("c"))
+    taken = scratch.keep(taken, "times")
+    same = (F.col("doc_id") == F.col(doc)) & (digest == F.col(row))
+
+    def repeated(rows: DataFrame) -> DataFrame:
+        out = rows.withColumn(copy, F.explode(F.expr(f"if(coalesce({n}, 1) < 1, array(), sequence(1L, coalesce({n}, 1L)))")))
+        return out.select(*columns)
+
+    out = repeated(docs.join(taken.selectExpr(doc, row, f"t div c as {n}"), same, "left"))
+    # Of c equal rows t mod c are taken once more: one of them so many times.
+    rest = taken.where("t % c > 0").selectExpr(doc, row, f"t % c as {n}")
+    if rest.isEmpty():
+        return out
+    return out.unionAll(repeated(docs.join(rest, same).dropDuplicates([doc, row])))

@@ -15,7 +15,7 @@ labels to prove anything has no cutoff, and nothing in it is rejected by layer 2
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.scratch import Scratch, free_name
@@ -38,20 +38,22 @@ GRID = {
 BROADCAST_STRATA = 10_000
 
 
-def base_counts(docs: DataFrame) -> DataFrame:
+def base_counts(docs: DataFrame, *more: Column) -> DataFrame:
     """doc_id, stratum, n_words, n_lines and the base counts of each row.
 
     A null text counts as empty.  Rows are judged one by one: repeated rows and
-    null ids keep their rows.
+    null ids keep their rows.  ``more`` columns of ``docs`` go with their row.
     """
+    names = docs.select(*more).columns if more else []
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", F.col("lang").alias("stratum"), text.alias("t"))
+    rows = docs.select("doc_id", F.col("lang").alias("stratum"), text.alias("t"), *more)
     rows = rows.select(
         "doc_id",
         "stratum",
         F.regexp_extract_all("t", F.lit(WORD), F.lit(0)).alias("w"),
         F.regexp_count("t", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
+        *names,
     )
     rows = rows.select(
         "doc_id",
@@ -62,6 +64,7 @@ def base_counts(docs: DataFrame) -> DataFrame:
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.transform("w", lambda x: F.xxhash64(x)).alias("h"),
+        *names,
     )
     # Hashes of 2, 4 and then 8 words: each step joins a window with the one that follows it.
     step, span = rows, 1
@@ -127,28 +130,32 @@ def cutoffs(scores: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: f
     return chosen.groupBy("stratum").agg(*[F.min(F.when(F.expr(f"proved and rule = '{n}'"), F.col("cutoff"))).alias(f"max_{n}") for n in names])
 
 
-def judge(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, scratch: Scratch | None = None) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, scratch: Scratch | None = None, more: tuple[Column, ...] = ()) -> DataFrame:
     """doc_id, n_words, the base counts, base_failed, kept and the scores of every row.
 
     An empty table gives an empty result; without labels only the base layer
-    rejects.  Extra columns of either table are not looked at.
+    rejects.  Extra columns of either table are not looked at; ``more`` columns of
+    ``docs`` come last.
     """
     scratch = scratch or Scratch(docs.sparkSession, "quality")
-    scores = scratch.keep(scored(base_counts(docs)), "scores")
+    scores = scratch.keep(scored(base_counts(docs, *more)), "scores")
     table = scratch.keep(cutoffs(scores, labels, alpha, delta), "cutoffs")
     if table.count() <= BROADCAST_STRATA:
         table = F.broadcast(table)
     above = F.expr(" or ".join(f"coalesce({n} > max_{n}, false)" for n in GRID))
     table = table.withColumnRenamed("stratum", "_stratum")
     out = scores.join(table, F.col("stratum").eqNullSafe(F.col("_stratum")), "left")
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~above).alias("kept"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~above).alias("kept"), *(docs.select(*more).columns if more else []))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns.
 
-    A row goes if its id has a rejected row; rows with a null id stay.
+    The verdict depends on text and language alone, so a row goes if a rejected row
+    has its id and the digest of both; rows with a null id stay.
     """
-    name = free_name(docs, "_gone")
-    gone = judge(docs, labels, scratch=scratch).where("not kept").select(F.col("doc_id").alias(name))
-    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")
+    name, row = free_name(docs, "_gone"), "_row"
+    digest = F.xxhash64("lang", F.coalesce("text", F.lit("")))
+    gone = judge(docs, labels, scratch=scratch, more=(digest.alias(row),)).where("not kept").select(F.col("doc_id").alias(name), row)
+    gone = gone.withColumnRenamed(row, row := free_name(docs, row))
+    return docs.join(gone, (F.col("doc_id") == F.col(name)) & (digest == F.col(row)), "left_anti")
