@@ -89,29 +89,51 @@ def test_round_trip_query(spark, plain, odd, wide, empty, vocabulary):
 # the range coder
 
 
-@settings(max_examples=25, deadline=None)
-@given(st.lists(st.lists(st.one_of(st.integers(0, 3), st.integers(0, 65534)), max_size=150), max_size=5))
-def test_range_coder_round_trip(blocks):
-    blocks = [np.array(b, np.uint16) for b in blocks]
-    words = rangecoder.encode(blocks)
-    back = rangecoder.decode(words, np.array([len(b) for b in blocks], np.int64))
+def round_trip(blocks, lanes=2048):
+    prior, words = rangecoder.encode(blocks, lanes)
+    prior = rangecoder.Prior.from_bytes(prior.to_bytes())
+    back = rangecoder.decode(prior, words, np.array([len(b) for b in blocks], np.int64), lanes)
     assert all(np.array_equal(a, b) for a, b in zip(blocks, back, strict=True))
+    return words
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.lists(st.one_of(st.integers(0, 3), st.integers(0, 2**32 - 1)), max_size=150), max_size=5), st.integers(1, 3))
+def test_range_coder_round_trip(blocks, lanes):
+    round_trip([np.array(b, np.uint32) for b in blocks], lanes)
+
+
+def test_range_coder_takes_large_alphabets():
+    rng = np.random.default_rng(6)
+    round_trip([rng.permutation(300_000)[i : i + 1024].astype(np.uint32) for i in range(0, 300_000, 1024)])
 
 
 def test_range_coder_learns():
     rng = np.random.default_rng(2)
     phrase = rng.integers(0, 50_000, 40)
-    repeated, noise = np.tile(phrase, 100).astype(np.uint16), rng.integers(0, 50_000, 4000).astype(np.uint16)
-    few = (rng.geometric(0.02, 4000) % 65535).astype(np.uint16)
-    a, b, c = map(len, rangecoder.encode([repeated, noise, few]))
-    assert a < 0.12 * 4000 < 0.6 * 4000 > c and b < 1.08 * 4000
+    repeated, noise = np.tile(phrase, 100).astype(np.uint32), rng.integers(0, 50_000, 4000).astype(np.uint32)
+    few = (rng.geometric(0.02, 4000) % 65535).astype(np.uint32)
+    a, b, c = (2 * len(round_trip([x])[0]) for x in (repeated, noise, few))  # 16-bit words
+    assert a < 0.08 * 4000 and c < 0.55 * 4000 and b < 0.9 * 4000
+
+
+def test_range_coder_beats_a_dictionary_coder(vocabulary, spark):
+    """On the given documents, block by block: fewer bits an id than zlib at its best, prior included."""
+    texts = [r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    ids, _ = encoder(vocabulary).encode(texts)
+    blocks = [ids[i : i + token_files.BLOCK] for i in range(0, len(ids), token_files.BLOCK)]
+    prior, words = rangecoder.encode(blocks)
+    own = 4 * sum(map(len, words)) + len(prior.to_bytes())
+    assert own < 0.85 * sum(len(zlib.compress(b.astype(np.uint16).tobytes(), 9)) for b in blocks)
 
 
 def test_blocks_are_coded_alone():
+    """A block's words follow from the prior and the block."""
     rng = np.random.default_rng(4)
-    blocks = [rng.integers(0, 300, n).astype(np.uint16) for n in (500, 70, 500)]
-    together = rangecoder.encode(blocks)
-    assert all(np.array_equal(rangecoder.encode([b])[0], w) for b, w in zip(blocks, together, strict=True))
+    blocks = [rng.integers(0, 300, n).astype(np.uint32) for n in (500, 70, 500)]
+    prior, together = rangecoder.encode(blocks)
+    assert all(np.array_equal(rangecoder.Blocks([b], prior).words()[0], w) for b, w in zip(blocks, together, strict=True))
+    assert all(np.array_equal(rangecoder.decode(prior, [w], np.array([len(b)]))[0], b) for b, w in zip(blocks, together, strict=True))
 
 
 def test_files(spark, plain, odd, wide, empty, vocabulary, tmp_path):
@@ -131,18 +153,44 @@ def test_files(spark, plain, odd, wide, empty, vocabulary, tmp_path):
 
 def test_damage_is_found():
     segment = token_files.Segment(5)
-    segment.add(3, np.arange(5000, dtype=np.uint16))
-    segment.add(None, np.array([2], np.uint16))
-    payload = token_files.pack([segment])[0]
-    back = token_files.unpack([payload])[0]
-    assert (back.before, back.doc_ids, [len(i) for i in back.ids]) == (5, [3, None], [5000, 1])
-    broken = bytearray(payload)
-    broken[len(broken) // 2] ^= 1
-    with pytest.raises(token_files.CorruptFile):
-        token_files.unpack([bytes(broken)])
-    body = bytes(broken[:-4])
-    with pytest.raises(token_files.CorruptFile, match="block"):
-        token_files.unpack([body + zlib.crc32(body).to_bytes(4, "little")])
+    segment.add([3, None], [5000, 1], np.append(np.arange(5000), 2**32 - 1).astype(np.uint32))
+    payload = token_files.pack(segment)
+    back = token_files.unpack(payload)
+    assert (back.before, back.doc_ids, back.sizes) == (5, [3, None], [5000, 1]) and back.flat().tolist() == segment.flat().tolist()
+    for at in (len(payload) // 2, len(payload) - 400, 170):
+        broken = bytearray(payload)
+        broken[at] ^= 1
+        with pytest.raises(token_files.CorruptFile):
+            token_files.unpack(bytes(broken))
+        body = bytes(broken[:-4])
+        with pytest.raises(token_files.CorruptFile):
+            token_files.unpack(body + zlib.crc32(body).to_bytes(4, "little"))
+
+
+def test_ids_of_any_size(spark, tmp_path, vocabulary):
+    """An end id above 16 bits comes back whole; one above 32 bits is refused."""
+    docs = spark.createDataFrame([(1, "some words"), (2, None)], "doc_id bigint, text string")
+    token_files.write(docs, str(tmp_path / "w"), vocabulary, end_id=70_000)
+    ends = [np.frombuffer(r["ids"], "<u4")[-1] for r in token_files.read(spark, str(tmp_path / "w")).collect()]
+    assert ends == [70_000, 70_000]
+    with pytest.raises(ValueError):
+        token_files.write(docs, str(tmp_path / "x"), vocabulary, end_id=1 << 32)
+
+
+def test_long_text_is_coded_in_parts(plain, vocabulary, monkeypatch):
+    """A text of many pieces has the ids of the whole text."""
+    from tidemark.llm import tokens
+
+    rng = np.random.default_rng(9)
+    words = ["".join(rng.choice(list("abcdeé 日"), rng.integers(1, 9))) for _ in range(500)]
+    text = "".join(rng.choice(words) + str(rng.choice([" ", "  ", ". ", ".\n", "\n\n", "!"])) for _ in range(20_000))
+    whole = ids_of(plain, text)
+    monkeypatch.setattr(tokens, "PIECE", 5000)
+    monkeypatch.setattr(bpe, "PIECE", 5000)
+    raw = np.frombuffer(text.encode(), np.uint8)
+    assert encoder(vocabulary).encode([text, "a", ""])[0].tolist() == whole + ids_of(plain, "a")
+    ids, at = bpe.coder(vocabulary).encode(raw, np.array([0, 0, len(raw)]))
+    assert ids.tolist() == whole and at.tolist() == [0, 0, len(whole)]
 
 
 def test_token_files_query(spark, plain):

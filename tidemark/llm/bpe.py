@@ -3,12 +3,14 @@
 A rolling hash over the last 32 bytes cuts texts where it has nine set low bits,
 so the same passage in two documents is cut at the same places whatever stands
 before it.  A worker keeps the ids of the chunks it has met and encodes a new
-chunk only.  Ids near the joins of chunks are not those of the whole text;
-each join is repaired: the text from the last safe cut of the chunk before to
-the first safe cut of the chunk after (further if a chunk has none) is encoded
-again, where a safe cut is one before which and after which ids are the same as
-in the whole text (see :mod:`tidemark.llm.tokens`).  At last the ids are decoded
-and must give the bytes of the text; a text that fails is encoded whole.
+chunk only, from its first to its last safe cut (see :func:`tidemark.llm.tokens.cuts`).
+
+The join of two chunks is repaired: the text between the last safe cut of one and
+the first of the next is encoded again by the library as it is, together with the
+parts next to it on both sides, whose ids both chunks know already.  They must
+agree, id for id; if they don't, the join is widened by a part on each side and
+encoded again until they do, or until the chunks are used up and the text is
+encoded whole.  At last the ids are decoded and must give the bytes of the text.
 """
 
 from __future__ import annotations
@@ -21,19 +23,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tidemark.llm import kernels
-from tidemark.llm.tokens import Decoder, Encoder, decoder, encoder
+from tidemark.llm.tokens import PIECE, Decoder, Encoder, cuts, decoder, encoder, pieces_of
 
 #: A cut where these bits of the rolling hash are set: chunks of 512 bytes on average.
 CUT = np.uint32(0x1FF << 23)
-#: Chunks a worker remembers before it starts over; about 600 bytes each.
+#: Chunks, and joins, a worker remembers before it starts over; about 600 bytes each.
 REMEMBERED = 60_000
+#: Joins of more bytes are not remembered.
+LONG_JOIN = 1024
 
 _GEAR = np.random.Generator(np.random.PCG64(32)).integers(0, 1 << 32, 256, dtype=np.uint32)
-#: Bytes after a blank before which a text may be cut: neither white space nor the lead of a white-space character.
-_SAFE_NEXT = np.ones(256, bool)
-_SAFE_NEXT[:0x21] = False
-_SAFE_NEXT[[0xC2, 0xE1, 0xE2, 0xE3]] = False
-
 SCHEMA = "doc_id bigint, ids binary, decoded string"
 
 
@@ -49,88 +48,136 @@ def chunk_ends(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate((ends, offsets[1:])))
 
 
+def _window(left: tuple | None, right: tuple | None, reach: int, cut: list[int], begin: int, end: int) -> tuple[int, int]:
+    """The join of two chunks (first and last safe cut, ids) of a text, with ``reach`` parts of either."""
+    a = begin if left is None else cut[max(left[1] - reach, left[0])]
+    b = end if right is None else cut[min(right[0] + reach, right[1])]
+    return a, b
+
+
 class ChunkCoder:
     """Ids of texts, chunk by chunk; one per worker process."""
 
     def __init__(self, enc: Encoder, dec: Decoder):
         self.enc, self.dec = enc, dec
         self._ids: dict[bytes, np.ndarray] = {}
-        self._kind = np.uint16 if enc.tokenizer.get_vocab_size(with_added_tokens=True) <= 65536 else np.uint32
-        self.encoded = self.reused = 0
+        self._joins: dict[bytes, np.ndarray] = {}
+        self._kind = np.uint16 if enc.top < 65536 else np.uint32
+        self.encoded = self.reused = self.widened = 0
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts in ``data`` and where each text's begin."""
-        if not self.enc.by_word:
-            raw = data.tobytes()
-            return self._whole([raw[a:b].decode() for a, b in zip(offsets[:-1], offsets[1:], strict=True)])
-        if len(self._ids) > REMEMBERED:
-            self._ids.clear()
+        """All ids of the texts in ``data`` and where each text's begin; long texts go piece by piece."""
+        raw = data.tobytes()
+        if not self.enc.by_unit or any(s in raw for s in self.enc.special):
+            return self.enc.encode_bytes(data, offsets)
+        if len(data) <= 2 * PIECE:
+            return self._encode(data, offsets)
+        parts = []
+        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            pieces = [self._encode(p, np.array([0, len(p)]))[0] for p in pieces_of(data[a:b])]
+            parts.append(np.concatenate(pieces) if pieces else np.zeros(0, np.uint32))
+        return np.concatenate(parts), np.cumsum([0, *map(len, parts)])
+
+    def _encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        for memory in (self._ids, self._joins):
+            if len(memory) > REMEMBERED:
+                memory.clear()
         raw = data.tobytes()
         ends = chunk_ends(data, offsets)
         begins = np.concatenate((np.zeros(1, np.int64), ends[:-1]))
-        safe = np.flatnonzero((data[:-1] == 0x20) & _SAFE_NEXT[data[1:]]) if len(data) > 1 else np.zeros(0, np.int64)
-        lo, hi = np.searchsorted(safe, begins), np.searchsorted(safe, ends - 1)
-        has = hi > lo
-        first = np.where(has, safe[np.minimum(lo, max(len(safe) - 1, 0))] if len(safe) else 0, 0)
-        last = np.where(has, safe[np.maximum(hi - 1, 0)] if len(safe) else 0, 0)
+        inside = np.zeros(len(data) + 1, bool)
+        inside[cuts(data)] = True
+        inside[offsets[1:] - 1] = False  # what follows a text's last blank is not its own
+        inside[offsets] = inside[ends] = False
+        safe = np.flatnonzero(inside)
+        lo, hi = np.searchsorted(safe, begins, "right"), np.searchsorted(safe, ends)
         doc = np.searchsorted(offsets, begins, "right") - 1
-        parts: list[np.ndarray | None] = []
-        new: dict[bytes, tuple[list[int], str]] = {}
-        glue: list[tuple[int, str]] = []
-        bounds = np.zeros(len(offsets), np.int64)
-        at, now = 0, -1
-        for b, e, f, t, ok, d in zip(begins.tolist(), ends.tolist(), first.tolist(), last.tolist(), has.tolist(), doc.tolist(), strict=True):
-            if d != now:
-                self._join(raw[at:b], parts, glue)
-                bounds[now + 1 : d + 1] = len(parts)
-                at, now = b, d
-            if not ok:
-                continue  # the join goes on through a chunk without a safe cut
-            self._join(raw[at:f], parts, glue)
-            key = blake2b(raw[b:e], digest_size=16).digest()
-            ids = self._ids.get(key)
-            if ids is None:
-                new.setdefault(key, ([], raw[f:t].decode()))[0].append(len(parts))
-                self.reused += len(new[key][0]) > 1
-            else:
-                self.reused += 1
-            parts.append(ids)
-            at = t
-        self._join(raw[at:], parts, glue)
-        bounds[now + 1 :] = len(parts)
+        # Chunks with two parts between safe cuts, one for either join: (text, first and last place in safe, digest).
+        whole = np.flatnonzero(hi - lo >= 3)
+        chunks = [(d, f, t - 1, blake2b(raw[b:e], digest_size=16).digest()) for d, f, t, b, e in zip(doc[whole].tolist(), lo[whole].tolist(), hi[whole].tolist(), begins[whole].tolist(), ends[whole].tolist(), strict=True)]
+        cut = safe.tolist()
+        new = {key: raw[cut[f] : cut[t]] for _, f, t, key in chunks if key not in self._ids}
+        ids, at = self.enc.encode_bytes(np.frombuffer(b"".join(new.values()), np.uint8), np.cumsum([0, *map(len, new.values())]))
+        self._ids |= {key: ids[a:b].astype(self._kind) for key, a, b in zip(new, at[:-1].tolist(), at[1:].tolist(), strict=True)}
         self.encoded += len(new)
-        texts = [text for _, text in new.values()] + [text for _, text in glue]
-        ids, where = self.enc.encode(texts)
-        for i, (key, (places, _)) in enumerate(new.items()):
-            self._ids[key] = own = ids[where[i] : where[i + 1]].astype(self._kind)
-            for place in places:
-                parts[place] = own
-        for i, (place, _) in enumerate(glue, len(new)):
-            parts[place] = ids[where[i] : where[i + 1]]
-        sizes = np.concatenate((np.zeros(1, np.int64), np.cumsum([len(p) for p in parts], dtype=np.int64)))
-        out, cut = (np.concatenate(parts).astype(np.uint32) if parts else np.zeros(0, np.uint32)), sizes[bounds]
-        return self._checked(raw, offsets, out, cut)
-
-    def _join(self, raw: bytes, parts: list, glue: list) -> None:
-        if raw:
-            glue.append((len(parts), raw.decode()))
-            parts.append(None)
+        self.reused += len(chunks) - len(new)
+        parts: list[np.ndarray] = []
+        bounds = np.zeros(len(offsets), np.int64)
+        limits = offsets.tolist()
+        owned: list[list[tuple[int, int, np.ndarray]]] = [[] for _ in limits[1:]]
+        for d, f, t, key in chunks:
+            owned[d].append((f, t, self._ids[key]))
+        self._join_all([raw[a:b] for d, own in enumerate(owned) for left, right in zip([None, *own], [*own, None], strict=True) for a, b in [_window(left, right, 1, cut, limits[d], limits[d + 1])]])
+        for d, own in enumerate(owned):
+            own = self._joined(raw, limits[d], limits[d + 1], cut, own)
+            parts += own
+            bounds[d + 1] = bounds[d] + sum(map(len, own))
+        out = np.concatenate(parts).astype(np.uint32) if parts else np.zeros(0, np.uint32)
+        return self._checked(raw, offsets, out, bounds)
+
+    def _joined(self, raw: bytes, begin: int, end: int, cut: list[int], chunks: list[tuple[int, int, np.ndarray]]) -> list[np.ndarray]:
+        """Ids of one text, part by part: its joins and what its chunks (first and last safe cut, ids) have between them."""
+        out: list[np.ndarray] = []
+        skip = 0  # ids of the present chunk that the join before it has given
+        for left, right in zip([None, *chunks], [*chunks, None], strict=True):
+            reach = 1
+            while True:
+                # The join, with ``reach`` parts of either chunk that both sides know.
+                a, b = _window(left, right, reach, cut, begin, end)
+                ids = self._join(raw[a:b])
+                known_left = 0 if left is None else self._agree(left[2], ids, cut[left[1]] - a, True)
+                known_right = 0 if right is None else self._agree(right[2], ids, b - cut[right[0]], False)
+                if known_left is not None and known_right is not None:
+                    break
+                if (left is None or a == cut[left[0]]) and (right is None or b == cut[right[1]]):
+                    return self._plain(raw[begin:end])
+                reach *= 2
+                self.widened += 1
+            if left is not None:
+                if len(left[2]) - known_left < skip:
+                    return self._plain(raw[begin:end])
+                out.append(left[2][skip : len(left[2]) - known_left])
+            out.append(ids)
+            skip = known_right
+        return out
+
+    def _plain(self, raw: bytes) -> list[np.ndarray]:
+        return [np.array(self.enc.plain([raw.decode()])[0], np.uint32)]
+
+    def _join_all(self, joins: list[bytes]) -> None:
+        """Encode all joins that are not remembered in one call."""
+        new = [j for j in dict.fromkeys(joins) if j not in self._joins and len(j) <= LONG_JOIN]
+        self._joins |= {j: np.array(i, self._kind) for j, i in zip(new, self.enc.plain([j.decode() for j in new]), strict=True)}
+
+    def _join(self, raw: bytes) -> np.ndarray:
+        return self._joins[raw] if raw in self._joins else np.array(self.enc.plain([raw.decode()])[0], self._kind)
+
+    def _agree(self, chunk: np.ndarray, join: np.ndarray, size: int, left: bool) -> int | None:
+        """How many ids of a chunk a join has too, over ``size`` bytes at the chunk's end or begin; None where they differ."""
+        lengths = self.enc.lengths
+        covered, n = 0, 0
+        while covered < size and n < len(chunk):
+            n += 1
+            covered += int(lengths[chunk[-n if left else n - 1]])
+        if covered != size or n > len(join):
+            return None
+        same = np.array_equal(chunk[len(chunk) - n :], join[:n]) if left else np.array_equal(chunk[:n], join[len(join) - n :])
+        return n if same else None
 
     def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids = [np.array(i, np.uint32) for i in self.enc.plain(texts)]
         return (np.concatenate(ids) if ids else np.zeros(0, np.uint32)), np.cumsum([0, *map(len, ids)])
 
     def _checked(self, raw: bytes, offsets: np.ndarray, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids, those of texts that don't decode to their bytes, or that hold a special token, encoded whole."""
-        special = [s.encode() for s in self.enc.special]
+        """The ids, those of texts that don't decode to their bytes encoded whole."""
         back, cut = self.dec.bytes_of(ids, at)
-        if back.tobytes() == raw and not any(s in raw for s in special):
+        if back.tobytes() == raw:
             return ids, at
         parts = []
         decoded = back.tobytes()
         for i in range(len(at) - 1):
             own = raw[offsets[i] : offsets[i + 1]]
-            if decoded[cut[i] : cut[i + 1]] == own and not any(s in own for s in special):
+            if decoded[cut[i] : cut[i + 1]] == own:
                 parts.append(ids[at[i] : at[i + 1]])
             else:
                 parts.append(self._whole([own.decode()])[0])

@@ -7,15 +7,18 @@ whole documents in ascending order, so any segment can be read alone.
 Payload, all numbers little-endian:
 
     4 bytes  b"TMTK"
-    u32 x 3  version (1), documents, blocks
+    u32 x 4  version (2), documents, blocks, bytes of the prior
     u64      ids of the part before this segment
     i64 each doc_id (0 if null);  u8 each: 1 if it is null;  u32 each: number of ids
     u32 x 3  of each block: ids, words, CRC-32 of its ids as u32
-    u16 each the words of all blocks
+    bytes    the prior: ids of the segment, their frequencies, first weights
+    u32 each the words of all blocks
     u32      CRC-32 of all that
 
-Each block of up to ``BLOCK`` ids has a coder and models of its own, reset at its
-start.  The blocks of many segments are coded side by side.
+Each block of up to ``BLOCK`` ids has a coder and adaptive models of its own, which
+start from the segment's prior and nothing else; ids may be any below 2**32.  The
+blocks of a segment are coded side by side, ``LANES`` at a time, so a document of
+any length takes its ids and payload and no more than that many coders.
 """
 
 from __future__ import annotations
@@ -34,11 +37,11 @@ from tidemark.llm import kernels, rangecoder
 from tidemark.llm.scratch import Scratch
 from tidemark.llm.tokens import encoder
 
-MAGIC, VERSION = b"TMTK", 1
-BLOCK = 4096
-#: Ids after which a segment ends with the document that reaches them.
-SEGMENT = 1 << 16
-#: Blocks that are coded side by side at most, unless one segment has more.
+MAGIC, VERSION = b"TMTK", 2
+BLOCK = 1024
+#: Ids after which a segment ends, with the slice of documents that reaches them.
+SEGMENT = 1 << 21
+#: Blocks that are coded side by side at most.
 LANES = 2048
 #: Parts up to which their table is broadcast; beyond, it is joined.
 BROADCAST_PARTS = 100_000
@@ -57,80 +60,68 @@ class Segment:
     def __init__(self, before: int):
         self.before = before
         self.doc_ids: list[int | None] = []
+        self.sizes: list[int] = []
         self.ids: list[np.ndarray] = []
         self.total = 0
 
-    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        self.doc_ids.append(doc_id)
+    def add(self, doc_ids: list[int | None], sizes: list[int], ids: np.ndarray) -> None:
+        """Documents and their ids, one document after another."""
+        self.doc_ids += doc_ids
+        self.sizes += sizes
         self.ids.append(ids)
         self.total += len(ids)
 
-    def blocks(self) -> list[np.ndarray]:
-        flat = np.concatenate(self.ids) if self.ids else np.zeros(0, np.uint32)
-        return [flat[i : i + BLOCK] for i in range(0, len(flat), BLOCK)]
-
-
-def pack(segments: list[Segment]) -> list[bytes]:
-    """Payloads of segments, all their blocks coded at once."""
-    blocks = [s.blocks() for s in segments]
-    words = iter(rangecoder.encode([b for own in blocks for b in own]))
-    out = []
-    for segment, own in zip(segments, blocks, strict=True):
-        coded = [next(words) for _ in own]
-        table = [x for b, w in zip(own, coded, strict=True) for x in (len(b), len(w), zlib.crc32(b.astype("<u4").tobytes()))]
-        body = b"".join(
-            [
-                MAGIC,
-                struct.pack("<3IQ", VERSION, len(segment.doc_ids), len(own), segment.before),
-                np.array([d or 0 for d in segment.doc_ids], "<i8").tobytes(),
-                np.array([d is None for d in segment.doc_ids], "u1").tobytes(),
-                np.array([len(i) for i in segment.ids], "<u4").tobytes(),
-                np.array(table, "<u4").tobytes(),
-                *[w.astype("<u2").tobytes() for w in coded],
-            ]
-        )
-        out.append(body + struct.pack("<I", zlib.crc32(body)))
-    return out
-
-
-def unpack(payloads: list[bytes]) -> list[Segment]:
-    """Segments of payloads, all their blocks decoded at once; raises CorruptFile."""
-    out, words, lengths, sums, tables = [], [], [], [], []
-    for payload in payloads:
-        if payload[:4] != MAGIC or zlib.crc32(payload[:-4]) != struct.unpack("<I", payload[-4:])[0]:
-            raise CorruptFile("a segment's checksum or mark does not fit")
-        version, docs, blocks, before = struct.unpack_from("<3IQ", payload, 4)
-        if version != VERSION:
-            raise CorruptFile(f"version {version} is not known")
-        at = 4 + struct.calcsize("<3IQ")
-        ids = np.frombuffer(payload, "<i8", docs, at)
-        null = np.frombuffer(payload, "u1", docs, at + 8 * docs)
-        sizes = np.frombuffer(payload, "<u4", docs, at + 9 * docs)
-        table = np.frombuffer(payload, "<u4", 3 * blocks, at + 13 * docs).reshape(-1, 3)
-        at += 13 * docs + 12 * blocks
-        for n, w, crc in table.tolist():
-            words.append(np.frombuffer(payload, "<u2", w, at))
-            at += 2 * w
-            lengths.append(n)
-            sums.append(crc)
-        segment = Segment(before)
-        segment.doc_ids = [None if z else d for d, z in zip(ids.tolist(), null.tolist(), strict=True)]
-        tables.append((sizes, blocks))
-        out.append(segment)
+    def flat(self) -> np.ndarray:
+        return np.concatenate(self.ids) if self.ids else np.zeros(0, np.uint32)
+
+
+def pack(segment: Segment) -> bytes:
+    """The payload of a segment."""
+    flat = segment.flat().astype("<u4")
+    blocks = [flat[i : i + BLOCK] for i in range(0, len(flat), BLOCK)]
+    prior, words = rangecoder.encode(blocks, LANES)
+    stated = prior.to_bytes()
+    table = [x for b, w in zip(blocks, words, strict=True) for x in (len(b), len(w), zlib.crc32(b))]
+    body = b"".join(
+        [
+            MAGIC,
+            struct.pack("<4IQ", VERSION, len(segment.doc_ids), len(blocks), len(stated), segment.before),
+            np.array([d or 0 for d in segment.doc_ids], "<i8").tobytes(),
+            np.array([d is None for d in segment.doc_ids], "u1").tobytes(),
+            np.array(segment.sizes, "<u4").tobytes(),
+            np.array(table, "<u4").tobytes(),
+            stated,
+            *[w.astype("<u4").tobytes() for w in words],
+        ]
+    )
+    return body + struct.pack("<I", zlib.crc32(body))
+
+
+def unpack(payload: bytes) -> Segment:
+    """The segment of a payload; raises CorruptFile."""
+    if payload[:4] != MAGIC or zlib.crc32(payload[:-4]) != struct.unpack("<I", payload[-4:])[0]:
+        raise CorruptFile("a segment's checksum or mark does not fit")
+    version, docs, blocks, stated, before = struct.unpack_from("<4IQ", payload, 4)
+    if version != VERSION:
+        raise CorruptFile(f"version {version} is not known")
+    at = 4 + struct.calcsize("<4IQ")
+    ids = np.frombuffer(payload, "<i8", docs, at)
+    null = np.frombuffer(payload, "u1", docs, at + 8 * docs)
+    sizes = np.frombuffer(payload, "<u4", docs, at + 9 * docs)
+    lengths, words, sums = np.frombuffer(payload, "<u4", 3 * blocks, at + 13 * docs).reshape(-1, 3).astype(np.int64).T
+    at += 13 * docs + 12 * blocks
     try:
-        decoded = rangecoder.decode(words, np.array(lengths, np.int64))
-    except (IndexError, ValueError) as error:
+        prior = rangecoder.Prior.from_bytes(payload[at : at + stated])
+        coded = np.split(np.frombuffer(payload, "<u4", int(words.sum()), at + stated), np.cumsum(words)[:-1]) if blocks else []
+        decoded = rangecoder.decode(prior, coded, lengths, LANES)
+    except (IndexError, ValueError, zlib.error) as error:
         raise CorruptFile("a block can't be decoded") from error
-    for block, crc in zip(decoded, sums, strict=True):
-        if zlib.crc32(block.astype("<u4").tobytes()) != crc:
+    for block, crc in zip(decoded, sums.tolist(), strict=True):
+        if zlib.crc32(block.astype("<u4")) != crc:
             raise CorruptFile("a block's checksum does not fit")
-    at = 0
-    for segment, (sizes, blocks) in zip(out, tables, strict=True):
-        flat = np.concatenate(decoded[at : at + blocks]) if blocks else np.zeros(0, np.uint32)
-        at += blocks
-        segment.ids = np.split(flat, np.cumsum(sizes)[:-1]) if len(sizes) else []
-        segment.total = len(flat)
-    return out
+    segment = Segment(before)
+    segment.add([None if z else d for d, z in zip(ids.tolist(), null.tolist(), strict=True)], sizes.tolist(), np.concatenate(decoded) if blocks else np.zeros(0, np.uint32))
+    return segment
 
 
 def _packer(path: str, end_id: int):
@@ -138,37 +129,26 @@ def _packer(path: str, end_id: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part = encoder(path), TaskContext.get().partitionId()
-        ready: list[Segment] = []
-        now, number, lanes = Segment(0), 0, 0
+        now, number = Segment(0), 0
 
-        def flush() -> pa.RecordBatch:
-            nonlocal number, lanes
-            payloads = pack(ready)
-            columns = [pa.array([part] * len(ready), pa.int32()), pa.array(range(number, number + len(ready)), pa.int64()), pa.array([s.total for s in ready], pa.int64()), pa.array(payloads, pa.binary())]
-            number, lanes = number + len(ready), 0
-            ready.clear()
-            return pa.RecordBatch.from_arrays(columns, schema=schema)
+        def row(segment: Segment) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pylist([{"part": part, "segment": number, "n_ids": segment.total, "payload": pack(segment)}], schema=schema)
 
         for batch in batches:
             doc_ids = batch.column("doc_id").to_pylist()
             for first, end, data, offsets in kernels.text_slices(batch.column("text")):
-                raw = data.tobytes()
-                ids, at = enc.encode([raw[a:b].decode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)])
-                for i in range(end - first):
-                    own = np.empty(at[i + 1] - at[i] + 1, np.uint16)
-                    own[:-1] = ids[at[i] : at[i + 1]]
-                    own[-1] = end_id
-                    now.add(doc_ids[first + i], own)
-                    if now.total >= SEGMENT:
-                        ready.append(now)
-                        lanes += -(-now.total // BLOCK)
-                        now = Segment(now.before + now.total)
-                        if lanes >= LANES:
-                            yield flush()
+                ids, at = enc.encode_bytes(data, offsets)
+                sizes = np.diff(at) + 1
+                own = np.full(len(ids) + len(sizes), end_id, np.uint32)
+                inside = np.ones(len(own), bool)
+                inside[np.cumsum(sizes) - 1] = False
+                own[inside] = ids
+                now.add(doc_ids[first:end], sizes.tolist(), own)
+                if now.total >= SEGMENT:
+                    yield row(now)
+                    now, number = Segment(now.before + now.total), number + 1
         if now.doc_ids:
-            ready.append(now)
-        if ready:
-            yield flush()
+            yield row(now)
 
     return run
 
@@ -178,8 +158,11 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = 2, parts: int |
 
     A null text is empty, so it has the end id only; null ids come first; rows
     that share an id stay apart, in the order of a hash of their texts.  ``path``
-    names the vocabulary file (fewer than 65,535 ids), which every executor has.
+    names the vocabulary file, of any size, which every executor has.  An end id
+    that is no unsigned 32-bit number raises ValueError.
     """
+    if not 0 <= end_id < 1 << 32:
+        raise ValueError(f"end id {end_id} is no unsigned 32-bit number")
     parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.selectExpr("cast(doc_id as bigint) as doc_id", "coalesce(cast(text as string), '') as text")
     inorder = texts.repartitionByRange(parts, F.asc("doc_id")).sortWithinPartitions("doc_id", F.xxhash64("text"))
@@ -189,27 +172,16 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = 2, parts: int |
 def _unpacker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("offset", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 
-    def emit(parts: list[int], payloads: list[bytes]) -> Iterator[pa.RecordBatch]:
-        for part, segment in zip(parts, unpack(payloads), strict=True):
-            sizes = np.array([len(i) for i in segment.ids], np.int64)
+    for batch in batches:
+        for part, payload in zip(batch.column("part").to_pylist(), batch.column("payload"), strict=True):
+            segment = unpack(payload.as_py())
+            sizes = np.array(segment.sizes, np.int64)
             ends = np.cumsum(sizes)
-            flat = np.concatenate(segment.ids).astype("<u4")
+            flat = segment.flat().astype("<u4")
             ids = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer((np.concatenate(([0], ends)) * 4).astype(np.int32)), pa.py_buffer(flat)])
             columns = [pa.array(segment.doc_ids, pa.int64()), pa.array([part] * len(sizes), pa.int32()), pa.array(segment.before + ends - sizes), pa.array(sizes), ids]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    parts, payloads, lanes = [], [], 0
-    for batch in batches:
-        for part, n, payload in zip(batch.column("part").to_pylist(), batch.column("n_ids").to_pylist(), batch.column("payload"), strict=True):
-            parts.append(part)
-            payloads.append(payload.as_py())
-            lanes += -(-n // BLOCK)
-            if lanes >= LANES:
-                yield from emit(parts, payloads)
-                parts, payloads, lanes = [], [], 0
-    if payloads:
-        yield from emit(parts, payloads)
-
 
 def read(spark: SparkSession, folder: str, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, start (ids of all documents before), n_tokens and ids (u32) of every document in the files."""
@@ -218,5 +190,5 @@ def read(spark: SparkSession, folder: str, scratch: Scratch | None = None) -> Da
     starts = starts.selectExpr("part", "coalesce(sum(n) over (order by part rows between unbounded preceding and 1 preceding), 0) as first")
     starts = (scratch or Scratch(spark, "token_files")).keep(starts, "starts")
     starts = F.broadcast(starts) if starts.count() <= BROADCAST_PARTS else starts
-    docs = files.select("part", "n_ids", "payload").mapInArrow(_unpacker, _DOCS)
+    docs = files.select("part", "payload").mapInArrow(_unpacker, _DOCS)
     return docs.join(starts, "part").select("doc_id", (F.col("first") + F.col("offset")).alias("start"), "n_tokens", "ids")

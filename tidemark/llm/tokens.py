@@ -1,19 +1,28 @@
-"""Exact BPE ids of many texts from the tokenizers library, each distinct word encoded once.
-
-For a byte-level tokenizer without normaliser, a blank that is followed by a
-character other than white space always begins a pre-token, whatever stands
-around it, and merges never leave a pre-token.  So a text may be cut before any
-such blank, and the ids of the parts, one after another, are the ids of the
-text.  Texts are cut into words that way and a worker remembers the ids of the
-words it has met.  Texts for which this doesn't hold (white space other than
-single blanks before a word, the text of a special token) and all texts of
-other kinds of tokenizers are encoded as they are.
+"""Exact BPE ids of many texts from the tokenizers library, each distinct unit encoded once.
+
+For a byte-level tokenizer without normaliser whose pre-tokens are those of the
+usual pattern (contractions, letters, digits, other signs, white space), a text
+may be cut at some places whatever stands around them, and the ids of the parts,
+one after another, are the ids of the text:
+
+*   before a blank that a character other than white space follows: the blank
+    begins a pre-token there, and white space before it ends one;
+*   between an ASCII letter and one of ``.,;:!?``: a run of letters ends there;
+*   between an ASCII letter and a line feed after a sign that is no white space:
+    a line feed alone is a pre-token.
+
+Texts are cut into units there, and a worker remembers the ids of the units it has
+met, in a hash table over numpy arrays; a unit costs no Python object.  Units are
+told apart by 128 bits of a hash whose keys each process draws at random, so texts
+can't be made to collide.  Texts with the text of a special token, and all texts
+of other kinds of tokenizers, are encoded as they are.
 """
 
 from __future__ import annotations
 
 import json
 import os
+from collections.abc import Iterator
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -21,11 +30,41 @@ from tokenizers import Tokenizer
 #: A task has one core; the library would take all of the machine's.
 os.environ["TOKENIZERS_PARALLELISM"] = "false"
 
-#: Words a worker remembers before it starts over; about 220 bytes each.
-REMEMBERED = 600_000
+#: Units a worker remembers before it drops those it has met less often; about 80 bytes each.
+REMEMBERED = 1_000_000
+_SLOTS = 1 << 21
 
-#: New words that are encoded as one text.
+#: New units that are encoded as one text.
 TOGETHER = 60
+#: Bytes of texts that are cut into units at a time.
+PIECE = 1 << 20
+#: Units of more bytes are remembered apart, by their bytes.
+LONG = 64
+
+_U = np.uint64
+_KEYS = np.frombuffer(os.urandom(32), np.uint64) | _U(1)
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+_LETTER, _SIGN, _SOLID, _SAFE_NEXT = (np.zeros(256, bool) for _ in range(4))
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+_SIGN[[ord(c) for c in ".,;:!?"]] = True
+_SOLID[0x21:0x7F] = True
+#: Bytes after a blank before which a text may be cut: neither white space nor the lead of a white-space character.
+_SAFE_NEXT[0x21:] = True
+_SAFE_NEXT[[0x7F, 0xC2, 0xE1, 0xE2, 0xE3]] = False
+
+
+def cuts(data: np.ndarray) -> np.ndarray:
+    """Where a text may be cut, whatever its other parts are, in ascending order."""
+    if len(data) < 2:
+        return np.zeros(0, np.int64)
+    letter = _LETTER[data]
+    may = np.zeros(len(data), bool)
+    np.logical_and(data[:-1] == 0x20, _SAFE_NEXT[data[1:]], out=may[:-1])
+    may[1:] |= letter[:-1] & _SIGN[data[1:]]
+    may[2:] |= (data[1:-1] == 0x0A) & _SOLID[data[:-2]] & letter[2:]
+    may[0] = False
+    return np.flatnonzero(may)
 
 
 def byte_letters() -> list[str]:
@@ -39,17 +78,68 @@ def byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
-class _Memo(dict):
-    """Numbers new keys and lists them."""
+def _hashed(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two keyed 64-bit hashes of spans of bytes, eight bytes a round; the first is never 0."""
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    words = np.ndarray(len(data) + 1, np.uint64, padded, strides=(1,))
+    one, two = _KEYS[0] + size.astype(np.uint64), _KEYS[1] ^ size.astype(np.uint64)
+    live = None
+    left, at = size, begin
+    while True:
+        chunk = words[at] & _MASKS.take(left, mode="clip")
+        a, b = (one, two) if live is None else (one[live], two[live])
+        a = (a ^ chunk) * _KEYS[2]
+        a ^= a >> _U(29)
+        b = (b + chunk) * _KEYS[3]
+        b ^= b >> _U(32)
+        if live is None:
+            one, two = a, b
+        else:
+            one[live], two[live] = a, b
+        more = np.flatnonzero(left > 8)
+        if not len(more):
+            break
+        live = more if live is None else live[more]
+        left, at = left[more] - 8, at[more] + 8
+    one = one * _KEYS[3]
+    one ^= one >> _U(31)
+    two = two * _KEYS[2]
+    two ^= two >> _U(30)
+    return np.maximum(one, _U(1)), two
+
+
+class _Units:
+    """Numbers of units by the hashes of their bytes: open addressing in arrays."""
 
     def __init__(self) -> None:
-        super().__init__()
-        self.pending: list[str] = []
-
-    def __missing__(self, key: str) -> int:
-        self[key] = n = len(self)
-        self.pending.append(key)
-        return n
+        self.one, self.two = np.zeros(_SLOTS, np.uint64), np.zeros(_SLOTS, np.uint64)
+        self.number = np.zeros(_SLOTS, np.int32)
+
+    def find(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """The number of each unit, -1 for one that is not known."""
+        slot = (one & _U(_SLOTS - 1)).view(np.int64)
+        out = np.full(len(one), -1, np.int64)
+        live = np.arange(len(one))
+        while len(live):
+            there = self.one.take(slot)
+            hit = (there == one) & (self.two.take(slot) == two)
+            out[live[hit]] = self.number.take(slot[hit])
+            on = np.flatnonzero(~hit & (there != 0))
+            live, slot, one, two = live[on], slot[on] + 1 & _SLOTS - 1, one[on], two[on]
+        return out
+
+    def add(self, one: np.ndarray, two: np.ndarray, first: int) -> None:
+        """Number units that are not known and differ from each other from ``first`` on."""
+        number = np.arange(first, first + len(one), dtype=np.int32)
+        slot = (one & _U(_SLOTS - 1)).view(np.int64)
+        while len(one):
+            free = np.flatnonzero(self.one.take(slot) == 0)
+            self.number[slot[free]] = number[free]
+            own = free[self.number[slot[free]] == number[free]]  # of several that meet in a slot the last one
+            self.one[slot[own]], self.two[slot[own]] = one[own], two[own]
+            stay = np.ones(len(one), bool)
+            stay[own] = False
+            one, two, number, slot = one[stay], two[stay], number[stay], slot[stay] + 1 & _SLOTS - 1
 
 
 class Encoder:
@@ -62,108 +152,174 @@ class Encoder:
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         pre = spec.get("pre_tokenizer") or {}
-        self.special = [t["content"] for t in spec.get("added_tokens", [])]
-        self.by_word = (
+        self.special = [t["content"].encode() for t in spec.get("added_tokens", [])]
+        self.by_unit = (
             spec["model"]["type"] == "BPE"
             and spec.get("normalizer") is None
             and pre.get("type") == "ByteLevel"
             and pre.get("use_regex", True)
             and not pre.get("add_prefix_space", True)
-            and not any(" " in s for s in self.special)
         )
         names = self.tokenizer.get_vocab(with_added_tokens=True)
-        self._blank = np.zeros(max(names.values()) + 1, bool)
-        self._blank[[i for name, i in names.items() if name.startswith(byte_letters()[0x20])]] = True
+        #: The largest id, and the bytes that each id stands for.
+        self.top = max(names.values())
+        self.lengths = np.zeros(self.top + 1, np.int64)
+        self.lengths[list(names.values())] = [len(n) for n in names]
         self._forget()
 
     def _forget(self) -> None:
-        self._words, self._heads = _Memo(), {}
-        self._count = 0
+        self._units, self._long = _Units(), {}
+        self._one, self._two = np.zeros(1 << 14, np.uint64), np.zeros(1 << 14, np.uint64)
+        self._start, self._length, self._met = (np.zeros(1 << 14, np.int64) for _ in range(3))
         self._flat = np.zeros(1 << 16, np.uint32)
-        self._start, self._length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-        self._used = 0
-
-    def plain(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _whole(self, word: str) -> bool:
-        """Whether a text may be cut before a blank and this word, and behind it."""
-        return bool(word) and not word[0].isspace() and not any(s in word for s in self.special)
-
-    def _learn(self, words: list[str]) -> None:
-        """Store the ids of words with a blank before them; a length of -1 marks one that can't be cut.
+        self._count = self._used = 0
+
+    def _thin(self) -> None:
+        """Keep the units that were met more often than the rest, at most half of them."""
+        met = self._met[: self._count]
+        least = max(2, int(np.partition(met, len(met) // 2)[len(met) // 2]) + 1)
+        stay = np.flatnonzero(met >= least)
+        one, two, met, sizes, starts = self._one[stay], self._two[stay], met[stay] // 2, self._length[stay], self._start[stay]
+        ids = self._flat[_spans(starts, sizes)]
+        self._forget()
+        self._store(one, two, ids, sizes)
+        self._met[: len(stay)] = met
 
-        Many words are encoded as one text, each of them being a part that may be
-        cut, and told apart by the ids that begin with a blank.
-        """
-        if not words:
-            return
-        sound = np.fromiter(map(self._whole, words), bool, len(words))
-        good = [w for w, ok in zip(words, sound.tolist(), strict=True) if ok]
-        texts = [" " + " ".join(good[i : i + TOGETHER]) for i in range(0, len(good), TOGETHER)]
-        ids = np.array([i for own in self.plain(texts) for i in own], np.uint32)
-        begins = np.flatnonzero(self._blank[ids]) if len(ids) else np.zeros(0, np.int64)
-        if len(begins) != len(good):
-            raise AssertionError("a word gave none or several ids that begin with a blank")
-        lengths = np.full(len(words), -1, np.int64)
-        lengths[sound] = np.diff(np.append(begins, len(ids)))
-        n, first = len(words), self._count
+    def _store(self, one: np.ndarray, two: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        n, first = len(one), self._count
         while first + n > len(self._start):
-            self._start, self._length = (np.concatenate((x, np.zeros_like(x))) for x in (self._start, self._length))
+            self._one, self._two, self._start, self._length, self._met = (np.concatenate((x, np.zeros_like(x))) for x in (self._one, self._two, self._start, self._length, self._met))
         while self._used + len(ids) > len(self._flat):
             self._flat = np.concatenate((self._flat, np.zeros_like(self._flat)))
-        sizes = np.maximum(lengths, 0)
+        self._one[first : first + n], self._two[first : first + n] = one, two
         self._start[first : first + n] = self._used + np.cumsum(sizes) - sizes
-        self._length[first : first + n] = lengths
+        self._length[first : first + n] = sizes
         self._flat[self._used : self._used + len(ids)] = ids
+        self._units.add(one, two, first)
         self._used += len(ids)
         self._count += n
 
+    def plain(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _ids_of(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of units, one unit after another, and how many each has.
+
+        A unit that begins with a blank may follow any other, so many of them are
+        encoded as one text and told apart by the bytes that their ids stand for.
+        """
+        together = np.array([u[:1] == b" " for u in units], bool)
+        joined = [u for u, ok in zip(units, together.tolist(), strict=True) if ok]
+        alone = [u for u, ok in zip(units, together.tolist(), strict=True) if not ok]
+        texts = [b"".join(joined[i : i + TOGETHER]).decode() for i in range(0, len(joined), TOGETHER)]
+        parts = self.plain(texts + [u.decode() for u in alone])
+        first = np.array([i for own in parts[: len(texts)] for i in own], np.int64)
+        ends = np.cumsum([len(u) for u in joined], dtype=np.int64)
+        upto = np.cumsum(self.lengths[first])
+        stop = np.searchsorted(upto, ends)
+        if len(ends) and not np.array_equal(upto[stop], ends):
+            raise AssertionError("the ids of a unit go beyond it")
+        sizes = np.zeros(len(units), np.int64)
+        sizes[together] = np.diff(stop, prepend=-1)
+        sizes[~together] = [len(p) for p in parts[len(texts) :]]
+        places = np.zeros(len(units), np.int64)
+        places[together] = (np.cumsum(sizes[together]) - sizes[together]) if len(joined) else 0
+        rest = np.array([i for own in parts[len(texts) :] for i in own], np.int64)
+        places[~together] = len(first) + np.cumsum(sizes[~together]) - sizes[~together]
+        return np.concatenate((first, rest))[_spans(places, sizes)].astype(np.uint32), sizes
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids (uint32), one text after another, and where each text's begin."""
-        if not self.by_word:
-            return _join([np.array(i, np.uint32) for i in self.plain(texts)])
-        if len(self._words) > REMEMBERED:
-            self._forget()
-        split = [t.split(" ") for t in texts]
-        counts = np.array([len(s) for s in split], np.int64)
-        at = np.concatenate((np.zeros(1, np.int64), np.cumsum(counts)))
-        flat = [w for s in split for w in s]
-        heads = [s[0] for s in split]
-        for i in at[:-1].tolist():
-            flat[i] = "a"  # the first word of a text has no blank and is looked up apart
-        words = self._words
-        codes = np.fromiter(map(words.__getitem__, flat), np.int64, len(flat))
-        new, words.pending = words.pending, []
-        self._learn(new)
-        lengths, starts = self._length[codes], self._start[codes]
-        first = [self._head(h) for h in heads]
-        lengths[at[:-1]] = [-1 if f is None else 0 for f in first]
-        bad = np.flatnonzero(np.minimum.reduceat(lengths, at[:-1]) < 0) if len(texts) else []
-        lengths = np.maximum(lengths, 0)
-        total = int(lengths.sum())
-        ends = np.cumsum(lengths)
-        ids = self._flat[np.repeat(starts - ends + lengths, lengths) + np.arange(total)]
-        bounds = np.concatenate((np.zeros(1, np.int64), ends))[at]
+        raw = [t.encode() for t in texts]
+        return self.encode_bytes(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+
+    def encode_bytes(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for texts in UTF-8 that stand one after another; long texts go piece by piece."""
+        if len(offsets) == 1:
+            return np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        if not self.by_unit:
+            raw = data.tobytes()
+            return _join([np.array(i, np.uint32) for i in self.plain([raw[a:b].decode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)])])
+        raw = data.tobytes() if any(data.tobytes().find(s) >= 0 for s in self.special) else b""
         parts: list[np.ndarray] = []
-        whole = dict(zip(list(bad), self.plain([texts[i] for i in bad]), strict=True))
-        for i, head in enumerate(first):
-            if i in whole:
-                parts.append(np.array(whole[i], np.uint32))
-            elif len(head):
-                parts.append(np.concatenate((head, ids[bounds[i] : bounds[i + 1]])))
-            else:
-                parts.append(ids[bounds[i] : bounds[i + 1]])
+        marked = np.array([any(s in raw[a:b] for s in self.special) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]) if raw else np.zeros(len(offsets) - 1, bool)
+        if not marked.any() and len(data) <= 2 * PIECE:
+            return self._encode(data, offsets)
+        for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+            if marked[i]:
+                parts.append(np.array(self.plain([raw[a:b].decode()])[0], np.uint32))
+                continue
+            pieces = [self._encode(p, np.array([0, len(p)]))[0] for p in pieces_of(data[a:b])]
+            parts.append(np.concatenate(pieces) if pieces else np.zeros(0, np.uint32))
         return _join(parts)
 
-    def _head(self, word: str) -> np.ndarray | None:
-        """Ids of a text's first word, which has no blank before it; None where the text can't be cut behind it."""
-        if word not in self._heads:
-            if len(self._heads) > REMEMBERED // 10:
-                self._heads.clear()
-            ids = np.array(self.plain([word])[0], np.uint32) if self._whole(word) else None
-            self._heads[word] = np.zeros(0, np.uint32) if not word else ids
-        return self._heads[word]
+    def _encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if self._count > REMEMBERED:
+            self._thin()
+        edge = np.zeros(len(data) + 1, bool)
+        edge[cuts(data)] = True
+        edge[offsets[1:] - 1] = False  # what follows a text's last blank is not its own
+        edge[offsets] = True
+        begin = np.flatnonzero(edge)
+        begin, size = begin[:-1], np.diff(begin)
+        one, two = _hashed(data, begin, np.minimum(size, LONG))
+        code = self._units.find(one, two)
+        long = np.flatnonzero(size > LONG)
+        code[long] = -2
+        new = np.flatnonzero(code == -1)
+        if len(new):
+            _, first, same = np.unique(one[new], return_index=True, return_inverse=True)
+            at = new[first]
+            if not np.array_equal(two[at][same], two[new]):  # one half of a hash is not enough
+                _, first, same = np.unique(np.stack((one[new], two[new]), axis=1), axis=0, return_index=True, return_inverse=True)
+                at = new[first]
+            raw = data.tobytes()
+            ids, sizes = self._ids_of([raw[b : b + n] for b, n in zip(begin[at].tolist(), size[at].tolist(), strict=True)])
+            code[new] = self._count + same
+            self._store(one[at], two[at], ids, sizes)
+        self._met[: self._count] += np.bincount(np.maximum(code, 0), minlength=self._count)
+        code[long] = 0
+        lengths, starts = self._length[code], self._start[code]
+        flat = self._flat
+        if len(long):
+            raw = data.tobytes()
+            found = self._of_long([raw[b : b + n] for b, n in zip(begin[long].tolist(), size[long].tolist(), strict=True)])
+            lengths[long] = own = np.array([len(f) for f in found])
+            starts[long] = self._used + np.cumsum(own) - own
+            flat = np.concatenate((self._flat[: self._used], *found))
+        bounds = np.concatenate((np.zeros(1, np.int64), np.cumsum(lengths)))
+        return flat[_spans(starts, lengths)], bounds[np.searchsorted(begin, offsets)]
+
+    def _of_long(self, units: list[bytes]) -> list[np.ndarray]:
+        """Ids of units of more than LONG bytes."""
+        if len(self._long) > REMEMBERED // 50:
+            self._long.clear()
+        new = [u for u in dict.fromkeys(units) if u not in self._long]
+        fresh = dict(zip(new, (np.array(i, np.uint32) for i in self.plain([u.decode() for u in new])), strict=True))
+        self._long |= {u: i for u, i in fresh.items() if len(u) <= 16 * LONG}
+        return [fresh[u] if u in fresh else self._long[u] for u in units]
+
+
+def pieces_of(data: np.ndarray) -> Iterator[np.ndarray]:
+    """A text in parts of about PIECE bytes that may be encoded one by one."""
+    begin = 0
+    while begin < len(data):
+        end = min(begin + PIECE, len(data))
+        while end < len(data):
+            look = data[max(begin, end - PIECE) : min(end + 2, len(data))]
+            found = cuts(look)
+            if len(found) and (cut := int(found[-1]) + max(begin, end - PIECE)) > begin:
+                end = cut
+                break
+            end = min(end + PIECE, len(data))
+        yield data[begin:end]
+        begin = end
+
+
+def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of each span, one span after another."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
 def _join(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
