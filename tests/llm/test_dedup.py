@@ -89,7 +89,42 @@ def test_groups_of_odd_tables(spark, odd, empty, wide):
     stays = near_dup.keep_first(wide)
     assert stays.columns == wide.columns
     ids = sorted(str(r["doc_id"]) for r in stays.select("doc_id").collect())
-    assert ids == sorted(map(str, [1, 3, 4, 5, 6, 7, 9, 10, 12, None, 13, 13]))
+    assert ids == sorted(map(str, [1, 3, 4, 5, 6, 7, 9, 10, 12, 13]))
+
+
+def test_one_row_of_a_group_stays_whatever_its_id(spark):
+    """Null and shared ids: a row goes for its own text only, and a row with an id goes before one without."""
+    long, other = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
+    rows = [(None, long), (None, long + " end"), (None, other), (None, other), (7, long), (7, "its own few words here"), (7, "its own few words here"), (3, other + " x"), (None, None), (None, ""), (9, " "), (9, " ")]
+    for n in (1, 4):
+        got = near_dup.keep_first(spark.createDataFrame(rows, DOCS).repartition(n)).collect()
+        assert sorted(map(str, got)) == sorted(f"Row(doc_id={i}, text={t!r})" for i, t in [(7, long), (7, "its own few words here"), (3, other + " x"), (None, None), (None, ""), (9, " "), (9, " ")])
+
+
+def test_salted_joins(spark, rng, monkeypatch):
+    monkeypatch.setattr(near_dup, "BUCKET_SALT", 3)
+    monkeypatch.setattr(near_dup, "CENTRE_SALT", 2)
+    test_many_members_apart_from_their_centre(spark, rng)
+
+
+def test_very_long_text_in_bounded_memory():
+    """The words of a text of 24 MB, and its sketch, take a few times the text, whatever its words."""
+    import resource
+
+    rng = np.random.default_rng(1)
+    text = rng.choice(np.frombuffer(b"abcdefgh     ", np.uint8), 24 << 20)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    words, places = kernels.word_hashes(text, np.array([0, len(text)]))
+    sets, at = kernels.shingles(words, places, 2)
+    kernels.superminhash(sets, at, 80)
+    assert len(words) == len(text.tobytes().split()) and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1_200_000
+    small, cut = text[:5000], np.array([0, 5000])
+    whole = kernels.word_hashes(small, cut)[0].tolist()
+    kernels.WINDOW_BYTES, kept = 64, kernels.WINDOW_BYTES
+    try:
+        assert kernels.word_hashes(small, cut)[0].tolist() == whole
+    finally:
+        kernels.WINDOW_BYTES = kept
 
 
 def test_partitioning_changes_nothing(spark, odd):
@@ -139,7 +174,7 @@ def one_edit(a, b):
     return a[i + 1 :] == b[i + 1 :] if len(a) == len(b) else a[i:] == b[i + 1 :]
 
 
-def line_brute(rows):
+def line_brute(rows, shortest=0):
     order = lambda p: (p[0] is not None, p[0] or 0, p[1])
     judged = sorted(((i, n, x) for i, t in rows if t is not None for n, x in enumerate(t.split("\n")) if re.search(r"[^\x20\x09-\x0D]", x)), key=lambda r: order(r[:2]))
     first = {}
@@ -147,26 +182,29 @@ def line_brute(rows):
         first.setdefault(x, (i, n))
     want = {}
     for i, n, x in judged:
-        near = [p for y, p in first.items() if len(x) >= 20 and len(y) >= 20 and one_edit(x, y) and order(p) < order(first[x])]
+        near = [p for y, p in first.items() if len(x) >= shortest and len(y) >= shortest and one_edit(x, y) and order(p) < order(first[x])]
         equal = first[x] if first[x] != (i, n) else None
         want[i, n] = min(near, key=order) if near else equal
     return want
 
 
-def test_lines_by_brute_force(spark, rng):
-    base = ["".join(rng.choice("abcd e") for _ in range(n)) + "." for n in (5, 19, 20, 21, 40, 90)]
+@pytest.mark.parametrize("shortest", [0, 20])
+def test_lines_by_brute_force(spark, rng, shortest, monkeypatch):
+    monkeypatch.setattr(lines, "HOT", 5)
+    base = ["".join(rng.choice("abcd e") for _ in range(n)) + "." for n in (1, 2, 5, 19, 20, 21, 40, 90)]
     rows = []
     for i in range(60):
         text = []
-        for x in rng.sample(base, 3):
-            for _ in range(rng.choice([0, 0, 1, 1, 2])):
+        for x in [*rng.sample(base, 3), "a line of all texts"]:
+            for _ in range(rng.choice([0, 0, 1, 1, 2]) if x[:6] != "a line" else 0):
                 at, how = rng.randrange(len(x)), rng.randrange(3)
                 x = x[:at] + ["", "z", "é" + x[at]][how] + x[at + 1 :]
             text.append(x)
         rows.append((i, "\n".join(text)))
     rows += [(None, base[4]), (70, None), (71, ""), (72, "\n \n"), (73, base[4] + "\n" + base[4])] + rows[5:7]
-    got = {(r["doc_id"], r["line_no"]): None if r["kept"] else (r["keeper_doc_id"], r["keeper_line_no"]) for r in lines.judge(spark.createDataFrame(rows, DOCS)).collect()}
-    want = line_brute(rows)
+    rows += [(80, "Subscribe now!"), (81, "Subscribe now?"), (82, "a"), (83, "b"), (84, "ab"), (85, "é")]
+    got = {(r["doc_id"], r["line_no"]): None if r["kept"] else (r["keeper_doc_id"], r["keeper_line_no"]) for r in lines.judge(spark.createDataFrame(rows, DOCS), min_chars=shortest).collect()}
+    want = line_brute(rows, shortest)
     assert got == want
 
 
@@ -203,6 +241,34 @@ def test_lines_of_texts_that_share_an_id(spark):
     assert judged.count() == sum(len(t.split("\n")) for _, t in rows)
 
 
+def thue_morse(n, one, other):
+    """A text whose polynomial sums modulo a power of two equal those of its complement."""
+    return "".join(one if bin(i).count("1") % 2 else other for i in range(n))
+
+
+def test_texts_made_to_collide(spark):
+    """Two texts of 2,048 letters that are equal to any polynomial hash modulo 2**64 are neither equal lines nor near copies."""
+    a, b = thue_morse(2048, "a", "b"), thue_morse(2048, "b", "a")
+    docs = spark.createDataFrame([(1, a), (2, b), (3, " ".join(a)), (4, " ".join(b)), (5, "x" + a), (6, "x" + b)], DOCS)
+    got = {r["doc_id"]: r["keeper_doc_id"] for r in lines.judge(docs).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: 1, 6: 2}
+    words = [(1, a + " and more"), (2, b + " and more"), (3, f"{a} {b}"), (4, f"{b} {a}")]
+    check_groups(spark, words, 2)
+
+
+def test_polynomials_by_brute_force():
+    rng = np.random.default_rng(8)
+    a, b = (rng.integers(0, lines.PRIME, 500, dtype=np.uint64) for _ in range(2))
+    a[:3], b[:3] = lines.PRIME - 1, [lines.PRIME - 1, 0, 1]
+    assert lines._times(a, b).tolist() == [int(x) * int(y) % lines.PRIME for x, y in zip(a, b, strict=True)]
+    text, base = "the quick brown fox é\U0001f642", 987654321987654321 % lines.PRIME
+    plain = lambda s: sum((ord(c) + 1) * pow(base, i, lines.PRIME) for i, c in enumerate(s)) % lines.PRIME
+    h = lines._Hasher(np.array([ord(c) for c in "some" + text], np.uint32), base)
+    begin, end = np.array([4]), np.array([4 + len(text)])
+    assert h.whole(begin, end).tolist() == [plain(text)]
+    assert [int(h.without(begin, np.array([4 + i]), end)[0]) for i in range(len(text))] == [plain(text[:i] + text[i + 1 :]) for i in range(len(text))]
+
+
 # neighbours
 
 VECTORS = "vec_id bigint, embedding array<float>, label int"

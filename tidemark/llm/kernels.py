@@ -3,11 +3,15 @@
 The bytes of many texts are treated as one array, so a word costs no Python
 object.  Slices of a batch are small (about a megabyte of text) whatever the
 batch size; only a longer single text makes a larger slice.
+
+Words are hashed eight bytes a round by keyed multiplications whose high bits are
+folded back, so no structure of a text makes words collide.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -20,26 +24,17 @@ _MULTIPLIER = _U(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
-#: Random weight of each byte; A-Z weigh as a-z.
-_WEIGHT = np.random.Generator(np.random.PCG64(20)).integers(1, 1 << 63, 256, dtype=np.uint64)
-_FOLDED = _WEIGHT.copy()
-_FOLDED[ord("A") : ord("Z") + 1] = _WEIGHT[ord("a") : ord("z") + 1]
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[ord("A") : ord("Z") + 1] += 32
 
-_BASE = 0xD6E8FEB86659FD93
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+#: Bytes of texts whose words are hashed at a time, and bytes of a word from which it is hashed by BLAKE2b.
+WINDOW_BYTES, LONG_WORD = 1 << 22, 1024
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
-def _power(kind: str, n: int) -> np.ndarray:
-    """The first ``n`` powers of the base or of its inverse, modulo 2**64."""
-    have = _powers[kind]
-    if len(have) < n:
-        base = np.full(max(n, 2 * SLICE_BYTES), _BASE if kind == "up" else _INVERSE, np.uint64)
-        base[0] = 1
-        have = np.multiply.accumulate(base)
-        if n <= 2 * SLICE_BYTES:  # a very long text does not stay in memory
-            _powers[kind] = have
-    return have
+def keys_of(seed: int) -> np.ndarray:
+    """Four odd 64-bit keys."""
+    return np.random.Generator(np.random.PCG64(seed)).integers(0, 1 << 64, 4, dtype=np.uint64) | _U(1)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -69,22 +64,75 @@ def text_slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nda
         first = end
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of all texts, in order, and the place of each text's first word."""
-    if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+def span_hashes(data: np.ndarray, begin: np.ndarray, size: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of spans of bytes under four keys, eight bytes a round."""
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    words = np.ndarray(len(data) + 1, np.uint64, padded, strides=(1,))
+    one, two = keys[0] + size.astype(np.uint64), keys[1] ^ size.astype(np.uint64)
+    live = None
+    left, at = size, begin
+    while True:
+        chunk = words[at] & _MASKS.take(left, mode="clip")
+        a, b = (one, two) if live is None else (one[live], two[live])
+        a = (a ^ chunk) * keys[2]
+        a ^= a >> _U(29)
+        b = (b + chunk) * keys[3]
+        b ^= b >> _U(32)
+        if live is None:
+            one, two = a, b
+        else:
+            one[live], two[live] = a, b
+        more = np.flatnonzero(left > 8)
+        if not len(more):
+            break
+        live = more if live is None else live[more]
+        left, at = left[more] - 8, at[more] + 8
+    one = one * keys[3]
+    one ^= one >> _U(31)
+    two = two * keys[2]
+    two ^= two >> _U(30)
+    return one, two
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, fold: bool = True, keys: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, in order, and the place of each text's first word.
+
+    A long text is gone through in windows that end behind white space, so what is
+    kept of it is a number for each word.
+    """
+    keys = keys_of(20) if keys is None else keys
+    out, begins, first = [], [], 0
+    while first < len(data):
+        end = min(first + WINDOW_BYTES, len(data))
+        while end < len(data) and not _SPACE[data[end - 1]]:
+            end = min(end + 1 + int(np.argmax(_SPACE[data[end : end + WINDOW_BYTES]])) if _SPACE[data[end : end + WINDOW_BYTES]].any() else end + WINDOW_BYTES, len(data))
+        lo, hi = np.searchsorted(offsets, (first, end))
+        own, at = _word_hashes(data[first:end], offsets[lo:hi] - first, fold, keys)
+        out.append(own)
+        begins.append(at + first)
+        first = end
+    begin = np.concatenate(begins) if begins else np.zeros(0, np.int64)
+    return (np.concatenate(out) if out else np.zeros(0, np.uint64)), np.searchsorted(begin, offsets)
+
+
+def _word_hashes(data: np.ndarray, edges: np.ndarray, fold: bool, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and begins of words; ``edges`` are places where a text begins."""
+    if fold:
+        data = _FOLD[data]
     word = ~_SPACE[data]
     edge = np.zeros(len(data) + 1, bool)
-    edge[offsets] = True
+    edge[edges] = True
     starts = word.copy()
     starts[1:] &= ~word[:-1] | edge[1:-1]
     ends = word.copy()
     ends[:-1] &= ~word[1:] | edge[1:-1]
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((_FOLDED if fold else _WEIGHT)[data] * _power("up", len(data))[: len(data)], out=sums[1:])
-    begin, stop = np.flatnonzero(starts), np.flatnonzero(ends) + 1
-    hashes = mix((sums[stop] - sums[begin]) * _power("down", len(data))[begin])
-    return hashes, np.searchsorted(begin, offsets)
+    begin = np.flatnonzero(starts)
+    size = np.flatnonzero(ends) + 1 - begin
+    one, two = span_hashes(data, begin, np.minimum(size, LONG_WORD), keys)
+    hashes = one ^ (two << _U(1))
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        hashes[i] = int.from_bytes(blake2b(data[begin[i] : begin[i] + size[i]].tobytes(), digest_size=8, key=keys.tobytes()).digest(), "little")
+    return mix(hashes), begin
 
 
 def shingles(words: np.ndarray, places: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -2,197 +2,222 @@
 
 A line goes if an earlier line of the corpus, by (doc_id, line number), is equal
 or at most one edit (insertion, deletion or substitution of a character) away.
-Texts that share an id, or have none, are told apart by a 64-bit digest, which
+Texts that share an id, or have none, are told apart by a digest of the text, which
 also orders their lines of one number.
 
-1.  One pass gives each line a 128-bit digest; equal lines become one, held by
-    the earliest.
+1.  One pass gives each line a 128-bit BLAKE2b digest, for which no two texts can
+    be made equal; equal lines become one, held by the earliest.
 2.  One edit leaves the first or the last half of the longer line whole.  Each
     distinct line posts hashes of its halves; only lines that share one go on.
 3.  Those lines emit the hashes of their deletion variants, without each character
     that the shared half allows to differ.  A line and its variant meet where one
     character is missing, two variants without the same place where one is
-    replaced.  A bucket needs its earliest member of each kind only, so a hot
-    bucket is pre-aggregated and never listed pair by pair.
+    replaced.  A bucket needs its earliest member of each kind only, so it is
+    pre-aggregated and never listed pair by pair.  Its members are distinct lines
+    that differ in one place, so it is no larger than a line's length times the
+    alphabet, however common a line is.
 4.  The pairs (line, earliest partner) are verified by the edit distance of their
     texts.
 
-Lines shorter than ``MIN_CHARS`` go only if they are equal to an earlier line: one
-edit in a few characters is often another content.  Lines without a word are not
-judged and stay.
+Variants are hashed as polynomials modulo 2**61 - 1 at two points that each run
+draws at random, so that lines can't be made to share a bucket.  Lines without a
+word are not judged and stay.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import secrets
+from collections.abc import Callable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import kernels
 from tidemark.llm.kernels import mix
 from tidemark.llm.scratch import Scratch, free_name
 
-MIN_CHARS = 20
+#: Default of the shortest line, in characters, that a near match may take: any.
+MIN_CHARS = 0
+#: Copies of a line beyond which its rows are not shuffled by its digest.
+HOT = 100_000
+#: Hot lines up to which they are broadcast.
+BROADCAST_HOT = 10_000
 
-_U = np.uint64
-_BLANK = np.zeros(0x80, bool)
-_BLANK[[0x20, *range(0x09, 0x0E)]] = True
-_SEEDS = (_U(0x2545F4914F6CDD1D), _U(0x9E6C63D0876A9A35))
 #: Kinds of emitted rows: the line itself, without one character, without one place, and its text.
 FULL, GAP, PLACE, TEXT = 0, 1, 2, 3
 #: Bits of the shared halves: the first (1) or last (2) half of a line as long as this, of one longer by one (4, 8).
 
-
-class _Text:
-    """Code points of a slice of texts, their lines, and hashes of any span."""
-
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        self.points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
-        before = np.concatenate((np.zeros(1, np.int64), np.cumsum((data & 0xC0) != 0x80)))
-        docs = before[offsets]
-        breaks = np.flatnonzero(self.points == 10)
-        owner = np.searchsorted(docs, breaks, "right") - 1
-        # A text has one line more than line feeds; an empty text has one empty line.
-        all_docs = np.concatenate((np.arange(len(docs) - 1), owner))
-        order = np.lexsort((np.concatenate((np.full(len(docs) - 1, -1), breaks)), all_docs))
-        self.doc = all_docs[order]
-        self.begin = np.concatenate((docs[:-1], breaks + 1))[order]
-        ends = np.concatenate((breaks, docs[1:]))
-        self.end = ends[np.lexsort((np.concatenate((breaks, docs[1:])), np.concatenate((owner, np.arange(len(docs) - 1)))))]
-        firsts = np.searchsorted(self.doc, np.arange(len(docs) - 1))
-        self.number = np.arange(len(self.doc)) - firsts[self.doc]
-        wide = self.points.astype(np.uint64)
-        power = kernels._power("up", len(wide) + 1)
-        self.sums = []
-        for seed in _SEEDS:
-            sums = np.zeros(len(wide) + 1, np.uint64)
-            np.cumsum(mix(wide + seed) * power[: len(wide)], out=sums[1:])
-            self.sums.append(sums)
-        self.down = kernels._power("down", len(wide) + 1)
-
-    def span(self, begin: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
-        s = self.sums[which]
-        return (s[end] - s[begin]) * self.down[begin]
-
-    def has_word(self) -> np.ndarray:
-        solid = ~_BLANK[np.minimum(self.points, 0x7F)] | (self.points >= 0x80)
-        count = np.concatenate((np.zeros(1, np.int64), np.cumsum(solid)))
-        return count[self.end] > count[self.begin]
-
-
-def _tag(kind: int, n: np.ndarray) -> np.ndarray:
-    return mix(n.astype(np.uint64) * _U(8) + _U(kind + 1))
+_U = np.uint64
+_BLANKS = " \t\n\v\f\r"
+#: Variants of a batch.
+_BATCH = 1 << 19
 
 
-def _halves(t: _Text, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """(lines x 4) keys of the sides."""
-    n = end - begin
+def _half_keys(line: str) -> list[int]:
+    n = len(line)
     keys = []
-    for more in (0, 1):
-        half = (n + more) // 2
-        rest = n + more - half
-        keys.append(mix(t.span(begin, begin + half) ^ _tag(10, n + more)))
-        keys.append(mix(t.span(end - rest, end) ^ _tag(11, n + more)))
-    return np.stack(keys, axis=1).view(np.int64)
+    for size in (n, n + 1):
+        half = size // 2
+        keys.append(xxhash.xxh3_64_intdigest(line[:half], seed=2 * size))
+        keys.append(xxhash.xxh3_64_intdigest(line[n - (size - half) :], seed=2 * size + 1))
+    return keys
 
 
 _LINES = "doc_id bigint, row bigint, line_no bigint, a bigint, b bigint, halves array<bigint>"
 
 
-def _list_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _list_lines(min_chars: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("line_no", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("halves", pa.list_(pa.int64()))])
-    for batch in batches:
-        for first, end, data, offsets in kernels.text_slices(batch.column("text")):
-            t = _Text(data, offsets)
-            judged = t.has_word()
-            begin, stop = t.begin[judged], t.end[judged]
-            n = stop - begin
-            long = n >= MIN_CHARS
-            cuts = np.concatenate((np.zeros(1, np.int64), np.cumsum(np.where(long, 4, 0))))
-            halves = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(_halves(t, begin[long], stop[long]).reshape(-1)))
-            digests = [pa.array(mix(t.span(begin, stop, i) ^ _tag(0, n)).view(np.int64)) for i in (0, 1)]
-            ids, keys = (batch.column(c).slice(first, end - first).take(pa.array(t.doc[judged])) for c in ("doc_id", "row"))
-            yield pa.RecordBatch.from_arrays([ids, keys, pa.array(t.number[judged]), *digests, halves], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, end, data, offsets in kernels.text_slices(batch.column("text")):
+                raw = data.tobytes()
+                doc, number, digests, halves, cuts = [], [], [], [], [0]
+                for i, (begin, stop) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+                    for n, line in enumerate(raw[begin:stop].decode().split("\n")):
+                        if line.strip(_BLANKS):
+                            doc.append(i)
+                            number.append(n)
+                            digests.append(blake2b(line.encode(), digest_size=16).digest())
+                            if len(line) >= min_chars:
+                                halves += _half_keys(line)
+                            cuts.append(len(halves))
+                both = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+                lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(np.array(halves, np.uint64).view(np.int64)))
+                ids, keys = (batch.column(c).slice(first, end - first).take(pa.array(doc, pa.int64())) for c in ("doc_id", "row"))
+                yield pa.RecordBatch.from_arrays([ids, keys, pa.array(number, pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1]), lists], schema=schema)
+
+    return run
+
+
+# polynomials modulo 2**61 - 1
+
+PRIME = (1 << 61) - 1
+_P, _LOW31, _LOW30 = _U(PRIME), _U((1 << 31) - 1), _U((1 << 30) - 1)
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = (x & _P) + (x >> _U(61))
+    return x - _P * (x >= _P)
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of numbers below the prime."""
+    a1, a0, b1, b0 = a >> _U(31), a & _LOW31, b >> _U(31), b & _LOW31
+    middle = a1 * b0 + a0 * b1
+    return _reduced(_U(2) * a1 * b1 + (middle >> _U(30)) + ((middle & _LOW30) << _U(31)) + a0 * b0)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """1, base, base**2, ...: n of them."""
+    out = np.ones(max(n, 1), np.uint64)
+    have = 1
+    while have < n:
+        more = min(have, n - have)
+        out[have : have + more] = _times(out[:more], np.full(more, pow(base, have, PRIME), np.uint64))
+        have += more
+    return out
+
+
+class _Hasher:
+    """Hashes of lines that stand one after another, whole or without a character, at one point."""
+
+    def __init__(self, points: np.ndarray, base: int):
+        n = len(points)
+        terms = _times(points.astype(np.uint64) + _U(1), _powers(base, n)) if n else np.zeros(0, np.uint64)
+        sums = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(x))) for x in (terms >> _U(31), terms & _LOW31)]
+        self.sums = _reduced(_times(_reduced(sums[0]), np.full(n + 1, 1 << 31, np.uint64)) + _reduced(sums[1]))
+        self.down = _powers(pow(base, -1, PRIME), n + 1)
+
+    def _between(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return _reduced(self.sums[end] + (_P - self.sums[begin]))
+
+    def whole(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return _times(self._between(begin, end), self.down[begin])
+
+    def without(self, begin: np.ndarray, at: np.ndarray, end: np.ndarray) -> np.ndarray:
+        after = _times(self._between(at + 1, end), np.full(len(at), self.down[1] if len(self.down) > 1 else 1, np.uint64))
+        return _times(_reduced(self._between(begin, at) + after), self.down[begin])
+
+
+def _tag(kind: int, n: np.ndarray) -> np.ndarray:
+    return mix(n.astype(np.uint64) * _U(8) + _U(kind + 1))
 
 
 _VARIANTS = "doc_id bigint, row bigint, line_no bigint, kind int, key bigint, proof int, line string"
 
 
-def _list_variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _list_variants(bases: tuple[int, int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows (kind, key, proof) of the lines named in ``want`` (line number * 16 + bits of the shared sides)."""
     schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("line_no", pa.int64()), ("kind", pa.int32()), ("key", pa.int64()), ("proof", pa.int32()), ("line", pa.string())])
-    for batch in batches:
-        for first, end, data, offsets in kernels.text_slices(batch.column("text")):
-            t = _Text(data, offsets)
-            firsts = np.searchsorted(t.doc, np.arange(end - first))
-            rows, sides = [], []
-            for i, want in enumerate(batch.column("want").slice(first, end - first).to_pylist()):
-                want = np.array(want, np.int64)
-                rows.append(firsts[i] + want // 16)
-                sides.append(want % 16)
-            rows, sides = np.concatenate(rows), np.concatenate(sides)
-            names = [batch.column(c).slice(first, end - first) for c in ("doc_id", "row")]
-            step = 0
-            while step < len(rows):  # about a million variants at a time
-                size = np.cumsum(t.end[rows[step:]] - t.begin[rows[step:]])
-                upto = step + max(1, int(np.searchsorted(size, 1 << 19)))
-                yield _variants(t, rows[step:upto], sides[step:upto], names, schema)
-                step = upto
-
-
-def _variants(t: _Text, rows: np.ndarray, sides: np.ndarray, names: list[pa.Array], schema: pa.Schema) -> pa.RecordBatch:
-    begin, end = t.begin[rows], t.end[rows]
-    n = end - begin
-    half = n // 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            wants = batch.column("want")
+            rows, numbers, sides, lines, size = [], [], [], [], 0
+            for i, text in enumerate(batch.column("text")):
+                split = text.as_py().split("\n")
+                for want in wants[i].as_py():
+                    number, side = divmod(want, 16)
+                    if number >= len(split):  # no line of this text
+                        continue
+                    rows.append(i)
+                    numbers.append(number)
+                    sides.append(side)
+                    lines.append(split[number])
+                    size += len(split[number])
+                    if size >= _BATCH:
+                        yield from _variants(batch, rows, numbers, sides, lines, bases, schema)
+                        rows, numbers, sides, lines, size = [], [], [], [], 0
+            if rows:
+                yield from _variants(batch, rows, numbers, sides, lines, bases, schema)
+
+    return run
+
+
+def _variants(batch: pa.RecordBatch, rows: list[int], numbers: list[int], sides: list[int], lines: list[str], bases: tuple[int, int], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    points = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32)
+    hashers = [_Hasher(points, b) for b in bases]
+    n = np.array([len(x) for x in lines], np.int64)
+    end, side = np.cumsum(n), np.array(sides, np.int64)
+    begin = end - n
+    row, number = np.array(rows, np.int64), np.array(numbers, np.int64)
+
+    def out(line: np.ndarray, kind: int, keys: list[np.ndarray], tag: np.ndarray, text: list[str] | None = None) -> pa.RecordBatch:
+        names = [batch.column(c).take(pa.array(row[line])) for c in ("doc_id", "row")]
+        nothing = pa.nulls(len(line), pa.int64()), pa.nulls(len(line), pa.int32())
+        hashed = nothing if text is not None else (pa.array(mix(keys[0] ^ tag).view(np.int64)), pa.array((mix(keys[1] ^ tag) >> _U(33)).astype(np.int32)))
+        return pa.RecordBatch.from_arrays([*names, pa.array(number[line]), pa.array(np.full(len(line), kind, np.int32)), *hashed, pa.array(text, pa.string()) if text is not None else pa.nulls(len(line), pa.string())], schema=schema)
+
+    every = np.arange(len(lines))
+    yield out(every, TEXT, [], every, lines)
+    short = np.flatnonzero(side & 12)
+    yield out(short, FULL, [h.whole(begin[short], end[short]) for h in hashers], _tag(FULL, n[short]))
     # The places that may differ: behind a shared first half, before a shared last half.
-    lo = np.where(sides & 2, 0, half)
-    hi = np.where(sides & 1, n, half)
-    count = np.where(sides & 3, hi - lo, 0)
-    line = np.repeat(np.arange(len(rows)), count)
-    at = np.arange(len(line)) - np.repeat(np.cumsum(count) - count, count) + lo[line]
-    which, kinds, keys, proofs = [line], [], [], []
-    inverse = t.down[1] if len(t.down) > 1 else _U(1)
-    spans = []
-    for i in (0, 1):
-        s, b = t.sums[i], begin[line]
-        spans.append((s[b + at] - s[b] + (s[end[line]] - s[b + at + 1]) * inverse) * t.down[b])
-    pair = [mix(x ^ _tag(FULL, n[line] - 1)) for x in spans]
-    kinds.append(np.full(len(line), GAP))
-    keys.append(pair[0])
-    proofs.append(pair[1])
-    place = mix(at.astype(np.uint64) + _U(7))
-    pair = [mix(x ^ _tag(PLACE, n[line]) ^ place) for x in spans]
-    which.append(line)
-    kinds.append(np.full(len(line), PLACE))
-    keys.append(pair[0])
-    proofs.append(pair[1])
-    short = np.flatnonzero(sides & 12)
-    pair = [mix(t.span(begin[short], end[short], i) ^ _tag(FULL, n[short])) for i in (0, 1)]
-    which.append(short)
-    kinds.append(np.full(len(short), FULL))
-    keys.append(pair[0])
-    proofs.append(pair[1])
-    texts = [t.points[a:b].tobytes().decode("utf-32-le") for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
-    which.append(np.arange(len(rows)))
-    kinds.append(np.full(len(rows), TEXT))
-    row = np.concatenate(which)
-    named = len(row) - len(rows)
-    key = pa.array(np.concatenate([*keys, np.zeros(len(rows), np.uint64)]).view(np.int64), mask=np.arange(len(row)) >= named)
-    proof = pa.array((np.concatenate([*proofs, np.zeros(len(rows), np.uint64)]) >> _U(33)).astype(np.int32))
-    text = pa.concat_arrays([pa.nulls(named, pa.string()), pa.array(texts, pa.string())])
-    source = pa.array(t.doc[rows][row])
-    return pa.RecordBatch.from_arrays([*[x.take(source) for x in names], pa.array(t.number[rows][row]), pa.array(np.concatenate(kinds), pa.int32()), key, proof, text], schema=schema)
-
-
-def _row(text: str = "text"):
-    """The key of a row beside its id."""
-    return F.xxhash64(F.col(text).cast("string"))
-
-
-def judge(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    half = n // 2
+    lo, hi = np.where(side & 2, 0, half), np.where(side & 1, n, half)
+    count = np.where(side & 3, hi - lo, 0)
+    upto = np.cumsum(count)
+    for start in range(0, int(upto[-1]), _BATCH):
+        k = np.arange(start, min(start + _BATCH, int(upto[-1])))
+        line = np.searchsorted(upto, k, "right")
+        place = k - (upto - count)[line] + lo[line]
+        spans = [h.without(begin[line], begin[line] + place, end[line]) for h in hashers]
+        yield out(line, GAP, spans, _tag(FULL, n[line] - 1))
+        yield out(line, PLACE, spans, _tag(PLACE, n[line]) ^ mix(place.astype(np.uint64) + _U(7)))
+
+
+def _row(text: str = "text") -> Column:
+    """The key of a row beside its id: 60 bits of the SHA-256 of its text."""
+    return F.conv(F.left(F.sha2(F.col(text).cast("string").cast("binary"), 256), F.lit(15)), 16, 10).cast("bigint")
+
+
+def judge(docs: DataFrame, scratch: Scratch | None = None, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id, line_no, kept, keeper_doc_id, keeper_line_no, distance: a row for each line with a word.
 
     Lines are what line feeds separate, counted from 0.  ``distance`` is 0 or 1
@@ -201,16 +226,17 @@ def judge(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     earliest equal line.  A null text has no lines; a null id counts as the smallest.
     Rows that share both id and text have the same lines, which stay or go
     together; rows that share an id but not the text are judged each by its own lines.
-    An empty table gives an empty result.
+    Lines of fewer than ``min_chars`` characters go for equal lines only.  An empty
+    table gives an empty result.
     """
-    return _judge_rows(docs, scratch).drop("row")
+    return _judge_rows(docs, scratch, min_chars).drop("row")
 
 
-def _judge_rows(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+def _judge_rows(docs: DataFrame, scratch: Scratch | None = None, min_chars: int = MIN_CHARS) -> DataFrame:
     """What :func:`judge` gives, and ``row``, which tells texts of one id apart."""
     scratch = scratch or Scratch(docs.sparkSession, "lines")
     texts = docs.selectExpr("cast(doc_id as bigint) as doc_id", "cast(text as string) as text").where("text is not null").select("doc_id", _row().alias("row"), "text")
-    lines = scratch.keep(texts.mapInArrow(_list_lines, _LINES), "lines")
+    lines = scratch.keep(texts.mapInArrow(_list_lines(min_chars), _LINES), "lines")
     order = F.struct("doc_id", "line_no", "row")
     distinct = lines.groupBy("a", "b").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n"), F.first("halves").alias("halves"))
     distinct = scratch.keep(distinct, "distinct")
@@ -220,7 +246,8 @@ def _judge_rows(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     open_ = posts.join(shared, "half", "left_semi").groupBy("doc_id", "row", "line_no").agg(F.bit_or(F.expr("1L << side")).alias("sides"))
     want = open_.groupBy(F.col("doc_id").alias("_doc"), F.col("row").alias("_row")).agg(F.sort_array(F.collect_list(F.expr("line_no * 16 + sides"))).alias("want"))
     asked = texts.join(want, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("row") == F.col("_row"))).select("doc_id", "row", "text", "want")
-    emitted = scratch.keep(asked.mapInArrow(_list_variants, _VARIANTS), "variants")
+    bases = (secrets.randbelow(PRIME - 2**32) + 2**31, secrets.randbelow(PRIME - 2**32) + 2**31)
+    emitted = scratch.keep(asked.mapInArrow(_list_variants(bases), _VARIANTS), "variants")
 
     variants = emitted.where(f"kind <> {TEXT}").select("key", "proof", "kind", "doc_id", "row", "line_no")
     met = variants.groupBy("key", "proof").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("key", "proof")
@@ -233,8 +260,8 @@ def _judge_rows(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     pairs = pairs.join(words.select(F.col("o").alias("own"), F.col("line").alias("la")), "own").join(words.select(F.col("o").alias("with_"), F.col("line").alias("lb")), "with_")
     near = pairs.where(F.levenshtein("la", "lb", 1) == 1).groupBy(F.col("own").alias("first")).agg(F.min("with_").alias("near"))
 
-    named = distinct.join(near, "first", "left").where("n > 1 or near is not null").select("a", "b", "first", "near")
-    out = lines.select("doc_id", "row", "line_no", "a", "b").join(named, ["a", "b"], "left")
+    named = distinct.join(near, "first", "left").where("n > 1 or near is not null").select("a", "b", "first", "near", "n")
+    out = _told(lines.select("doc_id", "row", "line_no", "a", "b"), scratch.keep(named, "named"))
     equal = F.when(order != F.col("first"), F.col("first"))
     keeper = F.coalesce("near", equal)
     return out.select(
@@ -248,6 +275,17 @@ def _judge_rows(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     )
 
 
+def _told(lines: DataFrame, named: DataFrame) -> DataFrame:
+    """``lines`` with what is known of each digest; rows of a very common line stay where they are."""
+    hot = named.where(F.col("n") > HOT)
+    common = hot.count()
+    if not 0 < common <= BROADCAST_HOT:
+        return lines.join(named.drop("n"), ["a", "b"], "left")
+    hot = F.broadcast(hot.drop("n"))
+    rest = lines.join(hot, ["a", "b"], "left_anti").join(named.where(F.col("n") <= HOT).drop("n"), ["a", "b"], "left")
+    return rest.unionByName(lines.join(hot, ["a", "b"]))
+
+
 def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts without the lines whose numbers the last column lists; the other columns as they are."""
     for batch in batches:
@@ -256,7 +294,8 @@ def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if gone and text is not None:
                 lines = text.split("\n")
                 for i in gone:
-                    lines[i] = None
+                    if i < len(lines):
+                        lines[i] = None
                 text = "\n".join(x for x in lines if x is not None)
             texts.append(text)
         at = batch.schema.get_field_index("text")

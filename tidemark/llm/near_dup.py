@@ -12,6 +12,8 @@
 4.  A link counts if the full sets pass ``100 * both >= percent * either``.
 5.  Components come from distributed hooking, after a union-find in each
     partition has thinned the links to a forest.
+
+Joins on a bucket or on a centre are salted by the number of rows that meet there.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from tidemark.llm.scratch import Scratch, free_name
 
 #: 20 bands of 4: two sets of similarity 0.8 share none with probability 3e-5.
 BANDS, ROWS = 20, 4
+#: Rows of a bucket, and members of a centre with their sets, that meet in one salt.
+BUCKET_SALT, CENTRE_SALT = 100_000, 2_000
 
 _SKETCH = "doc_id bigint, n_shingles bigint, digest_a bigint, digest_b bigint, bands array<bigint>"
 
@@ -131,7 +135,11 @@ def _components_of(posts: DataFrame, texts: DataFrame, k: int, percent: int, scr
 
     def with_sets(pairs: DataFrame) -> DataFrame:
         both = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
-        return both.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
+        fans = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / CENTRE_SALT).alias("salts"))
+        own = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")).join(fans, "a")
+        own = own.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1))).drop("salts")
+        thin = pairs.join(fans, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt"))
+        return both.join(thin, ["a", "b"]).join(own, ["a", "salt"]).drop("salt")
 
     def linked(pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) whose full sets are similar enough."""
@@ -140,8 +148,10 @@ def _components_of(posts: DataFrame, texts: DataFrame, k: int, percent: int, scr
         return held.select("a", "b").mapInArrow(_forest, "a bigint, b bigint")
 
     first = F.struct(F.negative("meets"), "doc_id")
-    centres = posts.join(met_by, "doc_id").groupBy("key").agg(F.min_by(F.struct("doc_id", "n"), first).alias("c"))
-    met = posts.join(centres, "key").select(F.col("c.doc_id").alias("a"), F.col("c.n").alias("na"), F.col("doc_id").alias("b"), F.col("n").alias("nb"), "size")
+    salts = F.ceil(F.col("size") / BUCKET_SALT)
+    centres = posts.join(met_by, "doc_id").groupBy("key").agg(F.min_by(F.struct("doc_id", "n"), first).alias("c"), F.max("size").alias("size"))
+    centres = centres.select("key", "c", F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1)).alias("salt"))
+    met = posts.withColumn("salt", F.pmod(F.xxhash64("doc_id"), salts)).join(centres, ["key", "salt"]).select(F.col("c.doc_id").alias("a"), F.col("c.n").alias("na"), F.col("doc_id").alias("b"), F.col("n").alias("nb"), "size")
     met = scratch.keep(met.groupBy("a", "b", "na", "nb").agg(F.max("size").alias("size")), "met")
     links = scratch.keep(linked(met.where(f"a <> b and 100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b")), "links")
     classes = components(links, scratch)
@@ -197,10 +207,24 @@ def _beside_centre(members: DataFrame, percent: int, scratch: Scratch) -> DataFr
 
 
 def keep_first(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
-    """The rows of ``docs`` but those that belong to the group of a smaller id; all columns stay.
+    """One row of ``docs`` of each group of near copies; all columns stay.
 
-    Five-word shingles and a similarity of 0.8.
+    Five-word shingles and a similarity of 0.8.  Each row is judged by its own text,
+    whatever its id: of a group the row with the smallest id stays, one without an id
+    only if none has one; of rows that share an id, or have none, the one whose text
+    and columns have the smallest digest.  Rows without words all stay.
     """
-    name = free_name(docs, "_gone")
-    gone = groups(docs, k=5, percent=80, scratch=scratch).where("not kept").select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")
+    scratch = scratch or Scratch(docs.sparkSession, "near_dup")
+    uid, doc, rank = (free_name(docs, x) for x in ("_uid", "_doc", "_rank"))
+    # Numbers are fixed by being written: what follows reads them from the files.
+    rows = scratch.keep(docs.withColumn(uid, F.monotonically_increasing_id()), "rows")
+    found = groups(rows.select(F.col(uid).alias("doc_id"), "text"), k=5, percent=80, scratch=scratch)
+    hashed = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    named = rows.select(F.col(uid).alias(doc), F.struct(F.col("doc_id").isNull(), "doc_id", F.sha2(F.coalesce("text", F.lit("")), 256), F.xxhash64(*hashed), uid).alias(rank))
+    # Only rows that a link joins to another are ranked.
+    sizes = found.groupBy("component_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    linked = found.join(sizes, "component_id", "left_semi").join(named, F.col("doc_id") == F.col(doc))
+    first = linked.groupBy("component_id").agg(F.min(rank).alias("_first"))
+    stay = first.select(F.col(f"_first.{uid}").alias(doc))
+    gone = scratch.keep(linked.select(doc).join(stay, doc, "left_anti"), "gone")
+    return rows.join(gone, F.col(uid) == F.col(doc), "left_anti").drop(uid)

@@ -27,6 +27,8 @@ from collections.abc import Iterator
 import numpy as np
 from tokenizers import Tokenizer
 
+from tidemark.llm.kernels import span_hashes
+
 #: A task has one core; the library would take all of the machine's.
 os.environ["TOKENIZERS_PARALLELISM"] = "false"
 
@@ -43,7 +45,6 @@ LONG = 64
 
 _U = np.uint64
 _KEYS = np.frombuffer(os.urandom(32), np.uint64) | _U(1)
-_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 _LETTER, _SIGN, _SOLID, _SAFE_NEXT = (np.zeros(256, bool) for _ in range(4))
 _LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
@@ -78,38 +79,8 @@ def byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
-def _hashed(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two keyed 64-bit hashes of spans of bytes, eight bytes a round; the first is never 0."""
-    padded = np.concatenate((data, np.zeros(8, np.uint8)))
-    words = np.ndarray(len(data) + 1, np.uint64, padded, strides=(1,))
-    one, two = _KEYS[0] + size.astype(np.uint64), _KEYS[1] ^ size.astype(np.uint64)
-    live = None
-    left, at = size, begin
-    while True:
-        chunk = words[at] & _MASKS.take(left, mode="clip")
-        a, b = (one, two) if live is None else (one[live], two[live])
-        a = (a ^ chunk) * _KEYS[2]
-        a ^= a >> _U(29)
-        b = (b + chunk) * _KEYS[3]
-        b ^= b >> _U(32)
-        if live is None:
-            one, two = a, b
-        else:
-            one[live], two[live] = a, b
-        more = np.flatnonzero(left > 8)
-        if not len(more):
-            break
-        live = more if live is None else live[more]
-        left, at = left[more] - 8, at[more] + 8
-    one = one * _KEYS[3]
-    one ^= one >> _U(31)
-    two = two * _KEYS[2]
-    two ^= two >> _U(30)
-    return np.maximum(one, _U(1)), two
-
-
 class _Units:
-    """Numbers of units by the hashes of their bytes: open addressing in arrays."""
+    """Numbers of units by the hashes of their bytes (the first not 0): open addressing in arrays."""
 
     def __init__(self) -> None:
         self.one, self.two = np.zeros(_SLOTS, np.uint64), np.zeros(_SLOTS, np.uint64)
@@ -262,7 +233,8 @@ class Encoder:
         edge[offsets] = True
         begin = np.flatnonzero(edge)
         begin, size = begin[:-1], np.diff(begin)
-        one, two = _hashed(data, begin, np.minimum(size, LONG))
+        one, two = span_hashes(data, begin, np.minimum(size, LONG), _KEYS)
+        np.maximum(one, _U(1), out=one)
         code = self._units.find(one, two)
         long = np.flatnonzero(size > LONG)
         code[long] = -2
