@@ -10,6 +10,7 @@ folded back, so no structure of a text makes words collide.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -37,6 +38,13 @@ def keys_of(seed: int) -> np.ndarray:
     return np.random.Generator(np.random.PCG64(seed)).integers(0, 1 << 64, 4, dtype=np.uint64) | _U(1)
 
 
+def release() -> None:
+    """Give freed memory back to the system, where the C library can; large arrays else stay with the process."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A permutation of 64-bit numbers with well-spread bits."""
     x = x ^ (x >> _U(30))

@@ -132,7 +132,7 @@ class _Tables:
 
     def learn(self, n: int, ids: np.ndarray, held2: np.ndarray, held1: np.ndarray) -> None:
         """Take in the ids that followed, which order 2 and order 1 held or not."""
-        fresh = ids.astype(_ENTRY)
+        fresh = ids.astype(_ENTRY) if ids.dtype != _ENTRY else ids.copy()
         fresh <<= 2
         fresh += 1
         for table, at, sure, held in ((self.second, self.at2, self.c2, held2), (self.first, self.at1, self.c1, held1)):
@@ -219,10 +219,11 @@ class Blocks:
         lengths = np.array([len(b) for b in blocks], np.int64)
         self.order, self.working = _lanes(lengths)
         self.lengths = lengths
-        ids = np.zeros((len(blocks), len(self.working)), np.int64)
+        ids = np.zeros((len(blocks), len(self.working)), np.int32)
         for lane, i in enumerate(self.order.tolist()):
             ids[lane, : lengths[i]] = prior.places(blocks[i])
         self.ids = np.ascontiguousarray(ids.T)
+        del ids
         self.state = np.zeros(self.ids.shape, np.int8)
         #: Whose prediction an id takes: 2 of order 2, 1 of order 1 if order 2 doesn't hold, 0 of order 0.
         self.who = np.zeros(self.ids.shape, np.int8)

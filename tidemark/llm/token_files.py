@@ -39,8 +39,8 @@ from tidemark.llm.tokens import encoder
 
 MAGIC, VERSION = b"TMTK", 2
 BLOCK = 1024
-#: Ids after which a segment ends, with the slice of documents that reaches them.
-SEGMENT = 1 << 21
+#: Ids after which a segment ends, with the slice of documents that reaches them: its blocks mostly fit side by side.
+SEGMENT = 3 << 19
 #: Blocks that are coded side by side at most.
 LANES = 2048
 #: Parts up to which their table is broadcast; beyond, it is joined.
@@ -147,6 +147,7 @@ def _packer(path: str, end_id: int):
                 if now.total >= SEGMENT:
                     yield row(now)
                     now, number = Segment(now.before + now.total), number + 1
+                    kernels.release()
         if now.doc_ids:
             yield row(now)
 
@@ -181,6 +182,7 @@ def _unpacker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer((np.concatenate(([0], ends)) * 4).astype(np.int32)), pa.py_buffer(flat)])
             columns = [pa.array(segment.doc_ids, pa.int64()), pa.array([part] * len(sizes), pa.int32()), pa.array(segment.before + ends - sizes), pa.array(sizes), ids]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
+            kernels.release()
 
 
 def read(spark: SparkSession, folder: str, scratch: Scratch | None = None) -> DataFrame:

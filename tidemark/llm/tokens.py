@@ -33,8 +33,8 @@ from tidemark.llm.kernels import span_hashes
 os.environ["TOKENIZERS_PARALLELISM"] = "false"
 
 #: Units a worker remembers before it drops those it has met less often; about 80 bytes each.
-REMEMBERED = 1_000_000
-_SLOTS = 1 << 21
+REMEMBERED = 600_000
+_SLOTS = 1 << 20
 
 #: New units that are encoded as one text.
 TOGETHER = 60
@@ -141,7 +141,7 @@ class Encoder:
     def _forget(self) -> None:
         self._units, self._long = _Units(), {}
         self._one, self._two = np.zeros(1 << 14, np.uint64), np.zeros(1 << 14, np.uint64)
-        self._start, self._length, self._met = (np.zeros(1 << 14, np.int64) for _ in range(3))
+        self._start, self._length, self._met = (np.zeros(1 << 14, np.int32) for _ in range(3))
         self._flat = np.zeros(1 << 16, np.uint32)
         self._count = self._used = 0
 
@@ -150,7 +150,7 @@ class Encoder:
         met = self._met[: self._count]
         least = max(2, int(np.partition(met, len(met) // 2)[len(met) // 2]) + 1)
         stay = np.flatnonzero(met >= least)
-        one, two, met, sizes, starts = self._one[stay], self._two[stay], met[stay] // 2, self._length[stay], self._start[stay]
+        one, two, met, sizes, starts = self._one[stay], self._two[stay], met[stay] // 2, self._length[stay].astype(np.int64), self._start[stay].astype(np.int64)
         ids = self._flat[_spans(starts, sizes)]
         self._forget()
         self._store(one, two, ids, sizes)
@@ -251,7 +251,7 @@ class Encoder:
             self._store(one[at], two[at], ids, sizes)
         self._met[: self._count] += np.bincount(np.maximum(code, 0), minlength=self._count)
         code[long] = 0
-        lengths, starts = self._length[code], self._start[code]
+        lengths, starts = self._length[code].astype(np.int64), self._start[code].astype(np.int64)
         flat = self._flat
         if len(long):
             raw = data.tobytes()
