@@ -9,31 +9,31 @@ def _q(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def _canonical(text: str) -> str:
-    low = f"lower({text})"
-    plain = f"regexp_replace(regexp_replace({low}, {_q(licenses.COPYRIGHT_LINE)}, '', 'g'), {_q(licenses.PUNCTUATION)}, ' ', 'g')"
+def _plain(text: str) -> str:
+    return f"regexp_replace(regexp_replace(regexp_replace(lower({text}), {_q(licenses.OWN_NOTICE)}, '', 'g'), {_q(licenses.COPYRIGHT_LINE)}, '', 'g'), {_q(licenses.PUNCTUATION)}, '', 'g')"
+
+
+def _digest(plain: str) -> str:
     for spelling, stands in licenses.SPELLINGS:
         plain = f"replace({plain}, {_q(spelling)}, {_q(stands)})"
-    return f"list_filter(list_transform(string_split({plain}, chr(10)), lambda x: trim(x)), lambda x: x <> '')"
+    return f"sha256({plain})"
 
 
 OP1 = f"""
-with known as (
-  select digest, min(license) as license from (
-    select license, sha256(array_to_string({_canonical('text')}, ' ')) as digest
-    from (values {', '.join(f'({_q(a)}, {_q(b)})' for a, b in licenses.KNOWN)}) k(license, text)
-  ) group by digest
-), lines as (select doc_id, {_canonical('text')} as l from documents where text is not null),
+with known as (select * from (values {', '.join(f"({_q(d)}, {_q(name)})" for name, _, _, d in licenses.known_entries())}) k(digest, name)),
+rows_ as (select row_number() over () as r, doc_id, text from documents),
+plain as (select r, {_plain('text')} as p from rows_ where text is not null),
+lines as (select r, replace(p, chr(10), '') as w, list_filter(string_split(p, chr(10)), lambda x: x <> '') as l from plain),
 units as (
-  select doc_id, true as whole, sha256(array_to_string(l, ' ')) as digest from lines where len(l) > 0
-  union all select doc_id, false, sha256(x) from (select doc_id, unnest(l) as x from lines where len(l) > 1)
+  select r, true as whole, {_digest('w')} as digest from lines where len(l) > 0
+  union all select r, false, {_digest('x')} from (select r, unnest(l) as x from lines where len(l) > 1)
 ), found as (
-  select doc_id, min(case when whole then license end) as license,
-    string_agg(distinct case when not whole then license end, ',' order by case when not whole then license end) as notices,
-    count(case when not whole then 1 end) as n from units join known using (digest) group by doc_id
+  select r, min(case when whole then name end) as license,
+    string_agg(distinct case when not whole then name end, ',' order by case when not whole then name end) as notices,
+    count(case when not whole then 1 end) as n from units join known using (digest) group by r
 )
 select d.doc_id, f.license, coalesce(f.notices, '') as notices, coalesce(f.n, 0)::bigint as n_notice_lines
-from documents d left join found f on d.doc_id is not distinct from f.doc_id
+from rows_ d left join found f on d.r = f.r
 """
 
 
@@ -128,10 +128,12 @@ bars as (
 ), tests as (
   select stratum, g.rule, g.cutoff, count(*) as n, count(case when score > cutoff then 1 end) as k
   from bars join (values {_GRID}) g(rule, cutoff) on bars.rule = g.rule group by stratum, g.rule, g.cutoff
-), chosen as (select stratum, rule, cutoff from (select *, {_CDF} <= {quality.DELTA} / count(*) over () as proved from tests) where proved),
+), sequences as (select count(*) as m from (select distinct stratum, rule from tests)),
+proofs as (select *, {_CDF} <= {quality.DELTA} / m as proved from tests, sequences),
+chosen as (select stratum, rule, cutoff from (select *, bool_and(proved) over (partition by stratum, rule order by cutoff desc) as held from proofs) where held),
 cut as (select stratum, {', '.join(f"min(case when rule = '{k}' then cutoff end) as max_{k}" for k in quality.GRID)} from chosen group by stratum)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  not base_failed and not ({' or '.join(f'coalesce({k} > max_{k}, false)' for k in quality.GRID)}) as kept
+  not base_failed and not ({' or '.join(f'coalesce({k} > max_{k}, false)' for k in quality.GRID)}) as kept, {', '.join(f'max_{k}' for k in quality.GRID)}
 from s left join cut on s.stratum is not distinct from cut.stratum
 """
 
