@@ -299,6 +299,14 @@ def test_vectors_of_odd_tables(spark):
     vectors = spark.createDataFrame(rows, VECTORS)
     wide = vectors.select("*", *[F.lit(1).alias(c) for c in ("block", "part", "list", "rank", "score", "query_id")])
     got = [tuple(r) for r in ann.nearest(wide).orderBy("query_id", "rank").collect()]
-    assert got == [(0, 1, 20, 1.0), (0, 2, 1, 0.5), (0, 3, 8, -1.0), (20, 1, 0, 1.0), (20, 2, 1, 0.5), (20, 3, 8, -1.0)]
+    # A shorter vector counts as having zeros behind its end.
+    assert got == [(0, 1, 7, 1.0), (0, 2, 20, 1.0), (0, 3, 1, 0.5), (0, 4, 8, -1.0), (20, 1, 0, 1.0), (20, 2, 7, 1.0), (20, 3, 1, 0.5), (20, 4, 8, -1.0)]
     assert ann.nearest(vectors.limit(0)).count() == 0
     assert ann.nearest(vectors.where("vec_id = 0")).count() == 0
+
+
+def test_overflowing_scores(spark):
+    """Scores beyond double precision are infinite, and no number where two of them cancel; that one is the last."""
+    rows = [(0, [1e200, 1e200]), (1, [1e200, 1.0]), (2, [1e200, -1e200]), (3, [2.0, 1.0]), (4, [-1e200, 0.0])]
+    got = [(r["vec_id"], str(r["score"])) for r in ann.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).orderBy("rank").collect()]
+    assert got == [(1, "inf"), (3, "3e+200"), (4, "-inf"), (2, "nan")]

@@ -23,29 +23,37 @@ from pyspark.sql import functions as F
 from tidemark.llm.scratch import Scratch
 
 #: Pivots: the bounded sample that the index is fitted on; pivots in a vector's list.
-PIVOTS, LISTED = 256, 128
-#: Share of a block that is ranked again, and the least number.
-RERANKED, LEAST = 0.3, 256
+PIVOTS, LISTED = 256, 64
+#: Share of a block that is ranked again; at least twice as many as are asked for.
+RERANKED = 0.3
 #: Vectors and queries that meet in one task.
-BLOCK, QUERIES = 8192, 1024
+BLOCK, QUERIES = 8192, 8192
 
 
 def usable(vectors: DataFrame) -> DataFrame:
     """vec_id, embedding of the rows that take part, one per id.
 
     Null ids, null, zero and empty vectors and those with a null or non-finite
-    component take no part, nor does a vector of another length than most.  Of
-    rows that share an id the one with the smallest vector stays.
+    component take no part.  A vector that is shorter than others counts as having
+    zeros behind its end.  Of rows that share an id the one with the smallest vector
+    stays.
     """
-    rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    kind = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding"))
     sound = F.forall("embedding", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))) & F.exists("embedding", lambda x: x != 0)
     rows = rows.where(F.col("vec_id").isNotNull() & F.coalesce(sound, F.lit(False)))
     return rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+def _matrix(column: pa.ChunkedArray | pa.Array, dims: int) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    if len(flat) == len(column) * dims:
+        return flat.reshape(-1, dims)
+    sizes = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    out = np.zeros((len(column), dims))
+    out[np.arange(dims)[None, :] < sizes[:, None]] = flat
+    return out
 
 
 def permutations(x: np.ndarray, pivots: np.ndarray, longest: float, listed: int, query: bool = False) -> np.ndarray:
@@ -65,22 +73,24 @@ def search_block(ids: np.ndarray, x: np.ndarray, lists: np.ndarray, query_ids: n
     rows = np.arange(n)
     for place in range(listed):
         files[lists[:, place], rows] = listed - place
-    some = min(n, max(LEAST, int(n * RERANKED)))
-    out = []
-    for query, vector, pivot_list in zip(query_ids, q, query_lists, strict=True):
-        # The footrule distance is a constant less twice this sum over the common pivots.
-        common = np.zeros(n, np.uint16)
-        for place, pivot in enumerate(pivot_list.tolist()):
-            common += np.minimum(files[pivot], listed - place)
-        if some < n:
-            key = common.astype(np.int64) * n + (n - 1 - rows)
-            picked = np.sort(np.argpartition(key, n - some)[n - some :])
-        else:
-            picked = rows
-        picked = picked[ids[picked] != query]
-        scores = (x[picked] * vector).sum(axis=1)
-        best = np.argsort(-scores, kind="stable")[:k]
-        out.append((query, ids[picked[best]], scores[best]))
+    some = min(n, max(2 * k, -int(-n * RERANKED // 1)))
+    out, least, common = [], np.empty(n, np.uint8), np.empty(n, np.uint16)
+    with np.errstate(over="ignore", invalid="ignore"):
+        for query, vector, pivot_list in zip(query_ids, q, query_lists, strict=True):
+            # The footrule distance is a constant less twice this sum over the common pivots.
+            common[:] = 0
+            for place, pivot in enumerate(pivot_list.tolist()):
+                np.minimum(files[pivot], np.uint8(listed - place), out=least)
+                common += least
+            if some < n:
+                key = common.astype(np.int64) * n + (n - 1 - rows)
+                picked = np.sort(np.argpartition(key, n - some)[n - some :])
+            else:
+                picked = rows
+            picked = picked[ids[picked] != query]
+            scores = (x[picked] * vector).sum(axis=1)
+            best = np.argsort(-np.where(np.isnan(scores), -np.inf, scores), kind="stable")[:k]
+            out.append((query, ids[picked[best]], scores[best]))
     return out
 
 
@@ -89,39 +99,44 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, scratch: Scratch |
 
     Queries are the usable vectors whose id is divisible by ``every``, candidates
     all others.  Fewer than k candidates are all returned; a query without any
-    has no rows; an empty table gives an empty result.
+    has no rows; an empty table gives an empty result.  Scores are what double
+    precision gives; one that is no number, as of two overflows, is the last.
     """
     spark = vectors.sparkSession
     scratch = scratch or Scratch(spark, "ann")
     schema = "query_id bigint, rank int, vec_id bigint, score double"
     rows = usable(vectors)
     rows = scratch.keep(rows, "vectors")
-    dims = rows.groupBy(F.size("embedding").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").first()
-    if dims is None:
+    most = F.max(F.array_max(F.transform("embedding", lambda x: F.abs(x.cast("double")))))
+    dims, total, asked, top = rows.agg(F.max(F.size("embedding")), F.count(F.lit(1)), F.count(F.when(F.col("vec_id") % every == 0, 1)), most).first()
+    if not total:
         return spark.createDataFrame([], schema)
-    rows = rows.where(F.size("embedding") == dims["d"])
-    square = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)
-    total, asked, longest = rows.agg(F.count(F.lit(1)), F.count(F.when(F.col("vec_id") % every == 0, 1)), F.max(F.sqrt(square))).first()
+    # The index looks at vectors divided by the largest component, so that no length overflows.
+    longest = rows.agg(F.max(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + (x / top) * (x / top))))).first()[0]
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(2 * PIVOTS).select("embedding").collect()
-    own = np.unique(np.array([r[0] for r in sample], np.float64), axis=0, return_index=True)[1]
-    points = np.array([sample[i][0] for i in sorted(own.tolist())[:PIVOTS]], np.float64)
+    points = np.zeros((len(sample), dims))
+    for i, r in enumerate(sample):
+        points[i, : len(r[0])] = r[0]
+    own = np.unique(points, axis=0, return_index=True)[1]
+    points = points[np.sort(own)[:PIVOTS]] / top
     more = np.sqrt(np.maximum(longest**2 - (points**2).sum(axis=1), 0))
     pivots = np.column_stack((points, more))
+    kind = rows.schema["embedding"].dataType.simpleString()
     listed, blocks, parts = min(LISTED, len(pivots)), -(-total // BLOCK), max(1, -(-asked // QUERIES))
 
     def listing(query: bool):
-        out = pa.schema([("vec_id", pa.int64()), ("embedding", pa.list_(pa.float64())), ("list", pa.binary())])
+        out = pa.schema([("vec_id", pa.int64()), ("embedding", pa.list_(pa.float32() if kind == "array<float>" else pa.float64())), ("list", pa.binary())])
 
         def run(batches):
             for batch in batches:
-                found = permutations(_matrix(batch.column("embedding")), pivots, longest, listed, query)
+                found = permutations(_matrix(batch.column("embedding"), dims) / top, pivots, longest, listed, query)
                 lists = pa.Array.from_buffers(pa.binary(), len(found), [None, pa.py_buffer(np.arange(len(found) + 1, dtype=np.int32) * listed), pa.py_buffer(np.ascontiguousarray(found))])
-                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("embedding"), lists], schema=out)
+                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("embedding").cast(out.field(1).type), lists], schema=out)
 
         return run
 
     def table(df: DataFrame, query: bool, n: int, own: str, other: str, copies: int) -> DataFrame:
-        named = df.select("vec_id", "embedding").mapInArrow(listing(query), "vec_id bigint, embedding array<double>, list binary")
+        named = df.select("vec_id", "embedding").mapInArrow(listing(query), f"vec_id bigint, embedding {kind}, list binary")
         named = named.withColumn(own, F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int"))
         return named.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
 
@@ -129,7 +144,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, scratch: Scratch |
         names = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
         if not len(left) or not len(right):
             return names.empty_table()
-        unpack = lambda t: (t["vec_id"].to_numpy(), _matrix(t["embedding"]), np.frombuffer(b"".join(t["list"].to_pylist()), np.uint8).reshape(len(t), listed))
+        unpack = lambda t: (t["vec_id"].to_numpy(), _matrix(t["embedding"], dims), np.frombuffer(b"".join(t["list"].to_pylist()), np.uint8).reshape(len(t), listed))
         found = search_block(*unpack(left), *unpack(right), k, len(pivots))
         sizes = [len(f[1]) for f in found]
         return pa.table([pa.array(np.repeat([f[0] for f in found], sizes), pa.int64()), pa.array(np.concatenate([f[1] for f in found]), pa.int64()), pa.array(np.concatenate([f[2] for f in found]))], schema=names)
@@ -137,5 +152,5 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, scratch: Scratch |
     left = table(rows, False, blocks, "block", "part", parts)
     right = table(rows.where(F.col("vec_id") % every == 0), True, parts, "part", "block", blocks)
     met = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(search, "query_id bigint, vec_id bigint, score double")
-    ranked = met.selectExpr("query_id", "int(row_number() over (partition by query_id order by score desc, vec_id)) as rank", "vec_id", "score")
+    ranked = met.selectExpr("query_id", "int(row_number() over (partition by query_id order by if(isnan(score), null, score) desc nulls last, vec_id)) as rank", "vec_id", "score")
     return ranked.where(F.col("rank") <= k)
