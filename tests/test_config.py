@@ -46,7 +46,7 @@ def test_overrides():
     config = {"a": {"b": 1}, "c": 2}
     cfg.override(config, "a.d.e=[1, x]")
     assert config["a"]["d"]["e"] == [1, "x"]
-    for bad in ("a", "a..b=1", "c.d=1"):
+    for bad in ("a", "a..b=1", "c.d=1", ".a=1", "a.=1", "=1"):
         with pytest.raises(cfg.ConfigError):
             cfg.override(config, bad)
 
@@ -76,6 +76,13 @@ def test_task_rules(task_config, key, value, message):
         cfg.validate_task(config)
 
 
+def test_all_faults_are_told(task_config):
+    config = task_config({"a": "a.yaml"})
+    cfg.put(config, "budget.value", 0)
+    cfg.put(config, "data.test", [])
+    assert len(cfg.TASK.faults(config)) == 2
+
+
 def test_unknown_and_missing_sections(task_config):
     with pytest.raises(cfg.ConfigError, match="unknown fields"):
         cfg.validate_task(task_config({"a": "a"}) | {"extra": 1})

@@ -122,18 +122,18 @@ def test_full_and_static(samples):
     assert sorted(r["sample_id"] for r in planned.collect()) == ["a::train0", "a::train1", "b::train0", "b::train1"]
 
 
-@pytest.mark.parametrize("numpy_order", [False, True])
-def test_replay(samples, numpy_order):
+@pytest.mark.parametrize("draw", ["hash", "numpy", None])
+def test_replay(samples, draw):
     found = scope.resolve(samples, ["c"], ["a", "b", "c"], ["a"], ["a"])
-    policy = selection.RandomReplay({"replay_size": 2}, numpy_order)
+    policy = selection.policy("random_replay", {"replay_size": 2} | ({"draw": draw} if draw else {}))
     rows = [sorted(map(tuple, policy.select(df, 42).collect())) for df in (found, found.repartition(7))]
     assert rows[0] == rows[1]
     replay = [i for role, i in rows[0] if role == "replay"]
     assert len(replay) == 2 and all(i[0] in "ab" for i in replay)
-    if numpy_order:
+    if draw != "hash":
         history = sorted(i for i, g, s in SAMPLES if s == "train" and g != "c")
         assert replay == sorted(np.random.default_rng(42).choice(history, size=2, replace=False).tolist())
-    short = selection.RandomReplay({"replay_size": 50}, numpy_order).select(found, 1)
+    short = selection.policy("random_replay", {"replay_size": 50} | ({"draw": draw} if draw else {})).select(found, 1)
     assert short.where("role = 'replay'").count() == 4
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark import backends, cli, doctor
 from tidemark.operators.registry import IntegrityError
-from tidemark.plans.runner import SequenceRunner, TaskRunner, devices, file_name
+from tidemark.plans.runner import SequenceRunner, TaskRunner, devices, file_name, first_weights
 from tidemark.sources import files, images
 from tidemark.streaming import arrivals
 
@@ -37,6 +37,20 @@ def test_manifest_entries(spark, tmp_path, dataset):
     assert found == ["g::images/train/absent.xyz", "g::images/train/g_train_0.jpg", "g::images/train/g_train_1.jpg"]
 
 
+def test_odd_names_are_listed(spark, tmp_path):
+    """Hidden, empty and pattern-like names are files like any other."""
+    root = tmp_path / "run [1]{a}"
+    names = ["images/train/_e.jpg", "images/train/.g.JPG", "images/train/zero.png", "images/train/a, b*.jpg", "images/_more/x.jpg", "images/val/v.jpg", "images/test/t.jpg"]
+    for name in names:
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(b"" if "zero" in name else b"x")
+    (root / "_list.txt").write_text("images/test/t.jpg\n")
+    (root / "x[1].txt").write_text("images/val/v.jpg\n")
+    (root / "_d[1].yaml").write_text("train: [images/train, images/_more]\nval: 'x[1].txt'\ntest: _list.txt\nnames: [object]\n")
+    records, spec = images.group(spark, "g", str(root / "_d[1].yaml"))
+    assert sorted(r["sample_id"] for r in records.collect()) == sorted(f"g::{n}" for n in names) and spec.names == ("object",)
+
+
 def test_dataset_faults(spark, tmp_path, dataset):
     path = dataset("g", counts=(("train", 1), ("val", 1), ("test", 0)))
     with pytest.raises(IntegrityError, match="no images"):
@@ -61,7 +75,8 @@ def test_task(spark, dataset, task_config):
     assert result["status"] == read(out, "task_status.json")["status"] == "completed"
     assert result["cost"]["candidate_count"] == result["cost"]["selected_count"] == 4
     assert result["cost"]["optimizer_steps"] == 4 and result["cost"]["images_read"] == 8
-    assert result["metrics"]["best"]["s1"]["map50_95"] == pytest.approx(0.51)
+    assert result["cost"]["training_seconds"] == pytest.approx(0.008) and result["cost"]["evaluation_seconds"] == pytest.approx(0.004)
+    assert result["metrics"]["best"]["s1"]["map50_95"] == pytest.approx(1 / 4)
     assert result["artifacts"]["last_checkpoint"] == "checkpoints/last.pt"
     manifest = lines(Path(out, "data", "backend_train_images.txt"))
     assert manifest == sorted(manifest) and len(manifest) == 4 and not list(Path(out).rglob("*.jpg"))
@@ -106,7 +121,7 @@ def test_sequence(spark, tmp_path, dataset):
     out = SequenceRunner(spark, sequence(tmp_path, [dataset(f"s{i}") for i in range(3)])).run()
     found = read(out, "sequence_result.json")["summary"]
     assert [sorted(r) for r in found["matrix"]] == [["s0"], ["s0", "s1"], ["s0", "s1", "s2"]]
-    assert found["seen_mean"] == pytest.approx([0.5, 0.505, 0.51]) and found["final_forgetting"] == {"s0": 0, "s1": 0, "s2": 0}
+    assert found["seen_mean"] == pytest.approx([1 / 17] * 3) and found["final_forgetting"] == {"s0": 0, "s1": 0, "s2": 0}
     tasks = sorted(Path(out, "tasks").iterdir())
     assert [t.name for t in tasks] == ["000__s0__l", "001__s1__l", "002__s2__l"]
     assert read(tasks[2], "task_result.json")["parent_result"] == str(tasks[1])
@@ -138,7 +153,7 @@ def test_initialization_faults(spark, tmp_path, task_config, dataset):
         config = task_config(catalog, initialization=start)
         config["task"]["parent_result"] = str(tmp_path / "none")
         with pytest.raises(error):
-            TaskRunner(spark, config).start(("object",))
+            first_weights(spark, config, ("object",))
     parent = tmp_path / "parent"
     parent.mkdir()
     config = task_config(catalog, initialization={"source": "parent", "checkpoint": "best"})
@@ -146,7 +161,7 @@ def test_initialization_faults(spark, tmp_path, task_config, dataset):
     for result, match in (({"status": "failed"}, "not completed"), ({"status": "completed", "label_schema": ["x"]}, "label schema"), ({"status": "completed", "label_schema": ["object"], "artifacts": {"best_checkpoint": "b.pt"}}, "no checkpoint")):
         (parent / "task_result.json").write_text(json.dumps(result))
         with pytest.raises((ValueError, FileNotFoundError), match=match):
-            TaskRunner(spark, config).start(("object",))
+            first_weights(spark, config, ("object",))
 
 
 def test_files(spark, tmp_path):
@@ -170,7 +185,7 @@ def test_files(spark, tmp_path):
 def test_backend_boundary(spark, task_config):
     config = task_config({"a": "a"})
     given = backends.training_arguments(config, "d.yaml", "/o")
-    assert (given["epochs"], given["seed"], given["batch"], given["deterministic"], given["exist_ok"]) == (2, 3, 2, True, False)
+    assert (given["epochs"], given["seed"], given["batch"], given["deterministic"], given["exist_ok"]) == (2, 3, 3, True, False)
     config["backend"]["params"]["odd"] = 1
     with pytest.raises(ValueError, match="odd"):
         backends.training_arguments(config, "d", "/o")
@@ -181,6 +196,54 @@ def test_backend_boundary(spark, task_config):
     assert file_name("a/b  c") == "a-b-c" and file_name("--.") == "run"
 
 
+class Box:
+    map, map50, mp, mr, maps = 0.4, 0.5, 0.6, 0.7, [0.4]
+
+
+def test_library_backend(spark, tmp_path, dataset, task_config, monkeypatch):
+    """The library as it is called: manifests, arguments, copies of checkpoints, scores, predictions by id."""
+    import sys
+    import types
+
+    calls = []
+
+    class Model:
+        def __init__(self, checkpoint):
+            self.checkpoint = checkpoint
+
+        def train(self, **given):
+            weights = Path(given["project"], given["name"], "weights")
+            weights.mkdir(parents=True)
+            (weights / "last.pt").write_text("w")
+            (weights.parent / "results.csv").write_text("epoch, loss\n1, 2.5\n")
+            calls.append((self.checkpoint, Path(given["data"]).read_text()))
+
+        def val(self, **given):
+            return types.SimpleNamespace(box=Box)
+
+        def predict(self, source, **_):
+            return [f"seen {Path(p).name}" for p in source]
+
+    monkeypatch.setitem(sys.modules, "ultralytics", types.SimpleNamespace(YOLO=Model))
+    config = task_config({"s0": dataset("s0")}, model={"backend": "ultralytics", "definition": "net.yaml"})
+    out = Path(TaskRunner(spark, config).run())
+    result = read(out, "task_result.json")
+    assert result["artifacts"]["data_yaml"] == "data/backend_data.yaml" and calls[0][0] == "net.pt"
+    assert (out / "checkpoints" / "best.pt").read_text() == (out / "checkpoints" / "last.pt").read_text() == "w"
+    assert result["metrics"]["last"]["s0"]["map50_95"] == 0.4 and result["metrics"]["best"]["s0"]["per_class_ap"] == {"object": 0.4}
+    assert (out / "metrics" / "train_history.csv").read_text().split() == ["epoch,loss", "1.0,2.5"]
+    listed = (out / "data" / "backend_train_images.txt").read_text().split()
+    assert len(listed) == 2 and listed == sorted(listed)
+    rows = spark.createDataFrame([(1, "b", "/x/2.jpg"), (0, "a", "/x/1.jpg")], "pos int, sample_id string, image_path string")
+    own = backends.backend(spark, config)
+    assert own.predict(rows, "w.pt") == {"a": "seen 1.jpg", "b": "seen 2.jpg"} and own.predict(rows.limit(0), "w.pt") == {}
+    (out / "checkpoints" / "best.pt").unlink()
+    with pytest.raises(FileNotFoundError, match="no checkpoint"):
+        first_weights(spark, config | {"task": {"parent_result": str(out)}, "initialization": {"source": "parent", "checkpoint": "best"}}, ("object",))
+    with pytest.raises(FileNotFoundError):  # a folder is no checkpoint
+        first_weights(spark, config | {"initialization": {"source": "explicit", "checkpoint": str(out)}}, ("object",))
+
+
 def test_command_line(tmp_path, spark, capsys):
     assert cli.main(["task", "--config", str(tmp_path / "none.yaml")]) == 1
     assert "tidemark:" in capsys.readouterr().err

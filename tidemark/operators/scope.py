@@ -14,9 +14,6 @@ from tidemark.operators.registry import require_none
 
 RULES = ("all_seen", "current")
 
-#: Arrivals up to which they are broadcast to the range join; beyond, Spark decides.
-BROADCAST_ARRIVALS = 10_000
-
 
 def numbered(groups: DataFrame, order: str) -> DataFrame:
     """idx (from 0) of each group by ``order``; the table has a row per group, so one task orders it."""
@@ -24,18 +21,31 @@ def numbered(groups: DataFrame, order: str) -> DataFrame:
 
 
 def sees(arrivals: DataFrame, rule: str) -> DataFrame:
-    """(task, group, is_current): the groups whose train samples a task may use."""
+    """(task, group, is_current): the groups whose train samples a task may use.
+
+    Each arrival carries the numbers of all tasks (one small row per group) and is
+    dealt to those that see it, so no table is broadcast or counted.
+    """
     if rule not in RULES:
         raise ValueError(f"unknown rule {rule!r}; known: {', '.join(RULES)}")
-    tasks = arrivals.select(F.col("idx").alias("task"))
-    tasks = F.broadcast(tasks) if arrivals.count() <= BROADCAST_ARRIVALS else tasks
-    reach = F.col("idx") <= F.col("task") if rule == "all_seen" else F.col("idx") == F.col("task")
-    return arrivals.join(tasks, reach).select("task", "group", (F.col("idx") == F.col("task")).alias("is_current"))
+    tasks = F.collect_set("idx").over(Window.partitionBy())
+    reach = (lambda t: t >= F.col("idx")) if rule == "all_seen" else (lambda t: t == F.col("idx"))
+    dealt = arrivals.select("group", "idx", tasks.alias("_tasks")).select("group", "idx", F.explode(F.filter("_tasks", reach)).alias("task"))
+    return dealt.select("task", "group", (F.col("idx") == F.col("task")).alias("is_current"))
+
+
+def sizes(samples: DataFrame) -> DataFrame:
+    """group, n: train samples of each group."""
+    return samples.where("split = 'train'").groupBy("group").agg(F.count(F.lit(1)).alias("n"))
 
 
 def counts(samples: DataFrame, arrivals: DataFrame, rule: str = "all_seen") -> DataFrame:
     """task, candidate_count, current_count, history_count: samples are counted per group before tasks meet them."""
-    sizes = samples.where("split = 'train'").groupBy("group").agg(F.count(F.lit(1)).alias("n"))
+    return counts_of(sizes(samples), arrivals, rule)
+
+
+def counts_of(sizes: DataFrame, arrivals: DataFrame, rule: str = "all_seen") -> DataFrame:
+    """The same from the sizes of the groups (group, n)."""
     seen = sees(arrivals, rule).join(sizes, "group", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     current = F.sum(F.when(F.col("is_current"), F.col("n")).otherwise(0))
     return seen.groupBy("task").agg(F.sum("n").alias("candidate_count"), current.alias("current_count"), (F.sum("n") - current).alias("history_count"))

@@ -12,9 +12,12 @@ from collections.abc import Mapping
 from typing import Any
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.order import places
+
 
 def rank_key(seed: Column | int, ids: str = "sample_id") -> Column:
     seed = F.lit(str(seed)) if isinstance(seed, int) else seed.cast("string")
@@ -35,16 +38,13 @@ def sample_per_task(rows: DataFrame, k: int, seed: int) -> DataFrame:
 def sample_as_numpy(rows: DataFrame, k: int, seed: int, ids: str = "sample_id") -> DataFrame:
     """The rows that ``numpy.random.default_rng(seed).choice(sorted ids, k, replace=False)`` takes.
 
-    The driver draws k places among the n ids; a distributed sort numbers the
-    ids.  Only the places travel.
+    The driver draws k places among the n ids; the ids are numbered range by range.
+    Only the places travel.
     """
     n = rows.count()
-    places = np.random.default_rng(seed).choice(n, size=min(k, n), replace=False).tolist() if n and k else []
-    spark = rows.sparkSession
-    ordered = rows.select(ids).orderBy(ids)
-    numbered = ordered.rdd.zipWithIndex().map(lambda x: (x[0][0], x[1])).toDF(f"{ids} string, _place bigint")
-    wanted = spark.createDataFrame([(p,) for p in places], "_place bigint")
-    return rows.join(numbered.join(wanted, "_place", "left_semi"), ids, "left_semi")
+    drawn = np.random.default_rng(seed).choice(n, size=min(k, n), replace=False) if n and k else np.zeros(0, np.int64)
+    wanted = rows.sparkSession.createDataFrame(pa.table({"_place": pa.array(drawn, pa.int64())}), "_place bigint")
+    return places(rows, ids).join(wanted, "_place", "left_semi").select(*rows.columns)
 
 
 class SelectionPolicy(ABC):
@@ -75,25 +75,29 @@ class Full(SelectionPolicy):
         return scope.where("role = 'candidate'").select("role", "sample_id").distinct()
 
 
+#: How a replay is drawn: as numpy does from the sorted ids, or by a keyed hash, which needs no order of all ids.
+DRAWS = {"numpy": sample_as_numpy, "hash": sample_exactly}
+
+
 class RandomReplay(SelectionPolicy):
-    """The current samples and a seeded sample of the history."""
+    """The current samples and a seeded sample of the history, drawn as ``params.draw`` says (numpy, if it doesn't)."""
 
     name = "random_replay"
-    known = frozenset({"replay_size"})
+    known = frozenset({"replay_size", "draw"})
 
-    def __init__(self, params: Mapping[str, Any] | None = None, numpy_order: bool = False):
+    def __init__(self, params: Mapping[str, Any] | None = None):
         super().__init__(params)
-        self.size = int(self.params.get("replay_size", 0))
-        self.numpy_order = numpy_order
+        self.size, self.draw = int(self.params.get("replay_size", 0)), self.params.get("draw", "numpy")
         if self.size < 1:
             raise ValueError("random_replay needs a positive replay_size")
+        if self.draw not in DRAWS:
+            raise ValueError(f"random_replay draws by {' or '.join(sorted(DRAWS))}, not {self.draw!r}")
 
     def select(self, scope: DataFrame, seed: int) -> DataFrame:
         ids = lambda role: scope.where(F.col("role") == role).select("sample_id").distinct()
         current = ids("current")
         history = ids("candidate").join(current, "sample_id", "left_anti")
-        draw = sample_as_numpy if self.numpy_order else sample_exactly
-        replay = draw(history, self.size, seed)
+        replay = DRAWS[self.draw](history, self.size, seed)
         return current.select(F.lit("current").alias("role"), "sample_id").union(replay.select(F.lit("replay").alias("role"), "sample_id"))
 
     def metadata(self, seed: int, counts: Mapping[str, int]) -> dict[str, Any]:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
 from tidemark.operators import cost, lineage, metrics, registry, scope, selection
+from tidemark.operators.order import places
 from tidemark.plans import sql
 from tidemark.sources.tables import arrivals, matrix, samples, table
 
@@ -136,7 +137,7 @@ def select_full(spark, d):
 
 @query
 def select_random_replay(spark, d):
-    picked = selection.policy("random_replay", {"replay_size": REPLAY}).select(_scope(spark, d, 19), SEED + 19)
+    picked = selection.policy("random_replay", {"replay_size": REPLAY, "draw": "hash"}).select(_scope(spark, d, 19), SEED + 19)
     return picked.select("sample_id", "role")
 
 
@@ -172,9 +173,10 @@ def manifest_bind(spark, d):
 @query
 def predict_zip(spark, d):
     """Positional join: ids and predictions of a request, by place."""
-    both = samples(spark, d).where("split = 'test'").groupBy("group").agg(F.sort_array(F.collect_list(F.struct("sample_id", "n_chars"))).alias("x"))
-    zipped = both.select(F.posexplode(F.arrays_zip(F.col("x.sample_id").alias("sample_id"), F.transform("x.n_chars", lambda c: c * 2).alias("p"))))
-    return zipped.select(F.col("pos").cast("long").alias("pos"), "col.sample_id", F.col("col.p").alias("prediction"))
+    asked = places(samples(spark, d).where("split = 'test'").select("group", "sample_id", "n_chars"), "sample_id", ("group",))
+    answers = asked.select(F.col("group").alias("_group"), F.col("_place").alias("_at"), (F.col("n_chars") * 2).alias("prediction"))
+    zipped = asked.join(answers, F.col("group").eqNullSafe(F.col("_group")) & (F.col("_place") == F.col("_at")))
+    return zipped.select(F.col("_place").alias("pos"), "sample_id", "prediction")
 
 
 @query

@@ -8,6 +8,7 @@ from __future__ import annotations
 import csv
 import io
 import json
+import re
 from collections.abc import Iterable, Mapping
 from datetime import datetime
 from pathlib import PurePath
@@ -34,6 +35,30 @@ def is_folder(spark: SparkSession, path: str) -> bool:
     return system.exists(jpath) and system.getFileStatus(jpath).isDirectory()
 
 
+def is_file(spark: SparkSession, path: str) -> bool:
+    system, jpath = _system(spark, path)
+    return system.exists(jpath) and system.getFileStatus(jpath).isFile()
+
+
+def below(spark: SparkSession, folder: str) -> list[str]:
+    """Paths of all files below a folder, hidden and empty ones too; one call lists, one brings the names here.
+
+    As in Spark's own listing, the names of one folder are held by the driver.  They
+    are taken from what Hadoop says of each file: its path, up to the last place
+    where the next field can begin.
+    """
+    jvm, (system, jpath) = spark.sparkContext._jvm, _system(spark, folder)
+    found = jvm.org.apache.hadoop.util.functional.RemoteIterators.toList(system.listFiles(jpath, True))
+    said = jvm.org.apache.commons.lang3.StringUtils.join(found.iterator(), "\n\x00")
+    return [re.search(r"\{path=(.*); isDirectory=false; length=", x, re.DOTALL)[1] for x in said.split("\n\x00")] if said else []
+
+
+def copy(spark: SparkSession, source: str, target: str) -> str:
+    (there, jsource), (here, jtarget) = _system(spark, source), _system(spark, target)
+    spark.sparkContext._jvm.org.apache.hadoop.fs.FileUtil.copy(there, jsource, here, jtarget, False, spark.sparkContext._jsc.hadoopConfiguration())
+    return target
+
+
 def new_folder(spark: SparkSession, path: str) -> str:
     """Make a folder; one that exists is an error, as nothing is resumed or overwritten."""
     system, jpath = _system(spark, path)
@@ -43,19 +68,47 @@ def new_folder(spark: SparkSession, path: str) -> str:
     return str(path)
 
 
-def put_text(spark: SparkSession, path: str, text: str) -> None:
+def put_texts(spark: SparkSession, path: str, texts: Iterable[str]) -> None:
+    """A file from parts, which are held one megabyte at a time."""
     system, jpath = _system(spark, path)
     out = system.create(jpath, True)
     try:
-        out.write(bytearray(text.encode()))
+        held, size = [], 0
+        for text in texts:
+            held.append(text)
+            size += len(text)
+            if size >= 1 << 20:
+                out.write(bytearray("".join(held).encode()))
+                held, size = [], 0
+        out.write(bytearray("".join(held).encode()))
     finally:
         out.close()
 
 
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    put_texts(spark, path, [text])
+
+
 def get_text(spark: SparkSession, path: str) -> str:
     """A small file as one text."""
-    rows = spark.read.text(str(path), wholetext=True).take(1)
-    return rows[0][0] if rows else ""
+    system, jpath = _system(spark, path)
+    stream = system.open(jpath)
+    try:
+        return bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+    finally:
+        stream.close()
+
+
+def literal(path: str) -> str:
+    """A path for Spark's readers, in which nothing is a pattern."""
+    return re.sub(r"([\\*?\[\]{},^])", r"\\\1", path)
+
+
+def text_lines(spark: SparkSession, path: str) -> DataFrame:
+    """value: the lines of a text file.  Spark's readers pass over hidden names, so such a file comes through the driver."""
+    if PurePath(path).name[:1] in ("_", "."):
+        return spark.createDataFrame([(x,) for x in get_text(spark, path).splitlines()], "value string")
+    return spark.read.text(literal(path))
 
 
 def _plain(value: Any) -> Any:
@@ -89,11 +142,6 @@ def put_csv(spark: SparkSession, path: str, rows: Iterable[Mapping[str, Any]]) -
     put_text(spark, path, text.getvalue())
 
 
-def put_rows(df: DataFrame, path: str) -> None:
-    """CSV of any size, with a header; for differing rows use unionByName first."""
-    df.write.mode("errorifexists").option("header", True).csv(path)
-
-
 def put_lines(df: DataFrame, path: str, order: str, column: str | None = None) -> None:
     """One value a line, in order across the part files of the folder ``path``."""
     column = column or df.columns[0]
@@ -101,10 +149,6 @@ def put_lines(df: DataFrame, path: str, order: str, column: str | None = None) -
     ordered.select("value").write.mode("errorifexists").text(path)
 
 
-def get_lines(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path)
-
-
 def get_history(spark: SparkSession, path: str) -> DataFrame | None:
     """A CSV of measurements: names without blanks around them; a column of numbers is double.
 
@@ -113,7 +157,7 @@ def get_history(spark: SparkSession, path: str) -> DataFrame | None:
     """
     if not exists(spark, path):
         return None
-    raw = spark.read.option("header", True).option("ignoreLeadingWhiteSpace", False).csv(path)
+    raw = spark.read.option("header", True).option("ignoreLeadingWhiteSpace", False).csv(literal(path))
     raw = raw.toDF(*[c.strip() for c in raw.columns])
     odd = raw.agg(*[F.bool_or(F.col(f"`{c}`").isNotNull() & C.number(F.col(f"`{c}`")).isNull()).alias(f"c{i}") for i, c in enumerate(raw.columns)]).first()
     return raw.select(*[F.col(f"`{c}`") if odd[i] else C.number(F.col(f"`{c}`")).alias(c) for i, c in enumerate(raw.columns)])

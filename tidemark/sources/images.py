@@ -7,10 +7,12 @@ split an entry or a list of entries: a folder, a manifest (``.txt``) or an image
 from __future__ import annotations
 
 import posixpath
+import re
 from collections.abc import Mapping
 from dataclasses import dataclass
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,15 +64,14 @@ def normal(path: Column) -> Column:
 
 
 def folder(spark: SparkSession, path: str) -> DataFrame:
-    """Images below a folder.  Spark's listing passes over empty files and names that begin with _ or a dot."""
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
-    return listed.select(F.regexp_replace("path", "^file:/+", "/").alias("path")).where(C.is_image(F.col("path")))
+    """Images below a folder, whatever their names and sizes."""
+    found = pa.table({"path": pa.array([re.sub("^file:/+", "/", x) for x in files.below(spark, path)], pa.string())})
+    return spark.createDataFrame(found, "path string").where(C.is_image(F.col("path")))
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """The paths that a manifest lists, whatever their suffix; relative ones start at the manifest's folder."""
-    line = C.strip(F.col("value"))
-    lines = spark.read.text(path).select(line.alias("line")).where("line <> ''")
+    lines = files.text_lines(spark, path).select(C.strip(F.col("value")).alias("line")).where("line <> ''")
     base = posixpath.dirname(path)
     return lines.select(normal(F.when(F.startswith("line", F.lit("/")), F.col("line")).otherwise(F.concat(F.lit(base + "/"), F.col("line")))).alias("path"))
 
@@ -80,9 +81,9 @@ def entry(spark: SparkSession, root: str, name: str) -> DataFrame:
     if files.is_folder(spark, path):
         return folder(spark, path)
     kind = path.rpartition(".")[2].lower()
-    if files.exists(spark, path) and kind == "txt":
+    if files.is_file(spark, path) and kind == "txt":
         return manifest(spark, path)
-    if files.exists(spark, path) and kind in C.IMAGE_SUFFIXES:
+    if files.is_file(spark, path) and kind in C.IMAGE_SUFFIXES:
         return spark.createDataFrame([(path,)], "path string")
     raise FileNotFoundError(f"neither a folder, a manifest nor an image: {path}")
 

@@ -29,15 +29,18 @@ def counts(stream: DataFrame) -> DataFrame:
 def follow(stream: DataFrame, registry: str, checkpoint: str, on_arrival: Callable[[DataFrame, int], None], rule: str = "all_seen") -> StreamingQuery:
     """Append each batch to the registry table and hand over the scope counts of all tasks so far.
 
-    A batch that is run again after a failure replaces its own partition of the
-    registry, so it is not counted twice.
+    Beside each batch stand its sizes, a row per group, and only those are summed
+    again with every batch.  A batch that is run again after a failure replaces its
+    own partition of both, so it is not counted twice.
     """
 
     def arrive(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         batch.write.mode("overwrite").parquet(f"{registry}/batch={number}")
-        samples = spark.read.schema(SCHEMA).parquet(registry).drop("batch")
-        groups = samples.groupBy("group").agg(F.min("idx").alias("idx"))
-        on_arrival(scope.counts(samples, groups, rule), number)
+        own = spark.read.schema(SCHEMA).parquet(f"{registry}/batch={number}")
+        train = F.count(F.when(F.col("split") == "train", 1))
+        own.groupBy("group").agg(F.min("idx").alias("idx"), train.alias("n")).coalesce(1).write.mode("overwrite").parquet(f"{registry}-sizes/batch={number}")
+        known = spark.read.schema("group string, idx int, n bigint").parquet(f"{registry}-sizes").groupBy("group").agg(F.min("idx").alias("idx"), F.sum("n").alias("n"))
+        on_arrival(scope.counts_of(known.select("group", "n"), known.select("group", "idx"), rule), number)
 
     return stream.writeStream.foreachBatch(arrive).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
