@@ -242,6 +242,28 @@ def test_fit_is_the_best_sum(table, budget):
     assert (0 <= near).all() and (near <= counts).all() and int((near * lengths).sum()) <= budget
 
 
+def test_fit_takes_short_and_long_alike():
+    """Lengths 1 to 3,000, three documents each, 30 %: each third of the lengths gives its share of documents."""
+    lengths, counts = np.arange(1, 3001), np.full(3000, 3)
+    budget = int(0.3 * (lengths * counts).sum())
+    take = mixing.fit(lengths, counts, budget)
+    assert int((take * lengths).sum()) == budget
+    shares = [take[i : i + 1000].sum() / 3000 for i in (0, 1000, 2000)]
+    assert max(shares) - min(shares) < 0.05 and all(abs(s - 0.3) < 0.05 for s in shares)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.integers(1, 10_000), st.integers(1, 400), min_size=1, max_size=40), st.floats(0.01, 0.99))
+def test_fit_keeps_proportions(table, share):
+    """No length is more than a document away from its share, but for what the knapsack adds to close the gap."""
+    lengths, counts = np.array(list(table), np.int64), np.array(list(table.values()), np.int64)
+    budget = int(share * (lengths * counts).sum())
+    take = mixing.fit(lengths, counts, budget)
+    over = take - np.ceil(counts * share)
+    assert int((take * lengths).sum()) <= budget and (take >= np.floor(counts * (budget / (lengths * counts).sum())) - 1).all()
+    assert (np.maximum(over, 0) * lengths).sum() <= (mixing.ROOM + 1) * lengths.max()
+
+
 def test_mix_reaches_targets_and_repeats_itself(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     rows = [sorted(map(tuple, mixing.mix(df).collect())) for df in (docs, docs.repartition(11))]
@@ -262,7 +284,15 @@ def test_mix_of_odd_tables(odd, empty, wide):
     assert mixing.mix(odd).count() == odd.count() and mixing.mix(empty).count() == 0
     out = mixing.repeat_rows(wide)
     assert out.columns == wide.columns
-    assert out.where("doc_id is null").count() == 1 and mixing.repeat_rows(empty).count() == 0
+    assert mixing.repeat_rows(empty).count() == 0
+
+
+def test_rows_without_an_id_are_taken_as_the_mix_says(spark):
+    rows = [(None, " ".join(["w"] * (1 + i % 9)) + f" {i % 40}", "ab"[i % 2]) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    want = sorted(r["t"] for r in mixing.mix(docs).groupBy("target").agg(F.sum("taken").alias("t")).collect())
+    got = sorted(r["t"] for r in mixing.sizes(mixing.repeat_rows(docs)).groupBy("source").agg(F.sum("size").alias("t")).collect())
+    assert got == want
 
 
 def test_rows_of_one_id_are_taken_as_the_mix_says(spark):

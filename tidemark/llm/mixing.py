@@ -4,9 +4,10 @@ Each source gets a share of the budget by weight, at most ``cap`` times its own
 size; what it can't take is shared again by weight.  A target of t times the
 size of a source means its documents are taken floor(t) times in full, and the
 rest of the target is fitted: documents are counted by exact length, each length
-gives its proportional part, and a bounded knapsack over the counts that are
-left closes the gap.  Which documents of a length are taken is decided by a
-seeded hash of their ids.
+gives its proportional part, rounded by largest remainders, so short and long
+documents are taken alike, and a bounded knapsack over the counts that are left
+closes the gap.  Which documents of a length are taken is decided by a seeded hash
+of their ids and texts.
 """
 
 from __future__ import annotations
@@ -16,14 +17,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm import kernels
 from tidemark.llm.scratch import Scratch, free_name
 
 SEED = 17
 WEIGHTS = (3, 1, 2)
 SHARE, CAP = 1.5, 2
 
-#: Words of a gap up to which lengths are fitted by the knapsack; larger gaps are first narrowed by the longest.
-GAP = 1 << 16
+#: Longest documents that the gap left to the knapsack can hold.
+ROOM = 4
 #: Parts into which the documents of one source and length are dealt, so that a hot length is ranked in parts.
 DEALS = 1024
 #: Sources up to which their table is broadcast; beyond, it is joined.
@@ -36,6 +38,11 @@ def sizes(docs: DataFrame, *more: Column) -> DataFrame:
     return docs.select("doc_id", "source", words.alias("size"), *more)
 
 
+def _dealt(seed: int) -> Column:
+    """The seeded place of a row among those of its length; rows of one id, or none, are told apart by their texts."""
+    return F.xxhash64(F.lit(seed), "doc_id", "text")
+
+
 def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
     """One row per source: place (1 for the first by code point, null last), source, source_size, target.
 
@@ -60,18 +67,21 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
         return np.zeros(len(lengths), np.int64)
     if budget >= total:
         return counts.copy()
-    take = np.minimum(counts, np.floor(counts * (budget / total)).astype(np.int64))
+    share = counts * (budget / total)
+    take = np.minimum(counts, np.floor(share).astype(np.int64))
     while (gap := budget - int((lengths * take).sum())) < 0:  # only if the division rounded up
         take[np.argmax(take > 0)] -= 1
-    spare = counts - take
-    for i in np.argsort(-lengths, kind="stable").tolist():
-        if gap <= GAP:
-            break
-        n = min(int(spare[i]), (gap - GAP) // int(lengths[i]))
-        take[i] += n
-        spare[i] -= n
-        gap -= n * int(lengths[i])
-    return take + _knapsack(lengths, spare, gap)
+    # What rounding down has left goes to the lengths that lost most by it, one document each (lengths that lost as much in the
+    # order of a hash), down to a few of the longest documents; of these sums the knapsack finds the nearest.
+    order = np.lexsort((kernels.mix(lengths.astype(np.uint64)), np.round(take - share, 9)))
+    room = ROOM * int(lengths.max())
+    for i in order.tolist():
+        if take[i] < counts[i] and gap - int(lengths[i]) >= room:
+            take[i] += 1
+            gap -= int(lengths[i])
+    out = np.zeros(len(lengths), np.int64)
+    out[order] = _knapsack(lengths[order], (counts - take)[order], gap)
+    return take + out
 
 
 def _knapsack(lengths: np.ndarray, counts: np.ndarray, gap: int) -> np.ndarray:
@@ -123,12 +133,13 @@ def mix(docs: DataFrame, seed: int = SEED, weights: tuple[int, ...] = WEIGHTS, s
     """
     names = docs.select(*more).columns if more else []
     scratch = scratch or Scratch(docs.sparkSession, "mixing")
-    sized = scratch.keep(sizes(docs, *more), "sizes")
+    place = free_name(docs, "_dealt")
+    sized = scratch.keep(sizes(docs, _dealt(seed).alias(place), *more), "sizes")
     goals = scratch.keep(targets(sized, weights, share, cap).selectExpr("*", "coalesce(cast(floor(try_divide(target, source_size)) as int), 0) as passes"), "goals")
     goals = goals.withColumn("rest", F.floor(F.expr("target - passes * source_size")).cast("long"))
     near = F.broadcast(goals) if goals.count() <= BROADCAST_SOURCES else goals
     near = near.withColumnRenamed("source", "_source")
-    dealt = F.xxhash64(F.lit(seed), "doc_id")
+    dealt = F.col(place)
     rows = sized.join(near, F.col("source").eqNullSafe(F.col("_source"))).select("doc_id", "size", "place", "source_size", "target", "passes", "rest", dealt.alias("h"), F.pmod(dealt, F.lit(DEALS)).cast("int").alias("deal"), *names)
 
     bylength = rows.where("rest > 0 and size > 0").groupBy("place", "size", "rest").agg(F.count(F.lit(1)).alias("n"))
@@ -149,19 +160,18 @@ def mix(docs: DataFrame, seed: int = SEED, weights: tuple[int, ...] = WEIGHTS, s
 def repeat_rows(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is taken, with all columns.
 
-    Rows that share an id are told apart by a digest of their columns; of equal rows
-    as many are taken as the mix takes of them together.  Rows with a null id are
-    taken once.
+    Rows that share an id, or have none, are told apart by a digest of their columns;
+    of equal rows as many are taken as the mix takes of them together.
     """
     scratch = scratch or Scratch(docs.sparkSession, "mixing")
     doc, row, n, copy = (free_name(docs, x) for x in ("_doc", "_row", "_times", "_copy"))
     columns = [F.col(f"`{c}`") for c in docs.columns]
     hashed = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
     digest = F.xxhash64(*hashed, *[x.isNull() for x in hashed])
-    taken = mix(docs, scratch=scratch, more=(digest.alias("_digest"),)).where("doc_id is not null")
+    taken = mix(docs, scratch=scratch, more=(digest.alias("_digest"),))
     taken = taken.groupBy(F.col("doc_id").alias(doc), F.col("_digest").alias(row)).agg(F.sum("times").alias("t"), F.count(F.lit(1)).alias("c"))
     taken = scratch.keep(taken, "times")
-    same = (F.col("doc_id") == F.col(doc)) & (digest == F.col(row))
+    same = F.col("doc_id").eqNullSafe(F.col(doc)) & (digest == F.col(row))
 
     def repeated(rows: DataFrame) -> DataFrame:
         out = rows.withColumn(copy, F.explode(F.expr(f"if(coalesce({n}, 1) < 1, array(), sequence(1L, coalesce({n}, 1L)))")))
