@@ -147,6 +147,82 @@ def test_aliases_share_decisions(spark):
     assert judged(spark, pages[:3]) == {0: (None, "block"), 1: (None, "block"), 2: ("com/en/", "block")}
 
 
+#: (page, html, the node that its link names, None for no link)
+LINKS = [
+    ("http://a.io/x/y", '<link rel="canonical" href="../es/1">', "a.io/es/1"),
+    ("http://a.io/x/y/", '<link rel="canonical" href="./z?p=1">', "a.io/x/y/z?p=1"),
+    ("http://a.io", '<link href=page2.html rel=canonical>', "a.io/page2.html"),
+    ("http://a.io/d/e?q", '<link rel="canonical" href="?p=2&amp;s=3">', "a.io/d/e?p=2&s=3"),
+    ("http://a.io/d", "<link rel='alternate canonical' href='https://b.io:443/k#top'>", "b.io/k"),
+    ("http://a.io/d", '<link rel="canonical" href="http://b.io:80">', "b.io/"),
+    ("http://a.io/d", '<link rel="canonical" href="http://b.io:8080/u/../../v/.">', "b.io:8080/v/"),
+    ("http://a.io/d", '<!-- <link rel="canonical" href="http://b.io/"> -->', None),
+    ("http://a.io/d", '<link rel="canonical" href="mailto:x@b.io">', None),
+    ("http://a.io/d", '<link rel="canonical" href="#here">', None),
+    ("http://a.io/d", '<link rel="noncanonical" href="/e">', None),
+    ("http://a.io/d", '<link data-rel="canonical" href="/e">', None),
+    ("http://a.io/d/", '<base href="//c.io/s/t"><link rel="canonical" href="u">', "c.io/s/u"),
+    ("https://a.io/d", "<META content=\"0; URL='/new'\" http-equiv=Refresh>", "a.io/new"),
+    ("https://a.io/d", '<meta http-equiv="refresh" content="5">', None),
+    (None, '<link rel="canonical" href="http://b.io/">', None),
+    ("no address", '<link rel="canonical" href="http://b.io/">', None),
+    ("http://a.io/m", '<link rel=canonical href=/1><link rel=canonical href=/2>', ["a.io/1", "a.io/2"]),
+]
+
+
+def test_links_of_pages(spark):
+    """Relative, based, quoted, several and hidden links: the edges, and the verdicts of the SQL over blocked targets."""
+    import duckdb
+
+    from tidemark.llm import oracles
+
+    pages = spark.createDataFrame([(i, u, h) for i, (u, h, _) in enumerate(LINKS)], "page_id bigint, url string, html string")
+    want = {(re.sub(r"^\w+://|\?q$", "", u) if "/" in u[8:] else u[7:] + "/", t) for u, _, to in LINKS if to for t in (to if isinstance(to, list) else [to])}
+    got = {(r["a"].removesuffix("?q"), r["b"]) for r in urls.link_edges(pages).collect()}
+    assert got == want
+    blocked = [(100 + i, u, h) for i, (u, h) in enumerate([("http://q.com/x", '<link rel=canonical href="../en/1">'), ("http://q.com/en/1", None), ("http://r.org/a/b", "<base href='/es/'><meta http-equiv=refresh content='0;url=c'>")])]
+    pages = pages.union(spark.createDataFrame(blocked, pages.schema))
+    con = duckdb.connect()
+    con.execute("create table pages(page_id bigint, url varchar, html varchar)")
+    con.executemany("insert into pages values (?, ?, ?)", [tuple(r) for r in pages.collect()])
+    mine = sorted(map(tuple, urls.judge(pages).collect()))
+    assert mine == sorted(con.execute(oracles.OP5).fetchall())
+    assert {r[0]: r[4] for r in mine if r[0] >= 100} == {100: "block", 101: "block", 102: "block"}
+
+
+def test_thousands_of_addresses_by_brute_force(spark, rng):
+    """Verdicts over random edges, long chains and a hot address against union-find."""
+    place = lambda i: f"h{i}.{rng_tld[i]}/{rng_dir[i]}/{i}"
+    n = 4000
+    rng_tld = [rng.choice(["io"] * 20 + ["com", "net", "org"]) for _ in range(n)]
+    rng_dir = [rng.choice(["en", "de", "es", "fr"]) for _ in range(n)]
+    links = [(rng.randrange(n), rng.randrange(n)) for _ in range(1200)] + [(i, i + 1) for i in range(500, 900)] + [(0, rng.randrange(n)) for _ in range(300)]
+    edges = spark.createDataFrame([(place(a), place(b)) for a, b in links], "a string, b string")
+    pages = spark.createDataFrame([(i, "http://" + place(i), None) for i in range(n)], "page_id bigint, url string, html string")
+    parent = list(range(n))
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for a, b in links:
+        parent[root(a)] = root(b)
+    said = [{("com", "en"): "block", ("net", "de"): "allow", ("org", "es"): "block"}.get((t, d)) for t, d in zip(rng_tld, rng_dir, strict=True)]
+    byclass = {}
+    for i in range(n):
+        byclass.setdefault(root(i), set()).add(said[i])
+    want = {i: said[i] or ("allow" if "allow" in byclass[root(i)] else "block" if "block" in byclass[root(i)] else "allow") for i in range(n)}
+    got = {r["page_id"]: r["verdict"] for r in urls.judge(pages, edges=edges).collect()}
+    assert got == want and 30 < sum(v == "block" for v in want.values()) < n
+
+
+def test_no_rules(spark):
+    pages = spark.createDataFrame([(1, "http://a.com/en/", None)], "page_id bigint, url string, html string")
+    assert [tuple(r)[3:] for r in urls.judge(pages, rules=[]).collect()] == [(None, "allow")]
+    assert [r["rule"] for r in urls.judge(pages, rules=[("a.com", "/e", "block"), ("it's", "\\/", "allow")]).collect()] == ["a.com/e"]
+
+
 def test_long_chain_of_redirects(spark):
     edges = spark.range(60).selectExpr("concat('h', lpad(id, 3, '0'), '/') as a", "concat('h', lpad(id + 1, 3, '0'), '/') as b")
     edges = edges.union(spark.createDataFrame([("h060/", "z.com/en/1"), (None, "h001/"), ("h001/", "h001/")], "a string, b string"))

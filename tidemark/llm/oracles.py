@@ -46,7 +46,39 @@ def _path(url: str) -> str:
 
 
 def _node(url: str) -> str:
-    return f"case when contains({url}, '://') then {_host(url)} || {_path(url)} || regexp_extract({url}, {_q(urls.PARTS)}, 3) end"
+    scheme = f"lower(split_part({url}, '://', 1))"
+    host = f"regexp_replace({_host(url)}, case {scheme} when 'http' then ':80$' when 'https' then ':443$' else ':$' end, '')"
+    return f"case when contains({url}, '://') then {host} || coalesce(nullif({_path(url)}, ''), '/') || regexp_extract({url}, {_q(urls.PARTS)}, 3) end"
+
+
+def _attribute(tag: str, pattern: str) -> str:
+    return "(" + " || ".join(f"regexp_extract({tag}, {_q(pattern)}, {i})" for i in (1, 2, 3)) + ")"
+
+
+def _without_dots(path: str) -> str:
+    stack = f"""list_reduce(list_transform(string_split({path}, '/'), lambda s: [s]),
+      lambda acc, s: case when s[1] = '..' then acc[1:greatest(len(acc) - 1, 1)] when s[1] = '.' then acc else list_concat(acc, s) end)"""
+    closed = f"array_to_string({stack}, '/') || case when regexp_matches({path}, '/[.]{{1,2}}$') then '/' else '' end"
+    return f"case when contains({path}, '/.') then {closed} else {path} end"
+
+
+def _resolve(base: str, target: str) -> str:
+    """SQL for the address that ``target`` names; both are columns."""
+    scheme, path = f"split_part({base}, '://', 1)", _path(base)
+    site = f"{scheme} || '://' || regexp_extract({base}, {_q(urls.PARTS)}, 1)"
+    folder = f"case when contains({path}, '/') then regexp_extract({path}, '(?s)^(.*/)', 1) else '/' end"
+    web = f"regexp_matches({target}, {_q(urls.SCHEME)})"
+    return f"""case when contains({target}, '://') and {web} then {target} when {target} = '' or starts_with({target}, '#') or {web} then null
+      when starts_with({target}, '//') then {scheme} || ':' || {target} when starts_with({target}, '/') then {site} || {target}
+      when starts_with({target}, '?') then {site} || {path} || {target} else {site} || {folder} || {target} end"""
+
+
+def _tidy(full: str) -> str:
+    return f"split_part({full}, '://', 1) || '://' || regexp_extract({full}, {_q(urls.PARTS)}, 1) || {_without_dots(_path(full))} || regexp_extract({full}, {_q(urls.PARTS)}, 3)"
+
+
+def _clean(target: str) -> str:
+    return f"trim(regexp_replace({target}, {_q(urls.AMPERSAND)}, '&', 'g'))"
 
 
 _FITS = """select p.host, p.path, max_by(r.host || r.path, length(r.host || r.path)) as rule, max_by(r.verdict, length(r.host || r.path)) as verdict
@@ -54,11 +86,17 @@ _FITS = """select p.host, p.path, max_by(r.host || r.path, length(r.host || r.pa
 
 OP5 = f"""
 with recursive rules as (select * from (values {', '.join(f"('{h}', '{p}', '{v}')" for h, p, v in urls.RULES)}) r(host, path, verdict)),
-targets as (
-  select url, unnest([{', '.join(f'regexp_extract(html, {_q(p)}, 1)' for p in urls.CANONICAL + urls.REFRESH)}]) as t from pages where url is not null
-), links as (
-  select distinct {_node('url')} as a, {_node("(case when starts_with(t, '//') then 'x:' || t when starts_with(t, '/') then 'x://' || " + _host('url') + " || t else t end)")} as b
-  from targets where t <> ''
+mentions as (
+  select row_number() over () as r, url, regexp_replace(html, {_q(urls.COMMENT)}, '', 'g') as html from pages where contains(url, '://') and regexp_matches(html, {_q(urls.MENTIONS)})
+), tags as (
+  select r, {_attribute('t', urls.HREF)} as t from (select r, unnest(regexp_extract_all(html, {_q(urls.LINK)})) as t from mentions) where regexp_matches(t, {_q(urls.REL)})
+  union all select r, regexp_extract({_attribute('t', urls.CONTENT)}, {_q(urls.REFRESH)}, 1) from (select r, unnest(regexp_extract_all(html, {_q(urls.META)})) as t from mentions) where regexp_matches(t, {_q(urls.EQUIV)})
+), bases as (select r, url, {_clean(_attribute(f"regexp_extract(html, {_q(urls.BASE)})", urls.HREF))} as b from mentions),
+based as (select r, url, {_resolve('url', 'b')} as whole_ from bases),
+placed as (select r, url, coalesce({_tidy('whole_')}, url) as base from based),
+named as (select url, {_resolve('base', 'to_')} as whole_ from (select url, base, {_clean('t')} as to_ from tags join placed using (r))),
+links as (
+  select distinct {_node('url')} as a, {_node('t')} as b from (select url, {_tidy('whole_')} as t from named where whole_ is not null)
 ), edges as (select a, b from links where a <> b union select b, a from links where a <> b),
 reach as (select distinct a as node, a as other from edges union select r.node, e.b from reach r join edges e on r.other = e.a),
 rows_ as (select page_id, coalesce({_host('url')}, '') as host, coalesce({_path('url')}, '') as path, {_node('url')} as node from pages),

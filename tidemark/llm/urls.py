@@ -30,14 +30,18 @@ RULES = [
 #: Rules up to which they are broadcast; beyond, they are joined by host.
 BROADCAST_RULES = 20_000
 
-CANONICAL = [
-    r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*\bhref\s*=\s*[\"']?([^\"'\s>]+)",
-    r"(?is)<link\b[^>]*\bhref\s*=\s*[\"']?([^\"'\s>]+)[^>]*\brel\s*=\s*[\"']?canonical\b",
-]
-REFRESH = [
-    r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*\bcontent\s*=\s*[\"']?[^\"'>]*url\s*=\s*([^\"'\s>]+)",
-    r"(?is)<meta\b[^>]*\bcontent\s*=\s*[\"']?[^\"'>]*url\s*=\s*([^\"'\s>]+)[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b",
-]
+#: Pages in which none of this stands have no link; (?i) and (?s) are spelled out for both engines.
+MENTIONS = r"(?i)canonical|refresh"
+COMMENT = r"(?s)<!--.*?-->"
+LINK, META, BASE = r"(?is)<link\b[^>]*>", r"(?is)<meta\b[^>]*>", r"(?is)<base\b[^>]*>"
+REL = r"(?is)[\s\"'/]rel\s*=\s*(?:\"[^\"]*\bcanonical\b[^\"]*\"|'[^']*\bcanonical\b[^']*'|canonical\b)"
+EQUIV = r"(?is)[\s\"'/]http-equiv\s*=\s*[\"']?\s*refresh\b"
+HREF = r"(?is)[\s\"'/]href\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
+CONTENT = r"(?is)[\s\"'/]content\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
+REFRESH = r"(?is)\burl\s*=\s*[\"']?\s*([^\"'\s]+)"
+SCHEME = r"^[A-Za-z][A-Za-z0-9+.\-]*:"
+#: What stands for an ampersand in an attribute.
+AMPERSAND = r"(?i)&(?:amp|#38|#x26);"
 
 
 def host_of(url):
@@ -51,22 +55,74 @@ def path_of(url):
 
 
 def node_of(url):
-    """An address without scheme and fragment; null if it has no ://."""
-    named = F.concat(host_of(url), path_of(url), F.regexp_extract(url, PARTS, 3))
+    """An address without scheme, fragment and the port that its scheme implies; an empty path is /; null if it has no ://."""
+    scheme = F.lower(F.substring_index(url, "://", 1))
+    port = F.when(scheme == "http", r":80$").when(scheme == "https", r":443$").otherwise(r":$")
+    path = path_of(url)
+    named = F.concat(F.regexp_replace(host_of(url), port, F.lit("")), F.when(path == "", "/").otherwise(path), F.regexp_extract(url, PARTS, 3))
     return F.when(F.contains(url, F.lit("://")), named)
 
 
+def _let(value, use):
+    """``use`` of a value that is computed once: as the variable of a lambda it is never put in several places of a plan."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _attribute(tag, pattern: str):
+    return F.concat(*[F.regexp_extract(tag, pattern, i) for i in (1, 2, 3)])
+
+
+def _without_dots(path):
+    """A path without . and .. segments."""
+    root = F.array(F.lit("")).cast("array<string>")
+    up = lambda acc: F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(1)))
+    step = lambda acc, x: F.when(x == "..", up(acc)).when(x == ".", acc).otherwise(F.concat(acc, F.array(x)))
+    stack = lambda parts: F.aggregate(F.slice(parts, 2, F.size(parts)), root, step)
+    closed = lambda parts: F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(stack(parts), F.array(F.lit("")))).otherwise(stack(parts))
+    return F.when(F.contains(path, F.lit("/.")), _let(F.split(path, "/"), lambda parts: F.array_join(closed(parts), "/"))).otherwise(path)
+
+
+def _parts(address):
+    return F.struct(F.substring_index(address, "://", 1).alias("scheme"), F.regexp_extract(address, PARTS, 1).alias("host"), F.regexp_extract(address, PARTS, 2).alias("path"), F.regexp_extract(address, PARTS, 3).alias("rest"))
+
+
+def resolve(base, target):
+    """The address that a link of a page at ``base`` names; null if that is none of the web."""
+
+    def full(at, to):
+        site = F.concat(at["scheme"], F.lit("://"), at["host"])
+        folder = F.when(F.contains(at["path"], F.lit("/")), F.regexp_extract(at["path"], r"(?s)^(.*/)", 1)).otherwise("/")
+        return (
+            F.when(F.contains(to, F.lit("://")) & to.rlike(SCHEME), to)
+            .when((to == "") | to.startswith("#") | to.rlike(SCHEME), None)
+            .when(to.startswith("//"), F.concat(at["scheme"], F.lit(":"), to))
+            .when(to.startswith("/"), F.concat(site, to))
+            .when(to.startswith("?"), F.concat(site, at["path"], to))
+            .otherwise(F.concat(site, folder, to))
+        )
+
+    tidy = lambda x: F.concat(x["scheme"], F.lit("://"), x["host"], _without_dots(x["path"]), x["rest"])
+    return _let(target, lambda to: _let(_parts(base), lambda at: _let(full(at, to), lambda f: _let(_parts(f), tidy))))
+
+
 def link_edges(pages: DataFrame) -> DataFrame:
-    """(a, b): each page and the addresses its canonical links and refreshes name.
+    """(a, b): each page and the addresses that its canonical links and refreshes name.
 
-    A target that starts with one slash is on the page's host, one that starts
-    with two takes any scheme; other relative targets are left out.
+    All links of a page count, but for those in comments; relative targets start at
+    the page's address, or at its <base>.  Targets without :// that name a scheme
+    (mailto:) are no addresses.
     """
-    targets = F.array(*[F.regexp_extract(F.coalesce(F.col("html"), F.lit("")), p, 1) for p in CANONICAL + REFRESH])
-    to = F.col("to")
-    full = F.when(to.startswith("//"), F.concat(F.lit("x:"), to)).when(to.startswith("/"), F.concat(F.lit("x://"), host_of(F.col("url")), to)).otherwise(to)
-    rows = pages.where(F.col("url").isNotNull()).select("url", F.explode(F.filter(targets, lambda x: x != "")).alias("to"))
-    return rows.select(node_of(F.col("url")).alias("a"), node_of(full).alias("b")).where("a is not null and b is not null and a <> b").distinct()
+    html = F.col("html")
+    rows = pages.where(F.contains("url", F.lit("://")) & html.rlike(MENTIONS)).select("url", F.regexp_replace(html, COMMENT, "").alias("html"))
+    tags = lambda kind: F.regexp_extract_all("html", F.lit(kind), F.lit(0))
+    links = F.transform(F.filter(tags(LINK), lambda t: t.rlike(REL)), lambda t: _attribute(t, HREF))
+    refreshes = F.transform(F.filter(tags(META), lambda t: t.rlike(EQUIV)), lambda t: F.regexp_extract(_attribute(t, CONTENT), REFRESH, 1))
+    clean = lambda t: F.trim(F.regexp_replace(t, AMPERSAND, "&"))
+    rows = rows.select("url", F.regexp_extract("html", BASE, 0).alias("base"), F.concat(links, refreshes).alias("to"))
+    rows = rows.select("url", clean(_attribute(F.col("base"), HREF)).alias("base"), F.explode(F.filter(F.transform("to", clean), lambda t: t != "")).alias("to"))
+    start = _let(resolve(F.col("url"), F.col("base")), lambda b: F.coalesce(b, F.col("url")))
+    to = _let(start, lambda at: resolve(at, F.col("to")))
+    return rows.select(_let(F.col("url"), node_of).alias("a"), _let(to, node_of).alias("b")).where("a is not null and b is not null and a <> b").distinct()
 
 
 def rule_of(places: DataFrame, rules: DataFrame, small: bool) -> DataFrame:
@@ -92,7 +148,9 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, edges: Da
     """
     spark = pages.sparkSession
     scratch = scratch or Scratch(spark, "urls")
-    table = spark.createDataFrame(rules, "rule_host string, rule_path string, rule_verdict string")
+    quoted = ", ".join("(" + ", ".join("'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'" for x in r) + ")" for r in rules)
+    none = "select '' as rule_host, '' as rule_path, '' as rule_verdict where false"
+    table = spark.sql(f"select * from values {quoted} as r(rule_host, rule_path, rule_verdict)" if rules else none)
     small = len(rules) <= BROADCAST_RULES
     links = scratch.keep(link_edges(pages) if edges is None else edges, "links")
     classes = components(links, scratch)
