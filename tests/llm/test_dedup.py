@@ -36,6 +36,33 @@ def test_components_by_brute_force(spark, rng):
     assert graph.components(spark.createDataFrame([], "a bigint, b bigint"), Scratch(spark, "t")).count() == 0
 
 
+def test_tables_go_when_they_are_told_to(spark, tmp_path):
+    import os
+
+    from tidemark.llm import scratch as sc
+
+    with sc.collected() as made:
+        own = Scratch(spark, "goes")
+        a, b = own.keep(spark.range(3), "a"), own.keep(spark.range(4), "b")
+    place = own.folder.removeprefix("file://")
+    assert made == [own] and len(os.listdir(place)) == 2
+    own.drop(a, spark.range(1))
+    assert len(os.listdir(place)) == 1 and b.count() == 4
+    own.clear()
+    assert not os.path.exists(place)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace as N
+
+    from tidemark.llm import scratch as sc
+
+    conf = N(get=lambda *a: None)
+    session = N(conf=conf, sparkContext=N(master="yarn", applicationId="x", getConf=lambda: conf))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        sc.shared_root(session)
+
+
 def shingle_set(text, k):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} if len(words) >= k else {tuple(words)} - {()}

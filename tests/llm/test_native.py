@@ -260,6 +260,61 @@ def test_prefix_once_and_masks(spark):
     assert chat.preference_pairs(turns.limit(0)).count() == 0
 
 
+def rendered(turns):
+    return "".join(f"<|im_start|>{r}\n{t}<|im_end|>\n" for r, t in turns)
+
+
+def pair_brute(rows):
+    """pair_id -> the columns of its row, turn by turn."""
+    out = {}
+    for pair in {r[0] for r in rows if r[0] is not None}:
+        sides = [[(r or "", t or "") for _, r, t in sorted(((n is not None, n or 0), r or "", t or "") for p, c, n, r, t in rows if p == pair and c is flag)] for flag in (True, False)]
+        n = 0
+        while n < min(map(len, sides)) and sides[0][n] == sides[1][n]:
+            n += 1
+        told = [pair, n, len(sides[0]) - n, len(sides[1]) - n, rendered(sides[0][:n])]
+        told += [rendered(s[n:]) for s in sides]
+        for side in sides:
+            at, spans = 0, []
+            for role, text in side[n:]:
+                body = at + len(f"<|im_start|>{role}\n")
+                if role == "assistant":
+                    spans.append(f"{body}-{body + len(text) + len('<|im_end|>')}")
+                at = body + len(text) + len("<|im_end|>\n")
+            told.append(",".join(spans))
+        out[pair] = tuple(told)
+    return out
+
+
+def test_pairs_by_brute_force(spark, rng):
+    """Generated pairs: shared prefixes, ties of turn numbers, repeated rows, nulls, missing sides, clashing columns; also by the SQL."""
+    import duckdb
+
+    from tidemark.llm import oracles
+
+    rows = []
+    for pair in range(150):
+        shared = [(n, rng.choice(["user", "assistant"]), rng.choice(["hi", "é\U0001f642", "", None, "x" * 40])) for n in range(rng.randrange(4))]
+        for chosen in (True, False):
+            if rng.random() < 0.05:
+                continue
+            rest = [(rng.choice([len(shared), len(shared) + 1, None]) if rng.random() < 0.2 else len(shared) + i, rng.choice(["user", "assistant", None]), rng.choice(["a", "b", None])) for i in range(rng.randrange(4))]
+            own = [(pair, chosen, *t) for t in shared + rest]
+            rows += own + own[:1] * (rng.random() < 0.2)
+    rows += [(None, True, 0, "user", "no pair")]
+    rng.shuffle(rows)
+    turns = spark.createDataFrame(rows, "pair_id bigint, chosen boolean, turn bigint, role string, text string")
+    wide = turns.select("*", *[F.lit(1).alias(x) for x in ("prompt", "rejected", "n_prefix_turns", "c", "r", "p", "t")])
+    got = {r["pair_id"]: tuple(r) for r in chat.preference_pairs(wide).collect()}
+    want = pair_brute(rows)
+    assert got == want and sum(w[1] > 0 for w in want.values()) > 50
+    con = duckdb.connect()
+    con.execute("create table conversations(conv_id bigint, turn bigint, role varchar, text varchar)")
+    con.executemany("insert into conversations values (?, ?, ?, ?)", [(None if p is None else 2 * p + (not c), n, r, t) for p, c, n, r, t in rows])
+    table = spark.createDataFrame([(None if p is None else 2 * p + (not c), n, r, t) for p, c, n, r, t in rows], "conv_id bigint, turn bigint, role string, text string")
+    assert {r["pair_id"]: tuple(r) for r in chat.preference_pairs(chat.neighbours(table)).collect()} == want == {r[0]: r for r in con.execute(oracles.OP9).fetchall()}
+
+
 # quality
 
 

@@ -67,5 +67,5 @@ def preference_pairs(turns: DataFrame) -> DataFrame:
 
 
 def neighbours(conversations: DataFrame) -> DataFrame:
-    """Pairs for a table without preferences: conversation 2k is chosen over 2k + 1."""
+    """Pairs for a table without preferences: conversation 2k is chosen over 2k + 1; turns of a null ``conv_id`` are of no pair."""
     return conversations.select(F.floor(F.col("conv_id") / 2).alias("pair_id"), (F.pmod("conv_id", F.lit(2)) == 0).alias("chosen"), "turn", "role", "text")

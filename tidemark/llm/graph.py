@@ -24,23 +24,29 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges = scratch.keep(edges, "edges")
     labels = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("component", F.col("node"))
+    labels = scratch.keep(labels, "labels")
     while not edges.isEmpty():
-        hooks = scratch.keep(_flat(edges.groupBy("a").agg(F.min("b").alias("b")), scratch), "hooks")
-        labels = labels.join(hooks.select(F.col("a").alias("component"), F.col("b").alias("_to")), "component", "left")
-        labels = scratch.keep(labels.select("node", F.coalesce("_to", "component").alias("component")), "labels")
+        hooks = _flat(edges.groupBy("a").agg(F.min("b").alias("b")), scratch)
+        named = labels.join(hooks.select(F.col("a").alias("component"), F.col("b").alias("_to")), "component", "left")
+        named = scratch.keep(named.select("node", F.coalesce("_to", "component").alias("component")), "labels")
+        rest = edges
         for end in ("a", "b"):
             to = hooks.select(F.col("a").alias(end), F.col("b").alias("_to"))
-            edges = edges.join(to, end, "left").withColumn(end, F.coalesce("_to", end)).drop("_to")
-        edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        edges = scratch.keep(edges, "edges")
+            rest = rest.join(to, end, "left").withColumn(end, F.coalesce("_to", end)).drop("_to")
+        rest = rest.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        rest = scratch.keep(rest, "edges")
+        scratch.drop(edges, labels, hooks)
+        edges, labels = rest, named
     return labels
 
 
 def _flat(hooks: DataFrame, scratch: Scratch) -> DataFrame:
     """Every pointer a -> b goes to the root; pointers always fall, so there is one."""
+    hooks = scratch.keep(hooks, "pointers")
     while True:
-        hooks = scratch.keep(hooks, "pointers")
         up = hooks.select(F.col("a").alias("b"), F.col("b").alias("_to"))
         if hooks.join(up, "b", "left_semi").isEmpty():
             return hooks
-        hooks = hooks.join(up, "b", "left").select("a", F.coalesce("_to", "b").alias("b"))
+        doubled = scratch.keep(hooks.join(up, "b", "left").select("a", F.coalesce("_to", "b").alias("b")), "pointers")
+        scratch.drop(hooks)
+        hooks = doubled

@@ -2,18 +2,22 @@
 
 ``spark.checkpoint.dir`` names that folder; every executor and the driver can
 read it, so a table written there survives the loss of any executor and cuts
-the lineage of what follows.  Only where the setting is absent (local tests) a
-temporary folder is made and used instead.
+the lineage of what follows.  Only where the setting is absent and the master is
+local (tests, one machine) a temporary folder is made and used instead; on a
+cluster its absence is an error.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
+_COLLECTED: list[list[Scratch]] = []
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -21,6 +25,9 @@ def shared_root(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError(f"spark.checkpoint.dir must name a folder that all machines of {master} share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
         _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="tidemark-")
@@ -34,6 +41,9 @@ class Scratch:
         self.spark = spark
         self.folder = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
         self._next = 0
+        self._kept: list[tuple[DataFrame, str]] = []
+        for made in _COLLECTED:
+            made.append(self)
 
     def path(self, name: str) -> str:
         self._next += 1
@@ -43,17 +53,35 @@ class Scratch:
         """Write ``df`` as Parquet and read it back: what follows starts from the files."""
         path = self.path(name)
         df.write.option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self._kept.append((table, path))
+        return table
+
+    def _delete(self, path: str) -> None:
+        place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
     def drop(self, *tables: DataFrame) -> None:
-        """Delete the files of tables that nothing reads any more."""
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        """Delete the files of kept tables that nothing reads any more; other tables are left alone."""
         for table in tables:
-            for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
-                if "/" + self.folder.rsplit("/", 1)[1] + "/" in folder + "/":
-                    path = jvm.org.apache.hadoop.fs.Path(folder)
-                    path.getFileSystem(conf).delete(path, True)
+            for own, path in self._kept:
+                if own is table:
+                    self._delete(path)
+
+    def clear(self) -> None:
+        """Delete all tables of this run, when its result has been written elsewhere."""
+        self._delete(self.folder)
+
+
+@contextmanager
+def collected() -> Iterator[list[Scratch]]:
+    """The folders that operators make inside, for who writes their results and then clears them."""
+    made: list[Scratch] = []
+    _COLLECTED.append(made)
+    try:
+        yield made
+    finally:
+        _COLLECTED.remove(made)
 
 
 def free_name(df: DataFrame, base: str) -> str:
