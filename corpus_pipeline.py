@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, lines, mixing, near_dup, quality
-from tidemark.llm.scratch import Scratch
+from tidemark.llm.scratch import Scratch, collected
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -58,9 +58,19 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages, one after another, on the documents table of ``sf_dir``."""
+    """The stages, one after another, on the documents table of ``sf_dir``.
+
+    A stage's own tables go when its result is written, and its input when the next
+    result is.
+    """
     scratch = Scratch(spark, "pipeline")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = scratch.keep(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        with collected() as made:
+            docs = scratch.keep(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        for own in made:
+            own.clear()
+        if before is not None:
+            scratch.drop(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
