@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark import backends, cli, doctor
 from tidemark.operators.registry import IntegrityError
 from tidemark.plans.runner import SequenceRunner, TaskRunner, devices, file_name, first_weights
-from tidemark.sources import files, images
+from tidemark.sources import files, images, shared
 from tidemark.streaming import arrivals
 
 
@@ -164,6 +164,17 @@ def test_initialization_faults(spark, tmp_path, task_config, dataset):
             first_weights(spark, config, ("object",))
 
 
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace as N
+
+    conf = N(get=lambda *a: None)
+    session = N(conf=conf, sparkContext=N(master="yarn", applicationId="x", getConf=lambda: conf))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared.shared_root(session)
+    named = N(get=lambda key, default=None: "hdfs://x/y/")
+    assert shared.new_place(N(conf=named), "t").startswith("hdfs://x/y/t-")
+
+
 def test_files(spark, tmp_path):
     files.put_csv(spark, str(tmp_path / "a.csv"), [{"task": 0, "current": 2}, {"task": 1, "current": 2, "replay": 1}])
     assert (tmp_path / "a.csv").read_text().split() == ["task,current,replay", "0,2,", "1,2,1"]
@@ -248,6 +259,10 @@ def test_command_line(tmp_path, spark, capsys):
     assert cli.main(["task", "--config", str(tmp_path / "none.yaml")]) == 1
     assert "tidemark:" in capsys.readouterr().err
     assert doctor.sound(doctor.report()) and cli.main(["doctor"]) == 0
+    root = Path(doctor.__file__).parents[1]
+    assert cli.main(["doctor", "--project-root", str(root)]) == 0 and cli.main(["doctor", "--project-root", str(tmp_path)]) == 1
+    pinned = doctor.report(training=True)
+    assert pinned["torch_ok"] == (pinned["torch"] or "").startswith("2.6.0") and "gpus" in pinned and not doctor.sound(pinned | {"torch_ok": False})
 
 
 def test_arrival_stream(spark, tmp_path):

@@ -1,4 +1,4 @@
-"""``python -m tidemark.cli task|sequence --config FILE [--set KEY=VALUE]...`` and ``doctor``."""
+"""``python -m tidemark.cli task|sequence --config FILE [--set KEY=VALUE]...`` and ``doctor [--training] [--project-root FOLDER]``."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import argparse
 import json
 import sys
 from collections.abc import Sequence
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -21,14 +22,16 @@ def arguments(args: Sequence[str] | None = None) -> argparse.Namespace:
         command = commands.add_parser(name)
         command.add_argument("--config", required=True)
         command.add_argument("--set", dest="overrides", action="append", default=[], metavar="KEY=VALUE")
-    commands.add_parser("doctor")
+    command = commands.add_parser("doctor")
+    command.add_argument("--project-root", type=Path)
+    command.add_argument("--training", action="store_true", help="also the pinned versions of the training backend")
     return parser.parse_args(args)
 
 
 def main(args: Sequence[str] | None = None) -> int:
     given = arguments(args)
     if given.command == "doctor":
-        report = doctor.report()
+        report = doctor.report(given.project_root, given.training)
         print(json.dumps(report, indent=2, ensure_ascii=False))
         return int(not doctor.sound(report))
     try:

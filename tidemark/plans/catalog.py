@@ -11,7 +11,10 @@ from tidemark.functions import columns as C
 from tidemark.operators import cost, lineage, metrics, registry, scope, selection
 from tidemark.operators.order import places
 from tidemark.plans import sql
+from tidemark.sources import files, images
+from tidemark.sources.shared import new_place
 from tidemark.sources.tables import arrivals, matrix, samples, table
+from tidemark.streaming import arrivals as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -59,7 +62,7 @@ def label_path(spark, d):
 
 @query
 def duplicate_ids(spark, d):
-    return registry.duplicate_ids(samples(spark, d)).agg(F.count(F.lit(1)).alias("n"))
+    return registry.duplicate_ids(table(spark, d, "events").select(F.col("user_id").alias("sample_id")))
 
 
 @query
@@ -109,7 +112,9 @@ def scope_test_by_group(spark, d):
 
 @query
 def split_disjoint(spark, d):
-    return scope.overlaps(_scope(spark, d, 19)).agg(F.count(F.lit(1)).alias("n"))
+    """Users that stand in more than one of three roles."""
+    role = F.when(F.col("event_type") == "click", "candidate").when(F.col("event_type") == "purchase", "validation").when(F.col("event_type") == "refund", "test")
+    return scope.overlaps(table(spark, d, "events").select(role.alias("role"), F.col("user_id").alias("sample_id")).where("role is not null"))
 
 
 @query
@@ -181,8 +186,9 @@ def predict_zip(spark, d):
 
 @query
 def override_left_join(spark, d):
-    overrides = spark.createDataFrame([("src1", 50), ("src3", 10), ("elsewhere", 1)], "group string, replay_size int")
-    return lineage.overridden(arrivals(spark, d).select("group"), overrides, "group", "replay_size", REPLAY).withColumnRenamed("group", "grp")
+    events = table(spark, d, "events")
+    overrides = events.where("event_type = 'refund'").groupBy("user_id").agg(F.max("event_id").alias("replay_size"))
+    return lineage.overridden(events.select("user_id").distinct(), overrides, "user_id", "replay_size", REPLAY)
 
 
 @query
@@ -239,8 +245,10 @@ def cost_by_task(spark, d):
 
 @query
 def device_counts(spark, d):
-    rows = spark.createDataFrame([("cpu", None), ("CPU", None), ("0", None), (None, ["0", "1"]), (None, [])], "device string, listed array<string>")
-    return rows.select(F.coalesce("device", F.array_join("listed", "+")).alias("device"), C.device_count(F.col("device"), F.col("listed")).cast("long").alias("n"))
+    kind = F.col("event_id") % 4
+    named = F.when(kind == 0, "cpu").when(kind == 1, "CPU").otherwise(F.col("user_id").cast("string"))
+    listed = F.when(kind == 3, F.slice(F.array(F.lit("0"), F.lit("1"), F.lit("2")), F.lit(1), (F.col("user_id") % 4).cast("int")))
+    return table(spark, d, "events").select("event_id", C.device_count(named, listed).cast("long").alias("n"))
 
 
 @query
@@ -279,8 +287,11 @@ def number_parse(spark, d):
 
 @query
 def number_cells(spark, d):
-    cells = [("1.5",), (" 2 ",), ("x",), ("1_000",), ("1d",), ("-.5e3",), ("",), ("1e",)]
-    return spark.createDataFrame(cells, "cell string").select("cell", C.number(F.col("cell")).alias("v"))
+    """Numbers as people write them, and what only looks like one."""
+    n = F.col("event_id").cast("string")
+    kinds = [n, F.concat(F.lit(" "), n, F.lit(".5 ")), F.concat(F.lit("x"), n), F.concat(n, F.lit("_000")), F.concat(n, F.lit("d")), F.concat(F.lit("-.5e"), (F.col("event_id") % 9).cast("string")), F.lit(""), F.concat(n, F.lit("e"))]
+    cells = table(spark, d, "events").select("event_id", F.element_at(F.array(*kinds), (F.col("event_id") % 8 + 1).cast("int")).alias("cell"))
+    return cells.select("event_id", "cell", C.number(F.col("cell")).alias("v"))
 
 
 @query
@@ -299,8 +310,87 @@ def ragged_union(spark, d):
 
 @query
 def config_layers(spark, d):
-    rows = [(0, "budget.value", "100"), (0, "backend.device", "cpu"), (1, "budget.value", "20"), (2, "backend.device", None), (1, "task.label", "x")]
-    return lineage.layered(spark.createDataFrame(rows, "layer int, k string, v string"))
+    """Settings of users, event by event: the last one counts, also if it is null."""
+    key = F.concat_ws(".", "event_type", F.col("user_id").cast("string"))
+    value = F.when(F.col("event_id") % 5 != 0, F.col("event_id").cast("string"))
+    return lineage.layered(table(spark, d, "events").select(F.col("event_id").alias("layer"), key.alias("k"), value.alias("v")))
+
+
+@query
+def scope_disjoint(spark, d):
+    return scope.overlaps(_scope(spark, d, 19)).agg(F.count(F.lit(1)).alias("n"))
+
+
+# what is written and read again
+
+
+@query
+def manifest_paths(spark, d):
+    """A manifest of untidy relative paths, some twice, and the images that it names."""
+    place = new_place(spark, "manifest")
+    line = F.concat(F.lit("  ../"), "group", F.lit("/./x/../images//"), F.col("doc_id").cast("string"), F.lit(".JPG "))
+    rows = samples(spark, d).select(F.explode(F.array(line, F.lit("   "), line)).alias("value"))
+    rows.write.text(f"{place}/lists/all.txt")
+    found = images.split_files(spark, f"{place.removeprefix('file://')}/lists", ("all.txt",), listed=True)
+    return found.select(F.regexp_extract("path", "([^/]+/images/[^/]+)$", 1).alias("path"))
+
+
+@query
+def ordered_lines(spark, d):
+    """Ids written line by line, with their places in the folder's parts."""
+    place = new_place(spark, "lines")
+    files.put_lines(samples(spark, d).select("sample_id"), place, "sample_id")
+    parts = spark.read.text(place, wholetext=True).select(F.col("_metadata.file_name").alias("part"), F.split(F.regexp_replace("value", "\\n$", ""), "\n").alias("lines"))
+    sizes = parts.select("part", F.size("lines").alias("n")).withColumn("first", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return parts.join(sizes, "part").select(F.posexplode("lines").alias("at", "sample_id"), "first").select((F.col("first") + F.col("at")).alias("pos"), "sample_id")
+
+
+@query
+def history_csv(spark, d):
+    """Measurements as text with blanks around names: columns of numbers come back as numbers."""
+    place = new_place(spark, "history")
+    rows = table(spark, d, "events").select(F.col("event_id").cast("string").alias(" epoch "), F.format_string(" %s ", F.col("event_id") / 4).alias("loss"), F.col("event_type").alias(" note"))
+    rows.write.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(place)
+    return files.get_history(spark, place)
+
+
+@query
+def ragged_csv(spark, d):
+    """One row per task in a small file whose rows differ in their keys; lacking cells are empty."""
+    path = new_place(spark, "ragged") + ".csv"
+    rows = scope.counts(samples(spark, d), arrivals(spark, d)).orderBy("task").collect()
+    files.put_csv(spark, path, [{"task": r["task"], "current": r["current_count"], **({"replay": r["history_count"]} if r["history_count"] else {})} for r in rows])
+    return spark.read.option("header", True).schema("task int, current bigint, replay bigint").csv(path)
+
+
+@query
+def scope_sink(spark, d):
+    """A task's scope, written by role and group and read again."""
+    place = new_place(spark, "scope")
+    _scope(spark, d, 12).write.partitionBy("role", "group").parquet(place)
+    kept = spark.read.schema("sample_id string, role string, group string").parquet(place)
+    return kept.groupBy("role", F.col("group").alias("grp")).agg(F.count(F.lit(1)).alias("n"), F.max("sample_id").alias("hi"))
+
+
+@query
+def selection_sink(spark, d):
+    """The selected ids of a task by role, and the union of the roles."""
+    place = new_place(spark, "selected")
+    selection.policy("random_replay", {"replay_size": REPLAY, "draw": "hash"}).select(_scope(spark, d, 14), SEED + 14).write.partitionBy("role").parquet(place)
+    kept = spark.read.schema("sample_id string, role string").parquet(place)
+    return kept.groupBy("sample_id").agg(F.min("role").alias("role"), F.count(F.lit(1)).alias("n"))
+
+
+@query
+def arrival_stream(spark, d):
+    """Samples as a stream of files: the scope counts of all tasks after the last batch."""
+    place = new_place(spark, "stream")
+    rows = samples(spark, d).join(arrivals(spark, d), "group").select("sample_id", "group", "split", "idx")
+    rows.repartitionByRange(4, "idx").write.parquet(f"{place}/in")
+    seen = []
+    query = stream.follow(stream.source(spark, f"{place}/in", 2), f"{place}/registry", f"{place}/checkpoint", lambda counts, number: seen.append(counts))
+    query.awaitTermination()
+    return seen[-1]
 
 
 def queries() -> dict[str, Query]:

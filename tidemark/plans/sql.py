@@ -26,12 +26,15 @@ def _number(cell: str) -> str:
     return f"case when regexp_matches({plain}, '{_NUMBER}') then try_cast({plain} as double) end"
 
 
+_CELLS = """select event_id, case event_id % 8 when 0 then event_id::varchar when 1 then ' ' || event_id || '.5 ' when 2 then 'x' || event_id when 3 then event_id || '_000'
+  when 4 then event_id || 'd' when 5 then '-.5e' || event_id % 9 when 6 then '' else event_id || 'e' end as cell from events"""
+
 ORACLES = {
     "registry_counts": _S + " select grp, split, count(*) as n, min(sample_id) as lo, max(sample_id) as hi from s group by grp, split",
     "group_members": _S + " select grp, split, string_agg(sample_id, ',' order by sample_id) as ids from s group by grp, split",
     "relative_path": _S + " select sample_id, 'images/' || lang || '/images/' || doc_id || '.a.jpg' as p from s",
     "label_path": _S + " select sample_id, '/data/' || grp || '/images/' || lang || '/labels/' || doc_id || '.a.txt' as p from s",
-    "duplicate_ids": _S + " select count(*) as n from (select sample_id from s group by sample_id having count(*) > 1)",
+    "duplicate_ids": "select user_id as sample_id, count(*) as n from events group by user_id having count(*) > 1",
     "dup_owner_check": "select sha256(lower(text)) as k, count(*) as n, min(doc_id) as first_id from documents group by 1 having count(*) > 1",
     "label_schema_check": _S
     + """, n as (select grp, min(idx) as idx, list_sort(list(distinct lang)) as names from s group by grp)
@@ -45,7 +48,7 @@ select grp, len(names) as n_names, names = (select arg_min(names, idx) from n) a
   union all select 'current' from tr where idx = 10 union all select 'history' from tr where idx < 10) group by role""",
     "scope_history_except": _S + " select sample_id from tr where idx <= 10 except select sample_id from tr where idx = 10",
     "scope_test_by_group": _S + " select grp, sample_id from s where split = 'test' and idx <= 5",
-    "split_disjoint": _S + " select count(*) as n from (select sample_id from s group by sample_id having count(distinct split) > 1)",
+    "split_disjoint": "select user_id as sample_id from events where event_type in ('click', 'purchase', 'refund') group by user_id having count(distinct event_type) > 1",
     "current_in_candidate": _S + " select sample_id from tr where idx = 10",
     "missing_ids_anti": "select doc_id from documents d where not exists (select 1 from labels l where l.doc_id = d.doc_id)",
     "labeled_semi": "select doc_id from documents d where exists (select 1 from labels l where l.doc_id = d.doc_id)",
@@ -63,8 +66,7 @@ select sample_id, 'current' as role from tr where idx = 19 union all select samp
 union all select task, 'random_replay', current_count, least(50, candidate_count - current_count), candidate_count from counts""",
     "manifest_bind": _S + " select row_number() over (partition by grp order by sample_id desc) as pos, sample_id, image_path, n_chars from s where split = 'val'",
     "predict_zip": _S + " select row_number() over (partition by grp order by sample_id) - 1 as pos, sample_id, n_chars * 2 as prediction from s where split = 'test'",
-    "override_left_join": _S
-    + " select grp, coalesce(o.v, 500)::int as replay_size from arr left join (values ('src1', 50), ('src3', 10), ('elsewhere', 1)) o(k, v) on o.k = grp",
+    "override_left_join": "select u.user_id, coalesce(max(e.event_id), 500)::bigint as replay_size from (select distinct user_id from events) u left join events e on e.user_id = u.user_id and e.event_type = 'refund' group by u.user_id",
     "eval_cross": _S + " select c.checkpoint, t.grp, t.n from (values ('last'), ('best')) c(checkpoint), (select grp, count(*) as n from s where split = 'test' group by grp) t",
     "eval_seconds": "select ((day(ts) - 1) // 6)::int as task, sum(case when event_type <> 'click' then (event_id % 7) * 0.5::double else 0 end) as evaluation_seconds from events group by 1",
     "metric_matrix": _M + " select task, grp, score from m",
@@ -83,7 +85,7 @@ select round(coalesce(avg(v), 0), 5) as final_mean_forgetting from f""",
     + """ select task as idx, ceil(candidate_count / 16.0)::bigint * 100 as optimizer_steps, candidate_count * 100 as images_read,
   round(task * 0.5::double + candidate_count * 0.25::double, 6) as method_seconds, round((task * 0.5::double + candidate_count * 0.25::double) * 2 / 3600, 6) as gpu_hours
 from counts""",
-    "device_counts": "select * from (values ('cpu', 0::bigint), ('CPU', 0), ('0', 1), ('0+1', 2), ('', 0)) v(device, n)",
+    "device_counts": "select event_id, case event_id % 4 when 2 then 1 when 3 then least(user_id % 4, 3) else 0 end::bigint as n from events",
     "lineage_parent": "select conv_id, turn, lag(turn) over (partition by conv_id order by turn) as parent from conversations",
     "stop_after_failure": """with e as (select event_type as grp, sum(case when event_id % 97 = 96 then 1 else 0 end) over (partition by event_type order by ts, event_id) as bad from events)
 select grp, count(*) as n from e where bad = 0 group by grp""",
@@ -92,10 +94,27 @@ select grp, count(*) as n from e where bad = 0 group by grp""",
 where suffix in ('', 'html', 'com', 'bmp', 'dng', 'heic', 'jpeg', 'jpg', 'mpo', 'pfm', 'png', 'tif', 'tiff', 'webp') group by suffix""",
     "sanitize_names": r"""select url, left(coalesce(nullif(trim(regexp_replace(url, '[<>:"/\\|?*\s]+', '-', 'g'), '-. '), ''), 'run'), 24) as s from pages""",
     "number_parse": f"select event_id, {_number('k')} as k from (select event_id, json_extract_string(props, '$.k') as k from events)",
-    "number_cells": f"select cell, {_number('cell')} as v from (values ('1.5'), (' 2 '), ('x'), ('1_000'), ('1d'), ('-.5e3'), (''), ('1e')) c(cell)",
+    "number_cells": f"select event_id, cell, {_number('cell')} as v from ({_CELLS})",
     "arrival_index": _S + " select grp, idx, idx + 42 as seed, printf('%03d', idx) || '__' || grp as task_name from arr",
     "ragged_union": _C
     + """ select task, current_count as current, null::bigint as replay from counts where task < 10
 union all select task, current_count, candidate_count - current_count from counts where task >= 10""",
-    "config_layers": "select * from (values ('budget.value', '20'), ('backend.device', null), ('task.label', 'x')) v(k, v)",
+    "config_layers": """select k, v from (
+  select event_type || '.' || user_id as k, case when event_id % 5 <> 0 then event_id::varchar end as v, row_number() over (partition by event_type, user_id order by event_id desc) as r from events
+) where r = 1""",
+    "scope_disjoint": _S + " select count(*) as n from (select sample_id from s group by sample_id having count(distinct split) > 1)",
+    "manifest_paths": _S + " select distinct grp || '/images/' || doc_id || '.JPG' as path from s",
+    "ordered_lines": _S + " select row_number() over (order by sample_id) - 1 as pos, sample_id from s",
+    "history_csv": "select event_id::double as epoch, event_id / 4.0::double as loss, event_type as note from events",
+    "ragged_csv": _C + " select task, current_count as current, nullif(candidate_count - current_count, 0) as replay from counts",
+    "scope_sink": _S
+    + """, r as (
+  select 'candidate' as role, grp, sample_id from tr where idx <= 12 union all select 'current', grp, sample_id from tr where idx = 12
+  union all select 'history', grp, sample_id from tr where idx < 12
+  union all select case split when 'val' then 'validation' else 'test' end, grp, sample_id from s where split <> 'train' and idx <= 12
+) select role, grp, count(*) as n, max(sample_id) as hi from r group by role, grp""",
+    "selection_sink": _S
+    + """, h as (select sample_id from tr where idx < 14 order by md5('56|' || sample_id), sample_id limit 500)
+select sample_id, 'replay' as role, 1::bigint as n from h union all select sample_id, 'current', 1::bigint from tr where idx = 14""",
+    "arrival_stream": _C + " select task, candidate_count, current_count, candidate_count - current_count as history_count from counts",
 }

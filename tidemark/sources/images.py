@@ -88,11 +88,11 @@ def entry(spark: SparkSession, root: str, name: str) -> DataFrame:
     raise FileNotFoundError(f"neither a folder, a manifest nor an image: {path}")
 
 
-def split_files(spark: SparkSession, root: str, entries: tuple[str, ...]) -> DataFrame:
-    """Distinct paths of all entries; a split without any is an error."""
+def split_files(spark: SparkSession, root: str, entries: tuple[str, ...], listed: bool = False) -> DataFrame:
+    """Distinct paths of all entries; a split without any is an error.  ``listed``: all are manifests, also folders of parts."""
     found = None
     for name in entries:
-        part = entry(spark, root, name)
+        part = manifest(spark, posixpath.join(root, name)) if listed else entry(spark, root, name)
         found = part if found is None else found.union(part)
     if found is None or found.isEmpty():
         raise IntegrityError(f"no images in {', '.join(entries) or 'an empty list'}")
