@@ -52,17 +52,6 @@ def test_tables_go_when_they_are_told_to(spark, tmp_path):
     assert not os.path.exists(place)
 
 
-def test_a_cluster_needs_a_shared_folder():
-    from types import SimpleNamespace as N
-
-    from tidemark.llm import scratch as sc
-
-    conf = N(get=lambda *a: None)
-    session = N(conf=conf, sparkContext=N(master="yarn", applicationId="x", getConf=lambda: conf))
-    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-        sc.shared_root(session)
-
-
 def shingle_set(text, k):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} if len(words) >= k else {tuple(words)} - {()}

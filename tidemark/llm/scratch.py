@@ -1,37 +1,20 @@
 """Intermediate tables in the folder that the cluster shares.
 
-``spark.checkpoint.dir`` names that folder; every executor and the driver can
-read it, so a table written there survives the loss of any executor and cuts
-the lineage of what follows.  Only where the setting is absent and the master is
-local (tests, one machine) a temporary folder is made and used instead; on a
-cluster its absence is an error.
+Every executor and the driver can read it (see :mod:`tidemark.sources.shared`), so a
+table written there survives the loss of any executor and cuts the lineage of what
+follows.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL: dict[str, str] = {}
-_COLLECTED: list[list[Scratch]] = []
-
+from tidemark.sources.shared import new_place
 
-def shared_root(spark: SparkSession) -> str:
-    """The shared folder of this session, without a trailing slash."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    master = spark.sparkContext.master
-    if master != "local" and not master.startswith("local["):
-        raise RuntimeError(f"spark.checkpoint.dir must name a folder that all machines of {master} share")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL:
-        _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-    return _LOCAL[app]
+_COLLECTED: list[list[Scratch]] = []
 
 
 class Scratch:
@@ -39,7 +22,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.folder = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+        self.folder = new_place(spark, name)
         self._next = 0
         self._kept: list[tuple[DataFrame, str]] = []
         for made in _COLLECTED:
