@@ -32,6 +32,11 @@ def odd_rows() -> list[tuple]:
         (None, line, "en", "a", 1),
         (13, "same row", "en", "a", 1),
         (13, "same row", "en", "a", 1),
+        # Several rows without an id, and rows of one id with other texts and numbers of lines.
+        (None, None, None, None, None),
+        (None, "second text without an id\nits own second line\n" + line + "\nits fourth line", "en", "c", 1),
+        (None, "second text without an id", "en", "c", 1),
+        (13, "other text of this id\nwith its own words\n" + line + "\nfour\nfive", "de", "b", 1),
     ]
     return rows
 

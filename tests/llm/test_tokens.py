@@ -75,9 +75,9 @@ def test_shared_chunks_are_encoded_once(vocabulary):
 def test_round_trip_query(spark, plain, odd, wide, empty, vocabulary):
     import hashlib
 
-    for r in bpe.encode_decode(wide, vocabulary).join(odd.distinct().select("doc_id", "text"), "doc_id").collect():
-        ids = ids_of(plain, r["text"])
-        assert np.frombuffer(r["ids"], "<u4").tolist() == ids and r["decoded"] == plain.decode(ids, skip_special_tokens=False) == (r["text"] or "")
+    got = [(r["doc_id"], np.frombuffer(r["ids"], "<u4").tolist(), r["decoded"]) for r in bpe.encode_decode(wide, vocabulary).collect()]
+    want = [(r["doc_id"], ids := ids_of(plain, r["text"]), plain.decode(ids, skip_special_tokens=False)) for r in odd.collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want))
     assert bpe.encode_decode(empty, vocabulary).count() == 0 and bpe.encode_decode(odd, vocabulary).count() == odd.count()
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
     for r in entry.queries()["op6_bpe_round_trip"](spark, SMALL).collect():
@@ -139,14 +139,11 @@ def test_blocks_are_coded_alone():
 def test_files(spark, plain, odd, wide, empty, vocabulary, tmp_path):
     token_files.write(wide, str(tmp_path / "f"), vocabulary, parts=3)
     got = token_files.read(spark, str(tmp_path / "f")).orderBy("start").collect()
-    start = 0
-    rows = sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["text"]) for r in odd.collect() if r["text"] is not None or r["doc_id"] == 4)
-    assert len(got) == len(rows)
-    for r, (known, i, text) in zip(got, sorted(rows, key=lambda x: x[:2]), strict=True):
-        ids = [*ids_of(plain, text), 2]
-        assert (r["doc_id"], r["start"], r["n_tokens"]) == (i if known else None, start, len(ids))
-        assert np.frombuffer(r["ids"], "<u4").tolist() == ids
-        start += len(ids)
+    rows = [(r["doc_id"], [*ids_of(plain, r["text"]), 2]) for r in odd.collect()]
+    assert sorted(map(str, rows)) == sorted(str((r["doc_id"], np.frombuffer(r["ids"], "<u4").tolist())) for r in got)
+    assert [r["doc_id"] for r in got] == sorted((i for i, _ in rows), key=lambda i: (i is not None, i or 0))
+    assert [r["start"] for r in got] == np.cumsum([0, *(r["n_tokens"] for r in got[:-1])]).tolist()
+    assert all(r["n_tokens"] == len(r["ids"]) // 4 for r in got)
     token_files.write(empty, str(tmp_path / "e"), vocabulary)
     assert token_files.read(spark, str(tmp_path / "e")).count() == 0
 

@@ -28,8 +28,8 @@ SHARE, CAP = 1.5, 2
 ROOM = 4
 #: Parts into which the documents of one source and length are dealt, so that a hot length is ranked in parts.
 DEALS = 1024
-#: Sources up to which their table is broadcast; beyond, it is joined.
-BROADCAST_SOURCES = 10_000
+#: Sources, and quotas of deals, up to which their table is broadcast; beyond, it is joined.
+BROADCAST_SOURCES, BROADCAST_QUOTAS = 10_000, 20_000
 
 
 def sizes(docs: DataFrame, *more: Column) -> DataFrame:
@@ -148,6 +148,7 @@ def mix(docs: DataFrame, seed: int = SEED, weights: tuple[int, ...] = WEIGHTS, s
     before = "coalesce(sum(n) over (partition by place, size order by deal rows between unbounded preceding and 1 preceding), 0)"
     quota = deals.join(takes, ["place", "size"]).selectExpr("place", "size", "deal", "n", f"greatest(0, least(n, take - {before})) as quota")
     quota = scratch.keep(quota.where("quota > 0"), "quota")
+    quota = F.broadcast(quota) if quota.count() <= BROADCAST_QUOTAS else quota.hint("merge")
     out = rows.join(quota, ["place", "size", "deal"], "left")
     out = scratch.keep(out.select("doc_id", "size", "place", "source_size", "target", "passes", "deal", "h", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("quota", F.lit(0)).alias("quota"), *names), "rows")
     # Only the deal in which a length's quota ends is ranked.

@@ -29,6 +29,8 @@ RULES = [
 
 #: Rules up to which they are broadcast; beyond, they are joined by host.
 BROADCAST_RULES = 20_000
+#: Places and addresses with a verdict up to which they are broadcast; beyond, they are joined by a sort.
+BROADCAST_PLACES = 20_000
 
 #: Pages in which none of this stands have no link; (?i) and (?s) are spelled out for both engines.
 MENTIONS = r"(?i)canonical|refresh"
@@ -161,5 +163,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, edges: Da
     ruled = scratch.keep(rule_of(places, table, small), "ruled")
     said = parts.join(ruled, ["host", "path"]).groupBy("component").agg(F.bool_or(F.col("verdict") == "allow").alias("let"))
     passed = classes.join(said, "component").select(F.col("node").alias("_node"), F.when(F.col("let"), "allow").otherwise("block").alias("_by_class"))
-    out = rows.join(ruled, ["host", "path"], "left").join(passed, F.col("node") == F.col("_node"), "left")
+    passed = scratch.keep(passed, "passed")
+    sized = lambda df: F.broadcast(df) if df.count() <= BROADCAST_PLACES else df.hint("merge")
+    out = rows.join(sized(ruled), ["host", "path"], "left").join(sized(passed), F.col("node") == F.col("_node"), "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("verdict", "_by_class", F.lit("allow")).alias("verdict"))
