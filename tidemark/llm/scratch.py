@@ -24,7 +24,6 @@ class Scratch:
         self.spark = spark
         self.folder = new_place(spark, name)
         self._next = 0
-        self._kept: list[tuple[DataFrame, str]] = []
         for made in _COLLECTED:
             made.append(self)
 
@@ -37,7 +36,7 @@ class Scratch:
         path = self.path(name)
         df.write.option("compression", "zstd").parquet(path)
         table = self.spark.read.schema(df.schema).parquet(path)
-        self._kept.append((table, path))
+        table._scratch_path = path  # on the table itself: a list here would keep plans of the past alive
         return table
 
     def _delete(self, path: str) -> None:
@@ -45,11 +44,11 @@ class Scratch:
         place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
     def drop(self, *tables: DataFrame) -> None:
-        """Delete the files of kept tables that nothing reads any more; other tables are left alone."""
+        """Delete the files of tables as :meth:`keep` returned them that nothing reads any more; others are left alone."""
         for table in tables:
-            for own, path in self._kept:
-                if own is table:
-                    self._delete(path)
+            path = getattr(table, "_scratch_path", None)
+            if path is not None:
+                self._delete(path)
 
     def clear(self) -> None:
         """Delete all tables of this run, when its result has been written elsewhere."""
