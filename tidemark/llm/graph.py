@@ -24,7 +24,6 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges = scratch.keep(edges, "edges")
     labels = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("component", F.col("node"))
-    labels = scratch.keep(labels, "labels")
     while not edges.isEmpty():
         hooks = _flat(edges.groupBy("a").agg(F.min("b").alias("b")), scratch)
         named = labels.join(hooks.select(F.col("a").alias("component"), F.col("b").alias("_to")), "component", "left")

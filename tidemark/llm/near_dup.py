@@ -134,17 +134,20 @@ def _components_of(posts: DataFrame, texts: DataFrame, k: int, percent: int, scr
     sets = scratch.keep(sets, "sets")
 
     def with_sets(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
-        fans = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / CENTRE_SALT).alias("salts"))
-        own = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")).join(fans, "a")
-        own = own.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1))).drop("salts")
-        thin = pairs.join(fans, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt"))
-        return both.join(thin, ["a", "b"]).join(own, ["a", "salt"]).drop("salt")
+        """The written pairs (a, b, ...) with both sets; a centre that meets many members is met in parts."""
+        members, centres = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
+        fans = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / CENTRE_SALT).alias("salts")).where("salts > 1")
+        if fans.isEmpty():
+            return pairs.join(members, "b").join(centres, "a")
+        salts = F.coalesce("salts", F.lit(1).cast("bigint"))
+        salted = pairs.join(fans, "a", "left").withColumn("salt", F.pmod(F.xxhash64("b"), salts)).drop("salts")
+        copies = centres.join(fans, "a", "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1))).drop("salts")
+        return salted.join(members, "b").join(copies, ["a", "salt"]).drop("salt")
 
     def linked(pairs: DataFrame) -> DataFrame:
-        """Those of the pairs (a, b) whose full sets are similar enough."""
+        """Those of the distinct pairs (a, b) whose full sets are similar enough."""
         both = F.size(F.array_intersect("sa", "sb"))
-        held = with_sets(pairs.distinct()).where(100 * both >= percent * (F.size("sa") + F.size("sb") - both))
+        held = with_sets(scratch.keep(pairs, "pairs")).where(100 * both >= percent * (F.size("sa") + F.size("sb") - both))
         return held.select("a", "b").mapInArrow(_forest, "a bigint, b bigint")
 
     first = F.struct(F.negative("meets"), "doc_id")

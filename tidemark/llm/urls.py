@@ -155,15 +155,19 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, edges: Da
     table = spark.sql(f"select * from values {quoted} as r(rule_host, rule_path, rule_verdict)" if rules else none)
     small = len(rules) <= BROADCAST_RULES
     links = scratch.keep(link_edges(pages) if edges is None else edges, "links")
-    classes = components(links, scratch)
     url = F.col("url")
-    parts = classes.select("node", "component", F.regexp_extract(F.concat(F.lit("x://"), "node"), PARTS, 1).alias("host"), F.regexp_extract(F.concat(F.lit("x://"), "node"), PARTS, 2).alias("path"))
     rows = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), node_of(url).alias("node"))
-    places = rows.select("host", "path").union(parts.select("host", "path")).distinct()
-    ruled = scratch.keep(rule_of(places, table, small), "ruled")
-    said = parts.join(ruled, ["host", "path"]).groupBy("component").agg(F.bool_or(F.col("verdict") == "allow").alias("let"))
-    passed = classes.join(said, "component").select(F.col("node").alias("_node"), F.when(F.col("let"), "allow").otherwise("block").alias("_by_class"))
-    passed = scratch.keep(passed, "passed")
     sized = lambda df: F.broadcast(df) if df.count() <= BROADCAST_PLACES else df.hint("merge")
-    out = rows.join(sized(ruled), ["host", "path"], "left").join(sized(passed), F.col("node") == F.col("_node"), "left")
+    if links.isEmpty():  # each address is a class of its own
+        ruled = scratch.keep(rule_of(rows.select("host", "path").distinct(), table, small), "ruled")
+        out = rows.join(sized(ruled), ["host", "path"], "left").withColumn("_by_class", F.lit(None).cast("string"))
+    else:
+        classes = components(links, scratch)
+        place = F.concat(F.lit("x://"), "node")
+        parts = classes.select("node", "component", F.regexp_extract(place, PARTS, 1).alias("host"), F.regexp_extract(place, PARTS, 2).alias("path"))
+        ruled = scratch.keep(rule_of(rows.select("host", "path").union(parts.select("host", "path")).distinct(), table, small), "ruled")
+        said = parts.join(ruled, ["host", "path"]).groupBy("component").agg(F.bool_or(F.col("verdict") == "allow").alias("let"))
+        passed = classes.join(said, "component").select(F.col("node").alias("_node"), F.when(F.col("let"), "allow").otherwise("block").alias("_by_class"))
+        passed = scratch.keep(passed, "passed")
+        out = rows.join(sized(ruled), ["host", "path"], "left").join(sized(passed), F.col("node") == F.col("_node"), "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("verdict", "_by_class", F.lit("allow")).alias("verdict"))
