@@ -211,6 +211,15 @@ def metric_matrix(spark, d):
     return matrix(spark, d).withColumnRenamed("group", "grp")
 
 
+@query
+def metric_scores(spark, d):
+    """Scores of one of two checkpoints, by task and group, from a log of both."""
+    events = table(spark, d, "events")
+    task = F.floor((F.dayofmonth("ts") - 1) / 6).cast("int").alias("task")
+    log = events.groupBy(task, F.when(F.col("event_id") % 2 == 0, "last").otherwise("best").alias("checkpoint"), F.col("event_type").alias("group")).agg(F.round(F.avg("value"), 6).alias("map50"))
+    return metrics.scores(log, "best", "map50").withColumnRenamed("group", "grp")
+
+
 @query
 def metric_pivot(spark, d):
     return metrics.pivoted(matrix(spark, d), list(EVENT_TYPES), "{}__map50_95")

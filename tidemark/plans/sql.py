@@ -117,4 +117,5 @@ union all select task, current_count, candidate_count - current_count from count
     + """, h as (select sample_id from tr where idx < 14 order by md5('56|' || sample_id), sample_id limit 500)
 select sample_id, 'replay' as role, 1::bigint as n from h union all select sample_id, 'current', 1::bigint from tr where idx = 14""",
     "arrival_stream": _C + " select task, candidate_count, current_count, candidate_count - current_count as history_count from counts",
+    "metric_scores": "select ((day(ts) - 1) // 6)::int as task, event_type as grp, round(avg(value), 6) as score from events where event_id % 2 = 1 group by 1, 2",
 }
