@@ -30,6 +30,8 @@ _FOLD[ord("A") : ord("Z") + 1] += 32
 
 #: Bytes of texts whose words are hashed at a time, and bytes of a word from which it is hashed by BLAKE2b.
 WINDOW_BYTES, LONG_WORD = 1 << 22, 1024
+#: Elements of sets that are sketched at a time.
+PART = 1 << 18
 _MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
@@ -182,32 +184,37 @@ def superminhash(elements: np.ndarray, at: np.ndarray, m: int) -> np.ndarray:
     """
     texts = len(at) - 1
     full = np.full((texts, m), np.iinfo(np.uint64).max, np.uint64)
-    owner = np.repeat(np.arange(texts), np.diff(at))
-    live = elements
-    turn: np.ndarray | None = None  # each element's permutation, as far as it is shuffled
-    for j in range(m):
+    flat = full.reshape(-1)
+    owner = np.repeat(np.arange(texts, dtype=np.int32), np.diff(at))
+
+    def draws(elements: np.ndarray, j: int) -> tuple[np.ndarray, np.ndarray]:
+        """The places j to m - 1 that step j picks for elements, and its values there."""
+        draw = mix(elements + _U((j + 1) * 0xA24BAED4963EE407 & (1 << 64) - 1))
+        return j + ((draw & _U(0xFFFF)) * _U(m - j) >> _U(16)).astype(np.int64), (draw >> _U(16)) | _U(j << 48)
+
+    # The first step takes elements a part at a time; most large sets are done with it.
+    for first in range(0, len(elements), PART):
+        part = slice(first, first + PART)
+        place, value = draws(elements[part], 0)
+        np.minimum.at(flat, owner[part] * np.int64(m) + place, value)
+    open_ = (full.max(axis=1, initial=0) >= _U(1 << 48))[owner]
+    live, owner = elements[open_], owner[open_]
+    place = draws(live, 0)[0]
+    turn = np.tile(np.arange(m, dtype=np.uint16), (len(live), 1))  # each element's permutation, as far as it is shuffled
+    turn[np.arange(len(live)), place] = 0
+    turn[:, 0] = place
+    for j in range(1, m):
         if not len(live):
             break
-        draw = mix(live + _U((j + 1) * 0xA24BAED4963EE407 & (1 << 64) - 1))
-        pick = j + ((draw & _U(0xFFFF)) * _U(m - j) >> _U(16)).astype(np.int64)
-        if turn is None:
-            place = pick
-        else:
-            row = np.arange(len(live))
-            place = turn[row, pick].astype(np.int64)
-            turn[row, pick] = turn[:, j]
-            turn[:, j] = place
-        np.minimum.at(full.reshape(-1), owner * m + place, (draw >> _U(16)) | _U(j << 48))
+        pick, value = draws(live, j)
+        row = np.arange(len(live))
+        place = turn[row, pick].astype(np.int64)
+        turn[row, pick] = turn[:, j]
+        turn[:, j] = place
+        np.minimum.at(flat, owner * np.int64(m) + place, value)
         open_ = (full.max(axis=1) >= _U((j + 1) << 48))[owner]
-        if not open_.all() or turn is None:
-            live, owner = live[open_], owner[open_]
-            if turn is None:
-                place = place[open_]
-                turn = np.tile(np.arange(m, dtype=np.uint16), (len(live), 1))
-                turn[np.arange(len(live)), place] = 0
-                turn[:, 0] = place
-            else:
-                turn = turn[open_]
+        if not open_.all():
+            live, owner, turn = live[open_], owner[open_], turn[open_]
     return full
 
 
