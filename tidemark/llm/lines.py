@@ -261,7 +261,9 @@ def _judge_rows(docs: DataFrame, scratch: Scratch | None = None, min_chars: int
     near = pairs.where(F.levenshtein("la", "lb", 1) == 1).groupBy(F.col("own").alias("first")).agg(F.min("with_").alias("near"))
 
     named = distinct.join(near, "first", "left").where("n > 1 or near is not null").select("a", "b", "first", "near", "n")
-    out = _told(lines.select("doc_id", "row", "line_no", "a", "b"), scratch.keep(named, "named"))
+    named = scratch.keep(named, "named")
+    scratch.drop(distinct, emitted, variants)
+    out = _told(lines.select("doc_id", "row", "line_no", "a", "b"), named)
     equal = F.when(order != F.col("first"), F.col("first"))
     keeper = F.coalesce("near", equal)
     return out.select(

@@ -114,6 +114,7 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, r
     posts = scratch.keep(posts.join(shared, "key"), "posts")
 
     near = _components_of(posts, texts, k, percent, scratch)
+    scratch.drop(posts)
     same = full.join(heads.where("n > 1").drop("n"), ["digest_a", "digest_b"]).where("doc_id <> head").select(F.col("doc_id").alias("_row"), "head")
     where = heads.where("n > 1").select(F.col("head").alias("node")).union(near.select("node")).distinct()
     where = where.join(near, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
@@ -132,6 +133,7 @@ def _components_of(posts: DataFrame, texts: DataFrame, k: int, percent: int, scr
     met_by = scratch.keep(met_by, "members")
     sets = texts.join(met_by.select("doc_id"), "doc_id", "left_semi").mapInArrow(_sets(k), "doc_id bigint, shingles array<bigint>")
     sets = scratch.keep(sets, "sets")
+    done = [met_by, sets]  # tables that only the links need
 
     def with_sets(pairs: DataFrame) -> DataFrame:
         """The written pairs (a, b, ...) with both sets; a centre that meets many members is met in parts."""
@@ -147,7 +149,8 @@ def _components_of(posts: DataFrame, texts: DataFrame, k: int, percent: int, scr
     def linked(pairs: DataFrame) -> DataFrame:
         """Those of the distinct pairs (a, b) whose full sets are similar enough."""
         both = F.size(F.array_intersect("sa", "sb"))
-        held = with_sets(scratch.keep(pairs, "pairs")).where(100 * both >= percent * (F.size("sa") + F.size("sb") - both))
+        done.append(pairs := scratch.keep(pairs, "pairs"))
+        held = with_sets(pairs).where(100 * both >= percent * (F.size("sa") + F.size("sb") - both))
         return held.select("a", "b").mapInArrow(_forest, "a bigint, b bigint")
 
     first = F.struct(F.negative("meets"), "doc_id")
@@ -156,6 +159,7 @@ def _components_of(posts: DataFrame, texts: DataFrame, k: int, percent: int, scr
     centres = centres.select("key", "c", F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1)).alias("salt"))
     met = posts.withColumn("salt", F.pmod(F.xxhash64("doc_id"), salts)).join(centres, ["key", "salt"]).select(F.col("c.doc_id").alias("a"), F.col("c.n").alias("na"), F.col("doc_id").alias("b"), F.col("n").alias("nb"), "size")
     met = scratch.keep(met.groupBy("a", "b", "na", "nb").agg(F.max("size").alias("size")), "met")
+    done.append(met)
     links = scratch.keep(linked(met.where(f"a <> b and 100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b")), "links")
     classes = components(links, scratch)
 
@@ -164,11 +168,11 @@ def _components_of(posts: DataFrame, texts: DataFrame, k: int, percent: int, scr
     groups = met.where("size > 2").join(named, "b", "left").select("a", "b", F.coalesce("_c", "b").alias("component"))
     open_ = groups.groupBy("a").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("a")
     groups = scratch.keep(groups.join(open_, "a", "left_semi").where("a <> b"), "open")
-    if groups.isEmpty():
-        return classes
-    more = linked(_beside_centre(with_sets(groups), percent, scratch))
-    links = scratch.keep(links.union(more), "links")
-    return components(links, scratch)
+    if not groups.isEmpty():
+        more = linked(_beside_centre(with_sets(groups), percent, scratch))
+        classes = components(scratch.keep(links.union(more), "links"), scratch)
+    scratch.drop(*done, groups, links)
+    return classes
 
 
 def _beside_centre(members: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
