@@ -40,6 +40,24 @@ def test_words_give_the_ids_of_the_text(texts):
     assert [raw.tobytes()[a:b].decode() for a, b in zip(cut[:-1], cut[1:], strict=True)] == texts
 
 
+def test_memory_is_thinned(vocabulary, monkeypatch):
+    """Units beyond the memory: the ones met more often stay, and ids stay right."""
+    from tidemark.llm import tokens
+
+    monkeypatch.setattr(tokens, "REMEMBERED", 300)
+    own = tokens.Encoder(vocabulary)
+    rng = np.random.default_rng(12)
+    common = ["".join(rng.choice(list("abcdefg"), 5)) for _ in range(60)]
+    for _ in range(12):
+        texts = [" ".join(common + ["".join(rng.choice(list("hijklmnop"), 7)) for _ in range(60)]) for _ in range(2)]
+        ids, at = own.encode(texts)
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == own.plain(texts)
+        assert own._count <= 300 + 250
+    kept = own._count
+    own.encode([" ".join(common)])
+    assert own._count <= kept + 1  # the first word, which has no blank before it
+
+
 def test_special_token_is_one_id(vocabulary):
     texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y <|endoftext|"]
     own = encoder(vocabulary)
@@ -136,7 +154,7 @@ def test_blocks_are_coded_alone():
     assert all(np.array_equal(rangecoder.decode(prior, [w], np.array([len(b)]))[0], b) for b, w in zip(blocks, together, strict=True))
 
 
-def test_files(spark, plain, odd, wide, empty, vocabulary, tmp_path):
+def test_files(spark, plain, odd, wide, empty, vocabulary, tmp_path, monkeypatch):
     token_files.write(wide, str(tmp_path / "f"), vocabulary, parts=3)
     got = token_files.read(spark, str(tmp_path / "f")).orderBy("start").collect()
     rows = [(r["doc_id"], [*ids_of(plain, r["text"]), 2]) for r in odd.collect()]
@@ -144,6 +162,14 @@ def test_files(spark, plain, odd, wide, empty, vocabulary, tmp_path):
     assert [r["doc_id"] for r in got] == sorted((i for i, _ in rows), key=lambda i: (i is not None, i or 0))
     assert [r["start"] for r in got] == np.cumsum([0, *(r["n_tokens"] for r in got[:-1])]).tolist()
     assert all(r["n_tokens"] == len(r["ids"]) // 4 for r in got)
+    monkeypatch.setattr(token_files, "PART_CUTS", 0)  # ranges by Spark's sample
+    token_files.write(wide, str(tmp_path / "s"), vocabulary, parts=3)
+    again = token_files.read(spark, str(tmp_path / "s")).orderBy("start").collect()
+    assert [(r["doc_id"], r["start"], r["ids"]) for r in again] == [(r["doc_id"], r["start"], r["ids"]) for r in got]
+    monkeypatch.undo()
+    for parts in (1, 40):
+        token_files.write(odd, str(tmp_path / f"p{parts}"), vocabulary, parts=parts)
+        assert [r["ids"] for r in token_files.read(spark, str(tmp_path / f"p{parts}")).orderBy("start").collect()] == [r["ids"] for r in got]
     token_files.write(empty, str(tmp_path / "e"), vocabulary)
     assert token_files.read(spark, str(tmp_path / "e")).count() == 0
 

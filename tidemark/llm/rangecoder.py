@@ -190,11 +190,16 @@ class _Choice:
         self.starts, self.sizes = (np.zeros((3, lanes), np.int64) for _ in range(2))
         self.lane, self.row = np.arange(lanes), lanes
 
-    def interval(self, n: int, who: np.ndarray, f2: np.ndarray, f1: np.ndarray, order0: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and size of the interval that ``who`` names; ``order0`` has start << 32 | size of the id there."""
-        both = f2 + f1
+    def cell(self, n: int, who: np.ndarray) -> np.ndarray:
+        """Where the choice of each lane stands in a table of three rows of lanes."""
+        out = who * self.row
+        out += self.lane[:n]
+        return out
+
+    def interval(self, n: int, cell: np.ndarray, f2: np.ndarray, f1: np.ndarray, both: np.ndarray, order0: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and size of the chosen interval; ``both`` is the sum of the predictions' parts, ``order0`` start << 32 | size of the id."""
         rest = self.whole - both
-        both <<= self.bits
+        both = both << self.bits
         np.multiply(order0 >> 32, rest, out=self.starts[0, :n])
         self.starts[0, :n] += both
         np.left_shift(f2, self.bits, out=self.starts[1, :n])
@@ -202,8 +207,6 @@ class _Choice:
         np.multiply(order0, rest, out=self.sizes[0, :n])
         np.left_shift(f1, self.bits, out=self.sizes[1, :n])
         self.sizes[2, :n] = self.starts[1, :n]
-        cell = who * self.row
-        cell += self.lane[:n]
         return self.starts.take(cell, mode="clip"), self.sizes.take(cell, mode="clip")
 
 
@@ -220,8 +223,7 @@ class Blocks:
         self.order, self.working = _lanes(lengths)
         self.lengths = lengths
         ids = np.zeros((len(blocks), len(self.working)), np.int32)
-        for lane, i in enumerate(self.order.tolist()):
-            ids[lane, : lengths[i]] = prior.places(blocks[i])
+        ids[np.arange(len(self.working))[None, :] < lengths[self.order][:, None]] = prior.places(np.concatenate([blocks[i] for i in self.order.tolist()])) if blocks else 0
         self.ids = np.ascontiguousarray(ids.T)
         del ids
         self.state = np.zeros(self.ids.shape, np.int8)
@@ -255,7 +257,7 @@ class Blocks:
             f2, f1 = weights.ask(n, self.state[step, :n])
             who = self.who[step, :n].astype(np.int64)
             weights.learn(who)
-            start, size = choice.interval(n, who, f2, f1, table.take(self.ids[step, :n], mode="clip"))
+            start, size = choice.interval(n, choice.cell(n, who), f2, f1, f2 + f1, table.take(self.ids[step, :n], mode="clip"))
             part = span[:n] >> BITS
             start *= part
             size *= part
@@ -306,7 +308,7 @@ def decode(prior: Prior, blocks: list[np.ndarray], lengths: np.ndarray, lanes: i
     ids = np.zeros((steps, count), np.int32)
     tables, weights = _Tables(count), _Weights(count, prior)
     slots, table, choice, whole = prior.slots(), prior.table(), _Choice(count, prior), 1 << BITS - prior.bits
-    guesses, place = np.zeros((3, count), np.int64), np.arange(count)
+    guesses = np.zeros((3, count), np.int64)
     width = max((len(b) for b in blocks), default=0) + 3
     words = np.zeros((count, width), np.int64)
     for lane, i in enumerate(order.tolist()):
@@ -316,27 +318,22 @@ def decode(prior: Prior, blocks: list[np.ndarray], lengths: np.ndarray, lanes: i
     # The code is LEAST + WORD bits; the bits of a word that were cut off come with the next one.
     spare = words[:, 1] & (1 << WORD - LEAST) - 1
     span, to = np.full(count, (1 << LEAST + WORD) - 1, np.int64), np.arange(count) * width + 2
-    top = (1 << BITS) - 1
     for step, n in enumerate(working.tolist()):
         two, one, state = tables.ask(n)
         f2, f1 = weights.ask(n, state)
         both = f2 + f1
         now, part = code[:n], span[:n] >> BITS
         t = (now.view(np.uint64) // part.view(np.uint64)).view(np.int64)
-        np.minimum(t, top, out=t)
-        cell = t >> prior.bits
-        who = (cell < f2).astype(np.int64)
-        who += cell < both
-        # Exact in floating point: both numbers are below 2**28.
-        rest = whole - both
-        both <<= prior.bits
-        t -= both
-        guesses[0, :n] = slots.take((t / rest).astype(np.int64), mode="clip")
+        part_of = t >> prior.bits
+        who = (part_of < f2).astype(np.int64)
+        who += part_of < both
+        t -= both << prior.bits
+        # Exact in floating point: both numbers are below 2**28.  Damaged words may lead anywhere; clipping keeps that inside.
+        guesses[0, :n] = slots.take((t / (whole - both)).astype(np.int64), mode="clip")
         guesses[1, :n], guesses[2, :n] = one, two
-        start, size = choice.interval(n, who, f2, f1, table.take(guesses[0, :n], mode="clip"))
-        who *= count
-        who += place[:n]
-        own = guesses.take(who, mode="clip")
+        cell = choice.cell(n, who)
+        start, size = choice.interval(n, cell, f2, f1, both, table.take(guesses[0, :n], mode="clip"))
+        own = guesses.take(cell, mode="clip")
         start *= part
         size *= part
         now -= start
@@ -350,12 +347,11 @@ def decode(prior: Prior, blocks: list[np.ndarray], lengths: np.ndarray, lanes: i
         spare[empty] = word & (1 << WORD - LEAST) - 1
         span[empty] = size.take(empty) << WORD
         to[empty] = where + 1
-        held2, held1 = own == two, own == one
-        weights.learn(np.maximum(held2.view(np.int8) << 1, held1.view(np.int8)))
-        tables.learn(n, own, held2, held1)
+        weights.learn(who)
+        tables.learn(n, own, own == two, own == one)
         ids[step, :n] = own
-    byblock = np.ascontiguousarray(ids.T)
+    byblock = prior.alphabet.astype(np.uint32).take(np.ascontiguousarray(ids.T), mode="wrap") if count and len(prior.alphabet) else ids.T.astype(np.uint32)
     out: list[np.ndarray] = [np.zeros(0, np.uint32)] * count
     for lane, i in enumerate(order.tolist()):
-        out[i] = prior.alphabet[byblock[lane, : lengths[i]]].astype(np.uint32)
+        out[i] = byblock[lane, : lengths[i]]
     return out

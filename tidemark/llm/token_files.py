@@ -45,6 +45,8 @@ SEGMENT = 3 << 19
 LANES = 2048
 #: Parts up to which their table is broadcast; beyond, it is joined.
 BROADCAST_PARTS = 100_000
+#: Parts whose ranges are told apart by their cuts.
+PART_CUTS = 1_000
 
 _FILE = "part int, segment bigint, n_ids bigint, payload binary"
 _DOCS = "doc_id bigint, part int, offset bigint, n_tokens bigint, ids binary"
@@ -154,6 +156,20 @@ def _packer(path: str, end_id: int):
     return run
 
 
+def _ranged(texts: DataFrame, parts: int) -> DataFrame:
+    """``texts`` dealt to parts that are ranges of doc_id, nulls in the first.
+
+    The cuts are percentiles of the ids alone, so the texts are not read to find
+    them; beyond PART_CUTS parts Spark finds the ranges from a sample of the rows.
+    """
+    if parts > PART_CUTS:
+        return texts.repartitionByRange(parts, F.asc("doc_id"))
+    shares = [i / parts for i in range(1, parts)]
+    cuts = texts.agg(F.percentile_approx("doc_id", shares, 1000 * parts)).first()[0] if shares else None
+    below = F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]), lambda c: c < F.col("doc_id")) if cuts else F.array()
+    return texts.repartitionById(parts, F.size(below))
+
+
 def write(docs: DataFrame, folder: str, path: str, end_id: int = 2, parts: int | None = None) -> None:
     """Write the ids of every row of ``docs`` (doc_id, text), each followed by ``end_id``, in ascending doc_id order.
 
@@ -166,7 +182,7 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = 2, parts: int |
         raise ValueError(f"end id {end_id} is no unsigned 32-bit number")
     parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.selectExpr("cast(doc_id as bigint) as doc_id", "coalesce(cast(text as string), '') as text")
-    inorder = texts.repartitionByRange(parts, F.asc("doc_id")).sortWithinPartitions("doc_id", F.xxhash64("text"))
+    inorder = _ranged(texts, parts).sortWithinPartitions("doc_id", F.xxhash64("text"))
     inorder.mapInArrow(_packer(path, end_id), _FILE).write.option("compression", "uncompressed").parquet(folder)
 
 

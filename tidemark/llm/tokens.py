@@ -32,9 +32,9 @@ from tidemark.llm.kernels import span_hashes
 #: A task has one core; the library would take all of the machine's.
 os.environ["TOKENIZERS_PARALLELISM"] = "false"
 
-#: Units a worker remembers before it drops those it has met less often; about 80 bytes each.
-REMEMBERED = 600_000
-_SLOTS = 1 << 20
+#: Units a worker remembers before it drops those it has met less often; about 70 bytes each.
+REMEMBERED = 1_000_000
+_SLOTS = 1 << 21
 
 #: New units that are encoded as one text.
 TOGETHER = 60
@@ -99,6 +99,14 @@ class _Units:
             live, slot, one, two = live[on], slot[on] + 1 & _SLOTS - 1, one[on], two[on]
         return out
 
+    def hashes(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Both hashes of the n units, by number."""
+        used = np.flatnonzero(self.one)
+        out = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+        for own, kept in zip(out, (self.one, self.two), strict=True):
+            own[self.number[used]] = kept[used]
+        return out
+
     def add(self, one: np.ndarray, two: np.ndarray, first: int) -> None:
         """Number units that are not known and differ from each other from ``first`` on."""
         number = np.arange(first, first + len(one), dtype=np.int32)
@@ -140,7 +148,6 @@ class Encoder:
 
     def _forget(self) -> None:
         self._units, self._long = _Units(), {}
-        self._one, self._two = np.zeros(1 << 14, np.uint64), np.zeros(1 << 14, np.uint64)
         self._start, self._length, self._met = (np.zeros(1 << 14, np.int32) for _ in range(3))
         self._flat = np.zeros(1 << 16, np.uint32)
         self._count = self._used = 0
@@ -150,7 +157,8 @@ class Encoder:
         met = self._met[: self._count]
         least = max(2, int(np.partition(met, len(met) // 2)[len(met) // 2]) + 1)
         stay = np.flatnonzero(met >= least)
-        one, two, met, sizes, starts = self._one[stay], self._two[stay], met[stay] // 2, self._length[stay].astype(np.int64), self._start[stay].astype(np.int64)
+        one, two = (own[stay] for own in self._units.hashes(self._count))
+        met, sizes, starts = met[stay] // 2, self._length[stay].astype(np.int64), self._start[stay].astype(np.int64)
         ids = self._flat[_spans(starts, sizes)]
         self._forget()
         self._store(one, two, ids, sizes)
@@ -159,10 +167,9 @@ class Encoder:
     def _store(self, one: np.ndarray, two: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
         n, first = len(one), self._count
         while first + n > len(self._start):
-            self._one, self._two, self._start, self._length, self._met = (np.concatenate((x, np.zeros_like(x))) for x in (self._one, self._two, self._start, self._length, self._met))
+            self._start, self._length, self._met = (np.concatenate((x, np.zeros_like(x))) for x in (self._start, self._length, self._met))
         while self._used + len(ids) > len(self._flat):
             self._flat = np.concatenate((self._flat, np.zeros_like(self._flat)))
-        self._one[first : first + n], self._two[first : first + n] = one, two
         self._start[first : first + n] = self._used + np.cumsum(sizes) - sizes
         self._length[first : first + n] = sizes
         self._flat[self._used : self._used + len(ids)] = ids
