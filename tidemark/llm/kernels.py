@@ -22,11 +22,11 @@ SLICE_BYTES = 1 << 20
 _U = np.uint64
 _MULTIPLIER = _U(0x9E3779B97F4A7C15)
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
-_FOLD = np.arange(256, dtype=np.uint8)
-_FOLD[ord("A") : ord("Z") + 1] += 32
+FOLD = np.arange(256, dtype=np.uint8)
+FOLD[ord("A") : ord("Z") + 1] += 32
 
 #: Bytes of texts whose words are hashed at a time, and bytes of a word from which it is hashed by BLAKE2b.
 WINDOW_BYTES, LONG_WORD = 1 << 22, 1024
@@ -114,8 +114,8 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, fold: bool = True, keys:
     out, begins, first = [], [], 0
     while first < len(data):
         end = min(first + WINDOW_BYTES, len(data))
-        while end < len(data) and not _SPACE[data[end - 1]]:
-            end = min(end + 1 + int(np.argmax(_SPACE[data[end : end + WINDOW_BYTES]])) if _SPACE[data[end : end + WINDOW_BYTES]].any() else end + WINDOW_BYTES, len(data))
+        while end < len(data) and not SPACE[data[end - 1]]:
+            end = min(end + 1 + int(np.argmax(SPACE[data[end : end + WINDOW_BYTES]])) if SPACE[data[end : end + WINDOW_BYTES]].any() else end + WINDOW_BYTES, len(data))
         lo, hi = np.searchsorted(offsets, (first, end))
         own, at = _word_hashes(data[first:end], offsets[lo:hi] - first, fold, keys)
         out.append(own)
@@ -128,8 +128,8 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, fold: bool = True, keys:
 def _word_hashes(data: np.ndarray, edges: np.ndarray, fold: bool, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and begins of words; ``edges`` are places where a text begins."""
     if fold:
-        data = _FOLD[data]
-    word = ~_SPACE[data]
+        data = FOLD[data]
+    word = ~SPACE[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[edges] = True
     starts = word.copy()

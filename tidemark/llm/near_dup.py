@@ -70,7 +70,7 @@ def _sets(k: int):
     return run
 
 
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Union-find over the links of one partition; the links that joined two trees stay."""
     parent: dict[int, int] = {}
 
@@ -151,7 +151,7 @@ def _components_of(posts: DataFrame, texts: DataFrame, k: int, percent: int, scr
         both = F.size(F.array_intersect("sa", "sb"))
         done.append(pairs := scratch.keep(pairs, "pairs"))
         held = with_sets(pairs).where(100 * both >= percent * (F.size("sa") + F.size("sb") - both))
-        return held.select("a", "b").mapInArrow(_forest, "a bigint, b bigint")
+        return held.select("a", "b").mapInArrow(thinned, "a bigint, b bigint")
 
     first = F.struct(F.negative("meets"), "doc_id")
     salts = F.ceil(F.col("size") / BUCKET_SALT)

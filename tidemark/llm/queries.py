@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, bpe, chat, licenses, lines, mixing, near_dup, quality, token_files, urls
+from tidemark.llm import ann, bpe, chat, licenses, lines, mixing, near_dup, quality, resampling, simhash, token_files, urls, whitening
 from tidemark.llm.scratch import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,6 +69,21 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.groups(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    named = [op1_license_scan, op2_token_files, op3_source_mix, op4_near_dup, op5_url_filter, op6_bpe_round_trip, op7_line_dedup, op8_nearest, op9_chat_format, op10_quality_rules]
+    named = [
+        op1_license_scan, op2_token_files, op3_source_mix, op4_near_dup, op5_url_filter, op6_bpe_round_trip, op7_line_dedup, op8_nearest, op9_chat_format,
+        op10_quality_rules, op11_whitening, op12_resampling, op13_simhash,
+    ]
     return {f.__name__: f for f in named}
