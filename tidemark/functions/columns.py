@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,13 +46,34 @@ def label_path(path: Column) -> Column:
     return F.when(path.rlike(r"(?i)/images(/|$)"), named).otherwise(F.raise_error(F.concat(F.lit("no images directory in: "), path)))
 
 
-def owner_key(path: Column) -> Column:
-    """What two paths share if a file system without case can't tell them apart.
+@cache
+def folding() -> tuple[str, str, dict[str, str]]:
+    """Full case folding: characters and the ones they become, and those that become several.
 
-    Lower case rather than full case folding: they differ for a few letters only,
-    such as the German sharp s.
+    Made from Python's table of Unicode, so no list of them stands here.
     """
-    return F.lower(path)
+    changed = {c: f for c in map(chr, range(0x110000)) if not "\ud800" <= c <= "\udfff" and (f := c.casefold()) != c}
+    single = {c: f for c, f in changed.items() if len(f) == 1}
+    return "".join(single), "".join(single.values()), {c: f for c, f in changed.items() if len(f) > 1}
+
+
+def casefold(text: Column) -> Column:
+    """Full case folding as Python's ``casefold``: what differs in case only becomes equal, sharp s and SS too.
+
+    Texts of ASCII, nearly all paths, only go to lower case; characters that become
+    several are looked for one by one only in texts that hold one.
+    """
+    before, after, several = folding()
+    plain = F.translate(text, before, after)
+    pairs = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
+    each = F.transform(F.split(plain, ""), lambda c: F.coalesce(F.try_element_at(pairs, c), c))
+    full = F.when(plain.rlike(f"[{''.join(several)}]"), F.array_join(each, "")).otherwise(plain)
+    return F.when(text.rlike(r"[^\x00-\x7F]"), full).otherwise(F.lower(text))
+
+
+def owner_key(path: Column) -> Column:
+    """What two paths share if a file system without case can't tell them apart."""
+    return casefold(path)
 
 
 def sanitize(value: Column, maximum: int = 80) -> Column:

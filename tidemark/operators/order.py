@@ -35,3 +35,20 @@ def places(rows: DataFrame, key: str, by: tuple[str, ...] = (), rows_per_range:
     own = F.row_number().over(Window.partitionBy(*by, "_range").orderBy(key)) - 1
     numbered = ranged.withColumn("_own", own).join(starts, same)
     return numbered.select(*rows.columns, (F.col("_start") + F.col("_own")).cast("bigint").alias("_place"))
+
+
+#: Numbers whose rows are summed one after another.
+STRETCH = 1_000
+
+
+def running_sum(rows: DataFrame, order: str, value: str, name: str) -> DataFrame:
+    """``rows`` with ``name``: the sum of ``value`` up to each row in the order of ``order``, a column of distinct whole numbers.
+
+    Two levels: sums of stretches of numbers are summed first, and each row adds what
+    its own stretch has before it.  Stretches are summed side by side.
+    """
+    stretched = rows.withColumn("_stretch", F.floor(F.col(order) / STRETCH))
+    to_end = Window.orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    before = stretched.groupBy("_stretch").agg(F.sum(value).alias("_sum")).select("_stretch", F.coalesce(F.sum("_sum").over(to_end), F.lit(0)).alias("_before"))
+    own = F.sum(value).over(Window.partitionBy("_stretch").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return stretched.withColumn("_own", own).join(before, "_stretch").select(*rows.columns, (F.col("_before") + F.col("_own")).alias(name))

@@ -80,11 +80,3 @@ def check(samples: DataFrame, path: str = "image_path") -> None:
     """Ids are unique and no image belongs to two samples."""
     require_none(duplicate_ids(samples), "sample ids occur twice", "sample_id")
     require_none(shared_owners(samples, path), "images appear in more than one split", "owner_key")
-
-
-def check_new(part: DataFrame, samples: DataFrame, path: str = "image_path") -> None:
-    """The same for ``part`` beside ``samples`` that have been checked: what was sound isn't looked at again."""
-    check(part, path)
-    require_none(part.join(samples.select("sample_id"), "sample_id", "left_semi").select("sample_id"), "sample ids occur twice", "sample_id")
-    owners = samples.select(C.owner_key(F.col(path)).alias("owner_key"))
-    require_none(part.select(C.owner_key(F.col(path)).alias("owner_key")).join(owners, "owner_key", "left_semi"), "images appear in more than one split", "owner_key")

@@ -10,11 +10,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.order import running_sum
 from tidemark.operators.registry import require_none
 
 RULES = ("all_seen", "current")
 
 
+def _known(rule: str) -> None:
+    if rule not in RULES:
+        raise ValueError(f"unknown rule {rule!r}; known: {', '.join(RULES)}")
+
+
 def numbered(groups: DataFrame, order: str) -> DataFrame:
     """idx (from 0) of each group by ``order``; the table has a row per group, so one task orders it."""
     return groups.withColumn("idx", F.row_number().over(Window.orderBy(order)) - 1)
@@ -26,8 +32,7 @@ def sees(arrivals: DataFrame, rule: str) -> DataFrame:
     Each arrival carries the numbers of all tasks (one small row per group) and is
     dealt to those that see it, so no table is broadcast or counted.
     """
-    if rule not in RULES:
-        raise ValueError(f"unknown rule {rule!r}; known: {', '.join(RULES)}")
+    _known(rule)
     tasks = F.collect_set("idx").over(Window.partitionBy())
     reach = (lambda t: t >= F.col("idx")) if rule == "all_seen" else (lambda t: t == F.col("idx"))
     dealt = arrivals.select("group", "idx", tasks.alias("_tasks")).select("group", "idx", F.explode(F.filter("_tasks", reach)).alias("task"))
@@ -45,10 +50,12 @@ def counts(samples: DataFrame, arrivals: DataFrame, rule: str = "all_seen") -> D
 
 
 def counts_of(sizes: DataFrame, arrivals: DataFrame, rule: str = "all_seen") -> DataFrame:
-    """The same from the sizes of the groups (group, n)."""
-    seen = sees(arrivals, rule).join(sizes, "group", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    current = F.sum(F.when(F.col("is_current"), F.col("n")).otherwise(0))
-    return seen.groupBy("task").agg(F.sum("n").alias("candidate_count"), current.alias("current_count"), (F.sum("n") - current).alias("history_count"))
+    """The same from the sizes of the groups (group, n): a row per task, and a running sum over tasks for what has been seen."""
+    _known(rule)
+    n = F.coalesce("n", F.lit(0))
+    own = arrivals.join(sizes, "group", "left").groupBy(F.col("idx").alias("task")).agg(F.sum(n).alias("current_count"))
+    seen = running_sum(own, "task", "current_count", "candidate_count") if rule == "all_seen" else own.withColumn("candidate_count", F.col("current_count"))
+    return seen.select("task", "candidate_count", "current_count", (F.col("candidate_count") - F.col("current_count")).alias("history_count"))
 
 
 def collect_split(samples: DataFrame, groups: list[str], split: str) -> DataFrame:

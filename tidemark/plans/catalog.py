@@ -15,11 +15,13 @@ from tidemark.sources import files, images
 from tidemark.sources.shared import new_place
 from tidemark.sources.tables import arrivals, matrix, samples, table
 from tidemark.streaming import arrivals as stream
+from tidemark.streaming import keys
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 
 SEED, REPLAY, BATCH, EPOCHS, DEVICES = 42, 500, 16, 100, 2
+FOLDED = ("SS", "ß", "ẞ", "ss", "Σας", "σασ", "İ", "i̇", "I", "ﬁ", "FI", "Ǆ")
 EVENT_TYPES = ("click", "purchase", "refund", "signup", "view")
 
 
@@ -402,6 +404,51 @@ def arrival_stream(spark, d):
     return seen[-1]
 
 
+def _claiming(spark: SparkSession, d: str) -> DataFrame:
+    """Samples as a careless arrival names them: by language and length, with a path by the text whatever its case."""
+    rows = table(spark, d, "documents").join(arrivals(spark, d), F.col("source") == F.col("group"))
+    text = C.casefold(F.coalesce("text", F.lit("")))
+    path = F.concat(F.when(F.col("doc_id") % 2 == 0, "/data/IMAGES/Straße-").otherwise("/data/images/STRASSE-"), F.md5(text), F.lit(".jpg"))
+    name = F.concat_ws("/", "lang", F.col("n_chars").cast("string"))
+    return rows.select(C.sample_id(F.col("group"), name).alias("sample_id"), "group", F.lit("train").alias("split"), "idx", path.alias("image_path"))
+
+
+def _checked_stream(spark: SparkSession, d: str) -> str:
+    """The registry after five groups a batch have arrived, each checked against all before."""
+    place, rows = new_place(spark, "checked"), _claiming(spark, d)
+    for batch in range(4):
+        rows.where(F.floor(F.col("idx") / 5) == batch).coalesce(1).write.mode("append").parquet(f"{place}/in")
+    source = stream.source(keys.session(spark), f"{place}/in", schema=stream.CHECKED)
+    stream.follow_checked(source, f"{place}/registry", f"{place}/checkpoint", lambda counts, number: None).awaitTermination()
+    return f"{place}/registry"
+
+
+@query
+def stream_clashes(spark, d):
+    """Ids and paths that samples of a stream claim more than once, over all batches."""
+    return stream.clash_table(spark, _checked_stream(spark, d)).withColumnRenamed("key", "k")
+
+
+@query
+def stream_accepted(spark, d):
+    """Samples that a checked stream takes, and the batch in which it takes them."""
+    return spark.read.schema(stream.CHECKED + ", batch int").parquet(_checked_stream(spark, d)).select("sample_id", "batch")
+
+
+@query
+def claimed_keys(spark, d):
+    """The same clashes of the table as a whole."""
+    return keys.clashes(keys.claims(_claiming(spark, d), "idx")).withColumnRenamed("key", "k")
+
+
+@query
+def owner_fold(spark, d):
+    """Owners of paths whose names differ in ways that only full case folding knows."""
+    letter = F.element_at(F.array(*[F.lit(x) for x in FOLDED]), (F.col("event_id") % len(FOLDED) + 1).cast("int"))
+    path = F.concat(F.lit("/Images/"), F.col("user_id").cast("string"), F.lit("/"), letter, F.lit(".JPG"))
+    return registry.shared_owners(table(spark, d, "events").select("event_id", path.alias("path")), "path", "event_id").select(F.col("owner_key").alias("k"), "n", "first_id")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -29,13 +29,39 @@ def _number(cell: str) -> str:
 _CELLS = """select event_id, case event_id % 8 when 0 then event_id::varchar when 1 then ' ' || event_id || '.5 ' when 2 then 'x' || event_id when 3 then event_id || '_000'
   when 4 then event_id || 'd' when 5 then '-.5e' || event_id % 9 when 6 then '' else event_id || 'e' end as cell from events"""
 
+def _folded(text: str) -> str:
+    """Full case folding by Unicode's table as Python has it."""
+    changed = {c: f for c in map(chr, range(0x110000)) if not "\ud800" <= c <= "\udfff" and (f := c.casefold()) != c}
+    single = {c: f for c, f in changed.items() if len(f) == 1}
+    several = {c: f for c, f in changed.items() if len(f) > 1}
+    plain = f"translate({text}, '{''.join(single)}', '{''.join(single.values())}')"
+    pairs = f"map([{', '.join(repr(c) for c in several)}], [{', '.join(repr(f) for f in several.values())}])"
+    each = f"array_to_string([coalesce({pairs}[c], c) for c in string_split({plain}, '')], '')"
+    return f"case when regexp_matches({text}, '[^\\x00-\\x7F]') then {each} else lower({text}) end"
+
+
+_CLAIMING = f"""with c as (
+  select source || '::' || lang || '/' || n_chars as sample_id, cast(substring(source, 4) as int) as idx,
+    '/data/images/strasse-' || md5({_folded("coalesce(text, '')")}) || '.jpg' as owner from documents
+), k as (select 'id' as kind, sample_id as k, idx, sample_id from c union all select 'owner', owner, idx, sample_id from c)"""
+_CLASHES = _CLAIMING + " select kind, k, count(*) as n, arg_min(sample_id, (idx, sample_id)) as first_id from k group by kind, k having count(*) > 1"
+_FOLDED = "['SS', 'ß', 'ẞ', 'ss', 'Σας', 'σασ', 'İ', 'i̇', 'I', 'ﬁ', 'FI', 'Ǆ']"
+
 ORACLES = {
     "registry_counts": _S + " select grp, split, count(*) as n, min(sample_id) as lo, max(sample_id) as hi from s group by grp, split",
     "group_members": _S + " select grp, split, string_agg(sample_id, ',' order by sample_id) as ids from s group by grp, split",
     "relative_path": _S + " select sample_id, 'images/' || lang || '/images/' || doc_id || '.a.jpg' as p from s",
     "label_path": _S + " select sample_id, '/data/' || grp || '/images/' || lang || '/labels/' || doc_id || '.a.txt' as p from s",
     "duplicate_ids": "select user_id as sample_id, count(*) as n from events group by user_id having count(*) > 1",
-    "dup_owner_check": "select sha256(lower(text)) as k, count(*) as n, min(doc_id) as first_id from documents group by 1 having count(*) > 1",
+    "dup_owner_check": f"select sha256({_folded('text')}) as k, count(*) as n, min(doc_id) as first_id from documents group by 1 having count(*) > 1",
+    "stream_clashes": _CLASHES,
+    "claimed_keys": _CLASHES,
+    "stream_accepted": _CLAIMING
+    + """ select sample_id, batch from (
+  select sample_id, (idx // 5)::int as batch, count(*) over (partition by sample_id order by idx // 5) as ids, count(*) over (partition by owner order by idx // 5) as owners from c
+) where ids = 1 and owners = 1""",
+    "owner_fold": f"""select k, count(*) as n, min(event_id) as first_id from (select event_id, {_folded("'/Images/' || user_id || '/' || " + _FOLDED + "[event_id % 12 + 1] || '.JPG'")} as k from events)
+group by k having count(*) > 1""",
     "label_schema_check": _S
     + """, n as (select grp, min(idx) as idx, list_sort(list(distinct lang)) as names from s group by grp)
 select grp, len(names) as n_names, names = (select arg_min(names, idx) from n) as matches_first from n""",

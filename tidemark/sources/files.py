@@ -53,6 +53,12 @@ def below(spark: SparkSession, folder: str) -> list[str]:
     return [re.search(r"\{path=(.*); isDirectory=false; length=", x, re.DOTALL)[1] for x in said.split("\n\x00")] if said else []
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder and all below it; one that is not there is fine."""
+    system, jpath = _system(spark, path)
+    system.delete(jpath, True)
+
+
 def copy(spark: SparkSession, source: str, target: str) -> str:
     (there, jsource), (here, jtarget) = _system(spark, source), _system(spark, target)
     spark.sparkContext._jvm.org.apache.hadoop.fs.FileUtil.copy(there, jsource, here, jtarget, False, spark.sparkContext._jsc.hadoopConfiguration())
