@@ -7,7 +7,7 @@ most five of them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
@@ -19,15 +19,16 @@ class IntegrityError(ValueError):
     """A check found violations."""
 
 
-def sample_records(files: DataFrame, group: str, root: str, split: str) -> DataFrame:
-    """Records of one split from a table of absolute paths (path)."""
+def sample_records(files: DataFrame, group: Column | str, root: Column | str, split: Column | str) -> DataFrame:
+    """Records of a table of absolute paths (path); group, root and split are texts or columns of it."""
+    group, root, split = (F.lit(x) if isinstance(x, str) else x for x in (group, root, split))
     path = F.col("path")
     return files.select(
-        C.sample_id(F.lit(group), C.relative_path(path, root)).alias("sample_id"),
+        C.sample_id(group, C.relative_path(path, root)).alias("sample_id"),
         path.alias("image_path"),
         C.label_path(path).alias("label_path"),
-        F.lit(group).alias("group"),
-        F.lit(split).alias("split"),
+        group.alias("group"),
+        split.alias("split"),
     )
 
 

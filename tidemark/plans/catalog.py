@@ -342,7 +342,7 @@ def manifest_paths(spark, d):
     line = F.concat(F.lit("  ../"), "group", F.lit("/./x/../images//"), F.col("doc_id").cast("string"), F.lit(".JPG "))
     rows = samples(spark, d).select(F.explode(F.array(line, F.lit("   "), line)).alias("value"))
     rows.write.text(f"{place}/lists/all.txt")
-    found = images.split_files(spark, f"{place.removeprefix('file://')}/lists", ("all.txt",), listed=True)
+    found = images.split_files(spark, f"{place.removeprefix('file://')}/lists", ("all.txt",))
     return found.select(F.regexp_extract("path", "([^/]+/images/[^/]+)$", 1).alias("path"))
 
 

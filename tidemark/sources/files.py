@@ -20,54 +20,48 @@ from pyspark.sql import functions as F
 from tidemark.functions import columns as C
 
 
-def _system(spark: SparkSession, path: str):
+def system_of(spark: SparkSession, path: str):
     jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(str(path))
     return jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jpath
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    system, jpath = _system(spark, path)
+    system, jpath = system_of(spark, path)
     return system.exists(jpath)
 
 
 def is_folder(spark: SparkSession, path: str) -> bool:
-    system, jpath = _system(spark, path)
+    system, jpath = system_of(spark, path)
     return system.exists(jpath) and system.getFileStatus(jpath).isDirectory()
 
 
 def is_file(spark: SparkSession, path: str) -> bool:
-    system, jpath = _system(spark, path)
+    system, jpath = system_of(spark, path)
     return system.exists(jpath) and system.getFileStatus(jpath).isFile()
 
 
 def below(spark: SparkSession, folder: str) -> list[str]:
-    """Paths of all files below a folder, hidden and empty ones too; one call lists, one brings the names here.
-
-    As in Spark's own listing, the names of one folder are held by the driver.  They
-    are taken from what Hadoop says of each file: its path, up to the last place
-    where the next field can begin.
-    """
-    jvm, (system, jpath) = spark.sparkContext._jvm, _system(spark, folder)
-    found = jvm.org.apache.hadoop.util.functional.RemoteIterators.toList(system.listFiles(jpath, True))
-    said = jvm.org.apache.commons.lang3.StringUtils.join(found.iterator(), "\n\x00")
-    return [re.search(r"\{path=(.*); isDirectory=false; length=", x, re.DOTALL)[1] for x in said.split("\n\x00")] if said else []
+    """Paths of all files below a folder, hidden and empty ones too, for stores that only the JVM reaches: the driver holds the names."""
+    system, jpath = system_of(spark, folder)
+    found = spark.sparkContext._jvm.org.apache.hadoop.util.functional.RemoteIterators.toList(system.listFiles(jpath, True))
+    return [status.getPath().toString() for status in found]
 
 
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder and all below it; one that is not there is fine."""
-    system, jpath = _system(spark, path)
+    system, jpath = system_of(spark, path)
     system.delete(jpath, True)
 
 
 def copy(spark: SparkSession, source: str, target: str) -> str:
-    (there, jsource), (here, jtarget) = _system(spark, source), _system(spark, target)
+    (there, jsource), (here, jtarget) = system_of(spark, source), system_of(spark, target)
     spark.sparkContext._jvm.org.apache.hadoop.fs.FileUtil.copy(there, jsource, here, jtarget, False, spark.sparkContext._jsc.hadoopConfiguration())
     return target
 
 
 def new_folder(spark: SparkSession, path: str) -> str:
     """Make a folder; one that exists is an error, as nothing is resumed or overwritten."""
-    system, jpath = _system(spark, path)
+    system, jpath = system_of(spark, path)
     if system.exists(jpath):
         raise FileExistsError(f"the output exists already: {path}")
     system.mkdirs(jpath)
@@ -76,7 +70,7 @@ def new_folder(spark: SparkSession, path: str) -> str:
 
 def put_texts(spark: SparkSession, path: str, texts: Iterable[str]) -> None:
     """A file from parts, which are held one megabyte at a time."""
-    system, jpath = _system(spark, path)
+    system, jpath = system_of(spark, path)
     out = system.create(jpath, True)
     try:
         held, size = [], 0
@@ -97,7 +91,7 @@ def put_text(spark: SparkSession, path: str, text: str) -> None:
 
 def get_text(spark: SparkSession, path: str) -> str:
     """A small file as one text."""
-    system, jpath = _system(spark, path)
+    system, jpath = system_of(spark, path)
     stream = system.open(jpath)
     try:
         return bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
@@ -110,13 +104,6 @@ def literal(path: str) -> str:
     return re.sub(r"([\\*?\[\]{},^])", r"\\\1", path)
 
 
-def text_lines(spark: SparkSession, path: str) -> DataFrame:
-    """value: the lines of a text file.  Spark's readers pass over hidden names, so such a file comes through the driver."""
-    if PurePath(path).name[:1] in ("_", "."):
-        return spark.createDataFrame([(x,) for x in get_text(spark, path).splitlines()], "value string")
-    return spark.read.text(literal(path))
-
-
 def _plain(value: Any) -> Any:
     if isinstance(value, PurePath):
         return str(value)
