@@ -325,3 +325,25 @@ def test_overflowing_scores(spark):
     rows = [(0, [1e200, 1e200]), (1, [1e200, 1.0]), (2, [1e200, -1e200]), (3, [2.0, 1.0]), (4, [-1e200, 0.0])]
     got = [(r["vec_id"], str(r["score"])) for r in ann.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).orderBy("rank").collect()]
     assert got == [(1, "inf"), (3, "3e+200"), (4, "-inf"), (2, "nan")]
+
+
+def test_one_very_long_vector_beside_short_ones(spark, rng):
+    """Blocks take a matrix of the usual length; what few vectors have beyond counts in scores all the same."""
+    values = np.random.default_rng(8)
+    rows = [(i, values.normal(size=6).tolist()) for i in range(300)]
+    for i in (40, 77, 80):
+        rows[i] = (i, values.normal(size=200_000 + i).tolist())
+    x = np.zeros((300, 200_080))
+    for i, v in rows:
+        x[i, : len(v)] = v
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), k=5).toPandas()
+    hits = 0
+    for q in range(0, 300, 20):
+        scores = x @ x[q]
+        own = got[got.query_id == q].sort_values("rank")
+        assert len(own) == 5 and np.allclose(own.score, scores[own.vec_id], rtol=1e-9)
+        want = [i for i in np.argsort(-scores, kind="stable") if i != q][:5]
+        hits += len(set(own.vec_id) & set(want))
+        if q in (40, 80):
+            assert set(want[:2]) & {40, 77, 80} <= set(own.vec_id)
+    assert hits >= 0.9 * 75

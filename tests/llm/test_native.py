@@ -405,3 +405,25 @@ def test_rejected_row_takes_no_other_of_its_id(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
     labels = spark.createDataFrame([], "doc_id bigint, quality int")
     assert sorted((str(r[0]), r[1]) for r in quality.keep_good(docs, labels).collect()) == [("1", good), ("2", good), ("None", good)]
+
+
+def test_hosts_of_many_labels(spark):
+    """Time and memory of a host grow with its length, and only the ends that a rule can have are tried."""
+    many = ".".join(f"l{i}" for i in range(100_000))
+    rows = [(1, f"http://{many}.a.com/en/x", None), (2, f"http://{many}/en/x", None), (3, "http://x.a.com./en/", None), (4, "http://." + "." * 50_000 + "/", None)]
+    pages = spark.createDataFrame(rows, "page_id int, url string, html string")
+    rules = [("com", "/en/", "allow"), ("a.com", "/en/x", "block"), ("b.a.com.", "/", "block")]
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in urls.judge(pages, rules=rules).collect()}
+    assert got == {1: ("a.com/en/x", "block"), 2: (None, "allow"), 3: (None, "allow"), 4: (None, "allow")}
+
+
+def test_a_class_that_holds_most_addresses(spark, monkeypatch):
+    """Verdicts reach a hot class by a broadcast, others by a shuffle."""
+    from tidemark.llm import skew
+
+    monkeypatch.setattr(skew, "FEW", 3)
+    monkeypatch.setattr(skew, "SHARE", 4)
+    edges = spark.createDataFrame([(f"h{i}.org/", f"h{i + 1}.org/") for i in range(30)] + [("p.net/", "q.net/")], "a string, b string")
+    rows = [(i, f"http://h{i}.org/", None) for i in range(31)] + [(40, "http://p.net/", None), (41, "http://q.net/", None), (42, "http://r.net/", None)]
+    got = {r["page_id"]: r["verdict"] for r in urls.judge(spark.createDataFrame(rows, "page_id int, url string, html string"), rules=[("h7.org", "/", "block"), ("q.net", "/", "block")], edges=edges).collect()}
+    assert got == {i: "block" for i in range(31)} | {40: "block", 41: "block", 42: "allow"}

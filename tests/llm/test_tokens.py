@@ -126,6 +126,24 @@ def test_range_coder_takes_large_alphabets():
     round_trip([rng.permutation(300_000)[i : i + 1024].astype(np.uint32) for i in range(0, 300_000, 1024)])
 
 
+def test_a_document_of_a_million_different_ids(monkeypatch):
+    """A segment with more ids than a prior takes goes in chapters; so does one of few ids beside it."""
+    segment = token_files.Segment(9)
+    ids = np.random.default_rng(3).permutation(1_000_000).astype(np.uint32) * np.uint32(4111) + np.uint32(7)
+    segment.add([1, None], [1_000_000, 0], ids)
+    payload = token_files.pack(segment)
+    assert np.frombuffer(payload, "<u4", 4, 4)[3] == 2
+    back = token_files.unpack(payload)
+    assert (back.before, back.doc_ids, back.sizes) == (9, [1, None], [1_000_000, 0]) and np.array_equal(back.flat(), ids)
+    monkeypatch.setattr(rangecoder, "MOST_IDS", 8)
+    monkeypatch.setattr(token_files, "BLOCK", 4)
+    monkeypatch.setattr(token_files, "CHAPTER", 2)
+    for n in (0, 3, 8, 9, 30):
+        small = token_files.Segment(0)
+        small.add([5], [n], np.arange(n, dtype=np.uint32) * np.uint32(1 << 27))
+        assert np.array_equal(token_files.unpack(token_files.pack(small)).flat(), small.flat())
+
+
 def test_range_coder_learns():
     rng = np.random.default_rng(2)
     phrase = rng.integers(0, 50_000, 40)

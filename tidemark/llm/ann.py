@@ -28,6 +28,8 @@ PIVOTS, LISTED = 256, 64
 RERANKED = 0.3
 #: Vectors and queries that meet in one task.
 BLOCK, QUERIES = 8192, 8192
+#: Share of vectors that are wholly in a block's matrix, and entries of that matrix at most; what few longer ones have beyond stands apart.
+LONGEST, ENTRIES = 0.99, 1 << 23
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -45,15 +47,18 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array, dims: int) -> np.ndarray:
+def _matrix(column: pa.ChunkedArray | pa.Array, dims: int) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+    """The first ``dims`` components of each vector as a row, and by row what longer ones have beyond."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     if len(flat) == len(column) * dims:
-        return flat.reshape(-1, dims)
+        return flat.reshape(-1, dims), {}
     sizes = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(sizes)
+    tails = {i: flat[ends[i] - sizes[i] + dims : ends[i]] for i in np.flatnonzero(sizes > dims).tolist()}
     out = np.zeros((len(column), dims))
-    out[np.arange(dims)[None, :] < sizes[:, None]] = flat
-    return out
+    out[np.arange(dims)[None, :] < sizes[:, None]] = flat[np.arange(len(flat)) - np.repeat(ends - sizes, sizes) < dims]
+    return out, tails
 
 
 def permutations(x: np.ndarray, pivots: np.ndarray, longest: float, listed: int, query: bool = False) -> np.ndarray:
@@ -64,10 +69,19 @@ def permutations(x: np.ndarray, pivots: np.ndarray, longest: float, listed: int,
     return np.argsort(-near, axis=1, kind="stable")[:, :listed].astype(np.uint8)
 
 
-def search_block(ids: np.ndarray, x: np.ndarray, lists: np.ndarray, query_ids: np.ndarray, q: np.ndarray, query_lists: np.ndarray, k: int, pivots: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each query (id, ids, scores) of its nearest in a block, nearest first, ties to the smaller id."""
+def search_block(
+    ids: np.ndarray, x: np.ndarray, lists: np.ndarray, query_ids: np.ndarray, q: np.ndarray, query_lists: np.ndarray, k: int, pivots: int,
+    tails: dict[int, np.ndarray] | None = None, query_tails: dict[int, np.ndarray] | None = None,
+) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each query (id, ids, scores) of its nearest in a block, nearest first, ties to the smaller id.
+
+    ``tails`` are components of single rows beyond those in ``x`` and ``q``: rows that
+    have such are always ranked for a query that has them too.
+    """
     order = np.argsort(ids, kind="stable")
     ids, x, lists = ids[order], x[order], lists[order]
+    place = {int(old): new for new, old in enumerate(order)} if tails else {}
+    tails = {place[row]: tail for row, tail in (tails or {}).items()}
     n, listed = lists.shape
     files = np.zeros((pivots, n), np.uint8)  # per pivot: the weight of the place where each vector lists it
     rows = np.arange(n)
@@ -76,7 +90,7 @@ def search_block(ids: np.ndarray, x: np.ndarray, lists: np.ndarray, query_ids: n
     some = min(n, max(2 * k, -int(-n * RERANKED // 1)))
     out, least, common = [], np.empty(n, np.uint8), np.empty(n, np.uint16)
     with np.errstate(over="ignore", invalid="ignore"):
-        for query, vector, pivot_list in zip(query_ids, q, query_lists, strict=True):
+        for number, (query, vector, pivot_list) in enumerate(zip(query_ids, q, query_lists, strict=True)):
             # The footrule distance is a constant less twice this sum over the common pivots.
             common[:] = 0
             for place, pivot in enumerate(pivot_list.tolist()):
@@ -87,8 +101,16 @@ def search_block(ids: np.ndarray, x: np.ndarray, lists: np.ndarray, query_ids: n
                 picked = np.sort(np.argpartition(key, n - some)[n - some :])
             else:
                 picked = rows
+            beyond = (query_tails or {}).get(number)
+            if beyond is not None and tails:
+                picked = np.union1d(picked, list(tails))
             picked = picked[ids[picked] != query]
             scores = (x[picked] * vector).sum(axis=1)
+            if beyond is not None:
+                for at, row in enumerate(picked.tolist()):
+                    if row in tails:
+                        n_both = min(len(beyond), len(tails[row]))
+                        scores[at] += (beyond[:n_both] * tails[row][:n_both]).sum()
             best = np.argsort(-np.where(np.isnan(scores), -np.inf, scores), kind="stable")[:k]
             out.append((query, ids[picked[best]], scores[best]))
     return out
@@ -108,12 +130,14 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, scratch: Scratch |
     rows = usable(vectors)
     rows = scratch.keep(rows, "vectors")
     most = F.max(F.array_max(F.transform("embedding", lambda x: F.abs(x.cast("double")))))
-    dims, total, asked, top = rows.agg(F.max(F.size("embedding")), F.count(F.lit(1)), F.count(F.when(F.col("vec_id") % every == 0, 1)), most).first()
+    dims, total, asked, top = rows.agg(F.percentile_approx(F.size("embedding"), LONGEST, 10_000), F.count(F.lit(1)), F.count(F.when(F.col("vec_id") % every == 0, 1)), most).first()
     if not total:
         return spark.createDataFrame([], schema)
+    # The index looks at the first components, as many as all but a few vectors have; scores take all.
+    head = F.slice("embedding", 1, dims)
     # The index looks at vectors divided by the largest component, so that no length overflows.
-    longest = rows.agg(F.max(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + (x / top) * (x / top))))).first()[0]
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(2 * PIVOTS).select("embedding").collect()
+    longest = rows.agg(F.max(F.sqrt(F.aggregate(head, F.lit(0.0), lambda a, x: a + (x / top) * (x / top))))).first()[0]
+    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(2 * PIVOTS).select(head).collect()
     points = np.zeros((len(sample), dims))
     for i, r in enumerate(sample):
         points[i, : len(r[0])] = r[0]
@@ -122,14 +146,15 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, scratch: Scratch |
     more = np.sqrt(np.maximum(longest**2 - (points**2).sum(axis=1), 0))
     pivots = np.column_stack((points, more))
     kind = rows.schema["embedding"].dataType.simpleString()
-    listed, blocks, parts = min(LISTED, len(pivots)), -(-total // BLOCK), max(1, -(-asked // QUERIES))
+    fits = max(1, ENTRIES // max(dims, 1))  # vectors whose matrix a task can hold
+    listed, blocks, parts = min(LISTED, len(pivots)), -(-total // min(BLOCK, fits)), max(1, -(-asked // min(QUERIES, fits)))
 
     def listing(query: bool):
         out = pa.schema([("vec_id", pa.int64()), ("embedding", pa.list_(pa.float32() if kind == "array<float>" else pa.float64())), ("list", pa.binary())])
 
         def run(batches):
-            for batch in batches:
-                found = permutations(_matrix(batch.column("embedding"), dims) / top, pivots, longest, listed, query)
+            for batch in (b.slice(i, fits) for b in batches for i in range(0, len(b), fits)):
+                found = permutations(_matrix(batch.column("embedding"), dims)[0] / top, pivots, longest, listed, query)
                 lists = pa.Array.from_buffers(pa.binary(), len(found), [None, pa.py_buffer(np.arange(len(found) + 1, dtype=np.int32) * listed), pa.py_buffer(np.ascontiguousarray(found))])
                 yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("embedding").cast(out.field(1).type), lists], schema=out)
 
@@ -145,7 +170,8 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, scratch: Scratch |
         if not len(left) or not len(right):
             return names.empty_table()
         unpack = lambda t: (t["vec_id"].to_numpy(), _matrix(t["embedding"], dims), np.frombuffer(b"".join(t["list"].to_pylist()), np.uint8).reshape(len(t), listed))
-        found = search_block(*unpack(left), *unpack(right), k, len(pivots))
+        (ids, (x, tails), lists), (asked_ids, (q, query_tails), query_lists) = unpack(left), unpack(right)
+        found = search_block(ids, x, lists, asked_ids, q, query_lists, k, len(pivots), tails, query_tails)
         sizes = [len(f[1]) for f in found]
         return pa.table([pa.array(np.repeat([f[0] for f in found], sizes), pa.int64()), pa.array(np.concatenate([f[1] for f in found]), pa.int64()), pa.array(np.concatenate([f[2] for f in found]))], schema=names)
 

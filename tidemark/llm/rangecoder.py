@@ -34,7 +34,14 @@ STATES = 32
 RATE = 5
 #: Ids below this are looked up in an array, others by search.
 DENSE = 1 << 22
-_ENTRY = np.int64
+#: Different ids that a prior takes, so that each has a part of order 0.
+MOST_IDS = 1 << 19
+_ENTRY = np.int32
+
+
+def different(ids: np.ndarray) -> int:
+    """How many different ids there are."""
+    return int(np.count_nonzero(np.bincount(ids)) if len(ids) and int(ids.max()) < DENSE else len(np.unique(ids)))
 
 
 class Prior:
@@ -44,8 +51,8 @@ class Prior:
         self.alphabet = alphabet
         #: Order 0 has 2**bits parts, each id at least one; the mix has the rest of BITS.
         self.bits = min(max(len(alphabet).bit_length() + 4, 14), 20)
-        if len(alphabet) > 1 << 19:
-            raise ValueError("a segment can hold 524,288 different ids")
+        if len(alphabet) > MOST_IDS:
+            raise ValueError(f"a prior takes {MOST_IDS} different ids, not {len(alphabet)}")
         self.size = size
         self.start = np.cumsum(size) - size
         self.weights = np.zeros((2, STATES), np.int64) if weights is None else weights

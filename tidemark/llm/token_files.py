@@ -7,18 +7,21 @@ whole documents in ascending order, so any segment can be read alone.
 Payload, all numbers little-endian:
 
     4 bytes  b"TMTK"
-    u32 x 4  version (2), documents, blocks, bytes of the prior
+    u32 x 4  version (3), documents, blocks, chapters
     u64      ids of the part before this segment
     i64 each doc_id (0 if null);  u8 each: 1 if it is null;  u32 each: number of ids
     u32 x 3  of each block: ids, words, CRC-32 of its ids as u32
-    bytes    the prior: ids of the segment, their frequencies, first weights
+    u32 x 2  of each chapter: blocks, bytes of its prior
+    bytes    the prior of each chapter: its ids, their frequencies, first weights
     u32 each the words of all blocks
     u32      CRC-32 of all that
 
 Each block of up to ``BLOCK`` ids has a coder and adaptive models of its own, which
-start from the segment's prior and nothing else; ids may be any below 2**32.  The
-blocks of a segment are coded side by side, ``LANES`` at a time, so a document of
-any length takes its ids and payload and no more than that many coders.
+start from its chapter's prior and nothing else; ids may be any below 2**32.  A
+segment is one chapter, but for one with more different ids than a prior can state
+(one document may hold millions): its blocks are dealt to chapters of ``CHAPTER``.
+The blocks of a chapter are coded side by side, ``LANES`` at a time, so a document
+of any length takes its ids and payload and no more than that many coders.
 """
 
 from __future__ import annotations
@@ -37,8 +40,10 @@ from tidemark.llm import kernels, rangecoder
 from tidemark.llm.scratch import Scratch
 from tidemark.llm.tokens import encoder
 
-MAGIC, VERSION = b"TMTK", 2
+MAGIC, VERSION = b"TMTK", 3
 BLOCK = 1024
+#: Blocks of a chapter where a segment has more different ids than a prior takes: all of their ids may differ.
+CHAPTER = rangecoder.MOST_IDS // BLOCK
 #: Ids after which a segment ends, with the slice of documents that reaches them: its blocks mostly fit side by side.
 SEGMENT = 3 << 19
 #: Blocks that are coded side by side at most.
@@ -81,18 +86,21 @@ def pack(segment: Segment) -> bytes:
     """The payload of a segment."""
     flat = segment.flat().astype("<u4")
     blocks = [flat[i : i + BLOCK] for i in range(0, len(flat), BLOCK)]
-    prior, words = rangecoder.encode(blocks, LANES)
-    stated = prior.to_bytes()
+    fits = len(flat) <= rangecoder.MOST_IDS or rangecoder.different(flat) <= rangecoder.MOST_IDS
+    chapters = [blocks] if fits else [blocks[i : i + CHAPTER] for i in range(0, len(blocks), CHAPTER)]
+    coded = [rangecoder.encode(own, LANES) for own in chapters]
+    stated, words = [prior.to_bytes() for prior, _ in coded], [w for _, own in coded for w in own]
     table = [x for b, w in zip(blocks, words, strict=True) for x in (len(b), len(w), zlib.crc32(b))]
     body = b"".join(
         [
             MAGIC,
-            struct.pack("<4IQ", VERSION, len(segment.doc_ids), len(blocks), len(stated), segment.before),
+            struct.pack("<4IQ", VERSION, len(segment.doc_ids), len(blocks), len(chapters), segment.before),
             np.array([d or 0 for d in segment.doc_ids], "<i8").tobytes(),
             np.array([d is None for d in segment.doc_ids], "u1").tobytes(),
             np.array(segment.sizes, "<u4").tobytes(),
             np.array(table, "<u4").tobytes(),
-            stated,
+            np.array([x for own, said in zip(chapters, stated, strict=True) for x in (len(own), len(said))], "<u4").tobytes(),
+            *stated,
             *[w.astype("<u4").tobytes() for w in words],
         ]
     )
@@ -103,7 +111,7 @@ def unpack(payload: bytes) -> Segment:
     """The segment of a payload; raises CorruptFile."""
     if payload[:4] != MAGIC or zlib.crc32(payload[:-4]) != struct.unpack("<I", payload[-4:])[0]:
         raise CorruptFile("a segment's checksum or mark does not fit")
-    version, docs, blocks, stated, before = struct.unpack_from("<4IQ", payload, 4)
+    version, docs, blocks, chapters, before = struct.unpack_from("<4IQ", payload, 4)
     if version != VERSION:
         raise CorruptFile(f"version {version} is not known")
     at = 4 + struct.calcsize("<4IQ")
@@ -112,10 +120,15 @@ def unpack(payload: bytes) -> Segment:
     sizes = np.frombuffer(payload, "<u4", docs, at + 9 * docs)
     lengths, words, sums = np.frombuffer(payload, "<u4", 3 * blocks, at + 13 * docs).reshape(-1, 3).astype(np.int64).T
     at += 13 * docs + 12 * blocks
+    own, stated = np.frombuffer(payload, "<u4", 2 * chapters, at).reshape(-1, 2).astype(np.int64).T
+    at += 8 * chapters
     try:
-        prior = rangecoder.Prior.from_bytes(payload[at : at + stated])
-        coded = np.split(np.frombuffer(payload, "<u4", int(words.sum()), at + stated), np.cumsum(words)[:-1]) if blocks else []
-        decoded = rangecoder.decode(prior, coded, lengths, LANES)
+        coded = np.split(np.frombuffer(payload, "<u4", int(words.sum()), at + int(stated.sum())), np.cumsum(words)[:-1]) if blocks else []
+        decoded, first = [], 0
+        for count, said in zip(own.tolist(), stated.tolist(), strict=True):
+            prior = rangecoder.Prior.from_bytes(payload[at : at + said])
+            decoded += rangecoder.decode(prior, coded[first : first + count], lengths[first : first + count], LANES)
+            at, first = at + said, first + count
     except (IndexError, ValueError, zlib.error) as error:
         raise CorruptFile("a block can't be decoded") from error
     for block, crc in zip(decoded, sums.tolist(), strict=True):

@@ -46,25 +46,41 @@ LONG = 64
 _U = np.uint64
 _KEYS = np.frombuffer(os.urandom(32), np.uint64) | _U(1)
 
-_LETTER, _SIGN, _SOLID, _SAFE_NEXT = (np.zeros(256, bool) for _ in range(4))
-_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
-_SIGN[[ord(c) for c in ".,;:!?"]] = True
-_SOLID[0x21:0x7F] = True
-#: Bytes after a blank before which a text may be cut: neither white space nor the lead of a white-space character.
-_SAFE_NEXT[0x21:] = True
-_SAFE_NEXT[[0x7F, 0xC2, 0xE1, 0xE2, 0xE3]] = False
+def _kinds() -> bytes:
+    """What each byte may be, as bits: a letter, one of .,;:!?, no white space, safe behind a blank, a blank, a line feed."""
+    kinds = np.zeros(256, np.uint8)
+    kinds[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] |= _LETTER
+    kinds[[ord(c) for c in ".,;:!?"]] |= _SIGN
+    kinds[0x21:0x7F] |= _SOLID
+    # Neither white space nor the lead of a white-space character.
+    kinds[[b for b in range(0x21, 256) if b not in (0x7F, 0xC2, 0xE1, 0xE2, 0xE3)]] |= _SAFE_NEXT
+    kinds[0x20] |= _BLANK
+    kinds[0x0A] |= _FEED
+    return kinds.tobytes()
+
+
+_LETTER, _SIGN, _SOLID, _SAFE_NEXT, _BLANK, _FEED = (np.uint8(1 << i) for i in range(6))
+_KINDS = _kinds()
 
 
 def cuts(data: np.ndarray) -> np.ndarray:
     """Where a text may be cut, whatever its other parts are, in ascending order."""
     if len(data) < 2:
         return np.zeros(0, np.int64)
-    letter = _LETTER[data]
-    may = np.zeros(len(data), bool)
-    np.logical_and(data[:-1] == 0x20, _SAFE_NEXT[data[1:]], out=may[:-1])
-    may[1:] |= letter[:-1] & _SIGN[data[1:]]
-    may[2:] |= (data[1:-1] == 0x0A) & _SOLID[data[:-2]] & letter[2:]
-    may[0] = False
+    kinds = np.frombuffer(data.tobytes().translate(_KINDS), np.uint8)
+    may = np.zeros(len(data), np.uint8)
+    # A bit of what stands before is moved onto that of what stands behind; both must be set.
+    np.bitwise_and(kinds[:-1] >> 1, kinds[1:], out=may[:-1])
+    may[:-1] &= _SAFE_NEXT
+    own = kinds[:-1] << 1
+    own &= kinds[1:]
+    own &= _SIGN
+    may[1:] |= own
+    feed = (kinds[1:-1] & _FEED) >> 3
+    feed &= kinds[:-2]
+    feed &= kinds[2:] << 2
+    may[2:] |= feed
+    may[0] = 0
     return np.flatnonzero(may)
 
 
@@ -126,6 +142,8 @@ class Encoder:
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
+        if hasattr(self.tokenizer.model, "_resize_cache"):  # units are remembered here; the library's memory of words only costs time
+            self.tokenizer.model._resize_cache(0)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         with open(path, encoding="utf-8") as file:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.graph import components
 from tidemark.llm.scratch import Scratch
+from tidemark.llm.skew import join_per_key
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)(\??[^#]*)"
@@ -127,9 +128,14 @@ def link_edges(pages: DataFrame) -> DataFrame:
     return rows.select(_let(F.col("url"), node_of).alias("a"), _let(to, node_of).alias("b")).where("a is not null and b is not null and a <> b").distinct()
 
 
-def rule_of(places: DataFrame, rules: DataFrame, small: bool) -> DataFrame:
-    """place (host, path), rule, verdict for each of the distinct places that a rule fits."""
-    suffixes = F.expr("transform(sequence(1, size(split(host, '[.]'))), i -> array_join(slice(split(host, '[.]'), i, 100000), '.'))")
+def rule_of(places: DataFrame, rules: DataFrame, small: bool, labels: int) -> DataFrame:
+    """place (host, path), rule, verdict for each of the distinct places that a rule fits.
+
+    ``labels`` is the number of labels of the longest host of a rule: longer ends of
+    a host meet no rule, so a host of any number of labels has few that are tried.
+    """
+    count = "length(host) - length(replace(host, '.', '')) + 1"
+    suffixes = F.expr(f"transform(sequence(1, least({count}, {max(1, labels)})), i -> substring_index(host, '.', -i))")
     byhost = rules.groupBy("rule_host").agg(F.collect_set(F.struct("rule_path", "rule_verdict")).alias("rules"))
     byhost = F.broadcast(byhost) if small else byhost
     fits = places.withColumn("rule_host", F.explode(suffixes)).join(byhost, "rule_host")
@@ -153,21 +159,23 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, edges: Da
     quoted = ", ".join("(" + ", ".join("'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'" for x in r) + ")" for r in rules)
     none = "select '' as rule_host, '' as rule_path, '' as rule_verdict where false"
     table = spark.sql(f"select * from values {quoted} as r(rule_host, rule_path, rule_verdict)" if rules else none)
-    small = len(rules) <= BROADCAST_RULES
+    small, labels = len(rules) <= BROADCAST_RULES, max((r[0].count(".") + 1 for r in rules), default=1)
     links = scratch.keep(link_edges(pages) if edges is None else edges, "links")
     url = F.col("url")
     rows = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), node_of(url).alias("node"))
     sized = lambda df: F.broadcast(df) if df.count() <= BROADCAST_PLACES else df.hint("merge")
     if links.isEmpty():  # each address is a class of its own
-        ruled = scratch.keep(rule_of(rows.select("host", "path").distinct(), table, small), "ruled")
+        ruled = scratch.keep(rule_of(rows.select("host", "path").distinct(), table, small, labels), "ruled")
         out = rows.join(sized(ruled), ["host", "path"], "left").withColumn("_by_class", F.lit(None).cast("string"))
     else:
         classes = components(links, scratch)
         place = F.concat(F.lit("x://"), "node")
         parts = classes.select("node", "component", F.regexp_extract(place, PARTS, 1).alias("host"), F.regexp_extract(place, PARTS, 2).alias("path"))
-        ruled = scratch.keep(rule_of(rows.select("host", "path").union(parts.select("host", "path")).distinct(), table, small), "ruled")
+        ruled = scratch.keep(rule_of(rows.select("host", "path").union(parts.select("host", "path")).distinct(), table, small, labels), "ruled")
         said = parts.join(ruled, ["host", "path"]).groupBy("component").agg(F.bool_or(F.col("verdict") == "allow").alias("let"))
-        passed = classes.join(said, "component").select(F.col("node").alias("_node"), F.when(F.col("let"), "allow").otherwise("block").alias("_by_class"))
+        sizes = classes.groupBy("component").agg(F.count(F.lit(1)).alias("_n"))
+        said = scratch.keep(said.join(sizes, "component"), "said")
+        passed = join_per_key(classes, said, ["component"], classes.count(), "_n").select(F.col("node").alias("_node"), F.when(F.col("let"), "allow").otherwise("block").alias("_by_class"))
         passed = scratch.keep(passed, "passed")
         out = rows.join(sized(ruled), ["host", "path"], "left").join(sized(passed), F.col("node") == F.col("_node"), "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("verdict", "_by_class", F.lit("allow")).alias("verdict"))
