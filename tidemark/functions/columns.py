@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 #: Suffixes of files that count as images, compared in lower case.
 IMAGE_SUFFIXES = ("bmp", "dng", "heic", "jpeg", "jpg", "mpo", "pfm", "png", "tif", "tiff", "webp")
 
+#: A component that labels are found by.
+IMAGES_FOLDER = r"(?i)/images(/|$)"
+
 #: Separates the group from the path in a sample id.
 ID_MARK = "::"
 
@@ -43,7 +46,7 @@ def label_path(path: Column) -> Column:
     """
     moved = F.regexp_replace(path, r"(?i)^(.*/)images(?=/|$)(.*)$", "$1labels$2")
     named = F.concat(F.regexp_replace(moved, r"(?<=[^/])\.[^./]+$", ""), F.lit(".txt"))
-    return F.when(path.rlike(r"(?i)/images(/|$)"), named).otherwise(F.raise_error(F.concat(F.lit("no images directory in: "), path)))
+    return F.when(path.rlike(IMAGES_FOLDER), named).otherwise(F.raise_error(F.concat(F.lit("no images directory in: "), path)))
 
 
 @cache

@@ -11,8 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
+from tidemark.operators.order import places
 
-SHOWN = 5
+#: Violations that an error shows; ids of a chunk.
+SHOWN, CHUNK = 5, 10_000
 
 
 class IntegrityError(ValueError):
@@ -42,6 +44,34 @@ def group_members(samples: DataFrame) -> DataFrame:
     return samples.groupBy("group", "split").agg(F.sort_array(F.collect_list("sample_id")).alias("ids"))
 
 
+def member_chunks(samples: DataFrame, size: int = CHUNK) -> DataFrame:
+    """group, split, chunk, first, ids, digest: the ordered ids in rows of ``size`` at most.
+
+    ``first`` is the place of a chunk's first id among all of its group's split, so
+    chunks side by side are the whole list and none needs the others; ``digest``
+    tells whether two chunks hold the same ids.
+    """
+    placed = places(samples.select("group", "split", "sample_id"), "sample_id", ("group", "split"))
+    chunk = F.floor(F.col("_place") / size)
+    own = placed.groupBy("group", "split", chunk.alias("chunk")).agg(F.sort_array(F.collect_list(F.struct("_place", "sample_id"))).alias("m"))
+    ids = F.col("m.sample_id")
+    return own.select("group", "split", "chunk", F.col("m")[0]["_place"].alias("first"), ids.alias("ids"), F.sha2(F.array_join(ids, "\n"), 256).alias("digest"))
+
+
+def path_faults(samples: DataFrame, root: Column | str, path: str = "image_path") -> DataFrame:
+    """sample_id, fault of the samples whose path has no place in a dataset: what :func:`sample_records` fails for, as rows."""
+    root, at = F.lit(root) if isinstance(root, str) else root, F.col(path)
+    outside = F.when(~F.startswith(at, F.concat(root, F.lit("/"))), "not below the dataset root")
+    unlabelled = F.when(~at.rlike(C.IMAGES_FOLDER), "no images directory")
+    return samples.select("sample_id", F.coalesce(outside, unlabelled, F.when(at.isNull(), "no path")).alias("fault")).where("fault is not null")
+
+
+def empty_splits(samples: DataFrame, groups: DataFrame, splits: tuple[str, ...] = ("train", "val", "test")) -> DataFrame:
+    """group, split of the groups (group) and splits that have no sample."""
+    wanted = groups.select("group", F.explode(F.array(*map(F.lit, splits))).alias("split"))
+    return wanted.join(samples.select("group", "split").distinct(), ["group", "split"], "left_anti")
+
+
 def duplicate_ids(samples: DataFrame) -> DataFrame:
     return samples.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 

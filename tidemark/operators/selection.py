@@ -7,6 +7,7 @@ by a keyed hash, so it has exactly k rows whatever the partitioning.
 
 from __future__ import annotations
 
+import math
 from abc import ABC, abstractmethod
 from collections.abc import Mapping
 from typing import Any
@@ -16,7 +17,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import scope
 from tidemark.operators.order import places
+from tidemark.sources.shared import new_place
+
+
+#: Of what a bound lets pass: 1 leaves too few with a chance of less than one in 10**9.
+MARGIN = 1.0
 
 
 def rank_key(seed: Column | int, ids: str = "sample_id") -> Column:
@@ -35,6 +42,35 @@ def sample_per_task(rows: DataFrame, k: int, seed: int) -> DataFrame:
     return rows.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= k).drop("_rank")
 
 
+def replay_per_task(samples: DataFrame, arrivals: DataFrame, k: int, seed: int) -> DataFrame:
+    """task, sample_id: what :func:`sample_per_task` takes from the history of each task under the rule all_seen.
+
+    ``samples`` (group, sample_id) are the train samples, ``arrivals`` are (group,
+    idx).  How many a history has follows from sizes of groups, so the k smallest
+    keys of a task are below a bound of its own but for a chance of less than one in
+    10**9: only keys below it leave the task that reads their group.  Those few are
+    written; a history from which too few have come is gone through without a bound.
+    """
+    spark = samples.sparkSession
+    sizes = samples.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
+    seen = scope.sees(arrivals, "all_seen").where("not is_current").select("task", "group")
+    wanted = scope.counts_of(sizes, arrivals).select("task", F.col("history_count").alias("n"))
+    share = (k + 8 * math.sqrt(k) + 16) * MARGIN / F.greatest(F.col("n"), F.lit(1))
+    bound = F.when(share < 1, F.lpad(F.lower(F.hex(F.floor(share * (1 << 52)))), 13, "0")).otherwise("g")  # above all digits
+    dealt = seen.join(wanted.where("n > 0").withColumn("bound", bound), "task")
+    key = rank_key(F.col("task") + seed)
+    near = samples.select("group", "sample_id").join(dealt, "group").where(key <= F.col("bound")).select("task", "sample_id")
+    path = new_place(spark, "replay")
+    near.write.parquet(path)
+    near = spark.read.schema(near.schema).parquet(path)
+    found = near.groupBy("task").agg(F.count(F.lit(1)).alias("found"))
+    short = wanted.join(found, "task", "left").where(F.coalesce("found", F.lit(0)) < F.least(F.lit(k), "n")).select("task")
+    if not short.isEmpty():
+        rest = samples.select("group", "sample_id").join(seen.join(short, "task"), "group").select("task", "sample_id")
+        near = near.join(short, "task", "left_anti").select("task", "sample_id").union(rest)
+    return sample_per_task(near, k, seed).select("task", "sample_id")
+
+
 def sample_as_numpy(rows: DataFrame, k: int, seed: int, ids: str = "sample_id") -> DataFrame:
     """The rows that ``numpy.random.default_rng(seed).choice(sorted ids, k, replace=False)`` takes.
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.backends import GridRequest, Stub, predicted
 from tidemark.functions import columns as C
 from tidemark.operators import cost, lineage, metrics, registry, scope, selection
 from tidemark.operators.order import places
@@ -156,9 +157,7 @@ def select_current_only(spark, d):
 
 @query
 def replay_per_task(spark, d):
-    seen = scope.sees(arrivals(spark, d), "all_seen").where("not is_current")
-    history = _train(spark, d).join(seen, "group").select("task", "sample_id")
-    return selection.sample_per_task(history, 50, SEED)
+    return selection.replay_per_task(_train(spark, d).select("group", "sample_id"), arrivals(spark, d), 50, SEED)
 
 
 @query
@@ -367,10 +366,11 @@ def history_csv(spark, d):
 
 @query
 def ragged_csv(spark, d):
-    """One row per task in a small file whose rows differ in their keys; lacking cells are empty."""
-    path = new_place(spark, "ragged") + ".csv"
-    rows = scope.counts(samples(spark, d), arrivals(spark, d)).orderBy("task").collect()
-    files.put_csv(spark, path, [{"task": r["task"], "current": r["current_count"], **({"replay": r["history_count"]} if r["history_count"] else {})} for r in rows])
+    """One row per task in files whose rows differ in their keys; lacking cells are empty."""
+    path, text = new_place(spark, "ragged"), lambda c: F.col(c).cast("string")
+    counts = scope.counts(samples(spark, d), arrivals(spark, d))
+    all_cells = F.create_map(F.lit("task"), text("task"), F.lit("current"), text("current_count"), F.lit("replay"), F.nullif(text("history_count"), F.lit("0")))
+    files.put_ragged(counts.select("task", F.map_filter(all_cells, lambda k, v: v.isNotNull()).alias("cells")), path, "task")
     return spark.read.option("header", True).schema("task int, current bigint, replay bigint").csv(path)
 
 
@@ -404,6 +404,50 @@ def arrival_stream(spark, d):
     return seen[-1]
 
 
+@query
+def select_numpy_replay(spark, d):
+    """The default draw: what numpy's generator takes from the sorted history."""
+    return selection.policy("random_replay", {"replay_size": 20}).select(_scope(spark, d, 14), SEED + 14).select("sample_id", "role")
+
+
+@query
+def member_chunks(spark, d):
+    chunks = registry.member_chunks(samples(spark, d), 7)
+    return chunks.select(F.col("group").alias("grp"), "split", "chunk", "first", F.array_join("ids", ",").alias("ids"), "digest")
+
+
+@query
+def path_faults(spark, d):
+    """Paths that leave the root, name no images folder, or are lacking."""
+    kind, name = F.col("doc_id") % 7, F.concat(F.col("doc_id").cast("string"), F.lit(".jpg"))
+    path = F.when(kind == 0, F.concat(F.lit("/other/images/"), name)).when(kind == 1, F.concat(F.lit("/data/pictures/"), name)).when(kind > 2, F.concat(F.lit("/data/Images/"), name))
+    rows = samples(spark, d).select(F.col("doc_id").alias("sample_id"), "doc_id").withColumn("image_path", path)
+    return registry.path_faults(rows, "/data").withColumnRenamed("sample_id", "doc_id")
+
+
+@query
+def empty_splits(spark, d):
+    """Splits without samples, where each language of a source is a group."""
+    rows = samples(spark, d).select(F.concat_ws("/", "group", "lang").alias("group"), "split")
+    return registry.empty_splits(rows, rows.select("group").distinct()).withColumnRenamed("group", "grp")
+
+
+@query
+def prediction_table(spark, d):
+    """Answers of a model that runs in the tasks, by place; the model tells a path backwards."""
+    asked = places(samples(spark, d).where("split = 'test'").select("sample_id", "image_path"), "sample_id")
+    return predicted(asked.withColumnRenamed("_place", "pos").repartition(4, "sample_id"), lambda: lambda paths: [p[::-1] for p in paths], 7)
+
+
+@query
+def evaluation_table(spark, d):
+    """Every checkpoint with every group by the backend that answers without a model."""
+    tests = samples(spark, d).where("split = 'test'").select("group", F.col("sample_id").alias("pos"), "sample_id", "image_path")
+    groups = tuple(r["group"] for r in arrivals(spark, d).select("group").orderBy("idx").collect())  # as a configuration names them
+    asked = GridRequest({"backend": {"params": {"batch": BATCH}}}, tests, groups, ("a", "b"), {"last": "l", "best": "b"}, "")
+    return Stub(spark).evaluate_grid(asked).select("checkpoint", F.col("group").alias("grp"), F.round("map50_95", 9).alias("map50_95"), "sample_count", F.round("evaluation_seconds", 9).alias("evaluation_seconds"))
+
+
 def _claiming(spark: SparkSession, d: str) -> DataFrame:
     """Samples as a careless arrival names them: by language and length, with a path by the text whatever its case."""
     rows = table(spark, d, "documents").join(arrivals(spark, d), F.col("source") == F.col("group"))

@@ -45,6 +45,12 @@ _CLAIMING = f"""with c as (
     '/data/images/strasse-' || md5({_folded("coalesce(text, '')")}) || '.jpg' as owner from documents
 ), k as (select 'id' as kind, sample_id as k, idx, sample_id from c union all select 'owner', owner, idx, sample_id from c)"""
 _CLASHES = _CLAIMING + " select kind, k, count(*) as n, arg_min(sample_id, (idx, sample_id)) as first_id from k group by kind, k having count(*) > 1"
+#: Of so many sorted ids, those that numpy's default generator draws with seed 56, 20 without replacement, by place.
+_DRAWN = [
+    (112, [1, 3, 17, 24, 29, 31, 34, 37, 38, 47, 55, 60, 64, 68, 72, 85, 92, 96, 107, 109]),
+    (560, [9, 16, 89, 130, 146, 170, 198, 199, 215, 249, 299, 328, 336, 393, 397, 429, 518, 535, 551, 553]),
+    (5600, [94, 172, 903, 1317, 1461, 1728, 2010, 2048, 2211, 2521, 3042, 3297, 3393, 3439, 4049, 4053, 4303, 5310, 5478, 5542]),
+]
 _FOLDED = "['SS', 'ß', 'ẞ', 'ss', 'Σας', 'σασ', 'İ', 'i̇', 'I', 'ﬁ', 'FI', 'Ǆ']"
 
 ORACLES = {
@@ -60,6 +66,22 @@ ORACLES = {
     + """ select sample_id, batch from (
   select sample_id, (idx // 5)::int as batch, count(*) over (partition by sample_id order by idx // 5) as ids, count(*) over (partition by owner order by idx // 5) as owners from c
 ) where ids = 1 and owners = 1""",
+    "select_numpy_replay": _S
+    + f""", h as (select sample_id, row_number() over (order by sample_id) - 1 as place from tr where idx < 14),
+drawn(n, places) as (values {", ".join(str(d) for d in _DRAWN)})
+select sample_id, 'replay' as role from h where list_contains((select places from drawn where n = (select count(*) from h)), place)
+union all select sample_id, 'current' from tr where idx = 14""",
+    "member_chunks": _S
+    + """ select grp, split, place // 7 as chunk, min(place) as first, string_agg(sample_id, ',' order by place) as ids, sha256(string_agg(sample_id, chr(10) order by place)) as digest
+from (select grp, split, sample_id, row_number() over (partition by grp, split order by sample_id) - 1 as place from s) group by grp, split, place // 7""",
+    "path_faults": "select doc_id, case doc_id % 7 when 0 then 'not below the dataset root' when 1 then 'no images directory' else 'no path' end as fault from documents where doc_id % 7 < 3",
+    "empty_splits": _S
+    + """, g as (select distinct grp || '/' || lang as grp from s)
+select g.grp, split from g, (values ('train'), ('val'), ('test')) t(split) where not exists (select 1 from s where s.grp || '/' || s.lang = g.grp and s.split = t.split)""",
+    "prediction_table": _S + " select row_number() over (order by sample_id) - 1 as pos, sample_id, reverse(image_path) as prediction from s where split = 'test'",
+    "evaluation_table": _S
+    + """, g as (select a.grp, count(s.sample_id) as n from arr a left join s on s.grp = a.grp and s.split = 'test' group by a.grp)
+select c.checkpoint, grp, round(n / (n + 16.0), 9)::double as map50_95, n as sample_count, round(n / 1000.0, 9)::double as evaluation_seconds from (values ('last'), ('best')) c(checkpoint), g""",
     "owner_fold": f"""select k, count(*) as n, min(event_id) as first_id from (select event_id, {_folded("'/Images/' || user_id || '/' || " + _FOLDED + "[event_id % 12 + 1] || '.JPG'")} as k from events)
 group by k having count(*) > 1""",
     "label_schema_check": _S

@@ -135,6 +135,22 @@ def put_csv(spark: SparkSession, path: str, rows: Iterable[Mapping[str, Any]]) -
     put_text(spark, path, text.getvalue())
 
 
+def ragged_header(rows: DataFrame, place: str, cells: str) -> list[str]:
+    """The keys of all maps ``cells`` in the order in which they first occur, by ``place`` and then within a map: an aggregation, a row per key."""
+    keys = rows.select(F.col(place).alias("_place"), F.posexplode(F.map_keys(cells)).alias("_at", "key"))
+    first = keys.groupBy("key").agg(F.min(F.struct("_place", "_at")).alias("_first"))
+    return [r["key"] for r in first.orderBy("_first").select("key").collect()]
+
+
+def put_ragged(rows: DataFrame, path: str, place: str, cells: str = "cells") -> list[str]:
+    """Rows that differ in their keys as CSV parts in the order of ``place``, each with the header; what a row lacks is empty.  The header is returned."""
+    names = ragged_header(rows, place, cells)
+    wide = rows.select(F.col(place).alias("_place"), *[F.try_element_at(cells, F.lit(n)).alias(n) for n in names])
+    ordered = wide.orderBy("_place").drop("_place")
+    ordered.write.mode("errorifexists").option("header", True).option("emptyValue", "").csv(path)
+    return names
+
+
 def put_lines(df: DataFrame, path: str, order: str, column: str | None = None) -> None:
     """One value a line, in order across the part files of the folder ``path``."""
     column = column or df.columns[0]
