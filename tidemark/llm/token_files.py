@@ -45,9 +45,9 @@ BLOCK = 1024
 #: Blocks of a chapter where a segment has more different ids than a prior takes: all of their ids may differ.
 CHAPTER = rangecoder.MOST_IDS // BLOCK
 #: Ids after which a segment ends, with the slice of documents that reaches them: its blocks mostly fit side by side.
-SEGMENT = 3 << 19
+SEGMENT = 3 << 20
 #: Blocks that are coded side by side at most.
-LANES = 2048
+LANES = 4096
 #: Parts up to which their table is broadcast; beyond, it is joined.
 BROADCAST_PARTS = 100_000
 #: Parts whose ranges are told apart by their cuts.
