@@ -347,3 +347,28 @@ def test_one_very_long_vector_beside_short_ones(spark, rng):
         if q in (40, 80):
             assert set(want[:2]) & {40, 77, 80} <= set(own.vec_id)
     assert hits >= 0.9 * 75
+
+
+def test_members_that_share_most_of_what_is_not_their_centres(spark, rng):
+    """Pages of one template: each keeps 210 of 300 words and has 90 others, the same in all; a few pairs are linked."""
+    words, others = [f"v{i}" for i in range(300)], [f"o{i}" for i in range(90)]
+    rows = [(0, " ".join(words))]
+    for i in range(1, 121):
+        kept = sorted(rng.sample(range(300), 210))
+        rows.append((i, " ".join([words[j] for j in kept] + others)))
+    for i in range(1, 121, 24):
+        rows.append((1000 + i, edited(rng, rows[i][1].split(), 4)))
+    check_groups(spark, rows, 2)
+
+
+def test_hot_keys_are_met_by_a_broadcast(spark, rng, monkeypatch):
+    from tidemark.llm import skew
+
+    monkeypatch.setattr(skew, "FEW", 2)
+    monkeypatch.setattr(skew, "SHARE", 20)
+    monkeypatch.setattr(near_dup, "DIFFERENCE_SALT", 3)
+    test_many_members_apart_from_their_centre(spark, rng)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join(words)) for i in range(40)] + [(100 + i, edited(rng, words, 2)) for i in range(20)] + [(200 + i, f"alone {i}") for i in range(20)]
+    check_groups(spark, rows, 2)
+    assert near_dup.keep_first(spark.createDataFrame(rows, DOCS)).count() == len(set(brute(rows, 5).values()))

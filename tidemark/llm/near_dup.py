@@ -28,11 +28,14 @@ from pyspark.sql import functions as F
 from tidemark.llm import kernels
 from tidemark.llm.graph import components
 from tidemark.llm.scratch import Scratch, free_name
+from tidemark.llm.skew import join_per_key
 
 #: 20 bands of 4: two sets of similarity 0.8 share none with probability 3e-5.
 BANDS, ROWS = 20, 4
 #: Rows of a bucket, and members of a centre with their sets, that meet in one salt.
 BUCKET_SALT, CENTRE_SALT = 100_000, 2_000
+#: Members of a centre with one difference that meet in one salt.
+DIFFERENCE_SALT = 500
 
 _SKETCH = "doc_id bigint, n_shingles bigint, digest_a bigint, digest_b bigint, bands array<bigint>"
 
@@ -111,16 +114,18 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, r
     first = full.join(heads.select(F.col("head").alias("doc_id"), "digest_a", "digest_b"), ["doc_id", "digest_a", "digest_b"], "left_semi")
     posts = first.dropDuplicates(["doc_id", "digest_a", "digest_b"]).select(F.explode("bands").alias("key"), "doc_id", F.col("n_shingles").alias("n"))
     shared = posts.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    posts = scratch.keep(posts.join(shared, "key"), "posts")
+    shared = scratch.keep(shared, "shared")
+    posts = scratch.keep(join_per_key(posts, shared, ["key"], bands * heads.count(), "size"), "posts")
 
     near = _components_of(posts, texts, k, percent, scratch)
     scratch.drop(posts)
-    same = full.join(heads.where("n > 1").drop("n"), ["digest_a", "digest_b"]).where("doc_id <> head").select(F.col("doc_id").alias("_row"), "head")
-    where = heads.where("n > 1").select(F.col("head").alias("node")).union(near.select("node")).distinct()
-    where = where.join(near, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
-    member = where.select(F.col("node").alias("_row"), "component").union(
-        same.join(where.withColumnRenamed("node", "head"), "head").select("_row", "component")
-    )
+    copies = join_per_key(full, heads.where("n > 1"), ["digest_a", "digest_b"], sketch.count(), "n")
+    same = copies.where("doc_id <> head").select(F.col("doc_id").alias("_row"), "head", "n")
+    where = heads.where("n > 1").select(F.col("head").alias("node"), "n").groupBy("node").agg(F.sum("n").alias("n"))
+    where = where.join(near, "node", "full_outer").select("node", "n", F.coalesce("component", "node").alias("component"))
+    where = scratch.keep(where, "where")
+    members = join_per_key(same.drop("n"), where.where("n is not null").withColumnRenamed("node", "head"), ["head"], sketch.count(), "n")
+    member = where.select(F.col("node").alias("_row"), "component").union(members.select("_row", "component"))
     member = member.groupBy("_row").agg(F.min("component").alias("component"))
     out = sketch.select("doc_id", "n_shingles").join(member, F.col("doc_id") == F.col("_row"), "left")
     component = F.coalesce("component", "doc_id")
@@ -187,9 +192,13 @@ def _beside_centre(members: DataFrame, percent: int, scratch: Scratch) -> DataFr
     must then be among the first |diff(y)| - T + 1 of y.  At least one of the two
     is not linked with c (else they are in one component), which makes T larger
     than h = ((100 - p)|c| - g) / 2(100 + p) of the other: so at least the first
-    |diff| - h of one side meet the differences of members apart from c.  The
+    |diff| - h of one side meet the differences of members apart from c.  Before any
+    meet, each side is cut by the T that it needs with the greatest g that a partner
+    of its centre has, and members that share a difference are met in salts.  The
     differences that make near copies of c are mostly rare, so a group with many
-    members that are not similar to each other gives few pairs.
+    members that are not similar to each other gives few pairs.  Where members share
+    most differences at random just below the limit, no bound tells them apart, and
+    the pairs that meet still grow with their square.
     """
     p = percent
     rows = members.select("a", "b", "component", F.size("sa").alias("na"), F.array_except("sa", "sb").alias("lacks"), F.array_except("sb", "sa").alias("has"), F.size("sb").alias("nb"))
@@ -200,16 +209,21 @@ def _beside_centre(members: DataFrame, percent: int, scratch: Scratch) -> DataFr
     )
     rows = rows.selectExpr("a", "b", "component", "size(diff) as d", "g", "apart", f"floor((top - g) / {2 * (100 + p)}.0D) as h", "explode(diff) as x")
     rows = scratch.keep(rows, "differences")
-    common = rows.groupBy("a", "x").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
-    rows = rows.join(common, ["a", "x"])
+    total = rows.count()
+    common = scratch.keep(rows.groupBy("a", "x").agg(F.count(F.lit(1)).alias("f")).where("f > 1"), "common")
+    rows = join_per_key(rows, common, ["a", "x"], total, "f")
     # Differences of one member only come first and meet nobody.
     rows = rows.selectExpr("*", "d - count(*) over (partition by a, b) + row_number() over (partition by a, b order by f, x) as place")
     rows = scratch.keep(rows, "places")
-    names = ("b", "component", "d", "g", "place")
-    left = rows.where("place <= d - h").select("a", "x", *[F.col(n).alias(f"l_{n}") for n in names])
-    right = rows.where("apart").select("a", "x", *[F.col(n).alias(f"r_{n}") for n in names])
-    need = f"(-floor((l_g + r_g) / {2 * (100 + p)}.0D))"
-    pairs = left.join(right, ["a", "x"]).where(f"l_component <> r_component and l_place <= l_d - {need} + 1 and r_place <= r_d - {need} + 1")
+    # What each side needs of the best partner that its centre has for it.
+    best = scratch.keep(rows.groupBy("a").agg(F.max("g").alias("best"), F.max(F.when(F.col("apart"), F.col("g"))).alias("best_apart"), F.count(F.lit(1)).alias("n")), "best")
+    rows = join_per_key(rows, best, ["a"], rows.count(), "n")
+    need = lambda g, other: f"(-floor(({g} + {other}) / {2 * (100 + p)}.0D))"
+    names, salts = ("b", "component", "d", "g", "place"), f"ceil(f / {DIFFERENCE_SALT})"
+    left = rows.where(f"place <= d - h and place <= d - {need('g', 'best_apart')} + 1").selectExpr("a", "x", f"explode(sequence(0L, {salts} - 1)) as salt", *[f"{n} as l_{n}" for n in names])
+    right = rows.where(f"apart and place <= d - {need('g', 'best')} + 1").selectExpr("a", "x", f"pmod(xxhash64(b), {salts}) as salt", *[f"{n} as r_{n}" for n in names])
+    both = need("l_g", "r_g")
+    pairs = left.join(right, ["a", "x", "salt"]).where(f"l_component <> r_component and l_place <= l_d - {both} + 1 and r_place <= r_d - {both} + 1")
     return pairs.select(F.least("l_b", "r_b").alias("a"), F.greatest("l_b", "r_b").alias("b")).distinct()
 
 
@@ -229,8 +243,9 @@ def keep_first(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     hashed = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
     named = rows.select(F.col(uid).alias(doc), F.struct(F.col("doc_id").isNull(), "doc_id", F.sha2(F.coalesce("text", F.lit("")), 256), F.xxhash64(*hashed), uid).alias(rank))
     # Only rows that a link joins to another are ranked.
-    sizes = found.groupBy("component_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
-    linked = found.join(sizes, "component_id", "left_semi").join(named, F.col("doc_id") == F.col(doc))
+    found = scratch.keep(found, "found")
+    sizes = scratch.keep(found.groupBy("component_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), "sizes")
+    linked = join_per_key(found, sizes, ["component_id"], found.count(), "_n").drop("_n").join(named, F.col("doc_id") == F.col(doc))
     first = linked.groupBy("component_id").agg(F.min(rank).alias("_first"))
     stay = first.select(F.col(f"_first.{uid}").alias(doc))
     gone = scratch.keep(linked.select(doc).join(stay, doc, "left_anti"), "gone")
