@@ -28,11 +28,11 @@ def seen_mean(matrix: DataFrame, tasks: DataFrame | None = None) -> DataFrame:
 def forgetting(matrix: DataFrame) -> DataFrame:
     """group, forgetting: the best score ever less the last, for the groups that the last task was tested on.
 
-    One aggregation: a group's last score counts if it is of the last task.
+    One aggregation: a group's last score counts if it is of the last task, whose number stands beside all groups as one row.
     """
     last = matrix.agg(F.max("task").alias("_end"))
     bygroup = matrix.groupBy("group").agg(F.max("score").alias("best"), F.max_by("score", "task").alias("now"), F.max("task").alias("at"))
-    return bygroup.join(F.broadcast(last)).where("at = _end").select("group", (F.col("best") - F.col("now")).alias("forgetting"))
+    return bygroup.crossJoin(F.broadcast(last)).where("at = _end").select("group", (F.col("best") - F.col("now")).alias("forgetting"))
 
 
 def mean_forgetting(matrix: DataFrame) -> DataFrame:

@@ -84,7 +84,7 @@ def shared_owners(samples: DataFrame, path: str = "image_path", by: str = "sampl
 def schema_matches(names: DataFrame) -> DataFrame:
     """group, n_names, matches_first from (group, place, names): is each list that of the first group?"""
     first = names.agg(F.min_by("names", "place").alias("first"))
-    return names.join(F.broadcast(first)).select("group", F.size("names").cast("long").alias("n_names"), (F.col("names") == F.col("first")).alias("matches_first"))
+    return names.crossJoin(F.broadcast(first)).select("group", F.size("names").cast("long").alias("n_names"), (F.col("names") == F.col("first")).alias("matches_first"))
 
 
 def unknown_ids(ids: DataFrame, samples: DataFrame, key: str = "sample_id") -> DataFrame:
