@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, graph, kernels, lines, near_dup
+from tidemark.llm import ann, graph, kernels, lines, near_dup, skew
 from tidemark.llm.scratch import Scratch
 
 DOCS = "doc_id bigint, text string"
@@ -205,7 +205,8 @@ def line_brute(rows, shortest=0):
 
 @pytest.mark.parametrize("shortest", [0, 20])
 def test_lines_by_brute_force(spark, rng, shortest, monkeypatch):
-    monkeypatch.setattr(lines, "HOT", 5)
+    monkeypatch.setattr(skew, "FEW", 5)
+    monkeypatch.setattr(skew, "SHARE", 50)
     base = ["".join(rng.choice("abcd e") for _ in range(n)) + "." for n in (1, 2, 5, 19, 20, 21, 40, 90)]
     rows = []
     for i in range(60):
@@ -362,8 +363,6 @@ def test_members_that_share_most_of_what_is_not_their_centres(spark, rng):
 
 
 def test_hot_keys_are_met_by_a_broadcast(spark, rng, monkeypatch):
-    from tidemark.llm import skew
-
     monkeypatch.setattr(skew, "FEW", 2)
     monkeypatch.setattr(skew, "SHARE", 20)
     monkeypatch.setattr(near_dup, "DIFFERENCE_SALT", 3)

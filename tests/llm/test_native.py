@@ -14,7 +14,7 @@ from tidemark.llm import chat, licenses, quality, urls
 SMALL = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["op1_license_scan", "op5_url_filter", "op9_chat_format", "op10_quality_rules"])
+@pytest.mark.parametrize("name", ["op1_license_scan", "op5_url_filter", "op9_chat_format", "op10_quality_rules", "chat_reanswered"])
 def test_same_rows_as_sql(spark, name):
     assert verify.compare(spark, verify.connect(SMALL), name, SMALL).startswith("same")
 
@@ -427,3 +427,15 @@ def test_a_class_that_holds_most_addresses(spark, monkeypatch):
     rows = [(i, f"http://h{i}.org/", None) for i in range(31)] + [(40, "http://p.net/", None), (41, "http://q.net/", None), (42, "http://r.net/", None)]
     got = {r["page_id"]: r["verdict"] for r in urls.judge(spark.createDataFrame(rows, "page_id int, url string, html string"), rules=[("h7.org", "/", "block"), ("q.net", "/", "block")], edges=edges).collect()}
     assert got == {i: "block" for i in range(31)} | {40: "block", 41: "block", 42: "allow"}
+
+
+def test_reanswered_pairs_share_all_turns_before_the_answer(spark):
+    turns = [
+        (0, 0, "user", "q"), (0, 1, "assistant", "a0"), (0, 2, "user", "more"), (0, 3, "assistant", "b0"), (0, 4, "user", "bye"),
+        (1, 0, "user", "x"), (1, 1, "assistant", "a1"), (2, 0, "user", "no answer"), (4, None, "system", "s"), (4, 1, "assistant", "a4"), (None, 1, "assistant", "n"),
+    ]
+    table = spark.createDataFrame(turns, "conv_id bigint, turn int, role string, text string")
+    got = {r["pair_id"]: r for r in chat.preference_pairs(chat.reanswered(table)).collect()}
+    assert {i: (r["n_prefix_turns"], r["n_chosen_turns"], r["n_rejected_turns"]) for i, r in got.items()} == {0: (3, 2, 1), 1: (1, 1, 1), 4: (1, 1, 1)}
+    assert "a1" in got[0]["rejected"] and "b0" in got[1]["rejected"] and got[4]["rejected"].endswith("assistant\n<|im_end|>\n")
+    assert got[0]["prompt"].count("<|im_start|>") == 3

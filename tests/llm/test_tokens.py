@@ -374,3 +374,16 @@ def test_stages_keep_the_columns_and_agree_with_their_operators(spark, plain):
     for i, ids, text in zip(seen["token ids"].doc_id, seen["token ids"].ids, seen["token ids"].text, strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == ids_of(plain, texts[i]) and text == texts[i]
     assert len(seen["token ids"]) == len(seen["source mix"]) == corpus_pipeline.run(spark, SMALL).count()
+
+
+def test_only_texts_with_a_special_token_leave_the_chunks(plain, vocabulary, rng):
+    """Texts beside one that names a special token are cut into chunks all the same."""
+    coder = bpe.ChunkCoder(encoder(vocabulary), bpe.decoder(vocabulary))
+    prose = [" ".join(rng.choice(["alpha", "beta", "Gamma,", "delta.", "epsilon"]) + str(rng.randrange(99)) for _ in range(n)) for n in (900, 0, 1, 1500)]
+    for at in range(5):
+        texts = [*prose[:at], "a <|endoftext|> b", *prose[at:], "<|endoftext|>"]
+        raw = [t.encode() for t in texts]
+        before = coder.encoded + coder.reused
+        ids, cut = coder.encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+        assert [ids[a:b].tolist() for a, b in zip(cut[:-1], cut[1:], strict=True)] == [ids_of(plain, t) for t in texts]
+        assert coder.encoded + coder.reused > before

@@ -67,16 +67,33 @@ class ChunkCoder:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in ``data`` and where each text's begin; long texts go piece by piece."""
-        raw = data.tobytes()
-        if not self.enc.by_unit or any(s in raw for s in self.enc.special):
+        if not self.enc.by_unit:
             return self.enc.encode_bytes(data, offsets)
-        if len(data) <= 2 * PIECE:
+        raw, limits = data.tobytes(), offsets.tolist()
+        special = [s for s in self.enc.special if s in raw]
+        if not special and len(data) <= 2 * PIECE:
             return self._encode(data, offsets)
-        parts = []
-        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-            pieces = [self._encode(p, np.array([0, len(p)]))[0] for p in pieces_of(data[a:b])]
-            parts.append(np.concatenate(pieces) if pieces else np.zeros(0, np.uint32))
-        return np.concatenate(parts), np.cumsum([0, *map(len, parts)])
+        parts: list[np.ndarray] = []
+        sizes: list[int] = []
+        # Texts with the text of a special token are the library's; those between them go together.
+        marked = [i for i, (a, b) in enumerate(zip(limits, limits[1:], strict=False)) if special and any(s in raw[a:b] for s in special)]
+        first = 0
+        for i in [*marked, len(limits) - 1]:
+            own = offsets[first : i + 1]
+            if i > first and limits[i] - limits[first] <= 2 * PIECE:
+                ids, at = self._encode(data[limits[first] : limits[i]], own - own[0])
+                parts.append(ids)
+                sizes += np.diff(at).tolist()
+            else:
+                for a, b in zip(limits[first:i], limits[first + 1 : i + 1], strict=True):
+                    pieces = [self._encode(p, np.array([0, len(p)]))[0] for p in pieces_of(data[a:b])]
+                    parts += pieces
+                    sizes.append(sum(map(len, pieces)))
+            if i < len(limits) - 1:
+                parts += self._plain(raw[limits[i] : limits[i + 1]])
+                sizes.append(len(parts[-1]))
+            first = i + 1
+        return (np.concatenate(parts).astype(np.uint32) if parts else np.zeros(0, np.uint32)), np.cumsum([0, *sizes])
 
     def _encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         for memory in (self._ids, self._joins):

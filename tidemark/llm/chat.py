@@ -69,3 +69,21 @@ def preference_pairs(turns: DataFrame) -> DataFrame:
 def neighbours(conversations: DataFrame) -> DataFrame:
     """Pairs for a table without preferences: conversation 2k is chosen over 2k + 1; turns of a null ``conv_id`` are of no pair."""
     return conversations.select(F.floor(F.col("conv_id") / 2).alias("pair_id"), (F.pmod("conv_id", F.lit(2)) == 0).alias("chosen"), "turn", "role", "text")
+
+
+def reanswered(conversations: DataFrame) -> DataFrame:
+    """Pairs that share their turns up to the last answer: each conversation is chosen over itself with the last answer of its neighbour.
+
+    The neighbour of conversation 2k is 2k + 1, and that of 2k + 1 is 2k; where it has
+    no answer the rejected one is empty.  Turns behind the last answer are of the
+    chosen side only.  Conversations without an answer, and a null ``conv_id``, are
+    of no pair.
+    """
+    turns = conversations.select(F.col("conv_id").alias("pair_id"), "turn", "role", "text")
+    last = turns.where("role = 'assistant' and pair_id is not null").groupBy("pair_id").agg(F.max(F.struct("turn", "text")).alias("own"))
+    both = turns.join(last, "pair_id")
+    other = last.select((F.col("pair_id") + 1 - 2 * F.pmod("pair_id", F.lit(2))).alias("pair_id"), F.col("own.text").alias("text"))
+    chosen = both.select("pair_id", F.lit(True).alias("chosen"), "turn", "role", "text")
+    before = both.where("turn < own.turn or turn is null and own.turn is not null").select("pair_id", F.lit(False).alias("chosen"), "turn", "role", "text")
+    answer = last.join(other, "pair_id", "left").select("pair_id", F.lit(False).alias("chosen"), F.col("own.turn").alias("turn"), F.lit("assistant").alias("role"), "text")
+    return chosen.union(before).union(answer)

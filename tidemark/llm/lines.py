@@ -39,14 +39,10 @@ from pyspark.sql import functions as F
 from tidemark.llm import kernels
 from tidemark.llm.kernels import mix
 from tidemark.llm.scratch import Scratch, free_name
+from tidemark.llm.skew import join_per_key
 
 #: Default of the shortest line, in characters, that a near match may take: any.
 MIN_CHARS = 0
-#: Copies of a line beyond which its rows are not shuffled by its digest.
-HOT = 100_000
-#: Hot lines up to which they are broadcast.
-BROADCAST_HOT = 10_000
-
 #: Kinds of emitted rows: the line itself, without one character, without one place, and its text.
 FULL, GAP, PLACE, TEXT = 0, 1, 2, 3
 #: Bits of the shared halves: the first (1) or last (2) half of a line as long as this, of one longer by one (4, 8).
@@ -242,8 +238,8 @@ def _judge_rows(docs: DataFrame, scratch: Scratch | None = None, min_chars: int
     distinct = scratch.keep(distinct, "distinct")
 
     posts = distinct.select("first.doc_id", "first.row", "first.line_no", F.posexplode("halves").alias("side", "half"))
-    shared = posts.groupBy("half").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("half")
-    open_ = posts.join(shared, "half", "left_semi").groupBy("doc_id", "row", "line_no").agg(F.bit_or(F.expr("1L << side")).alias("sides"))
+    shared = scratch.keep(posts.groupBy("half").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), "shared")
+    open_ = join_per_key(posts, shared, ["half"], 4 * distinct.count(), "_n").groupBy("doc_id", "row", "line_no").agg(F.bit_or(F.expr("1L << side")).alias("sides"))
     want = open_.groupBy(F.col("doc_id").alias("_doc"), F.col("row").alias("_row")).agg(F.sort_array(F.collect_list(F.expr("line_no * 16 + sides"))).alias("want"))
     asked = texts.join(want, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("row") == F.col("_row"))).select("doc_id", "row", "text", "want")
     bases = (secrets.randbelow(PRIME - 2**32) + 2**31, secrets.randbelow(PRIME - 2**32) + 2**31)
@@ -263,7 +259,8 @@ def _judge_rows(docs: DataFrame, scratch: Scratch | None = None, min_chars: int
     named = distinct.join(near, "first", "left").where("n > 1 or near is not null").select("a", "b", "first", "near", "n")
     named = scratch.keep(named, "named")
     scratch.drop(distinct, emitted, variants)
-    out = _told(lines.select("doc_id", "row", "line_no", "a", "b"), named)
+    # Rows of a very common line stay where they are.
+    out = join_per_key(lines.select("doc_id", "row", "line_no", "a", "b"), named, ["a", "b"], lines.count(), "n", "left")
     equal = F.when(order != F.col("first"), F.col("first"))
     keeper = F.coalesce("near", equal)
     return out.select(
@@ -277,17 +274,6 @@ def _judge_rows(docs: DataFrame, scratch: Scratch | None = None, min_chars: int
     )
 
 
-def _told(lines: DataFrame, named: DataFrame) -> DataFrame:
-    """``lines`` with what is known of each digest; rows of a very common line stay where they are."""
-    hot = named.where(F.col("n") > HOT)
-    common = hot.count()
-    if not 0 < common <= BROADCAST_HOT:
-        return lines.join(named.drop("n"), ["a", "b"], "left")
-    hot = F.broadcast(hot.drop("n"))
-    rest = lines.join(hot, ["a", "b"], "left_anti").join(named.where(F.col("n") <= HOT).drop("n"), ["a", "b"], "left")
-    return rest.unionByName(lines.join(hot, ["a", "b"]))
-
-
 def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts without the lines whose numbers the last column lists; the other columns as they are."""
     for batch in batches:

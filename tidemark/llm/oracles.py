@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import chat, licenses, quality, urls
+from tidemark.llm import chat, licenses, quality, resampling, urls
 
 
 def _q(text: str) -> str:
@@ -113,10 +113,25 @@ _SIDE = """coalesce(string_agg({what}, '{sep}' order by turn nulls first, role,
 _DONE = "chosen = {flag} and i > n"
 _SPAN = f"case when role = 'assistant' then (offset_ + length({_HEAD}))::varchar || '-' || (offset_ + length({_HEAD}) + length(text) + {chat.END_MARK})::varchar end"
 
-OP9 = f"""
-with t as (
+_NEIGHBOURS = """t as (
   select conv_id // 2 as pair_id, conv_id % 2 = 0 as chosen, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null
-), o as (select *, row_number() over (partition by pair_id, chosen order by turn nulls first, role, text) as i from t),
+)"""
+_REANSWERED = """l as (
+  select conv_id, turn, text from conversations where role = 'assistant' and conv_id is not null
+  qualify row_number() over (partition by conv_id order by turn desc nulls last, text desc nulls last) = 1
+), t as (
+  select pair_id, chosen, turn, coalesce(role, '') as role, coalesce(text, '') as text from (
+    select c.conv_id as pair_id, true as chosen, c.turn, role, c.text from conversations c join l using (conv_id)
+    union all select c.conv_id, false, c.turn, role, c.text from conversations c join l using (conv_id) where c.turn < l.turn or c.turn is null and l.turn is not null
+    union all select l.conv_id, false, l.turn, 'assistant', o.text from l left join l o on o.conv_id = l.conv_id + 1 - 2 * (l.conv_id % 2)
+  )
+)"""
+
+
+def _pairs(turns: str) -> str:
+    """Prefixes, completions and masks of the pairs in ``t`` of the given tables."""
+    return f"""
+with {turns}, o as (select *, row_number() over (partition by pair_id, chosen order by turn nulls first, role, text) as i from t),
 m as (
   select a.pair_id, a.i, b.i is not null and a.role = b.role and a.text = b.text as same
   from (select * from o where chosen) a left join (select * from o where not chosen) b on a.pair_id = b.pair_id and a.i = b.i
@@ -135,6 +150,35 @@ select pair_id, n as n_prefix_turns, count(*) filter (where {_DONE.format(flag='
 from x group by pair_id, n
 """
 
+
+OP9 = _pairs(_NEIGHBOURS)
+
+_CRC_STEP = "list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)"
+_HEX = "instr('123456789ABCDEF', substring(x, {at}, 1))"
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_N = resampling.BUCKETS
+
+OP12 = f"""
+with d as (select row_number() over () as r, doc_id, {_WORDS} as w from documents), b as (select {_WORDS} as w from benchmark),
+df as (select r, unnest(list_concat(w, [w[i] || ' ' || w[i + 1] for i in range(1, len(w))])) as f from d),
+bf as (select unnest(list_concat(w, [w[i] || ' ' || w[i + 1] for i in range(1, len(w))])) as f from b),
+crc as (select list({_CRC_STEP} order by i) as t from (select unnest(range(0, 256)) as i)),
+x as (select f, hex(encode(f)) as x from (select distinct f from (select f from df union all select f from bf))),
+bytes as (select f, list_concat([4294967295], [{_HEX.format(at='2 * i + 1')} * 16 + {_HEX.format(at='2 * i + 2')} for i in range(0, length(x) // 2)]) as c from x),
+bucket as (select f, xor(list_reduce(c, lambda a, y: xor(t[(xor(a, y) & 255) + 1], a >> 8)), 4294967295) % {_N} as k from bytes, crc),
+s as (select k, count(*) as n from df join bucket using (f) group by k), t as (select k, count(*) as n from bf join bucket using (f) group by k),
+gain as (
+  select bucket.k, floor(1000 * ln((coalesce(any_value(t.n), 0) + 1)::double * ((select count(*) from df) + {_N})::double / ((coalesce(any_value(s.n), 0) + 1)::double * ((select count(*) from bf) + {_N})::double)))::bigint as g
+  from bucket left join s on s.k = bucket.k left join t on t.k = bucket.k group by bucket.k
+), sums as (select r, sum(g)::bigint as g, count(*) as n from df join bucket using (f) join gain using (k) group by r),
+rows_ as (
+  select r, doc_id, len(w) >= {resampling.LEAST_WORDS} as eligible, coalesce(n, 0) as n_features, coalesce((g - (g % n + n) % n) // n, 0) as weight,
+    ('0x' || substring(sha256('{resampling.SEED}:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint as h from d left join sums using (r)
+), scored as (select *, weight + floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296::double)))::bigint as score from rows_),
+ranked as (select *, case when eligible then row_number() over (partition by eligible order by score desc, doc_id nulls last) end as place from scored)
+select doc_id, n_features, weight, score, case when place <= {resampling.PERCENT} * (select count(*) from scored where eligible) // 100 then place end as rank from ranked
+"""
+
 _SCORE = "least(coalesce({by} * {a} // nullif({b}, 0), 0), 100000)"
 _GRID = ", ".join(f"('{k}', {c})" for k, v in quality.GRID.items() for c in v)
 _A = quality.ALPHA / len(quality.GRID)
@@ -177,4 +221,4 @@ from s left join cut on s.stratum is not distinct from cut.stratum
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": OP1, "op5_url_filter": OP5, "op9_chat_format": OP9, "op10_quality_rules": OP10}
+    return {"op1_license_scan": OP1, "op5_url_filter": OP5, "op9_chat_format": OP9, "chat_reanswered": _pairs(_REANSWERED), "op10_quality_rules": OP10, "op12_resampling": OP12}

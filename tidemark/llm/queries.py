@@ -65,6 +65,11 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.preference_pairs(chat.neighbours(_table(spark, sf_dir, "conversations")))
 
 
+def chat_reanswered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 9 over pairs that share their turns up to the last answer."""
+    return chat.preference_pairs(chat.reanswered(_table(spark, sf_dir, "conversations")))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -84,6 +89,6 @@ def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     named = [
         op1_license_scan, op2_token_files, op3_source_mix, op4_near_dup, op5_url_filter, op6_bpe_round_trip, op7_line_dedup, op8_nearest, op9_chat_format,
-        op10_quality_rules, op11_whitening, op12_resampling, op13_simhash,
+        op10_quality_rules, op11_whitening, op12_resampling, op13_simhash, chat_reanswered,
     ]
     return {f.__name__: f for f in named}
