@@ -143,12 +143,12 @@ def _components_of(posts: DataFrame, texts: DataFrame, k: int, percent: int, scr
     def with_sets(pairs: DataFrame) -> DataFrame:
         """The written pairs (a, b, ...) with both sets; a centre that meets many members is met in parts."""
         members, centres = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
-        fans = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / CENTRE_SALT).alias("salts")).where("salts > 1")
+        fans = scratch.keep(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("fan")).where(F.col("fan") > CENTRE_SALT), "fans")
         if fans.isEmpty():
             return pairs.join(members, "b").join(centres, "a")
-        salts = F.coalesce("salts", F.lit(1).cast("bigint"))
-        salted = pairs.join(fans, "a", "left").withColumn("salt", F.pmod(F.xxhash64("b"), salts)).drop("salts")
-        copies = centres.join(fans, "a", "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1))).drop("salts")
+        salts = F.coalesce(F.ceil(F.col("fan") / CENTRE_SALT), F.lit(1).cast("bigint"))
+        salted = join_per_key(pairs, fans, ["a"], pairs.count(), "fan", "left").withColumn("salt", F.pmod(F.xxhash64("b"), salts)).drop("fan")
+        copies = centres.join(fans, "a", "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1))).drop("fan")
         return salted.join(members, "b").join(copies, ["a", "salt"]).drop("salt")
 
     def linked(pairs: DataFrame) -> DataFrame:
@@ -170,9 +170,11 @@ def _components_of(posts: DataFrame, texts: DataFrame, k: int, percent: int, scr
 
     # Buckets of two are settled by their one pair.
     named = classes.select(F.col("node").alias("b"), F.col("component").alias("_c"))
-    groups = met.where("size > 2").join(named, "b", "left").select("a", "b", F.coalesce("_c", "b").alias("component"))
-    open_ = groups.groupBy("a").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("a")
-    groups = scratch.keep(groups.join(open_, "a", "left_semi").where("a <> b"), "open")
+    named = met.where("size > 2").join(named, "b", "left").select("a", "b", F.coalesce("_c", "b").alias("component"))
+    done.append(named := scratch.keep(named, "named"))
+    open_ = named.groupBy("a").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi")
+    open_ = scratch.keep(open_.select("a", "n"), "centres")
+    groups = scratch.keep(join_per_key(named, open_, ["a"], named.count(), "n").drop("n").where("a <> b"), "open")
     if not groups.isEmpty():
         more = linked(_beside_centre(with_sets(groups), percent, scratch))
         classes = components(scratch.keep(links.union(more), "links"), scratch)
