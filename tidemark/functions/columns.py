@@ -64,13 +64,14 @@ def casefold(text: Column) -> Column:
     """Full case folding as Python's ``casefold``: what differs in case only becomes equal, sharp s and SS too.
 
     Texts of ASCII, nearly all paths, only go to lower case; characters that become
-    several are looked for one by one only in texts that hold one.
+    several are replaced only in texts that hold one.
     """
     before, after, several = folding()
     plain = F.translate(text, before, after)
-    pairs = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
-    each = F.transform(F.split(plain, ""), lambda c: F.coalesce(F.try_element_at(pairs, c), c))
-    full = F.when(plain.rlike(f"[{''.join(several)}]"), F.array_join(each, "")).otherwise(plain)
+    full = plain
+    for c, f in several.items():
+        full = F.replace(full, F.lit(c), F.lit(f))
+    full = F.when(plain.rlike(f"[{''.join(several)}]"), full).otherwise(plain)
     return F.when(text.rlike(r"[^\x00-\x7F]"), full).otherwise(F.lower(text))
 
 
