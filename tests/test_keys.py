@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 from test_runner import read, sequence
@@ -10,6 +11,7 @@ from test_runner import read, sequence
 from tidemark.functions import columns as C
 from tidemark.operators import order, scope
 from tidemark.operators.registry import IntegrityError
+from tidemark.plans import catalog
 from tidemark.plans.runner import SequenceRunner
 from tidemark.streaming import arrivals, keys
 
@@ -62,6 +64,25 @@ def brute(found):
     return taken, {(*k, n, first[k][1]) for k, n in seen.items() if n > 1}
 
 
+def test_stream_queries_take_all_groups_in_many_files(spark, tmp_path, monkeypatch):
+    """Batches of several files each, a batch without samples, and groups beyond the twentieth."""
+    sources = [*range(10), *range(15, 23)]
+    rows = [(i, f"Wörter {i % 550} STRASSE" if i % 3 else f"wörter {i % 550} straße", "de", f"src{sources[i % len(sources)]}", i // 20) for i in range(600)]
+    table = str(tmp_path / "data" / "documents.parquet")
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4, "doc_id").write.parquet(table)
+    monkeypatch.setattr(catalog, "new_place", lambda spark, name: str(tmp_path / name))
+    got = {"stream_accepted": catalog.stream_accepted(spark, str(tmp_path / "data")).collect()}
+    landed = [len(list((tmp_path / "checked" / "rows" / f"batch={b}").glob("*.parquet"))) for b in (0, 1, 3, 4)]
+    assert min(landed) > 1 and len(list((tmp_path / "checked" / "in").glob("*.parquet"))) > 5  # no batch in one task
+    monkeypatch.setattr(catalog, "new_place", lambda spark, name: str(tmp_path / "again" / name))
+    got["stream_clashes"] = catalog.stream_clashes(spark, str(tmp_path / "data")).select("kind", "k", "n", "first_id").collect()
+    with duckdb.connect() as con:
+        con.execute(f"create view documents as select * from read_parquet('{table}/*.parquet')")
+        for name, found in got.items():
+            assert sorted(map(tuple, found)) == sorted(con.execute(catalog.oracle_sql()[name]).fetchall()) and found
+    assert {r["batch"] for r in got["stream_accepted"]} == {0, 1, 3, 4}
+
+
 def test_checked_stream_also_after_a_replayed_batch(spark, tmp_path):
     own, rows = keys.session(spark), batches(4, random.Random(3))
     for part in rows:

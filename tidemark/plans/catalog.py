@@ -450,7 +450,8 @@ def evaluation_table(spark, d):
 
 def _claiming(spark: SparkSession, d: str) -> DataFrame:
     """Samples as a careless arrival names them: by language and length, with a path by the text whatever its case."""
-    rows = table(spark, d, "documents").join(arrivals(spark, d), F.col("source") == F.col("group"))
+    idx = F.substring("source", 4, 10).cast("int").alias("idx")
+    rows = table(spark, d, "documents").where("source is not null").select("*", F.col("source").alias("group"), idx)
     text = C.casefold(F.coalesce("text", F.lit("")))
     path = F.concat(F.when(F.col("doc_id") % 2 == 0, "/data/IMAGES/Straße-").otherwise("/data/images/STRASSE-"), F.md5(text), F.lit(".jpg"))
     name = F.concat_ws("/", "lang", F.col("n_chars").cast("string"))
@@ -458,12 +459,21 @@ def _claiming(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _checked_stream(spark: SparkSession, d: str) -> str:
-    """The registry after five groups a batch have arrived, each checked against all before."""
-    place, rows = new_place(spark, "checked"), _claiming(spark, d)
-    for batch in range(4):
-        rows.where(F.floor(F.col("idx") / 5) == batch).coalesce(1).write.mode("append").parquet(f"{place}/in")
-    source = stream.source(keys.session(spark), f"{place}/in", schema=stream.CHECKED)
-    stream.follow_checked(source, f"{place}/registry", f"{place}/checkpoint", lambda counts, number: None).awaitTermination()
+    """The registry after five groups a batch have arrived, each checked against all before.
+
+    The texts are read once; their claims, a few short columns, are kept by batch.
+    The claims of a batch land in as many files as they take, and the stream goes on
+    from where it stood with all of them.
+    """
+    place = new_place(spark, "checked")
+    _claiming(spark, d).withColumn("batch", F.floor(F.col("idx") / 5).cast("int")).write.partitionBy("batch").parquet(f"{place}/rows")
+    rows = spark.read.schema(stream.CHECKED + ", batch int").parquet(f"{place}/rows")
+    last = rows.agg(F.max("batch")).first()[0] or 0
+    own = keys.session(spark)
+    for batch in range(last + 1):
+        rows.where(F.col("batch") == batch).drop("batch").write.mode("append").parquet(f"{place}/in")
+        source = stream.source(own, f"{place}/in", None, stream.CHECKED)
+        stream.follow_checked(source, f"{place}/registry", f"{place}/checkpoint", lambda counts, number: None).awaitTermination()
     return f"{place}/registry"
 
 

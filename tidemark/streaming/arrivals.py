@@ -20,9 +20,10 @@ SCHEMA = "sample_id string, group string, split string, idx int"
 CHECKED = SCHEMA + ", image_path string"
 
 
-def source(spark: SparkSession, folder: str, files_per_batch: int = 1, schema: str = SCHEMA) -> DataFrame:
-    """New Parquet files of samples below a folder."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
+def source(spark: SparkSession, folder: str, files_per_batch: int | None = 1, schema: str = SCHEMA) -> DataFrame:
+    """New Parquet files of samples below a folder; without ``files_per_batch`` all that are there are one batch."""
+    reader = spark.readStream.schema(schema)
+    return (reader if files_per_batch is None else reader.option("maxFilesPerTrigger", files_per_batch)).parquet(folder)
 
 
 def counts(stream: DataFrame) -> DataFrame:
