@@ -64,6 +64,14 @@ def brute(found):
     return taken, {(*k, n, first[k][1]) for k, n in seen.items() if n > 1}
 
 
+def test_folding_goes_through_a_text_a_few_times(spark):
+    """Not once for each character that becomes several; texts may hold many of them, and none."""
+    assert str(C.casefold(F.col("c"))).count("replace(") <= 2
+    texts = ["", "Straße ŉ ﬃ " * 500, "".join(C.folding()[2]) * 3, "É" * 40, "plain ASCII", "ẞß\U0001e900İ", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "c string").select("c", C.casefold(F.col("c")).alias("f")).collect()
+    assert [r["f"] for r in rows] == [t and t.casefold() for t in texts]
+
+
 def test_stream_queries_take_all_groups_in_many_files(spark, tmp_path, monkeypatch):
     """Batches of several files each, a batch without samples, and groups beyond the twentieth."""
     sources = [*range(10), *range(15, 23)]

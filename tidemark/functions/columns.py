@@ -63,15 +63,14 @@ def folding() -> tuple[str, str, dict[str, str]]:
 def casefold(text: Column) -> Column:
     """Full case folding as Python's ``casefold``: what differs in case only becomes equal, sharp s and SS too.
 
-    Texts of ASCII, nearly all paths, only go to lower case; characters that become
-    several are replaced only in texts that hold one.
+    Texts of ASCII, nearly all paths, only go to lower case.  Of the characters that
+    become several only those that a text holds are looked for again, so it is gone
+    through a few times, not once for each that there is.
     """
     before, after, several = folding()
-    plain = F.translate(text, before, after)
-    full = plain
-    for c, f in several.items():
-        full = F.replace(full, F.lit(c), F.lit(f))
-    full = F.when(plain.rlike(f"[{''.join(several)}]"), full).otherwise(plain)
+    table = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
+    held = F.array_distinct(F.regexp_extract_all(text, F.lit(f"[\\x{{80}}-\\x{{10FFFF}}&&[{''.join(several)}]]"), F.lit(0)))
+    full = F.aggregate(held, F.translate(text, before, after), lambda folded, c: F.replace(folded, c, table[c]))
     return F.when(text.rlike(r"[^\x00-\x7F]"), full).otherwise(F.lower(text))
 
 
